@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, mixing, near_dedup, packing, planes, toxicity
+from . import embedding, exact_dedup, license_scan, mixing, near_dedup, packing, pii, planes, secrets_scan, toxicity
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op2_packing": packing.op2_packing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_mixing": mixing.op5_mixing,
+    "op6_embedding": embedding.op6_embedding,
     "op7_planes": planes.op7_planes,
+    "op8_secret_scan": secrets_scan.op8_secret_scan,
+    "op9_pii": pii.op9_pii,
     "op10_minhash": near_dedup.op10_minhash,
     "pipeline": corpus_pipeline.run,
 }
