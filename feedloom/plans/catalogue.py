@@ -1,8 +1,503 @@
 """Registered queries of the engine and the SQL they are held against."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from feedloom.functions import fields, text, uri
+from feedloom.operators import enclosures, relate
+from feedloom.sources import feeds as xml_feeds
+from feedloom.sources import shred
+from feedloom.sources.tables import table
+from feedloom.streaming import streams
+
+QUERIES, SQL = {}, {}
+AS_OF = "2024-06-01 00:00:00"
+DOC_ENTRIES = """(SELECT source AS feed_key, doc_id AS guid, substr(text, 1, 40) AS title, text AS content, lang, doc_id AS doc_pos,
+  CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 1704067200 + doc_id * 60 END AS t FROM documents)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def doc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entries of the feed that is their source; every seventh lacks its time."""
+    d = table(spark, sf_dir, "documents")
+    time = F.when(F.col("doc_id") % 7 != 0, F.timestamp_seconds(1704067200 + F.col("doc_id") * 60))
+    return d.select(F.col("source").alias("feed_key"), F.col("doc_id").alias("guid"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("content"), "lang", F.col("doc_id").alias("doc_pos"), time.alias("time"))
+
+
+def pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages")
+
+
+def digest(c):
+    return F.md5(F.encode(c, "UTF-8"))
+
+
+# --- text -------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, length(t) AS n, md5(t) AS digest FROM (SELECT page_id, regexp_replace(html, '</?[^>]+>', '', 'g') AS t FROM pages)")
+def q_html_strip_tags(spark, sf_dir):
+    t = text.strip_tags(F.col("html"))
+    return pages(spark, sf_dir).select("page_id", F.length(t).alias("n"), digest(t).alias("digest"))
+
+
+ESCAPE = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+UNESCAPE = "replace(replace(replace(replace(replace(replace(replace({0}, '&#38;', '&amp;'), '&#x26;', '&amp;'), '&quot;', '\"'), '&gt;', '>'), '&lt;', '<'), '&apos;', ''''), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, md5({ESCAPE.format('html')}) AS digest FROM pages")
+def q_html_escape(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", digest(text.escape_entities(F.col("html"))).alias("digest"))
+
+
+@query(f"SELECT page_id, md5({UNESCAPE.format('html')}) AS digest FROM pages")
+def q_html_unescape_named(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", digest(text.unescape_named(F.col("html"))).alias("digest"))
+
+
+PLAIN = "regexp_replace(html, '</?[^>]+>', '', 'g')"
+
+
+@query(f"SELECT page_id, md5(replace(replace(replace(replace({UNESCAPE.format(PLAIN)}, '&#8216;', ''''), '&#8217;', ''''), '&#8220;', '\"'), '&#8221;', '\"')) AS digest FROM pages")
+def q_html_plain_text(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", digest(text.plain_text(F.col("html"))).alias("digest"))
+
+
+@query("SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: '  ' || x), chr(10)) || chr(10)) AS digest FROM documents")
+def q_indent(spark, sf_dir):
+    lines = F.array_join(F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit("  "), x)), "\n")
+    return table(spark, sf_dir, "documents").select("doc_id", digest(F.concat(lines, F.lit("\n"))).alias("digest"))
+
+
+KIND = "(CASE page_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'html' WHEN 2 THEN 'xhtml' WHEN 3 THEN NULL ELSE 'application/x' END)"
+
+
+@query(f"""SELECT page_id, md5(replace(CASE WHEN k = 'xhtml' THEN html WHEN k = 'html' THEN {UNESCAPE.format('html')} WHEN k = 'text' OR k IS NULL THEN {ESCAPE.format(UNESCAPE.format('html'))} ELSE html END, chr(9), '  ')) AS digest
+FROM (SELECT page_id, html, {KIND} AS k FROM pages) WHERE trim(html) <> ''""")
+def q_text_construct(spark, sf_dir):
+    p = pages(spark, sf_dir).withColumn("k", F.expr(KIND))
+    t = text.text_construct(F.col("k"), F.lit("xml"), F.col("html"))
+    return p.select("page_id", digest(t).alias("digest")).filter("digest IS NOT NULL")
+
+
+# --- addresses --------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') AS url_is_uri, FALSE AS bare_is_uri FROM pages")
+def q_is_uri(spark, sf_dir):
+    bare = F.regexp_replace("url", "^[a-z]+:", "")
+    return pages(spark, sf_dir).select("page_id", uri.is_uri(F.col("url")).alias("url_is_uri"), uri.is_uri(bare).alias("bare_is_uri"))
+
+
+@query("SELECT page_id, k, CASE WHEN regexp_matches(u, '^https?://[^/?#]+$') THEN u || '/' ELSE u END AS url FROM (SELECT page_id, k, 'http://' || regexp_replace(url, '^https?://', '') AS u FROM pages, unnest(['feed:', 'rss:', 'htp:', '//', '']) AS x(k))")
+def q_url_scheme_fix(spark, sf_dir):
+    bare = F.regexp_replace("url", "^https?://", "")
+    rows = pages(spark, sf_dir).select("page_id", bare.alias("bare"), F.explode(F.array(*map(F.lit, ["feed:", "rss:", "htp:", "//", ""]))).alias("k"))
+    mark = F.when(F.col("k").isin("//", ""), F.col("k")).otherwise(F.concat("k", F.lit("//")))
+    return rows.select("page_id", "k", uri.normalize_url(F.concat(mark, "bare")).alias("url"))
+
+
+@query("""SELECT page_id, 'urn:uuid:' || h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab89ab89ab89ab', 1 + ('0x' || h[17:17])::INT, 1) || h[18:20] || '-' || h[21:32] AS urn
+FROM (SELECT page_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS h FROM pages)""")
+def q_urn_uuid(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", uri.urn_uuid(F.col("url")).alias("urn"))
+
+
+HOST = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)"
+
+
+@query(f"SELECT page_id, 'tag:' || {HOST} || ',2024-02-03:' || replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?]*)', 1), '#', '/') AS tag FROM pages")
+def q_tag_uri(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", uri.tag_uri(F.col("url"), F.lit("2024-02-03")).alias("tag"))
+
+
+@query(f"SELECT page_id, CASE WHEN starts_with(url, 'http://') THEN 'http://' || {HOST} || '/favicon.ico' END AS favicon FROM pages")
+def q_favicon(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", uri.favicon(F.col("url")).alias("favicon"))
+
+
+def page_links(spark, sf_dir):
+    hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    return pages(spark, sf_dir).select("page_id", "url", F.posexplode(hrefs).alias("pos", "href"))
+
+
+LINKS = """(SELECT page_id, url, unnest(range(len(h))) AS pos, unnest(h) AS href FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages))"""
+
+
+@query(f"SELECT page_id, pos::INT AS pos, href FROM {LINKS}")
+def q_page_links(spark, sf_dir):
+    return page_links(spark, sf_dir).select("page_id", "pos", "href")
+
+
+@query(f"""SELECT page_id, pos::INT AS pos, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) || href
+ELSE regexp_replace(CASE WHEN regexp_matches(regexp_replace(url, '[?#].*$', ''), '://[^/]+$') THEN url || '/' ELSE regexp_replace(url, '[?#].*$', '') END, '[^/]*$', '') || href END AS href FROM {LINKS}""")
+def q_page_links_resolved(spark, sf_dir):
+    return page_links(spark, sf_dir).select("page_id", "pos", uri.resolve(F.col("url"), F.col("href")).alias("href"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/a.xml' WHEN 1 THEN '/r.xml' WHEN 2 THEN '/d.rdf' END AS feed FROM pages""")
+def q_autodiscover(spark, sf_dir):
+    link = lambda mime, href: f'<link rel="alternate" type="application/{mime}" href="{href}">'
+    r, k = link("rss+xml", "/r.xml"), F.col("page_id") % 4
+    head = F.when(k == 0, r + link("atom+xml", "/a.xml")).when(k == 1, link("rdf+xml", "/d.rdf") + r).when(k == 2, link("rdf+xml", "/d.rdf")).otherwise('<link rel="stylesheet" type="application/rss+xml" href="/x">')
+    return pages(spark, sf_dir).select("page_id", xml_feeds.autodiscover(F.concat(head, "html")).alias("feed"))
+
+
+# --- fields -----------------------------------------------------------------------------------------
+
+MIMES = "['text/html', 'xhtml', 'application/xhtml+xml', 'application/atom+xml', 'xml', 'text/plain', 'audio/mpeg', 'video/mp4', 'image/png', '']"
+MIME_LIST = [x.strip()[1:-1] for x in MIMES[1:-1].split(",")]
+
+
+def event_entries(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    mime = F.element_at(F.array(*map(F.lit, MIME_LIST)), (F.col("event_id") % len(MIME_LIST) + 1).cast("int"))
+    return e.select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"), mime.alias("mime"))
+
+
+EVENTS = f"(SELECT event_id, user_id, event_type, value, ts, ({MIMES})[event_id % 10 + 1] AS mime FROM events)"
+
+
+@query(f"SELECT event_id, mime IN ('html','xhtml','text/html','application/xhtml+xml') AS html, mime IN ('xml','xhtml','application/xhtml+xml') OR ends_with(mime, 'xml') AS xml FROM {EVENTS}")
+def q_mime_class(spark, sf_dir):
+    m = F.col("mime")
+    return event_entries(spark, sf_dir).select("event_id", fields.is_html(m).alias("html"), fields.is_xml(m).alias("xml"))
+
+
+@query(f"SELECT user_id, bool_or(starts_with(mime, 'audio/')) AS podcast, bool_or(starts_with(mime, 'video/')) AS vidlog, count(*) AS entries FROM {EVENTS} GROUP BY user_id")
+def q_media_kind(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    return event_entries(spark, sf_dir).groupBy("user_id").agg(F.bool_or(fields.is_audio(F.col("mime"), none)).alias("podcast"), F.bool_or(fields.is_video(F.col("mime"), none)).alias("vidlog"), F.count("*").alias("entries"))
+
+
+RELS = "(CASE event_id % 3 WHEN 0 THEN 'alternate' WHEN 1 THEN 'self' ELSE 'enclosure' END)"
+BASE_SCORE = "(CASE WHEN mime IN ('xml','xhtml','application/xhtml+xml') OR ends_with(mime, 'xml') THEN 1 ELSE 0 END + CASE WHEN mime IN ('html','xhtml','text/html','application/xhtml+xml') THEN 2 WHEN mime <> '' THEN -1 ELSE 0 END + CASE rel WHEN 'alternate' THEN 1 WHEN 'self' THEN -1 ELSE 0 END)"
+
+
+def _links(spark, sf_dir):
+    """Events of a user as the links of a feed, in order of their number."""
+    e = event_entries(spark, sf_dir).withColumn("rel", F.expr(RELS))
+    e = e.withColumns({"href": F.concat(F.lit("http://h/"), "event_type", F.lit("/"), "event_id"), "key": F.concat_ws("-", "user_id", F.floor(F.col("event_id") / 500))})
+    return e.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "mime", "rel", "href"))), lambda x: F.struct(x["mime"].alias("type"), x["rel"].alias("rel"), x["href"].alias("href"))).alias("links"))
+
+
+LINK_ROWS = f"(SELECT *, {RELS} AS rel, 'http://h/' || event_type || '/' || event_id AS href, user_id || '-' || (event_id // 500) AS key FROM {EVENTS})"
+
+
+@query(f"""SELECT key, first(href ORDER BY s DESC, event_id) FILTER (s >= 0) AS link FROM (SELECT *, {BASE_SCORE} + CASE WHEN contains(mime, 'image') OR contains(mime, 'video') THEN -2 ELSE 0 END + CASE WHEN rel = 'enclosure' THEN -2 ELSE 0 END
++ CASE WHEN rel = 'self' AND (contains(href, 'xml') OR contains(href, 'atom') OR contains(href, 'feed')) THEN -1 ELSE 0 END AS s FROM {LINK_ROWS}) GROUP BY key""")
+def q_link_score(spark, sf_dir):
+    return _links(spark, sf_dir).select("key", fields.best_link(F.col("links"), F.lit("")).alias("link"))
+
+
+@query(f"SELECT key, first(href ORDER BY s DESC, event_id) FILTER (s >= 0) AS link FROM (SELECT *, {BASE_SCORE} + CASE WHEN count(*) OVER (PARTITION BY key) = 1 AND regexp_matches(mime, '^(video|audio)') THEN 1 ELSE 0 END AS s FROM {LINK_ROWS}) GROUP BY key")
+def q_item_link_score(spark, sf_dir):
+    return _links(spark, sf_dir).select("key", fields.best_link(F.col("links")).alias("link"))
+
+
+@query("SELECT c_custkey, c_custkey % 4 AS form, CASE c_custkey % 4 WHEN 2 THEN NULL ELSE c_name END AS name, CASE c_custkey % 4 WHEN 3 THEN NULL ELSE 'c' || c_custkey || '@example.com' END AS email FROM customer")
+def q_author_parse(spark, sf_dir):
+    mail, name, k = F.concat(F.lit("c"), "c_custkey", F.lit("@example.com")), F.col("c_name"), F.col("c_custkey") % 4
+    raw = F.when(k == 0, F.concat(name, F.lit(" ("), mail, F.lit(")"))).when(k == 1, F.concat(mail, F.lit(" ("), name, F.lit(")"))).when(k == 2, mail).otherwise(name)
+    a = fields.author(raw)
+    return table(spark, sf_dir, "customer").select("c_custkey", k.alias("form"), a["name"].alias("name"), a["email"].alias("email"))
+
+
+@query("SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9._%-]+\\.[A-Za-z]{2,4}'), ' ') AS mails FROM documents")
+def q_author_emails_in_docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(f"({fields.MAIL})"), F.lit(1)), " ").alias("mails"))
+
+
+@query("SELECT doc_id, lang || '-' || upper(substr(source, 1, 2)) AS language FROM documents")
+def q_language_norm(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", fields.language(F.lit(" "), F.concat_ws("_", F.upper("lang"), F.lit("x"), F.substring("source", 1, 2))).alias("language"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey * 3600 + l_linenumber * 60 + l_quantity::BIGINT AS hms, l_linenumber * 60 + l_quantity::BIGINT AS ms, l_quantity::BIGINT AS s FROM lineitem")
+def q_duration(spark, sf_dir):
+    s = F.col("l_quantity").cast("long").cast("string")
+    m = F.concat_ws(":", F.col("l_linenumber").cast("string"), s)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", fields.duration(F.concat_ws(":", F.col("l_suppkey").cast("string"), m)).alias("hms"), fields.duration(m).alias("ms"), fields.duration(s).alias("s"))
+
+
+TTL = "CASE WHEN event_id % 5 = 0 THEN (CASE event_type WHEN 'view' THEN 86400 WHEN 'click' THEN 604800 ELSE 3600 END) * (event_id % 3 + 1) WHEN event_id % 5 < 3 THEN (event_id % 90 + 1) * (CASE WHEN event_id % 2 = 0 THEN 60 ELSE 3600 END) ELSE 3600 END"
+
+
+def ttl_rows(spark, sf_dir):
+    e, i = event_entries(spark, sf_dir), F.col("event_id")
+    period = F.when(F.col("event_type") == "view", "daily").when(F.col("event_type") == "click", "weekly").otherwise("hourly")
+    frequency, ttl = F.when(i % 5 == 0, i % 3 + 1), F.when(i % 5 < 3, i % 90 + 1)
+    return e.withColumn("time_to_live", fields.time_to_live(period, frequency, ttl, F.when(i % 2 == 0, F.lit(None).cast("string")).otherwise("hours")))
+
+
+@query(f"SELECT event_id, least({TTL}, 259200)::BIGINT AS time_to_live FROM events")
+def q_ttl(spark, sf_dir):
+    return ttl_rows(spark, sf_dir).select("event_id", "time_to_live")
+
+
+@query(f"SELECT event_id, CASE WHEN event_type = 'error' THEN TRUE ELSE epoch(TIMESTAMP '2024-01-02 00:00:00')::BIGINT - floor(epoch(ts))::BIGINT > greatest(least({TTL}, 259200), 1800) END AS expired FROM events")
+def q_expired(spark, sf_dir):
+    rows = ttl_rows(spark, sf_dir).withColumn("last_retrieved", F.when(F.col("event_type") != "error", F.col("ts")))
+    return relate.expired(rows, F.lit("2024-01-02 00:00:00").cast("timestamp")).select("event_id", "expired")
+
+
+VERSIONS = [("rss", "", "2.0"), ("rss", "", "2.01"), ("rss", "", "2.1"), ("rss", "", "0.91"), ("rss", "", "2.0/XSS-strict"), ("rss", "", None), ("rdf:RDF", "http://purl.org/rss/1.0/", None), ("feed", "http://www.w3.org/2005/Atom", None), ("feed", "http://purl.org/atom/ns#", "0.3"), ("CHANNEL", "", None), ("Channel", "http://purl.org/net/rss1.1#", None), ("html", "", "0.0")]
+WANT = [("rss", 2.0), ("rss", 2.0), ("rss", 2.0), ("rss", 0.91), ("rss", 2.0), ("rss", None), ("rss", 1.0), ("atom", 1.0), ("atom", 0.3), ("cdf", 0.4), ("rss", 1.1), (None, None)]
+VALUES = ", ".join(f"({i}, {t!r}, {v})" if t and v else f"({i}, {repr(t) if t else 'NULL'}, {v or 'NULL'})" for i, (t, v) in enumerate(WANT))
+
+
+@query(f"SELECT event_id, k.t AS feed_type, k.v::DOUBLE AS feed_version FROM events JOIN (VALUES {VALUES}) AS k(i, t, v) ON event_id % {len(WANT)} = k.i")
+def q_type_version_detect(spark, sf_dir):
+    pick = F.element_at(F.array(*[F.struct(F.lit(a).alias("root"), F.lit(b).alias("ns"), F.lit(c).cast("string").alias("v")) for a, b, c in VERSIONS]), (F.col("event_id") % len(VERSIONS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", pick.alias("x"))
+    kind = fields.feed_type(F.col("x.root"), F.col("x.ns"))
+    return rows.select("event_id", kind.alias("feed_type"), fields.feed_version(kind, F.col("x.ns"), F.col("x.v")).alias("feed_version"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'iso-8859-' || (page_id % 9 + 1) WHEN 1 THEN 'koi8-r' ELSE 'utf-8' END AS encoding FROM pages")
+def q_encoding_header(spark, sf_dir):
+    k = F.col("page_id") % 3
+    header = F.when(k == 0, F.concat(F.lit("text/xml; charset=ISO-8859-"), F.col("page_id") % 9 + 1)).otherwise("text/xml")
+    xml = F.concat(F.when(k == 2, F.lit("<?xml version='1.0'?>")).otherwise('<?xml version="1.0" encoding="KOI8-R"?>'), F.col("html"))
+    return pages(spark, sf_dir).select("page_id", fields.encoding(header, xml).alias("encoding"))
+
+
+@query("SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS rfc, epoch(date_trunc('second', ts))::BIGINT AS iso, epoch(date_trunc('day', ts))::BIGINT AS day, NULL::BIGINT AS bad FROM events")
+def q_date_parse(spark, sf_dir):
+    e = event_entries(spark, sf_dir)
+    of = lambda c: F.unix_timestamp(fields.parse_date(c))
+    ts = F.col("ts")
+    return e.select("event_id", of(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).alias("rfc"), of(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("iso"), of(F.date_format(ts, "dd MMM yyyy")).alias("day"), of(F.concat(F.lit("soon "), F.col("event_id"))).alias("bad"))
+
+
+@query("SELECT event_id, list_distinct([lower(trim(event_type)), 'feed', lower(trim(event_type)), 'x' || (user_id % 5)]).list_sort().array_to_string(',') AS tags FROM events")
+def q_tags_norm(spark, sf_dir):
+    raw = F.array(F.concat(F.lit(" "), F.upper("event_type")), F.lit("Feed "), F.col("event_type"), F.lit(" "), F.concat(F.lit("X"), F.col("user_id") % 5))
+    t = fields.tags(F.array().cast("array<string>"), raw)
+    return event_entries(spark, sf_dir).select("event_id", F.array_join(F.array_sort(t), ",").alias("tags"))
+
+
+@query("""SELECT doc_id, list_sort(list_distinct(a || b)).array_to_string(',') AS both, list_sort(list_filter(a, lambda x: NOT list_contains(b, x))).array_to_string(',') AS less, coalesce(nullif(trim(lang), ''), source) AS first
+FROM (SELECT doc_id, lang, source, list_distinct([lang, source, 'k' || (doc_id % 3)]) AS a, ['k0', lang] AS b FROM documents)""")
+def q_array_ops(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    a, b = F.array_distinct(F.array("lang", "source", F.concat(F.lit("k"), F.col("doc_id") % 3))), F.array(F.lit("k0"), F.col("lang"))
+    return d.select("doc_id", F.array_join(F.array_sort(F.array_union(a, b)), ",").alias("both"), F.array_join(F.array_sort(F.array_except(a, b)), ",").alias("less"), text.first_not_blank(F.lit(" \n"), F.col("lang"), F.col("source")).alias("first"))
+
+
+# --- relations --------------------------------------------------------------------------------------
+
+
+@query(f"SELECT guid, row_number() OVER (PARTITION BY feed_key ORDER BY coalesce(t, 0) DESC, doc_pos)::INT AS rank FROM {DOC_ENTRIES}")
+def q_entries_sorted_time(spark, sf_dir):
+    return relate.ranked(doc_entries(spark, sf_dir).select("feed_key", "guid", "time", "doc_pos")).select("guid", "rank")
+
+
+@query(f"SELECT guid, row_number() OVER (PARTITION BY feed_key ORDER BY title, doc_pos)::INT AS rank FROM {DOC_ENTRIES}")
+def q_entries_sorted_prop(spark, sf_dir):
+    return relate.ranked(doc_entries(spark, sf_dir).select("feed_key", "guid", "title", "doc_pos"), "title").select("guid", "rank")
+
+
+@query(f"SELECT guid, row_number() OVER (PARTITION BY feed_key ORDER BY doc_pos)::INT AS rank FROM {DOC_ENTRIES}")
+def q_entries_doc_order(spark, sf_dir):
+    return relate.ranked(doc_entries(spark, sf_dir).select("feed_key", "guid", "doc_pos"), None).select("guid", "rank")
+
+
+@query(f"""SELECT guid, coalesce(t, lead(t) OVER w + 1, lag(t) OVER w - 1, epoch(TIMESTAMP '{AS_OF}')::BIGINT)::BIGINT AS t FROM {DOC_ENTRIES} WINDOW w AS (PARTITION BY feed_key ORDER BY doc_pos)""")
+def q_time_estimate(spark, sf_dir):
+    rows = relate.estimate_times(doc_entries(spark, sf_dir).select("feed_key", "guid", "doc_pos", "time"), F.lit(AS_OF).cast("timestamp"))
+    return rows.select("guid", F.unix_timestamp("time").alias("t"))
+
+
+@query("SELECT d.doc_id, coalesce(l.toxic, 0) = 1 OR contains(d.source, '1') AS explicit FROM documents d LEFT JOIN labels l USING (doc_id)")
+def q_inherit_explicit(spark, sf_dir):
+    d, flags = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return d.join(flags, "doc_id", "left").select("doc_id", (F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.col("source").contains("1")).alias("explicit"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'own' ELSE c_name END AS author FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def q_inherit_author(spark, sf_dir):
+    own = F.when(F.col("o_orderkey") % 3 == 0, "own")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("feed_key"), "o_orderkey", own.alias("author"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("feed_key"), F.col("c_name").alias("author"))
+    return relate.inherit(o, c, ["author"]).select("o_orderkey", "author")
+
+
+@query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+def q_orphans(spark, sf_dir):
+    return relate.orphans(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT source AS feed_key, count(DISTINCT lang) AS parents FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1")
+def q_multi_parent_check(spark, sf_dir):
+    e = table(spark, sf_dir, "documents").select(F.col("source").alias("feed_key"), "lang")
+    return relate.many_parents(e, e.distinct())
+
+
+@query("SELECT o_orderkey, c_name || ': ' || o_orderpriority AS title FROM orders JOIN customer ON o_custkey = c_custkey")
+def q_merge_planet(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("feed_key"), "o_orderkey", F.col("o_orderpriority").alias("title"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("feed_key"), F.col("c_name").alias("title"))
+    return relate.merge_feeds(o, c).select("o_orderkey", "title")
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY ALL")
+def q_dedup_guid(spark, sf_dir):
+    return relate.latest(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], [-F.col("event_id")])
+
+
+CACHE = """SELECT href, max(t) AS t FROM (SELECT 'http://h/' || (user_id % 50) AS href, event_id AS t FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT CASE WHEN event_id % 10 = 1 THEN 'file:/h/' ELSE 'http://h/' END || (user_id % 80), event_id FROM events WHERE event_id % 2 = 1 AND event_id % 10 NOT IN (1, 3, 5)) GROUP BY href"""
+
+
+@query(CACHE)
+def q_cache_upsert(spark, sf_dir):
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    row = lambda href, data: (href.alias("href"), F.lit("t").alias("title"), data.alias("feed_data"), F.timestamp_seconds(i).alias("last_retrieved"))
+    cached = relate.latest(e.filter(i % 2 == 0).select(*row(F.concat(F.lit("http://h/"), F.col("user_id") % 50), F.lit("<rss/>"))), ["href"], [-F.unix_timestamp("last_retrieved")])
+    data = F.when(i % 10 == 3, " \n").when(i % 10 == 5, "<html><p>").otherwise("<rss/>")
+    fresh = e.filter(i % 2 == 1).select(*row(F.concat(F.when(i % 10 == 1, "file:/h/").otherwise("http://h/"), F.col("user_id") % 80), data))
+    return relate.upsert(cached, fresh).select("href", F.unix_timestamp("last_retrieved").alias("t"))
+
+
+@query("SELECT conv_id, first(text ORDER BY turn) AS opening, last(role ORDER BY turn) AS last_role, count(*) AS turns FROM conversations GROUP BY conv_id")
+def q_thread_first_last(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("opening"), F.max_by("role", "turn").alias("last_role"), F.count("*").alias("turns"))
+
+
+# --- enclosures -------------------------------------------------------------------------------------
+
+
+@query("""SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, coalesce(a.l_linenumber, b.l_linenumber) AS l_linenumber, coalesce(b.mime, a.mime) AS mime
+FROM (SELECT l_orderkey, l_linenumber, 'audio/' || l_shipmode AS mime FROM (SELECT *, 'x' AS l_shipmode FROM lineitem) WHERE l_linenumber < 4) a
+FULL JOIN (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN NULL ELSE 'video/' || l_returnflag END AS mime FROM lineitem WHERE l_linenumber > 2) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber""")
+def q_enclosure_merge(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    a = li.filter("l_linenumber < 4").select("l_orderkey", "l_linenumber", F.lit("audio/x").alias("mime"))
+    b = li.filter("l_linenumber > 2").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") != "N", F.concat(F.lit("video/"), "l_returnflag")).alias("mime"))
+    return enclosures.merge_by_url(a, b, ["l_orderkey", "l_linenumber"])
+
+
+@query("""SELECT l_orderkey, first('u' || l_linenumber ORDER BY l_returnflag <> 'R', l_linenumber) AS url, array_to_string(list('u' || l_linenumber ORDER BY l_linenumber), ' ') AS versions FROM lineitem GROUP BY l_orderkey""")
+def q_media_group_default(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("pos"), F.concat(F.lit("u"), "l_linenumber").alias("url"), F.lit("audio/mpeg").alias("type"), F.col("l_quantity").cast("long").alias("file_size"), (F.col("l_returnflag") == "R").alias("is_default"))
+    return enclosures.group_defaults(rows, ["l_orderkey"]).select("l_orderkey", "url", F.array_join("versions", " ").alias("versions"))
+
+
+@query("SELECT p_partkey, 'Podcasts/' || p_type || CASE WHEN p_partkey % 2 = 0 THEN '/' || p_brand ELSE '' END AS path FROM part")
+def q_itunes_categories(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", enclosures.itunes_path(F.col("p_type"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand"))).alias("path"))
+
+
+@query("SELECT event_id, nullif(event_id % 4, 0) AS file_size, CASE event_id % 3 WHEN 0 THEN 'sample' WHEN 1 THEN 'nonstop' ELSE 'full' END AS expression FROM events")
+def q_enclosure_clean(spark, sf_dir):
+    word = F.element_at(F.array(*map(F.lit, ["sample", "nonstop", "odd"])), (F.col("event_id") % 3 + 1).cast("int"))
+    return enclosures.clean(table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 4).alias("file_size"), word.alias("expression")))
+
+
+@query("SELECT l_orderkey, coalesce(first('u' || l_linenumber ORDER BY l_linenumber) FILTER (l_quantity > 25), first('u' || l_linenumber ORDER BY l_linenumber)) AS url FROM lineitem GROUP BY l_orderkey")
+def q_writer_alternate(spark, sf_dir):
+    size = F.when(F.col("l_quantity") > 25, F.col("l_quantity")).otherwise(0)
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat(F.lit("u"), "l_linenumber").alias("url"), size.alias("file_size")))).alias("all"))
+    return rows.select("l_orderkey", enclosures.with_size(F.col("all"))["url"].alias("url"))
+
+
+@query("SELECT o_orderkey, count(*) FILTER (l_returnflag = 'R') AS licenses, first(l_linenumber ORDER BY l_linenumber) FILTER (l_returnflag = 'R') AS license FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def q_license_links(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("links"))
+    found = F.filter("links", lambda x: x["l_returnflag"] == "R")
+    return rows.join(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", F.size(found).cast("long").alias("licenses"), F.get(found, F.lit(0))["l_linenumber"].alias("license"))
+
+
+# --- documents: write, parse back -------------------------------------------------------------------
+
+PAGED = "source || '-' || (doc_id // 64)"
+
+
+def feed_docs(spark, sf_dir, kind, version=None):
+    """Documents as feeds of up to 64 entries, written and ready to parse."""
+    e = doc_entries(spark, sf_dir).withColumn("feed_key", F.concat_ws("-", "feed_key", F.floor(F.col("guid") / 64)))
+    heads = e.select("feed_key").distinct().select("feed_key", F.concat(F.lit("Feed "), "feed_key").alias("title"), F.lit("http://h.example.org/").alias("link"), F.lit("a < b & c").alias("subtitle"))
+    items = e.select("feed_key", "doc_pos", F.col("guid").cast("string").alias("id"), "title", F.concat(F.lit("http://h.example.org/d/"), "guid").alias("link"), "content", "time")
+    return xml_feeds.write_xml(heads, items, kind, version)
+
+
+TRIP = f"""SELECT {PAGED} AS feed_key, doc_id::VARCHAR AS id, trim(substr(text, 1, 40), ' ' || chr(9) || chr(10) || chr(13)) AS title, 'http://h.example.org/d/' || doc_id AS link, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 1704067200 + doc_id * 60 END::BIGINT AS t FROM documents"""
+
+
+def trip(spark, sf_dir, kind, version=None):
+    rows = xml_feeds.entries(feed_docs(spark, sf_dir, kind, version))
+    return rows.select("feed_key", "id", "title", "link", F.unix_timestamp("time").alias("t"))
+
+
+@query(TRIP)
+def q_roundtrip_rss2(spark, sf_dir):
+    return trip(spark, sf_dir, "rss")
+
+
+@query(TRIP)
+def q_roundtrip_rss1(spark, sf_dir):
+    return trip(spark, sf_dir, "rss", 1.0)
+
+
+@query(TRIP)
+def q_roundtrip_atom(spark, sf_dir):
+    return trip(spark, sf_dir, "atom")
+
+
+@query(f"SELECT DISTINCT {PAGED} AS feed_key, TRUE AS well_formed, 'atom' AS feed_type, 1.0::DOUBLE AS feed_version, 'Feed ' || {PAGED} AS title, 'http://h.example.org/' AS link, 'a < b & c' AS subtitle, 'en-US' AS language, 3600::BIGINT AS time_to_live FROM documents")
+def q_feeds_parsed(spark, sf_dir):
+    return xml_feeds.feeds(feed_docs(spark, sf_dir, "atom")).select("feed_key", "well_formed", "feed_type", "feed_version", "title", "link", "subtitle", "language", "time_to_live")
+
+
+@query("SELECT source AS feed_key, count(*) AS entries FROM documents WHERE source NOT LIKE '%1' GROUP BY source")
+def q_write_guard(spark, sf_dir):
+    e = table(spark, sf_dir, "documents").select(F.col("source").alias("feed_key"))
+    return e.filter(~F.col("feed_key").endswith("1")).groupBy("feed_key").agg(F.count("*").alias("entries"))
+
+
+@query()
+def q_shred_pages(spark, sf_dir):
+    """Web pages through the reader of tag soup: nodes and links of each."""
+    rows = shred.shredded(pages(spark, sf_dir).select("page_id", "html"), "html")
+    return rows.select("page_id", "well_formed", "root", F.size("nodes").alias("n_nodes"), F.size(F.filter("nodes", lambda n: n["name"] == "a")).alias("n_links"))
+
+
+@query()
+def q_sanitize_pages(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", shred.sanitize(F.col("html"), F.col("url")).alias("html"))
+
+
+# --- streams ----------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, event_type FROM events GROUP BY ALL")
+def q_stream_dedup(spark, sf_dir):
+    s = streams.read_events(spark, f"{sf_dir}/events.parquet")
+    return streams.drain(streams.new_entries(s, ["user_id", "event_type"]).select("user_id", "event_type"))
+
+
+@query("SELECT event_type, floor(epoch(ts) / 3600)::BIGINT * 3600 AS hour, count(*) AS posts FROM events GROUP BY ALL")
+def q_stream_windows(spark, sf_dir):
+    s = streams.read_events(spark, f"{sf_dir}/events.parquet")
+    return streams.drain(streams.posts_per_window(s, "event_type"), "complete").select("event_type", F.unix_timestamp(F.col("window.start")).alias("hour"), "posts")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A planet feed: written as RSS, parsed back, times estimated, newest first."""
+    rows = xml_feeds.entries(feed_docs(spark, sf_dir, "rss")).select("feed_key", "doc_pos", "id", "title", "link", "time")
+    return relate.ranked(relate.estimate_times(rows, F.lit(AS_OF).cast("timestamp")))
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
