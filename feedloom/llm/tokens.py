@@ -1,15 +1,15 @@
 """Token ids by the tokenizers library, with a memory of short pieces.
 
 A byte-level BPE tokenizer never merges across the boundary between a
-character that isn't white space and white space that follows it.  A text is
-cut at those boundaries; each distinct piece is encoded by the library once and
-its ids are remembered, so frequent words cost a look-up.  The ids equal those
+character that isn't white space and white space that follows it, nor between a
+run of letters and another kind of character.  A text is cut at such
+boundaries; each distinct piece is encoded by the library once and its ids are
+remembered, so frequent words cost a look-up.  The ids equal those
 of encoding the text as a whole (tested).
 """
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 
@@ -19,9 +19,19 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Unicode's White_Space, which the tokenizer's pattern calls \s.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-pieces = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
-plain = re.compile(f" ?[^{SPACE}]+").fullmatch
-REMEMBERED = 400_000
+LETTERS = "A-Za-zÀ-ÖØ-öø-ž"
+#: A run of letters ends for the tokenizer where another kind of character follows.
+pieces = re.compile(rf"[{SPACE}]*[{LETTERS}]+(?=[\x00-\x40\x5b-\x60\x7b-\x7f{SPACE}]|\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
+#: Pieces that are one word to the tokenizer's pattern and go straight to its model.
+plain = re.compile(f" ?[{LETTERS}]+").fullmatch
+REMEMBERED = 1_000_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable characters that stand for bytes in a byte-level vocabulary."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,40 +49,29 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memory: dict[str, bytes] = {}
-        newline = self._ids("\n")
-        self.newline = newline[0] if len(newline) == 1 else None
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.model, self.letters = self.tokenizer.model, byte_letters()
 
-    def _learn(self, missing: list[str]) -> None:
-        """Encode new pieces, the plain ones many at a time between newlines."""
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        easy = [p for p in missing if plain(p)] if self.newline is not None else []
-        for at in range(0, len(easy), 20_000):
-            part = easy[at : at + 20_000]
-            ids = np.array(self._ids("\n".join(part)), self.dtype)
-            ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
-            if len(ends) != len(part):
-                break
-            starts = np.append(0, ends[:-1] + 1)
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            for p, a, b in zip(part, (starts * width).tolist(), (ends * width).tolist(), strict=True):
-                self.memory[p] = raw[a:b]
-        for p in missing:
-            if p not in self.memory:
-                self.memory[p] = np.array(self._ids(p), self.dtype).tobytes()
+    def _ids(self, piece: str) -> list[int]:
+        if plain(piece):
+            return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [pieces(t) if t else [] for t in texts]
-        missing = {p for p in itertools.chain.from_iterable(cut) if p not in self.memory}
         if len(self.memory) > REMEMBERED:
-            missing = set(itertools.chain.from_iterable(cut))
-        if missing:
-            self._learn(list(missing))
-        get = self.memory.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+            self.memory.clear()
+        memory, out = self.memory, []
+        for text in texts:
+            cut = pieces(text or "")
+            ids = list(map(memory.get, cut))
+            if None in ids:
+                for i, known in enumerate(ids):
+                    if known is None:
+                        p = cut[i]
+                        if p not in memory:
+                            memory[p] = np.array(self._ids(p), self.dtype).tobytes()
+                        ids[i] = memory[p]
+            out.append(b"".join(ids))
+        return out
 
 
 _encoders: dict[str, PieceEncoder] = {}
