@@ -9,12 +9,12 @@ element needs its j-th place, so a long document stops after a few places.
 
 Signatures are cut into bands.  Documents with equal sets are first collapsed
 into one class, so copies of a text cost one row whatever their number.  Within
-a bucket (equal band) pairs are *not* all made: in each round one member leads,
-and members of other components are verified against it; verified links merge
-components, and only pairs of different components go on.  After ``rounds``
-such rounds all pairs that are left, of different components, are verified, so
-no candidate that could still join two components is lost.  Components are
-found by union by minimum with pointer jumping, as joins.
+a bucket (equal band) pairs are *not* all made.  First one member leads, the
+one that shares most buckets with most others, and the rest are verified
+against it; verified links merge components.  Only pairs of different
+components are left then: small buckets give theirs, and members of large ones
+meet on the rare shingles that any two sets of that similarity share, which is
+exact.  Components are found by union by minimum with pointer jumping, as joins.
 
 Defined results: a null or empty text, or one of white space only, has an empty
 set and links with nothing; a document shorter than a shingle has its whole
@@ -67,7 +67,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_hashes.__getitem__, parts), np.uint64, len(parts))
     k = min(words, len(parts))
-    out = mix64(h[: len(h) - k + 1] + GOLD * np.uint64(k))
+    out = mix64(h[: len(h) - k + 1] + np.uint64(int(GOLD) * k % 2**64))
     for i in range(1, k):
         out = mix64(out * np.uint64(3) + h[i : len(h) - k + 1 + i])
     return np.unique(out)
@@ -92,7 +92,7 @@ def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
                 at = first_slot[live]
                 rows = np.arange(len(elems))
                 perm[rows, at], perm[rows, 0] = 0, at.astype(np.uint8)
-        r = mix64(elems + GOLD * np.uint64(j + 1))
+        r = mix64(elems + np.uint64(int(GOLD) * (j + 1) % 2**64))
         slot = j + ((r & np.uint64(0xFFFFFFFF)) * np.uint64(m - j) >> np.uint64(32)).astype(np.int64)
         rank = j + (r >> np.uint64(32)).astype(np.float64) / 2.0**32
         if perm is None:
@@ -168,23 +168,61 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(both * 100 >= (F.size("items_a") + F.size("items_b") - both) * percent).select("a", "b")
 
 
-def _new_pairs(buckets: DataFrame, comps: DataFrame, seed: int | None, percent: int) -> DataFrame:
-    """Candidate pairs of different components: with one leader a bucket, or all that are left."""
+def _leader_pairs(buckets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each bucket's leader and its members; the leader shares most buckets with most others."""
+    at = buckets.join(comps, "id").select("id", "n", "bucket", "central")
+    lead = at.groupBy("bucket").agg(F.min(F.struct((-F.col("central")).alias("c"), "id", "n")).alias("lead"))
+    lead = staged(lead.select("bucket", F.col("lead.id").alias("a"), F.col("lead.n").alias("n_a")), "leaders")
+    met = buckets.withColumnsRenamed({"id": "b", "n": "n_b"}).join(lead, "bucket")
+    return _ordered(met.filter((F.col("a") != F.col("b")) & _close(percent)))
+
+
+def _close(percent: int):
+    """Else the sizes alone rule the pair out."""
+    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _rest_pairs(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, small: int) -> DataFrame:
+    """Candidates of different components, of all buckets.
+
+    Buckets of up to ``small`` members give their pairs.  Members of larger
+    ones meet on prefixes: of the shingles of a set, ordered from rare to
+    frequent, similar sets share one among the first n - ceil(s n) + 1, and
+    the first one that they share leaves room for as many as they must share.
+    """
     at = staged(buckets.join(comps, "id").select("id", "n", "bucket", "comp"), "members")
-    turn = F.struct(F.xxhash64("id", F.lit(seed)) if seed else F.lit(0), "id", "n", "comp")
-    heads = at.groupBy("bucket").agg(F.min(turn).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    if seed is None:
-        open_ = staged(at.join(heads.select("bucket"), "bucket", "left_semi"), "open")
-        other = open_.select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-        met = open_.withColumnsRenamed({"id": "a", "n": "n_a", "comp": "comp_a"}).join(other, "bucket").filter("a < b")
-    else:
-        heads = staged(heads.select("bucket", F.col("lead.id").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.comp").alias("comp_a")), "heads")
-        met = at.withColumnsRenamed({"id": "b", "n": "n_b", "comp": "comp_b"}).join(heads, "bucket")
-    close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent  # else the sizes alone rule the pair out
-    return met.filter((F.col("comp_a") != F.col("comp_b")) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, rounds: int = 3) -> DataFrame:
+    mixed = at.groupBy("bucket").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket", "members")
+    mixed = staged(mixed, "mixed")
+    few = staged(at.join(mixed.filter(F.col("members") <= small).select("bucket"), "bucket", "left_semi"), "few")
+    pairs = _meet(few, "bucket", percent)
+    if not mixed.filter(F.col("members") > small).isEmpty():
+        many = at.join(mixed.filter(F.col("members") > small).select("bucket"), "bucket", "left_semi").select("id", "n", "comp").distinct()
+        items = staged(staged(many, "many").join(sets, "id").select("id", "n", "comp", F.explode("items").alias("item")), "items")
+        counts = items.groupBy("item").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        counts = staged(counts.select("item", "df", (F.col("lo") < F.col("hi")).alias("open")), "counts")
+        ranked = items.join(counts, "item").groupBy("id", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "item", "open"))).alias("all"))
+        first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+        heads = ranked.select("id", "n", "comp", F.posexplode(F.slice("all", F.lit(1), first.cast("int"))).alias("at", "x")).filter("x.open")
+        heads = staged(heads.select("id", "n", "comp", F.col("x.item").alias("item"), "at"), "heads")
+        # If this is the first shingle that both share, no more than the shorter rest can follow.
+        most = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
+        pairs = pairs.unionByName(_meet(heads, "item", percent, ("at",), most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent))
+    return pairs.distinct()
+
+
+def _meet(rows: DataFrame, key: str, percent: int, more: tuple[str, ...] = (), bound=None) -> DataFrame:
+    """Pairs of different components with the same key, as far as sizes (and ``bound``) allow."""
+    left = rows.withColumnsRenamed({"id": "a"} | {c: f"{c}_a" for c in ("n", "comp", *more)})
+    right = rows.withColumnsRenamed({"id": "b"} | {c: f"{c}_b" for c in ("n", "comp", *more)})
+    met = left.join(right, key).filter((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _close(percent))
+    return _ordered(met if bound is None else met.filter(bound))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, small: int = 24) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     scanned = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hashed = staged(scanned.mapInArrow(_scan(words, bands * rows, bands), "id long, n_shingles long, key binary, bands array<long>"), "signed")
@@ -192,18 +230,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Of a class's bands any will do: equal sets have equal signatures.
     classes = staged(named.groupBy("key").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
     reps = named.join(classes, (named["key"] == classes["key"]) & (named["id"] == classes["rep"])).select("id", F.col("n_shingles").alias("n"), "bands")
-    buckets = reps.select("id", "n", F.posexplode("bands").alias("band", "value")).select("id", "n", F.xxhash64("band", "value").alias("bucket")).distinct()
-    buckets = staged(buckets, "buckets")
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket")
-    buckets = staged(buckets.join(shared, "bucket", "left_semi"), "shared")
-    nodes = staged(buckets.select("id").distinct(), "nodes")
+    buckets = staged(reps.select("id", "n", F.posexplode("bands").alias("band", "value")).select("id", "n", F.xxhash64("band", "value").alias("bucket")), "buckets")
+    shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("bucket", "members")
+    buckets = staged(buckets.join(shared, "bucket"), "shared")
+    nodes = staged(buckets.groupBy("id").agg(F.sum("members").alias("central")), "nodes")
+    buckets = buckets.drop("members")
     sets = staged(scanned.join(nodes, "id", "left_semi").mapInArrow(_sets(words), "id long, items array<long>"), "sets")
-    comps, links = nodes.select("id", F.col("id").alias("comp")), None
-    for seed in [*range(1, rounds + 1), None]:
-        found = staged(verified(staged(_new_pairs(buckets, comps, seed, percent), "pairs"), sets, percent), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            comps = components(nodes, links)
+    links = staged(verified(staged(_leader_pairs(buckets, nodes, percent), "pairs"), sets, percent), "links")
+    comps = components(nodes, links)
+    more = staged(verified(staged(_rest_pairs(buckets, comps, sets, percent, small), "pairs"), sets, percent), "links")
+    if not more.isEmpty():
+        comps = components(nodes, links.unionByName(more))
     comps = comps.withColumnRenamed("comp", "component")
     of_class = staged(classes.select("key", "rep").join(comps, F.col("rep") == F.col("id"), "left").select("key", F.coalesce("component", "rep").alias("component")), "of_class")
     out = hashed.join(of_class, "key", "left")

@@ -101,11 +101,12 @@ def brute_components(rows, k):
 
 
 def test_near_dedup(docs, rows):
-    for k in (4, 5):
+    for k, small in ((4, 24), (5, 24), (4, 0)):  # 0: every bucket takes the way of the large ones
         sets, comp = brute_components(rows, k)
         want = Counter((r[0], len(s), comp.get(r[0]), r[0] is None or comp[r[0]] == r[0]) for r, s in zip(rows, sets))
-        got = near_dedup.near_duplicates(docs, words=k).collect()
+        got = near_dedup.near_duplicates(docs, words=k, small=small).collect()
         assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
+    _, comp = brute_components(rows, 5)
     left = near_dedup.drop_near_duplicates(docs, words=5)
     assert left.columns == docs.columns
     assert {r.doc_id for r in left.collect()} == {i for i, c in comp.items() if i == c} | {None}
