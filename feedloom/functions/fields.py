@@ -62,7 +62,7 @@ def is_video(mime: Column, href: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """RFC 822 and ISO 8601 dates and a few near them; null where none fits."""
-    t = F.regexp_replace(ws_trim(c), r"^[A-Za-z]{3,9},?\s+(?=\d)", "")
+    t = F.regexp_replace(ws_trim(c), r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+(?=\d)", "")
     t = F.regexp_replace(t, r"\b(?:UT|GMT|Z)$", "+0000")
     zones = {"EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
     for name, offset in zones.items():
