@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 SORTABLE = ("time", "title", "guid", "doc_pos", "updated", "published", "link")
 
@@ -55,10 +56,20 @@ def merge_feeds(entries: DataFrame, feeds: DataFrame, key: str = "feed_key") ->
 
 
 def latest(rows: DataFrame, key: list[str], by: list[Column]) -> DataFrame:
-    """One row per key, the first in the given order; partially aggregated before its shuffle."""
-    names = rows.columns
-    first = rows.select(*key, F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)], F.struct(*names).alias("row")).alias("x"))
-    return first.groupBy(*key).agg(F.min("x").alias("x")).select("x.row.*")
+    """One row per key, the first in the given order; partially aggregated before its shuffle.
+
+    Maps have no order, so they travel as sorted entries.
+    """
+    maps = {f.name for f in rows.schema if isinstance(f.dataType, MapType)}
+    row = F.struct(*[F.array_sort(F.map_entries(c)).alias(c) if c in maps else F.col(c) for c in rows.columns])
+    first = rows.select(*key, F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)], row.alias("row")).alias("x"))
+    best = first.groupBy(*key).agg(F.min("x").alias("x"))
+    return best.select(*[(F.map_from_entries(F.col("x.row")[c]) if c in maps else F.col("x.row")[c]).alias(c) for c in rows.columns])
+
+
+def newest_first(time: str = "last_retrieved") -> Column:
+    """A key for ``latest``; rows without a time come last."""
+    return F.coalesce(-F.unix_timestamp(time), F.lit(2**62))
 
 
 def expired(rows: DataFrame, as_of: Column, floor: int = 1800) -> DataFrame:
@@ -69,4 +80,4 @@ def expired(rows: DataFrame, as_of: Column, floor: int = 1800) -> DataFrame:
 def upsert(cached: DataFrame, fresh: DataFrame) -> DataFrame:
     """The cache after saving ``fresh``: blank data, files and HTML pages aren't saved."""
     worth = fresh.filter((F.btrim(F.col("feed_data"), F.lit(" \t\r\n")) != "") & ~F.col("href").startswith("file:") & ~F.lower("feed_data").rlike(r"(?s)^\s*(?:<!doctype html|<html)"))
-    return latest(cached.unionByName(worth), ["href"], [-F.unix_timestamp("last_retrieved"), F.col("title")])
+    return latest(cached.unionByName(worth), ["href"], [newest_first(), F.col("title")])

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.functions import fields, text, uri
+from feedloom.functions import fields, text, uri, xpath
 from feedloom.operators import enclosures, relate
 from feedloom.sources import feeds as xml_feeds
-from feedloom.sources import shred
+from feedloom.sources import media, shred
 from feedloom.sources.tables import table
 from feedloom.streaming import streams
 
@@ -462,6 +462,33 @@ def q_feeds_parsed(spark, sf_dir):
     return xml_feeds.feeds(feed_docs(spark, sf_dir, "atom")).select("feed_key", "well_formed", "feed_type", "feed_version", "title", "link", "subtitle", "language", "time_to_live")
 
 
+@query(f"""SELECT feed_key, count(*) AS entries, first(title ORDER BY doc_id) AS first_title, last(id ORDER BY doc_id) AS last_id, count(*) FILTER (t IS NOT NULL) AS dated
+FROM (SELECT {PAGED} AS feed_key, doc_id, doc_id::VARCHAR AS id, trim(substr(text, 1, 40), ' ' || chr(9) || chr(10) || chr(13)) AS title, CASE WHEN doc_id % 7 <> 0 THEN 1 END AS t FROM documents) GROUP BY feed_key""")
+def q_xpath(spark, sf_dir):
+    """Paths over documents: counts, positions and predicates."""
+    rows = shred.shredded(feed_docs(spark, sf_dir, "rss"))
+    of = lambda p: xpath.find(F.col("nodes"), p)
+    return rows.select("feed_key", of("count(//item)").cast("long").alias("entries"), of("/rss/channel/ITEM[1]/title").alias("first_title"), of("channel/item[last()]/guid").alias("last_id"), of("count(channel/item[pubDate])").cast("long").alias("dated"))
+
+
+@query("""SELECT p_partkey, 'http://m.example.org/' || CASE WHEN p_size % 2 = 0 THEN 'b' ELSE 'a' END || p_partkey AS href, CASE WHEN p_size % 2 = 0 THEN 'audio/ogg' ELSE 'audio/mpeg' END AS type, p_size::BIGINT AS file_size, p_brand AS credit,
+'http://m.example.org/p' || p_partkey AS player, 2 AS versions, 1 AS enclosures FROM part""")
+def q_media_groups(spark, sf_dir):
+    """Media groups folded to their default member, which takes the group's player and credits."""
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    at = F.concat(F.lit('url="http://m.example.org/{}'), key, F.lit('" '))
+    url = lambda letter: F.replace(at, F.lit("{}"), F.lit(letter))
+    size = F.concat(F.lit('fileSize="'), F.col("p_size"), F.lit('" '))
+    xml = F.concat(
+        F.lit('<rss xmlns:media="http://search.yahoo.com/mrss/"><channel><item><enclosure '), url("a"), F.lit('type="audio/x"/><media:group><media:credit role="Author">'), F.col("p_brand"), F.lit("</media:credit><media:player "), url("p"), F.lit("/><media:content "),
+        url("a"), size, F.lit('type="audio/mpeg"/><media:content '), url("b"), size, F.when(F.col("p_size") % 2 == 0, F.lit('isDefault="true" ')).otherwise(""), F.lit('type="audio/ogg"/></media:group></item></channel></rss>'),
+    )
+    rows = shred.shredded(p.select("p_partkey", xml.alias("xml")))
+    item = F.get(xpath.find_ids(F.col("nodes"), "channel/item"), F.lit(0))
+    e = rows.select("p_partkey", media.enclosures(F.col("nodes"), item).alias("all")).withColumn("e", F.get("all", F.lit(0)))
+    return e.select("p_partkey", "e.href", "e.type", "e.file_size", F.get("e.credits", F.lit(0))["name"].alias("credit"), "e.player.url", F.size("e.versions").alias("versions"), F.size("all").alias("enclosures")).withColumnRenamed("url", "player")
+
+
 @query("SELECT source AS feed_key, count(*) AS entries FROM documents WHERE source NOT LIKE '%1' GROUP BY source")
 def q_write_guard(spark, sf_dir):
     e = table(spark, sf_dir, "documents").select(F.col("source").alias("feed_key"))

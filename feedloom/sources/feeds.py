@@ -9,6 +9,7 @@ from feedloom.functions import fields
 from feedloom.functions.text import escape_entities as esc
 from feedloom.functions.uri import normalize_url, resolve
 
+from . import media
 from .shred import attribute, children, decode_bytes, first_text, shredded
 
 # Ordered names of the elements that hold a column; the first that isn't blank wins.
@@ -95,7 +96,6 @@ def entries(docs: DataFrame, xml: str = "xml", key: str = "feed_key") -> DataFra
     i, item = F.col("item.id"), F.col("item")
     items = items.withColumn("links", links(n, i, item["base"]))
     seconds = fields.duration(first_text(n, i, "itunes:duration"))
-    enclosures = F.transform(children(n, i, "enclosure"), lambda e: F.struct(normalize_url(attribute(e, "url", "href")).alias("href"), attribute(e, "type").alias("type"), F.nullif(attribute(e, "length").try_cast("long"), F.lit(0)).alias("file_size")))
     title = first_text(n, i, *ITEM_TITLE)
     guid = first_text(n, i, "original-id", "id", "guid")
     return items.select(
@@ -103,7 +103,7 @@ def entries(docs: DataFrame, xml: str = "xml", key: str = "feed_key") -> DataFra
         F.coalesce(fields.best_link(F.col("links")), normalize_url(attribute(item, "href", "rdf:about", "about")), F.when(guid.startswith("http"), guid), first_text(n, i, "comments")).alias("link"),
         first_text(n, i, "comments").alias("comments"), person(n, i, (*AUTHOR, "creator")).alias("author"), person(n, i, ("dc:publisher", "webmaster")).alias("publisher"), categories(n, i).alias("categories"),
         fields.parse_date(first_text(n, i, *TIME, "lastupdated")).alias("time"), fields.parse_date(first_text(n, i, *UPDATED, "lastupdated")).alias("updated"), fields.parse_date(first_text(n, i, *PUBLISHED_ITEM)).alias("published"),
-        first_text(n, i, *RIGHTS).alias("rights"), enclosures.alias("enclosures"), F.when(first_text(n, i, "itunes:duration").isNotNull(), seconds).alias("itunes_duration"),
+        first_text(n, i, *RIGHTS).alias("rights"), media.enclosures(n, i).alias("enclosures"), F.when(first_text(n, i, "itunes:duration").isNotNull(), seconds).alias("itunes_duration"),
         fields.tags(F.transform(categories(n, i), lambda c: c["term"]), F.split(first_text(n, i, "itunes:keywords"), r"\s*,\s*")).alias("tags"),
         F.coalesce(first_text(n, i, "media:adult", "itunes:explicit").isin("true", "yes"), F.lit(False)).alias("explicit"),
     )

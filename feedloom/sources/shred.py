@@ -2,7 +2,7 @@
 
 ``shred`` parses with expat and, where that fails, with a tag-balancing reader
 of tag soup; document types are dropped, entities are never fetched.  A node
-has its number, parent, place among siblings, local and prefixed name (lower
+has its number, parent, last descendant, place among siblings, local and prefixed name (lower
 case), namespace, attributes, direct text, whether any of it was CDATA, markup
 of its children (leaves and text constructs only), and xml:base.
 """
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODE = "struct<id:int,parent:int,pos:int,depth:int,name:string,prefix:string,ns:string,attrs:map<string,string>,text:string,cdata:boolean,inner:string,base:string>"
+NODE = "struct<id:int,parent:int,last:int,pos:int,depth:int,name:string,prefix:string,ns:string,attrs:map<string,string>,text:string,cdata:boolean,inner:string,base:string>"
 SHREDDED = f"struct<well_formed:boolean,root:string,root_ns:string,nodes:array<{NODE}>>"
 #: Elements whose markup is kept.
 CONSTRUCTS = set("title subtitle tagline description summary abstract content encoded body div payload datacontent fullitem info rights copyright blurb headline".split())
@@ -65,7 +65,12 @@ class Builder:
             self.keep(escape(data))
 
     def rows(self) -> list[dict]:
-        names = ("id", "parent", "pos", "depth", "name", "prefix", "ns", "attrs", "cdata", "base")
+        for n in reversed(self.nodes):  # children come after their parent
+            n["last"] = max(n.get("last", 0), n["id"])
+            if n["parent"] >= 0:
+                up = self.nodes[n["parent"]]
+                up["last"] = max(up.get("last", 0), n["last"])
+        names = ("id", "parent", "last", "pos", "depth", "name", "prefix", "ns", "attrs", "cdata", "base")
         return [{k: n[k] for k in names} | {"text": "".join(n["parts"]).strip(), "inner": "".join(n["markup"]).strip() if n["name"] in CONSTRUCTS else None} for n in self.nodes]
 
 
