@@ -44,7 +44,7 @@ def unescape_entities(c: Column) -> Column:
 
     def decode(r: Column) -> Column:
         code = F.when(r.startswith("&#x"), F.conv(F.regexp_extract(r, "x([0-9a-f]+)", 1), 16, 10)).otherwise(F.regexp_extract(r, "([0-9]+)", 1)).cast("int")
-        return F.when((code < 1114112) & (code > 0), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(r)
+        return F.when((code < 1114112) & (code > 0) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(r)
 
     joined = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(decode(F.get(refs, i)), F.lit("")))), "")
     return _chain(joined, [("&amp;", "&"), ("&quot;", '"'), ("&gt;", ">"), ("&lt;", "<"), ("&apos;", "'")])

@@ -438,7 +438,7 @@ TRIP = f"""SELECT {PAGED} AS feed_key, doc_id::VARCHAR AS id, trim(substr(text,
 
 
 def trip(spark, sf_dir, kind, version=None):
-    rows = xml_feeds.entries(feed_docs(spark, sf_dir, kind, version))
+    rows = xml_feeds.entries(feed_docs(spark, sf_dir, kind, version), columns=["feed_key", "id", "title", "link", "time"])
     return rows.select("feed_key", "id", "title", "link", F.unix_timestamp("time").alias("t"))
 
 
@@ -459,7 +459,7 @@ def q_roundtrip_atom(spark, sf_dir):
 
 @query(f"SELECT DISTINCT {PAGED} AS feed_key, TRUE AS well_formed, 'atom' AS feed_type, 1.0::DOUBLE AS feed_version, 'Feed ' || {PAGED} AS title, 'http://h.example.org/' AS link, 'a < b & c' AS subtitle, 'en-US' AS language, 3600::BIGINT AS time_to_live FROM documents")
 def q_feeds_parsed(spark, sf_dir):
-    return xml_feeds.feeds(feed_docs(spark, sf_dir, "atom")).select("feed_key", "well_formed", "feed_type", "feed_version", "title", "link", "subtitle", "language", "time_to_live")
+    return xml_feeds.feeds(feed_docs(spark, sf_dir, "atom"), columns=["feed_key", "well_formed", "feed_type", "feed_version", "title", "link", "subtitle", "language", "time_to_live"])
 
 
 @query(f"""SELECT feed_key, count(*) AS entries, first(title ORDER BY doc_id) AS first_title, last(id ORDER BY doc_id) AS last_id, count(*) FILTER (t IS NOT NULL) AS dated
@@ -524,7 +524,7 @@ def q_stream_windows(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A planet feed: written as RSS, parsed back, times estimated, newest first."""
-    rows = xml_feeds.entries(feed_docs(spark, sf_dir, "rss")).select("feed_key", "doc_pos", "id", "title", "link", "time")
+    rows = xml_feeds.entries(feed_docs(spark, sf_dir, "rss"), columns=["feed_key", "doc_pos", "id", "title", "link", "time"])
     return relate.ranked(relate.estimate_times(rows, F.lit(AS_OF).cast("timestamp")))
 
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import fields
 from feedloom.functions.text import escape_entities as esc
-from feedloom.functions.uri import normalize_url, resolve
+from feedloom.functions.text import unescape_entities
+from feedloom.functions.uri import favicon, is_uri, normalize_url, resolve
 
 from . import media
-from .shred import attribute, children, decode_bytes, first_text, shredded
+from .shred import attribute, children, construct_html, decode_bytes, first_node, first_text, let, plain_html, shredded
 
 # Ordered names of the elements that hold a column; the first that isn't blank wins.
 FEED_TITLE = ("title", "channeltitle")
@@ -27,26 +28,33 @@ RIGHTS = ("copyright", "copyrights", "dc:rights", "rights")
 ENTRIES = ("entry", "item", "story")
 
 
-def links(nodes: Column, parent: Column, base: Column) -> Column:
+def links(nodes: Column, parent: Column, base: Column, rel: Column | None = None) -> Column:
+    """Links of a feed or an entry; ``rel`` stands where a link names none."""
     found = children(nodes, parent, "link", "channellink", "a", "url", "href")
+    default = F.lit(None).cast("string") if rel is None else rel
     return F.transform(
         found,
         lambda n: F.struct(
-            normalize_url(resolve(base, F.coalesce(attribute(n, "href", "url"), F.nullif(n["text"], F.lit(""))))).alias("href"),
-            F.lower(attribute(n, "rel")).alias("rel"), F.lower(attribute(n, "type")).alias("type"), F.lower(attribute(n, "hreflang")).alias("hreflang"), attribute(n, "title").alias("title"), attribute(n, "length").try_cast("long").alias("length"),
+            let(resolve(base, F.coalesce(attribute(n, "href", "url"), F.nullif(n["text"], F.lit("")))), normalize_url).alias("href"),
+            F.coalesce(F.lower(attribute(n, "rel")), default).alias("rel"), F.lower(attribute(n, "type")).alias("type"), F.lower(attribute(n, "hreflang")).alias("hreflang"), attribute(n, "title").alias("title"), attribute(n, "length").try_cast("long").alias("length"),
         ),
     )
 
 
 def person(nodes: Column, parent: Column, names: tuple[str, ...]) -> Column:
-    node = F.get(children(nodes, parent, *names), F.lit(0))
-    parsed = fields.author(F.nullif(node["text"], F.lit("")))
-    return F.struct(
-        F.coalesce(first_text(nodes, node["id"], "name"), attribute(node, "name"), parsed["name"]).alias("name"),
-        F.coalesce(first_text(nodes, node["id"], "email"), attribute(node, "email"), parsed["email"]).alias("email"),
-        F.coalesce(first_text(nodes, node["id"], "url", "uri"), attribute(node, "url", "uri", "href")).alias("href"),
-        parsed["raw"].alias("raw"),
-    )
+    def of(node: Column) -> Column:
+        parsed = fields.author(F.nullif(node["text"], F.lit("")))
+        return let(
+            parsed,
+            lambda p: F.struct(
+                F.coalesce(first_text(nodes, node["id"], "name"), attribute(node, "name"), p["name"]).alias("name"),
+                F.coalesce(first_text(nodes, node["id"], "email"), attribute(node, "email"), p["email"]).alias("email"),
+                F.coalesce(first_text(nodes, node["id"], "url", "uri"), attribute(node, "url", "uri", "href")).alias("href"),
+                p["raw"].alias("raw"),
+            ),
+        )
+
+    return let(F.get(children(nodes, parent, *names), F.lit(0)), of)
 
 
 def categories(nodes: Column, parent: Column) -> Column:
@@ -54,6 +62,37 @@ def categories(nodes: Column, parent: Column) -> Column:
     return F.transform(found, lambda n: F.struct(F.coalesce(attribute(n, "term"), F.nullif(n["text"], F.lit(""))).alias("term"), attribute(n, "scheme", "domain").alias("scheme"), attribute(n, "label").alias("label")))
 
 
+def html(nodes: Column, parent: Column, names: tuple[str, ...], atom: Column, base: Column) -> Column:
+    """The first text construct of these names: addresses resolved, sanitised, tabs as two blanks."""
+    return construct_html(first_node(nodes, parent, *names), atom, base)
+
+
+def plain(nodes: Column, name: str, *parents: Column) -> Column:
+    """Text of an element of an extension at the first parent that has it, sanitised."""
+    return plain_html(F.coalesce(*[first_text(nodes, p, name) for p in parents]))
+
+
+def images(nodes: Column, parent: Column, base: Column, linked: Column) -> Column:
+    """Image elements, then links to images."""
+    number = lambda n, name: let(F.regexp_extract(first_text(nodes, n["id"], name), r"^(\d+)", 1).try_cast("int"), lambda x: F.when(x > 0, x)).alias(name)
+    found = F.filter(nodes, lambda n: (n["parent"] == parent) & n["name"].isin("image", "logo", "imageurl") & ~n["prefix"].isin("itunes", "media"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    shown = F.transform(
+        found,
+        lambda n: F.struct(
+            first_text(nodes, n["id"], "title").alias("title"), first_text(nodes, n["id"], "description").alias("description"),
+            let(resolve(F.coalesce(n["base"], base), F.coalesce(first_text(nodes, n["id"], "url"), attribute(n, "rdf:resource", "href", "url"), F.nullif(n["text"], F.lit("")))), normalize_url).alias("href"),
+            first_text(nodes, n["id"], "link").alias("link"), number(n, "width"), number(n, "height"), F.lower(F.coalesce(first_text(nodes, n["id"], "style"), attribute(n, "style"))).alias("style"),
+        ),
+    )
+    more = F.transform(F.filter(linked, lambda x: x["type"].startswith("image")), lambda x: F.struct(x["title"].alias("title"), none("string", "description"), x["href"].alias("href"), none("string", "link"), none("int", "width"), none("int", "height"), none("string", "style")))
+    return F.filter(F.concat(shown, more), lambda i: F.coalesce(i["href"], F.lit("")) != "")
+
+
+def licenses(linked: Column) -> Column:
+    return F.transform(F.filter(linked, lambda x: x["rel"] == "license"), lambda x: x["href"])
+
+
 def channels(docs: DataFrame, xml: str = "xml") -> DataFrame:
     """Shredded documents with the node that holds the feed's own elements."""
     rows = shredded(docs, xml)
@@ -61,52 +100,123 @@ def channels(docs: DataFrame, xml: str = "xml") -> DataFrame:
     return rows.withColumn("channel", channel)
 
 
-def feeds(docs: DataFrame, xml: str = "xml", key: str = "feed_key") -> DataFrame:
-    """One typed row per document."""
+def _chosen(built: dict, columns: list[str] | None) -> list[Column]:
+    """The named columns, all where none are named; others aren't even planned."""
+    names = list(built) if columns is None else columns
+    if unknown := [c for c in names if c not in built]:
+        raise ValueError(f"no such columns: {', '.join(unknown)}")
+    return [built[c]().alias(c) for c in names]
+
+
+def feeds(docs: DataFrame, xml: str = "xml", key: str = "feed_key", columns: list[str] | None = None) -> DataFrame:
+    """One typed row per document, with these columns or all.
+
+    ``title``, ``subtitle`` and ``rights`` hold plain text; the columns that
+    end in ``_html`` hold the whole construct as sanitised HTML.
+    """
     rows = channels(docs, xml)
-    n, ch = F.col("nodes"), F.col("channel.id")
-    root = F.get(n, F.lit(0))
+    n, ch, channel = F.col("nodes"), F.col("channel.id"), F.col("channel")
     kind = fields.feed_type(F.col("root"), F.col("root_ns"))
-    base = F.coalesce(attribute(F.col("channel"), "base", "xml:base"), first_text(n, ch, "base"))
-    rows = rows.withColumns({"links": links(n, ch, base), "feed_type": kind})
+    rows = rows.withColumns({"feed_type": kind, "base_uri": F.coalesce(attribute(channel, "base", "xml:base"), first_text(n, ch, "base"))})
+    kind, base = F.col("feed_type"), F.col("base_uri")
+    atom = F.coalesce(kind == "atom", F.lit(False))
+    rows = rows.withColumn("links", links(n, ch, base, F.when(atom, F.lit("alternate"))))
+    about = normalize_url(attribute(channel, "href", "rdf:about", "about"))
+    rows = rows.withColumn("link", F.coalesce(fields.best_link(F.col("links"), F.lit(None).cast("string")), about))
+    root = F.get(n, F.lit(0))
     child_ns = F.get(F.filter(n, lambda x: (x["name"] == "channel") & (x["ns"] != "")), F.lit(0))["ns"]
-    ns = F.coalesce(F.nullif(F.when(F.col("root_ns").endswith("22-rdf-syntax-ns#"), child_ns).otherwise(F.col("root_ns")), F.lit("")), F.lit(""))
-    ttl = fields.time_to_live(first_text(n, ch, "updateperiod"), first_text(n, ch, "updatefrequency").try_cast("int"), first_text(n, ch, "ttl").try_cast("int"), attribute(F.get(children(n, ch, "ttl"), F.lit(0)), "span"))
-    image = F.get(children(n, ch, "image", "logo"), F.lit(0))
-    return rows.select(
-        key, "well_formed", "feed_type",
-        fields.feed_version(kind, ns, attribute(root, "version")).alias("feed_version"),
-        first_text(n, ch, "id", "guid").alias("id"), first_text(n, ch, *FEED_TITLE).alias("title"), first_text(n, ch, *SUBTITLE).alias("subtitle"),
-        F.coalesce(fields.best_link(F.col("links"), F.lit(None).cast("string")), normalize_url(attribute(F.col("channel"), "href", "rdf:about", "about"))).alias("link"), "links",
-        base.alias("base_uri"), person(n, ch, AUTHOR).alias("author"), person(n, ch, ("webmaster", "dc:publisher")).alias("publisher"),
-        fields.parse_date(first_text(n, ch, *TIME)).alias("time"), fields.parse_date(first_text(n, ch, *UPDATED)).alias("updated"), fields.parse_date(first_text(n, ch, *PUBLISHED_FEED)).alias("published"),
-        categories(n, ch).alias("categories"), first_text(n, ch, *RIGHTS).alias("rights"), first_text(n, ch, "generator").alias("generator"), first_text(n, ch, "docs").alias("docs"),
-        fields.language(first_text(n, ch, "language"), first_text(n, ch, "dc:language"), attribute(F.col("channel"), "xml:lang"), attribute(root, "xml:lang")).alias("language"), ttl.alias("time_to_live"),
-        F.coalesce(first_text(n, ch, "media:adult", "itunes:explicit").isin("true", "yes"), F.lit(False)).alias("explicit"),
-        F.struct(first_text(n, image["id"], "title").alias("title"), F.coalesce(first_text(n, image["id"], "url"), attribute(image, "rdf:resource", "href"), F.nullif(image["text"], F.lit(""))).alias("href"), first_text(n, image["id"], "link").alias("link")).alias("image"),
-    )
-
-
-def entries(docs: DataFrame, xml: str = "xml", key: str = "feed_key") -> DataFrame:
-    """One typed row per entry with its place in the document."""
+    ns = F.coalesce(F.when(F.col("root_ns").endswith("22-rdf-syntax-ns#"), child_ns).otherwise(F.col("root_ns")), F.lit(""))
+
+    def href() -> Column:
+        link = F.col("link")
+        own = F.get(F.filter("links", lambda x: (x["rel"] == "self") & (~x["href"].eqNullSafe(link) | x["href"].rlike("xml|atom|feed"))), F.lit(0))["href"]
+        named = [*[attribute(F.get(children(n, ch, "feed"), F.lit(0)), a) for a in ("rdf:resource", "resource")], attribute(channel, "rdf:about", "about"), first_text(n, ch, "newlocation")]
+        rest = F.coalesce(*[let(normalize_url(c), lambda u: F.when(u.rlike("^https?:"), u)) for c in named])
+        return F.coalesce(own, let(rest, lambda u: F.when(~u.eqNullSafe(link), u)))
+
+    def icon() -> Column:
+        found = F.filter(n, lambda x: (x["parent"] == ch) & (((x["name"] == "link") & (F.lower(attribute(x, "rel")).isin("icon", "shortcut icon") | (attribute(x, "type") == "image/x-icon"))) | (x["name"] == "icon") | ((x["name"] == "logo") & (F.lower(attribute(x, "style")) == "icon"))))
+        first = F.get(found, F.lit(0))
+        return let(resolve(F.coalesce(channel["base"], base), F.coalesce(attribute(first, "href"), F.nullif(first["text"], F.lit("")))), lambda u: F.when(is_uri(u), u))
+
+    def cloud() -> Column:
+        of = lambda c: F.struct(attribute(c, "domain").alias("domain"), attribute(c, "path").alias("path"), F.nullif(attribute(c, "port").try_cast("int"), F.lit(0)).alias("port"), attribute(c, "protocol").alias("protocol"), attribute(c, "registerprocedure").alias("register_procedure"))
+        return let(F.get(children(n, ch, "cloud"), F.lit(0)), of)
+
+    def text_input() -> Column:
+        return let(F.get(children(n, ch, "textinput"), F.lit(0)), lambda t: F.struct(*[first_text(n, t["id"], c).alias(c) for c in ("title", "description", "link", "name")]))
+
+    def image() -> Column:
+        of = lambda i: F.struct(first_text(n, i["id"], "title").alias("title"), F.coalesce(first_text(n, i["id"], "url"), attribute(i, "rdf:resource", "href"), F.nullif(i["text"], F.lit(""))).alias("href"), first_text(n, i["id"], "link").alias("link"))
+        return let(F.get(children(n, ch, "image", "logo"), F.lit(0)), of)
+
+    built = {
+        key: lambda: F.col(key), "well_formed": lambda: F.col("well_formed"), "feed_type": lambda: kind,
+        "feed_version": lambda: fields.feed_version(kind, ns, attribute(root, "version")),
+        "id": lambda: first_text(n, ch, "id", "guid"), "href": href, "title": lambda: first_text(n, ch, *FEED_TITLE), "subtitle": lambda: first_text(n, ch, *SUBTITLE),
+        "title_html": lambda: html(n, ch, FEED_TITLE, atom, base), "subtitle_html": lambda: html(n, ch, SUBTITLE, atom, base),
+        "link": lambda: F.col("link"), "links": lambda: F.col("links"), "base_uri": lambda: base, "icon": icon,
+        "favicon": lambda: F.coalesce(favicon(F.col("link")), F.when(F.col("link").isNotNull(), let(href(), favicon))),
+        "author": lambda: person(n, ch, AUTHOR), "publisher": lambda: person(n, ch, ("webmaster", "dc:publisher")), "itunes_author": lambda: let(first_text(n, ch, "itunes:author"), unescape_entities),
+        "itunes_summary": lambda: plain(n, "itunes:summary", ch, root["id"]), "itunes_subtitle": lambda: plain(n, "itunes:subtitle", ch, root["id"]), "media_text": lambda: plain(n, "media:text", ch, root["id"]),
+        "time": lambda: let(first_text(n, ch, *TIME), fields.parse_date), "updated": lambda: let(first_text(n, ch, *UPDATED), fields.parse_date), "published": lambda: let(first_text(n, ch, *PUBLISHED_FEED), fields.parse_date),
+        "categories": lambda: categories(n, ch), "rights": lambda: first_text(n, ch, *RIGHTS), "rights_html": lambda: html(n, ch, RIGHTS, atom, base),
+        "licenses": lambda: licenses(F.col("links")), "license": lambda: F.get(licenses(F.col("links")), F.lit(0)),
+        "generator": lambda: first_text(n, ch, "generator"), "docs": lambda: first_text(n, ch, "docs"),
+        "language": lambda: fields.language(first_text(n, ch, "language"), first_text(n, ch, "dc:language"), attribute(channel, "xml:lang"), attribute(root, "xml:lang")),
+        "time_to_live": lambda: fields.time_to_live(first_text(n, ch, "updateperiod"), first_text(n, ch, "updatefrequency").try_cast("int"), first_text(n, ch, "ttl").try_cast("int"), attribute(F.get(children(n, ch, "ttl"), F.lit(0)), "span")),
+        "explicit": lambda: F.coalesce(first_text(n, ch, "media:adult", "itunes:explicit").isin("true", "yes"), F.lit(False)),
+        "image": image, "images": lambda: images(n, ch, base, F.col("links")), "cloud": cloud, "text_input": text_input,
+    }
+    return rows.select(*_chosen(built, columns))
+
+
+def entries(docs: DataFrame, xml: str = "xml", key: str = "feed_key", columns: list[str] | None = None) -> DataFrame:
+    """One typed row per entry with its place in the document, with these columns or all.
+
+    An entry carries its own nodes only, so the work is in proportion to a
+    document's nodes.  Columns that end in ``_html`` hold the whole construct as
+    sanitised HTML, the others plain text.
+    """
     rows = channels(docs, xml)
     n = F.col("nodes")
     found = F.coalesce(*[F.when(F.size(h) > 0, h) for p in (F.col("channel.id"), F.lit(0)) for h in (children(n, p, *ENTRIES),)])
-    items = rows.select(key, "nodes", F.posexplode(found).alias("doc_pos", "item"))
-    i, item = F.col("item.id"), F.col("item")
-    items = items.withColumn("links", links(n, i, item["base"]))
-    seconds = fields.duration(first_text(n, i, "itunes:duration"))
-    title = first_text(n, i, *ITEM_TITLE)
-    guid = first_text(n, i, "original-id", "id", "guid")
-    return items.select(
-        key, "doc_pos", guid.alias("id"), title.alias("title"), first_text(n, i, *CONTENT).alias("content"), first_text(n, i, *SUMMARY).alias("summary"), "links",
-        F.coalesce(fields.best_link(F.col("links")), normalize_url(attribute(item, "href", "rdf:about", "about")), F.when(guid.startswith("http"), guid), first_text(n, i, "comments")).alias("link"),
-        first_text(n, i, "comments").alias("comments"), person(n, i, (*AUTHOR, "creator")).alias("author"), person(n, i, ("dc:publisher", "webmaster")).alias("publisher"), categories(n, i).alias("categories"),
-        fields.parse_date(first_text(n, i, *TIME, "lastupdated")).alias("time"), fields.parse_date(first_text(n, i, *UPDATED, "lastupdated")).alias("updated"), fields.parse_date(first_text(n, i, *PUBLISHED_ITEM)).alias("published"),
-        first_text(n, i, *RIGHTS).alias("rights"), media.enclosures(n, i).alias("enclosures"), F.when(first_text(n, i, "itunes:duration").isNotNull(), seconds).alias("itunes_duration"),
-        fields.tags(F.transform(categories(n, i), lambda c: c["term"]), F.split(first_text(n, i, "itunes:keywords"), r"\s*,\s*")).alias("tags"),
-        F.coalesce(first_text(n, i, "media:adult", "itunes:explicit").isin("true", "yes"), F.lit(False)).alias("explicit"),
-    )
+    own = F.transform(found, lambda x: F.struct(x.alias("item"), F.slice(n, x["id"] + 1, x["last"] - x["id"] + 1).alias("nodes")))
+    atom = F.coalesce(fields.feed_type(F.col("root"), F.col("root_ns")) == "atom", F.lit(False))
+    items = rows.select(key, atom.alias("atom"), F.posexplode(own).alias("doc_pos", "x")).select(key, "atom", "doc_pos", "x.item", "x.nodes")
+    i, item, base, atom = F.col("item.id"), F.col("item"), F.col("item.base"), F.col("atom")
+    items = items.withColumn("links", links(n, i, base))
+    guid = lambda: first_text(n, i, "original-id", "id", "guid")
+
+    def link() -> Column:
+        about = normalize_url(attribute(item, "href", "rdf:about", "about"))
+        return F.coalesce(fields.best_link(F.col("links")), about, let(guid(), lambda g: F.when(g.startswith("http"), g)), first_text(n, i, "comments"))
+
+    def itunes_image() -> Column:
+        other = F.filter(children(n, i, "itunes:link"), lambda x: attribute(x, "rel") == "image")
+        return normalize_url(F.coalesce(attribute(F.get(children(n, i, "itunes:image"), F.lit(0)), "href"), attribute(F.get(other, F.lit(0)), "href")))
+
+    def source() -> Column:
+        return let(F.get(children(n, i, "source"), F.lit(0)), lambda s: F.struct(attribute(s, "url").alias("href"), F.nullif(s["text"], F.lit("")).alias("title")))
+
+    extra = ("media:text", "itunes:summary", "itunes:subtitle")
+    built = {
+        key: lambda: F.col(key), "doc_pos": lambda: F.col("doc_pos"), "id": guid, "title": lambda: first_text(n, i, *ITEM_TITLE),
+        "content": lambda: first_text(n, i, *CONTENT, *extra), "summary": lambda: first_text(n, i, *SUMMARY, *extra),
+        "title_html": lambda: html(n, i, ITEM_TITLE, atom, base), "content_html": lambda: html(n, i, (*CONTENT, *extra), atom, base), "summary_html": lambda: html(n, i, (*SUMMARY, *extra), atom, base),
+        "links": lambda: F.col("links"), "link": link, "comments": lambda: first_text(n, i, "comments"),
+        "author": lambda: person(n, i, (*AUTHOR, "creator")), "publisher": lambda: person(n, i, ("dc:publisher", "webmaster")), "itunes_author": lambda: let(first_text(n, i, "itunes:author"), unescape_entities),
+        "itunes_summary": lambda: plain(n, "itunes:summary", i), "itunes_subtitle": lambda: plain(n, "itunes:subtitle", i), "media_text": lambda: plain(n, "media:text", i),
+        "categories": lambda: categories(n, i),
+        "time": lambda: let(first_text(n, i, *TIME, "lastupdated"), fields.parse_date), "updated": lambda: let(first_text(n, i, *UPDATED, "lastupdated"), fields.parse_date), "published": lambda: let(first_text(n, i, *PUBLISHED_ITEM), fields.parse_date),
+        "images": lambda: images(n, i, base, F.col("links")), "itunes_image_link": itunes_image, "media_thumbnail_link": lambda: normalize_url(attribute(F.get(children(n, i, "media:thumbnail"), F.lit(0)), "url")),
+        "rights": lambda: first_text(n, i, *RIGHTS), "rights_html": lambda: html(n, i, RIGHTS, atom, base), "licenses": lambda: licenses(F.col("links")), "license": lambda: F.get(licenses(F.col("links")), F.lit(0)), "source": source,
+        "enclosures": lambda: media.enclosures(n, i),
+        "itunes_duration": lambda: let(first_text(n, i, "itunes:duration"), lambda d: F.when(d.isNotNull(), fields.duration(d))),
+        "tags": lambda: fields.tags(F.transform(categories(n, i), lambda c: c["term"]), F.split(first_text(n, i, "itunes:keywords"), r"\s*,\s*")),
+        "explicit": lambda: F.coalesce(first_text(n, i, "media:adult", "itunes:explicit").isin("true", "yes"), F.lit(False)),
+    }
+    return items.select(*_chosen(built, columns))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -12,12 +12,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.uri import normalize_url
 
-from .shred import attribute, children, first_text
-
-
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is named."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+from .shred import attribute, children, let
 
 
 def _whole(c: Column) -> Column:
@@ -43,8 +38,8 @@ def _shared(nodes: Column, parent: Column) -> dict[str, Column]:
         "thumbnail": first("media:thumbnail", sized),
         "player": first("media:player", sized),
         "hash": first("media:hash", lambda c: F.struct(c["text"].alias("value"), F.coalesce(attribute(c, "algo"), F.lit("md5")).alias("type"))),
-        "categories": _let(found, lambda c: F.when(F.size(c) > 0, c)),
-        "credits": _let(credits, lambda c: F.when(F.size(c) > 0, c)),
+        "categories": let(found, lambda c: F.when(F.size(c) > 0, c)),
+        "credits": let(credits, lambda c: F.when(F.size(c) > 0, c)),
         "text": first("media:text", lambda c: F.nullif(c["text"], F.lit(""))),
         "explicit": first("media:adult", lambda c: _flag(c["text"])),
     }
@@ -126,13 +121,13 @@ def enclosures(nodes: Column, item: Column, explicit: Column | None = None) -> C
     plain = F.concat(rss_enclosures(nodes, item), atom_enclosures(nodes, item), video_enclosures(nodes, item), media_enclosures(nodes, item))
 
     def joined(groups: Column) -> Column:
-        alone = F.filter(_let(plain, _merged), lambda e: ~F.exists(groups, lambda g: F.array_contains(g["versions"], e["href"])))
+        alone = F.filter(let(plain, _merged), lambda e: ~F.exists(groups, lambda g: F.array_contains(g["versions"], e["href"])))
         return F.concat(alone, groups)
 
     def clean(e: Column) -> Column:
         given = e["explicit"] if explicit is None else F.coalesce(e["explicit"], F.lit(False)) | explicit
         return F.struct(
-            *[(given if c == "explicit" else _let(e["href"], normalize_url) if c == "href" else F.transform(e[c], normalize_url) if c == "versions" else e[c]).alias(c) for c in ("href", *NUMBERS, "is_default", "expression", *SHARED, "versions")],
+            *[(given if c == "explicit" else let(e["href"], normalize_url) if c == "href" else F.transform(e[c], normalize_url) if c == "versions" else e[c]).alias(c) for c in ("href", *NUMBERS, "is_default", "expression", *SHARED, "versions")],
         )
 
-    return F.transform(_let(group_enclosures(nodes, item), joined), clean)
+    return F.transform(let(group_enclosures(nodes, item), joined), clean)

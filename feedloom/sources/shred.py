@@ -9,6 +9,7 @@ of its children (leaves and text constructs only), and xml:base.
 
 from __future__ import annotations
 
+import base64
 import codecs
 import html
 import re
@@ -227,6 +228,57 @@ def _sanitize(markup: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([one(m, b) for m, b in zip(markup, base, strict=True)])
 
 
+_reference = re.compile(r"&#(?:([0-9]{1,7})|x([0-9a-f]{1,6}));")
+XHTML = "http://www.w3.org/1999/xhtml"
+
+
+def unescape(text: str) -> str:
+    """As ``functions.text.unescape_entities``."""
+
+    def decode(m: re.Match) -> str:
+        code = int(m[1]) if m[1] else int(m[2], 16)
+        return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
+
+    text = _reference.sub(decode, text.replace("&#38;", "&amp;").replace("&#x26;", "&amp;"))
+    for entity, sign in (("&amp;", "&"), ("&quot;", '"'), ("&gt;", ">"), ("&lt;", "<"), ("&apos;", "'")):
+        text = text.replace(entity, sign)
+    return text
+
+
+def construct(text: str | None, cdata: bool | None, inner: str | None, ns: str | None, attrs, atom: bool) -> str:
+    """A text construct as HTML, by its CDATA, type, mode and encoding; Atom's default type is text."""
+    attrs, inner = dict(attrs or {}), inner if inner is not None else text or ""
+    marks = {(attrs.get(k) or "").strip().lower() for k in ("mode", "encoding")} | {(attrs.get("type") or "").strip().lower() or ("text" if atom else "")}
+    if cdata:
+        out = text or ""
+    elif "base64" in marks:
+        try:
+            out = base64.b64decode(text or "").decode("utf-8", "replace")
+        except ValueError:
+            out = ""
+    elif marks & {"xhtml", "xml", "application/xhtml+xml"} or ns == XHTML:
+        out = inner
+    else:
+        out = unescape(inner)
+    if marks & {"text", "text/plain"}:
+        out = escape(out, {'"': "&quot;", "'": "&apos;"})
+    return out
+
+
+def _clean(markup: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([(m or "").replace("\t", "  ").strip() or None for m in _sanitize(markup, base)], dtype=object)
+
+
+def _construct_html(node: pd.DataFrame, atom: pd.Series, base: pd.Series) -> pd.Series:
+    rows = zip(node["text"], node["cdata"], node["inner"], node["ns"], node["attrs"], atom, strict=True)
+    markup = pd.Series([None if r[0] is None and r[2] is None else construct(*r) for r in rows], dtype=object)
+    return _clean(markup, pd.Series([a or b for a, b in zip(node["base"], base, strict=True)], dtype=object))
+
+
+def _plain_html(text: pd.Series) -> pd.Series:
+    return _clean(pd.Series([None if t is None else unescape(t) for t in text], dtype=object), pd.Series([None] * len(text), dtype=object))
+
+
 def _on(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -243,24 +295,52 @@ def sanitize(markup: Column | str, base: Column) -> Column:
     return F.pandas_udf(_sanitize, "string")(_on(markup), base)
 
 
-def children(nodes: Column, parent: Column, *names: str) -> Column:
-    """Children of a node by name; ``prefix:name`` asks for the prefix too, ``name`` for any."""
+def construct_html(node: Column, atom: Column, base: Column) -> Column:
+    """A node's text construct as sanitised HTML with tabs as two blanks; null where nothing is left."""
+    return F.pandas_udf(_construct_html, "string")(node, atom, base)
+
+
+def plain_html(c: Column) -> Column:
+    """Escaped HTML, unescaped and sanitised."""
+    return F.pandas_udf(_plain_html, "string")(c)
 
-    def named(name: str):
-        prefix, _, local = name.lower().rpartition(":")
-        return lambda n: (n["parent"] == parent) & (n["name"] == local) & ((n["prefix"] == prefix) if prefix else F.lit(True))
 
-    hits = [F.filter(nodes, named(name)) for name in names]
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _named(parent: Column, name: str):
+    prefix, _, local = name.lower().rpartition(":")
+    return lambda n: (n["parent"] == parent) & (n["name"] == local) & ((n["prefix"] == prefix) if prefix else F.lit(True))
+
+
+def children(nodes: Column, parent: Column, *names: str) -> Column:
+    """Children of a node by name; ``prefix:name`` asks for the prefix too, ``name`` for any."""
+    hits = [F.filter(nodes, _named(parent, name)) for name in names]
+    if len(hits) == 1:
+        return hits[0]
     return F.coalesce(*[F.when(F.size(h) > 0, h) for h in hits], F.filter(nodes, lambda n: F.lit(False)))
 
 
 def first_text(nodes: Column, parent: Column, *names: str) -> Column:
-    """The first non-blank text or markup of the first name that has one."""
-    out = []
-    for name in names:
-        found = F.transform(children(nodes, parent, name), lambda n: F.nullif(F.btrim(F.coalesce(n["text"], F.lit(""))), F.lit("")))
-        out.append(F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0)))
-    return F.coalesce(*out)
+    """The first non-blank direct text of the first name that has one."""
+
+    def of(name: str) -> Column:
+        named = _named(parent, name)
+        return F.get(F.filter(nodes, lambda n: named(n) & (n["text"] != "")), F.lit(0))["text"]
+
+    return F.coalesce(*map(of, names))
+
+
+def first_node(nodes: Column, parent: Column, *names: str) -> Column:
+    """The first node with any text or markup, of the first name that has one."""
+
+    def of(name: str) -> Column:
+        named = _named(parent, name)
+        return F.get(F.filter(nodes, lambda n: named(n) & (F.coalesce(n["inner"], n["text"]) != "")), F.lit(0))
+
+    return F.coalesce(*map(of, names))
 
 
 def attribute(node: Column, *names: str) -> Column:

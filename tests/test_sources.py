@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from feedloom.config import DEFAULTS
 from feedloom.functions import xpath
 from feedloom.sources import fetch
-from feedloom.sources.feeds import entries
+from feedloom.sources.feeds import entries, feeds
 from feedloom.sources.shred import shredded
 
 DOC = (
@@ -66,6 +66,38 @@ def test_media(spark):
     assert rows[1][0] == []
 
 
+FEED = """<feed xmlns="http://www.w3.org/2005/Atom" xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd" xmlns:media="http://search.yahoo.com/mrss/" xml:base="http://h.example.org/b/">
+<title>1 &lt; 2</title><subtitle type="html">a &lt;b&gt;c&lt;/b&gt;</subtitle><link href="/"/><link rel="self" href="http://h.example.org/feed.xml"/><link rel="license" href="http://l.example.org/by"/>
+<link rel="logo" type="image/png" href="/logo.png"/><icon>/i.ico</icon><logo>/big.png</logo><itunes:summary>S</itunes:summary><itunes:author>A &amp;amp; B</itunes:author>
+<entry><id>x</id><title type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml">an <em>x</em></div></title><content type="html"><![CDATA[<p><a href="c">d</a><script>e</script></p>]]></content>
+<media:thumbnail url="http://h.example.org/t.png"/><itunes:image href="http://h.example.org/u.png"/></entry>
+<entry><id>y</id><content type="text/html" mode="base64">PGI+aGk8L2I+</content><source url="http://o.example.org/">O</source></entry><entry/></feed>"""
+CHANNEL = """<rss version="2.0"><channel><title>T</title><link>http://h.example.org/</link><cloud domain="d" port="80" path="/p" registerProcedure="r" protocol="soap"/><textInput><title>t</title><name>q</name></textInput>
+<image><url>http://h.example.org/i.png</url><width>12</width><height>0</height><style>BIG</style></image></channel></rss>"""
+
+
+def test_columns(spark):
+    docs = spark.createDataFrame([("a", FEED), ("b", CHANNEL), ("c", None), ("d", "junk")], "feed_key string, xml string")
+    f = {r["feed_key"]: r for r in feeds(docs).collect()}
+    a, b = f["a"], f["b"]
+    assert (a["title"], a["title_html"], a["subtitle_html"]) == ("1 < 2", "1 &lt; 2", "a <b>c</b>")
+    assert (a["href"], a["link"], a["license"], a["icon"], a["favicon"]) == ("http://h.example.org/feed.xml", "http://h.example.org/", "http://l.example.org/by", "http://h.example.org/i.ico", "http://h.example.org/favicon.ico")
+    assert (a["itunes_summary"], a["itunes_author"]) == ("S", "A & B")
+    assert [i["href"] for i in a["images"]] == ["http://h.example.org/big.png", "http://h.example.org/logo.png"]
+    assert b["cloud"].asDict() == {"domain": "d", "path": "/p", "port": 80, "protocol": "soap", "register_procedure": "r"}
+    assert (b["text_input"]["title"], b["text_input"]["name"]) == ("t", "q")
+    assert (b["images"][0]["width"], b["images"][0]["height"], b["images"][0]["style"]) == (12, None, "big")
+    assert f["c"]["title"] is None and f["d"]["title_html"] is None
+    x, y, z = entries(docs).orderBy("doc_pos").collect()
+    assert x["title_html"] == '<div>an <em>x</em></div>' and x["content_html"] == '<p><a href="http://h.example.org/b/c">d</a></p>'
+    assert (x["media_thumbnail_link"], x["itunes_image_link"]) == ("http://h.example.org/t.png", "http://h.example.org/u.png")
+    assert y["content_html"] == "<b>hi</b>" and (y["source"]["href"], y["source"]["title"]) == ("http://o.example.org/", "O")
+    assert z["content_html"] is None and z["images"] == [] and z["licenses"] == []
+    assert entries(docs, columns=["id"]).columns == ["id"]
+    with pytest.raises(ValueError):
+        entries(docs, columns=["colour"])
+
+
 class Site(BaseHTTPRequestHandler):
     hits: list = []
 
