@@ -26,9 +26,18 @@ from pyspark.sql import functions as F
 from .common import table
 
 KEYLIKE = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])"
-ASSIGNED = r"(?<=(?:password|passwd|pwd|secret|passphrase)(?:\"|')?[ ]?[:=][ ]?(?:\"|')?)[^\s\"'<>{}]{8,64}"
+_NAME = r"(?i:password|passwd|pwd|secret|passphrase)"
+_TO = _NAME + r"[\"']?[ ]?[:=][ ]?"
+#: Values to their closing quote (no templates like "${NAME}"), of a URL's parameters, and others; the short lookbehinds only save time.
+ASSIGNED = "|".join(
+    [
+        *(f"(?<={q})(?<={_TO}{q})(?![$%#]?[{{<])[^\\s{q}]{{8,}}(?={q})" for q in "\"'"),
+        rf"(?<==)(?<=[?&]\w{{0,24}}{_NAME}=)[^\s\"'<>{{}}&#]{{8,}}",
+        rf"(?<=[:= \"'])(?<={_TO}[\"']?)[^\s\"'<>{{}}]{{8,}}",
+    ]
+)
 PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
-CANDIDATE = f"{PEM}|{KEYLIKE}|{ASSIGNED}"
+CANDIDATE = f"{PEM}|{ASSIGNED}|{KEYLIKE}"
 
 #: Words that make up names and prose rather than keys; fixed values.
 WORDS = "password token secret example sample config default value string number index user name test data file path http https www com org net html json python java spark class function method object module import export public private static return service client server request response error version release build user admin login session cache table column query update delete insert select create project document image video audio download upload image content the and for with from this that have not are was were been your here change".split()

@@ -71,6 +71,31 @@ def test_secrets(spark):
     assert len([r for r in got if r.doc_id == 5]) == 2 and len([r for r in got if r.doc_id == 2]) == 1
 
 
+def candidates_of(spark, texts):
+    """The candidates of each text, checked to stand at their offsets."""
+    out = [[] for _ in texts]
+    for r in sorted(secrets_scan.candidates(docs_of(spark, texts)).collect(), key=lambda r: r.start):
+        assert texts[r.doc_id][r.start :].startswith(r.candidate)
+        out[r.doc_id].append(r.candidate)
+    return out
+
+
+def test_assigned_values_in_any_case_and_to_their_end(spark):
+    long = "xK9#mQ2$vL" * 9
+    texts = {
+        "PASSWORD=hunter2!pass": "hunter2!pass",
+        "DB_PASSWORD: 'xK9#mQ2$vL7w'": "xK9#mQ2$vL7w",
+        "Password: hunter2!pass\n": "hunter2!pass",
+        f'password = "{long}" end': long,
+        f"PWD={long}\nUSER=x": long,
+        "Secret = \"it's{4}<me>\" end": "it's{4}<me>",
+        "password = 'abcdefgh12345678!tail'": "abcdefgh12345678!tail",
+        "https://x.example/?db_password=hunter2!pass&user=bob": "hunter2!pass",
+        'PASSWORD = "${DB_PASSWORD}"': None,
+    }
+    assert candidates_of(spark, list(texts)) == [[v] if v else [] for v in texts.values()]
+
+
 def test_forest_on_held_out_findings(spark):
     rows = secrets_scan.labelled_findings(spark, 4800)
     forest = secrets_scan.train(rows.filter("doc_id < 2400"))
