@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-KEYLIKE = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])"
+KEYLIKE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])"
 _NAME = r"(?i:password|passwd|pwd|secret|passphrase)"
 _TO = _NAME + r"[\"']?[ ]?[:=][ ]?"
 #: Values to their closing quote (no templates like "${NAME}"), of a URL's parameters, and others; the short lookbehinds only save time.
@@ -123,6 +123,10 @@ def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
         (1, c(F.lit('password = "'), F.substring(mixed, 1, 14), F.lit('!" in'))),
         (1, c(F.lit("jwt eyJhbGciOiJIUzI1NiJ9"), F.substring(mixed, 1, 50), F.lit(" end"))),
         (1, F.lit("x\n-----BEGIN RSA PRIVATE KEY-----\nM")),
+        (1, c(F.lit("x\nDB_PASSWORD="), F.substring(sha, 7, 20), F.lit("\n"))),
+        (1, c(F.lit("the passwd="), F.substring(mixed, 5, 12), F.lit("! in"))),
+        (1, c(F.lit("x\nAPI_KEY="), F.substring(sha, 2, 40), F.lit("\n"))),
+        (1, c(F.lit("https://www.example.org/?access_token="), F.substring(mixed, 3, 32), F.lit("&b"))),
         (0, c(F.lit("commit "), F.substring(sha, 1, 40), F.lit(" by"))),
         (0, c(F.lit("sha256: "), sha, F.lit("\n"))),
         (0, c(F.lit("uuid "), F.substring(sha, 1, 8), F.lit("-"), F.substring(sha, 9, 4), F.lit("-4"), F.substring(sha, 14, 3), F.lit("-"), F.substring(sha, 17, 12), F.lit(" is"))),
@@ -134,6 +138,10 @@ def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
         (0, c(F.lit('secret: "example-'), word, F.lit("-"), word2, F.lit('-0000000"'))),
         (0, c(F.lit("the "), word, F.lit("_"), word2, F.lit("_"), word, F.lit("_2 of"))),
         (0, c(F.lit('password = "'), word, F.lit(" changeme"), F.lit('123"'))),
+        (0, c(F.lit("x\nPASSWORD="), word, F.lit("_"), word2, F.lit("_here1\n"))),
+        (0, c(F.lit("rev=commit="), F.substring(sha, 6, 40), F.lit(" in"))),
+        (0, c(F.lit("https://www.example.org/?id="), F.translate(F.substring(sha, 2, 18), "abcdef", "123456"), F.lit("&b"))),
+        (0, c(F.lit("file="), word, F.lit("-"), word2, F.lit("-2024-"), word, F.lit(" of"))),
         (0, c(F.lit("etag "), F.substring(sha, 5, 32), F.lit(","))),
         (0, c(F.lit("in "), F.translate(F.substring(sha, 1, 20), "0123456789abcdef", "etaonihsrdlucmfw"), F.lit("5 the"))),
         (0, c(F.lit("id "), F.repeat(F.substring(sha, 1, 1), 20), F.lit("0 on"))),
