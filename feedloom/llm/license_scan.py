@@ -2,10 +2,11 @@
 
 A text is cut into sentences; each is normalised (lower case, one spelling of
 "license", no punctuation, copyright holders and years dropped) and looked up
-among known licence sentences.  The identifiers found, in order, are matched
+among known licence sentences, which are cut in the same way: one of several
+pieces has an identifier a piece.  The identifiers found, in order, are matched
 against ordered rules: a rule matches where its identifiers follow each other
-with at most ``gap`` other sentences between two of them.  Longer rules go first
-and a sentence supports one rule only.
+with at most ``gap`` other sentences between two of them, and none between the
+pieces of one.  Longer rules go first and a sentence supports one rule only.
 
 Only texts with one of the anchor words, which every known sentence holds, are
 cut into sentences; that filter loses nothing (checked when the catalogue is
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-ANCHOR = r"(?i)licen[sc]e|copyright|permission|warrant|redistribut|public domain|software is provided|all rights reserved|unlicense"
+ANCHOR = r"(?i)licen[sc]e|copyright|permission|warrant|redistribut|public domain|software is provided|free software|all rights reserved|unlicense"
 
 #: Names under which licences are granted in one sentence; fixed values.
 NAMES = {
@@ -68,6 +69,7 @@ SENTENCES = {
     "apache.grant": 'Licensed under the Apache License, Version 2.0 (the "License");',
     "apache.use": "you may not use this file except in compliance with the License.",
     "apache.copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache.at": "You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0",
     "apache.warranty": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "gpl2.grant": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl3.grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -75,12 +77,13 @@ SENTENCES = {
     "unlicense.domain": "This is free and unencumbered software released into the public domain.",
 }
 
-#: Ordered rules: name, licence, identifiers; the longest first.
+#: Rules: name, licence, known sentences.
 RULES = [
     ("mit.full", "MIT", ("mit.grant", "mit.notice", "mit.warranty")),
     ("bsd3.full", "BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.name")),
     ("bsd2.full", "BSD-2-Clause", ("bsd.grant", "bsd.source", "bsd.binary")),
     ("apache2.full", "Apache-2.0", ("apache.grant", "apache.use", "apache.copy", "apache.warranty")),
+    ("apache2.full", "Apache-2.0", ("apache.grant", "apache.use", "apache.at", "apache.warranty")),
     ("gpl2.full", "GPL-2.0", ("gpl2.grant", "gpl.warranty")),
     ("gpl3.full", "GPL-3.0", ("gpl3.grant", "gpl.warranty")),
     ("mit.grant", "MIT", ("mit.grant",)),
@@ -92,25 +95,41 @@ RULES = [
     ("proprietary", "Proprietary", ("copyright", "rights")),
     *((f"named.{k}", k, (f"grant.{k}",)) for k in NAMES),
 ]
-RULES.sort(key=lambda r: -len(r[2]))
 
-_sentence = re.compile(r"\S(?:.*?)(?:[.!?;:][\"')\]]*(?=\s|$)|(?=\n[ \t]*\n)|$)", re.S)
+#: A sentence ends with its sign, or before an empty line, also one of a comment.
+_sentence = re.compile(r"\S(?:.*?)(?:[.!?;:][\"')\]]*(?=\s|$)|(?=\n[ \t]*(?:#+|//+|\*|;+)?[ \t]*\n)|$)", re.S)
 _noise = re.compile(r"[^a-z0-9]+")
 _holder = re.compile(r"^(?:c |copyright )+(?:c )?(?:\d{4} )*.*$")
 
 
 def normalise(sentence: str) -> str:
-    s = _noise.sub(" ", sentence.lower().replace("licence", "license")).strip()
+    s = _noise.sub(" ", sentence.lower().replace("licence", "license").replace("https:", "http:")).strip()
     s = re.sub(r"^(?:\d|[a-z]) (?=redistrib|neither)", "", s)
     return "copyright" if s.startswith("copyright ") and _holder.match(s) else s
 
 
+def _pieces() -> dict[str, list[tuple[str, str]]]:
+    """(identifier, normalised text) of the pieces of each known sentence; equal pieces share the first's identifier."""
+    seen: dict[str, str] = {}
+    out = {}
+    for k, v in SENTENCES.items():
+        cut = [m[0] for m in _sentence.finditer(v)]
+        assert all(re.search(ANCHOR, piece) for piece in cut), v
+        out[k] = [(seen.setdefault(normalise(piece), f"{k}#{i}" if len(cut) > 1 else k), normalise(piece)) for i, piece in enumerate(cut, 1)]
+    return out
+
+
 @cache
 def catalogue() -> dict[str, str]:
-    out = {normalise(v): k for k, v in SENTENCES.items()}
-    for v in SENTENCES.values():
-        assert re.search(ANCHOR, v), v
-    return out
+    return {text: i for of in _pieces().values() for i, text in of}
+
+
+@cache
+def rules() -> list[tuple[str, str, list[tuple[str, bool]]]]:
+    """RULES by pieces: (identifier, whether it follows the one before at once); the longest first."""
+    cut = _pieces()
+    by_piece = [(name, license_, [(i, n > 0) for w in wanted for n, (i, _) in enumerate(cut.get(w, [(w, w)]))]) for name, license_, wanted in RULES]
+    return sorted(by_piece, key=lambda r: -len(r[2]))
 
 
 @cache
@@ -152,11 +171,11 @@ def match_rules(ids: list[str | None], gap: int = 2) -> list[tuple[str, str, lis
     for k, i in enumerate(ids):
         if i:
             where.setdefault(i, []).append(k)
-    for name, license_, wanted in RULES:
-        for first in where.get(wanted[0], ()):
+    for name, license_, wanted in rules():
+        for first in where.get(wanted[0][0], ()):
             path = [first]
-            for w in wanted[1:]:
-                nxt = next((k for k in where.get(w, ()) if path[-1] < k <= path[-1] + gap + 1 and k not in used), None)
+            for w, at_once in wanted[1:]:
+                nxt = next((k for k in where.get(w, ()) if path[-1] < k <= path[-1] + (0 if at_once else gap) + 1 and k not in used), None)
                 if nxt is None:
                     break
                 path.append(nxt)

@@ -37,6 +37,52 @@ def test_license_rules(text, want):
     assert [r[1] for r in license_scan.match_rules([i for _, _, i in cut])] == want
 
 
+GPL = """    demo - does things
+    Copyright (C) 2020  Some One
+
+    This program is free software{0} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{1} either version {2} of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+APACHE = """Copyright 2020 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+@pytest.mark.parametrize(("text", "want"), [(GPL.format(";", ";", 2), "gpl2.full"), (GPL.format(":", ",", 3), "gpl3.full"), (APACHE, "apache2.full"), (APACHE.replace("at\n\n", "at\n").replace("http:", "https:"), "apache2.full")])
+@pytest.mark.parametrize("comment", ["", "# ", " * ", "// "])
+def test_license_headers(spark, text, want, comment):
+    text = "".join((comment + line).rstrip(" ") + "\n" for line in text.splitlines())
+    rows = license_scan.scan_licenses(docs_of(spark, [text])).collect()
+    assert [r.rule for r in rows] == [want]
+    assert rows[0].span.startswith(("This program", "Licensed")) and rows[0].span.endswith(("PURPOSE.", "implied."))
+
+
+def test_license_catalogue_is_found():
+    for text in license_scan.SENTENCES.values():
+        assert all(i for _, _, i in license_scan.sentences(text)), text
+    gpl3, gpl2 = license_scan.SENTENCES["gpl3.grant"], license_scan.SENTENCES["gpl2.grant"]
+    for text, want in ((f"{gpl3} {gpl2}", ["gpl3.grant", "gpl2.grant"]), (gpl3, ["gpl3.grant"]), (gpl2, ["gpl2.grant"])):
+        assert [r[0] for r in license_scan.match_rules([i for _, _, i in license_scan.sentences(text)])] == want
+
+
 def test_license_order_and_gap_matter():
     assert [r[0] for r in license_scan.match_rules(["bsd.source", "bsd.grant", "bsd.binary"])] == []
     assert [r[0] for r in license_scan.match_rules(["bsd.grant", None, "bsd.source", None, None, "bsd.binary"])] == ["bsd2.full"]
