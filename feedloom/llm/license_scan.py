@@ -8,9 +8,9 @@ against ordered rules: a rule matches where its identifiers follow each other
 with at most ``gap`` other sentences between two of them, and none between the
 pieces of one.  Longer rules go first and a sentence supports one rule only.
 
-Only texts with one of the anchor words, which every known sentence holds, are
-cut into sentences; that filter loses nothing (checked when the catalogue is
-built).
+Only texts with one of the anchor words, which every known sentence and every
+grant holds, are cut into sentences; that filter loses nothing (checked when the
+catalogue is built, for each verb of a grant with each name).
 
 Defined results: null and empty texts give no row; a licence named twice gives
 two rows.  Offsets count characters of the original text.
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-ANCHOR = r"(?i)licen[sc]e|copyright|permission|warrant|redistribut|public domain|software is provided|free software|all rights reserved|unlicense"
+#: Verbs of grants in one sentence; fixed values.
+VERBS = ("licensed", "released", "distributed", "published", "available", "made available", "provided")
+ANCHOR = rf"(?i)(?:{'|'.join(VERBS)})[^A-Za-z0-9]+under|licen[sc]e|copyright|permission|warrant|redistribut|public domain|software is provided|free software|all rights reserved|unlicense"
 
 #: Names under which licences are granted in one sentence; fixed values.
 NAMES = {
@@ -51,7 +53,7 @@ NAMES = {
     "CC-BY-ND-4.0": ("cc by nd 4 0", "creative commons attribution noderivatives 4 0 international license"),
     "Unlicense": ("unlicense",),
 }
-GRANT = re.compile(r"^(?:(?:this|the|all) (?:work|works|project|program|software|library|code|source code|content|text|document|file|package) (?:is|are) )?(?:dual )?(?:licensed|released|distributed|published|available|made available|provided) under (?:the terms of )?(?:the |an |a )?(.+?)(?: only| or later| or any later version)?$")
+GRANT = re.compile(rf"^(?:(?:this|the|all) (?:work|works|project|program|software|library|code|source code|content|text|document|file|package) (?:is|are) )?(?:dual )?(?:{'|'.join(VERBS)}) under (?:the terms of )?(?:the |an |a )?(.+?)(?: only| or later| or any later version)?$")
 
 #: Known sentences of licence texts; fixed values.
 SENTENCES = {
@@ -121,6 +123,9 @@ def _pieces() -> dict[str, list[tuple[str, str]]]:
 
 @cache
 def catalogue() -> dict[str, str]:
+    for v in VERBS:
+        for n in names():
+            assert re.search(ANCHOR, f"{v} under {n}"), (v, n)
     return {text: i for of in _pieces().values() for i, text in of}
 
 

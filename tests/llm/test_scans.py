@@ -75,6 +75,14 @@ def test_license_headers(spark, text, want, comment):
     assert rows[0].span.startswith(("This program", "Licensed")) and rows[0].span.endswith(("PURPOSE.", "implied."))
 
 
+def test_license_filter_keeps_every_grant(spark):
+    want = [(v, k, n) for v in ("licensed", "released", "distributed", "published", "available", "made available", "provided") for k, all_of in license_scan.NAMES.items() for n in all_of]
+    texts = [f"This work is {v} under {n}." for v, _, n in want]
+    more = {"Released under CC BY-NC 4.0.": "CC-BY-NC-4.0", "It rains. This work is published\n# under CC BY 4.0.": "CC-BY-4.0", "Distributed under Apache 2.0.": "Apache-2.0", "Released under MIT.": "MIT", "Available under CC0 1.0.": "CC0-1.0"}
+    got = license_scan.scan_licenses(docs_of(spark, texts + list(more))).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == list(enumerate([k for _, k, _ in want] + list(more.values())))
+
+
 def test_license_catalogue_is_found():
     for text in license_scan.SENTENCES.values():
         assert all(i for _, _, i in license_scan.sentences(text)), text
