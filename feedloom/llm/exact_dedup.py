@@ -2,8 +2,9 @@
 
 A *memtable* is the slice of documents that one task reads.  It is flushed as
 a run: rows ``(digest, id, n)`` sorted by digest in a Parquet file whose footer
-carries a Bloom filter on the digest, so that a point probe skips runs without
-the digest.  *Compaction* merges runs into one run per level and keeps, for
+carries a Bloom filter on the digest.  The filters are written for readers that
+look up single digests; nothing here consults them, as the join below reads the
+whole compacted run.  All documents are one flush.  *Compaction* merges runs into one run per level and keeps, for
 each digest, the smallest and the largest identifier and the count.  A *probe*
 joins documents with the compacted run; every hit is then compared byte by byte
 with the text of the row that stays.  Texts that share a digest and differ are
