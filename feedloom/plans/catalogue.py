@@ -426,12 +426,13 @@ def q_license_links(spark, sf_dir):
 PAGED = "source || '-' || (doc_id // 64)"
 
 
-def feed_docs(spark, sf_dir, kind, version=None):
-    """Documents as feeds of up to 64 entries, written and ready to parse."""
+def feed_docs(spark, sf_dir, kind, version=None, denied=None):
+    """Documents as feeds of up to 64 entries, written and ready to parse; without the denied ones, which the writer would refuse."""
     e = doc_entries(spark, sf_dir).withColumn("feed_key", F.concat_ws("-", "feed_key", F.floor(F.col("guid") / 64)))
+    e = e if denied is None else e.filter(~denied)
     heads = e.select("feed_key").distinct().select("feed_key", F.concat(F.lit("Feed "), "feed_key").alias("title"), F.lit("http://h.example.org/").alias("link"), F.lit("a < b & c").alias("subtitle"))
     items = e.select("feed_key", "doc_pos", F.col("guid").cast("string").alias("id"), "title", F.concat(F.lit("http://h.example.org/d/"), "guid").alias("link"), "content", "time")
-    return xml_feeds.write_xml(heads, items, kind, version)
+    return xml_feeds.write_xml(heads, items, kind, version, denied=denied, denied_entries=denied)
 
 
 TRIP = f"""SELECT {PAGED} AS feed_key, doc_id::VARCHAR AS id, trim(substr(text, 1, 40), ' ' || chr(9) || chr(10) || chr(13)) AS title, 'http://h.example.org/d/' || doc_id AS link, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 1704067200 + doc_id * 60 END::BIGINT AS t FROM documents"""
@@ -491,8 +492,10 @@ def q_media_groups(spark, sf_dir):
 
 @query("SELECT source AS feed_key, count(*) AS entries FROM documents WHERE source NOT LIKE '%1' GROUP BY source")
 def q_write_guard(spark, sf_dir):
-    e = table(spark, sf_dir, "documents").select(F.col("source").alias("feed_key"))
-    return e.filter(~F.col("feed_key").endswith("1")).groupBy("feed_key").agg(F.count("*").alias("entries"))
+    """The allowed sources written under the guard, their entries counted in the documents."""
+    source = F.regexp_replace("feed_key", "-[0-9]+$", "")
+    rows = shred.shredded(feed_docs(spark, sf_dir, "rss", denied=source.endswith("1")))
+    return rows.groupBy(source.alias("feed_key")).agg(F.sum(xpath.find(F.col("nodes"), "count(//item)")).cast("long").alias("entries"))
 
 
 @query()

@@ -234,16 +234,18 @@ def _stamp(c: Column, rfc: bool) -> Column:
     return F.date_format(c, "EEE, dd MMM yyyy HH:mm:ss 'GMT'") if rfc else F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def write_xml(heads: DataFrame, items: DataFrame, kind: str = "rss", version: float | None = None, key: str = "feed_key", denied: Column | None = None) -> DataFrame:
+def write_xml(heads: DataFrame, items: DataFrame, kind: str = "rss", version: float | None = None, key: str = "feed_key", denied: Column | None = None, denied_entries: Column | None = None) -> DataFrame:
     """Feeds (key, title, link, subtitle) and their entries (doc_pos, id, title, link, content, time) as documents.
 
-    Formats: rss 1.0, rss 2.0, atom 1.0.  ``denied`` feeds may not be redistributed and raise.
+    Formats: rss 1.0, rss 2.0, atom 1.0.  ``denied`` feeds and ``denied_entries`` may not be redistributed and raise.
     """
     version = version or {"rss": 2.0, "atom": 1.0}.get(kind)
     if kind not in ("rss", "atom") or (kind == "atom" and version != 1.0):
         raise ValueError(f"{kind} {version} can't be written")
     if denied is not None:
         heads = heads.withColumn("title", F.when(denied, F.raise_error(F.lit("this feed may not be redistributed"))).otherwise(F.col("title")))
+    if denied_entries is not None:
+        items = items.withColumn("title", F.when(denied_entries, F.raise_error(F.lit("this entry may not be redistributed"))).otherwise(F.col("title")))
     old, atom = kind == "rss" and version in (0.9, 1.0, 1.1), kind == "atom"
     when = _stamp(F.col("time"), rfc=not atom and not old)
     if atom:

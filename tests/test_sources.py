@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from feedloom.config import DEFAULTS
 from feedloom.functions import xpath
+from feedloom.plans import catalogue
 from feedloom.sources import fetch
-from feedloom.sources.feeds import entries, feeds
+from feedloom.sources.feeds import entries, feeds, write_xml
 from feedloom.sources.shred import shredded
 
 DOC = (
@@ -170,3 +171,23 @@ def test_settings():
     assert DEFAULTS.with_options(max_ttl=5).max_ttl == 5
     with pytest.raises(ValueError):
         DEFAULTS.with_options(colour="red")
+
+
+def test_writing_refuses_denied_feeds_and_entries(spark):
+    heads = spark.createDataFrame([("a", "A", None, None)], "feed_key string, title string, link string, subtitle string")
+    items = spark.createDataFrame([("a", i, str(i), f"t{i}", None, None, None) for i in range(2)], "feed_key string, doc_pos int, id string, title string, link string, content string, time timestamp")
+    for kind, version in (("rss", 2.0), ("rss", 1.0), ("atom", 1.0)):
+        write = lambda **guards: write_xml(heads, items, kind, version, **guards).collect()  # noqa: B023, E731
+        assert write(denied=F.col("feed_key") == "b", denied_entries=F.col("id") == "9")[0].xml.count("<title>") == 3
+        for guards in ({"denied": F.col("feed_key") == "a"}, {"denied_entries": F.col("id") == "1"}):
+            with pytest.raises(Exception, match="may not be redistributed"):
+                write(**guards)
+
+
+def test_guarded_query_writes_feeds(spark, monkeypatch):
+    calls = []
+    real = catalogue.xml_feeds.write_xml
+    monkeypatch.setattr(catalogue.xml_feeds, "write_xml", lambda *a, **k: calls.append(k) or real(*a, **k))
+    rows = catalogue.q_write_guard(spark, "/root/testdata/sf0.001").collect()
+    assert rows and not any(r.feed_key.endswith("1") for r in rows)
+    assert len(calls) == 1 and calls[0]["denied"] is not None and calls[0]["denied_entries"] is not None
