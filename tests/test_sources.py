@@ -191,3 +191,22 @@ def test_guarded_query_writes_feeds(spark, monkeypatch):
     rows = catalogue.q_write_guard(spark, "/root/testdata/sf0.001").collect()
     assert rows and not any(r.feed_key.endswith("1") for r in rows)
     assert len(calls) == 1 and calls[0]["denied"] is not None and calls[0]["denied_entries"] is not None
+
+
+def test_pages_are_known_by_their_first_element_or_content_type(spark):
+    link = '<link rel="alternate" type="application/atom+xml" href="/feed">'
+    atom = f'<feed xmlns="http://www.w3.org/2005/Atom"><!-- <html> -->{link}</feed>'
+    cases = [
+        (f"<html><head>{link}</head></html>", None, True),
+        (f"<!DOCTYPE html>\n<!-- {'long ' * 2000} -->\n<html><head>{link}</head></html>", None, True),
+        (" \n" * 5000 + f"<HTML><head>{link}</head></HTML>", None, True),
+        (f"<!doctype html><title>x</title>{link}<p>y", None, True),
+        (f"words first <b>x</b>{link}", "text/html; charset=utf-8", True),
+        (f"<section>{link}</section>", "application/xhtml+xml", True),
+        (f"<section>{link}</section>", None, False),
+        (atom, None, False),
+        (f"<?xml version='1.0'?><!-- <html> -->\n{atom}", "text/html", False),
+    ]
+    rows = spark.createDataFrame([(i, t, c) for i, (t, c, _) in enumerate(cases)], "i int, t string, c string")
+    got = rows.select("i", fetch.next_address(F.col("t"), F.lit("http://h.example.org/a"), F.col("c")).alias("to")).orderBy("i").collect()
+    assert [r.to for r in got] == ["http://h.example.org/feed" if page else None for *_, page in cases]
