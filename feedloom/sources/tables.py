@@ -7,15 +7,36 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local: dict[str, str] = {}
+_roots: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, or below a temporary folder where that is unset."""
+def shared_root(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``, deleted when the application ends.
+
+    Where the setting is absent, one machine (a ``local`` master) gets a
+    temporary folder; a cluster raises, as its executors share no such folder.
+    """
     app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local.setdefault(app, tempfile.mkdtemp(prefix="feedloom-"))
-    return f"{base.rstrip('/')}/feedloom-{app}/{tag}-{uuid.uuid4().hex}"
+    if app not in _roots:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="feedloom-")
+        root = f"{base.rstrip('/')}/feedloom-{app}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _roots[app] = root
+    return _roots[app]
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
