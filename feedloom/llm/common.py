@@ -7,38 +7,24 @@ it, so a lost executor costs only the tasks that it was running.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.sources.tables import shared_root, table
+
+__all__ = ["shared_root", "table"]
+
 #: The white space of the contracts: a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_local_root: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests on one machine) a temporary folder
-    takes its place.
-    """
-    app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _local_root.setdefault(app, tempfile.mkdtemp(prefix="feedloom-"))
-    return f"{base.rstrip('/')}/feedloom-{app}"
-
-
-def staged(df: DataFrame, tag: str, **options) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
+def staged(df: DataFrame, tag: str, *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder, in one folder a value of ``by``, and return the table read back."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.options(compression="zstd", **options).parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._feedloom_path = path
     return out
@@ -55,10 +41,6 @@ def unstage(*tables: DataFrame) -> None:
             target.getFileSystem(conf).delete(target, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; null counts as empty."""
     t = F.coalesce(text, F.lit(""))
@@ -79,5 +61,57 @@ def small_lookup(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def is_posix(path: str) -> bool:
-    return path.startswith(("/", "file:")) or os.sep == path[:1]
+def input_partitions(df: DataFrame, each: int = 128 << 20) -> int:
+    """Partitions of about ``each`` bytes by the planner's estimate of the input, at least the session's."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, min(size // each, 1_000_000)) if size < 1 << 60 else least  # larger: unknown
+
+
+#: A block of a filter holds 2**15 bits; a key sets four of one block.
+BLOCK_BITS, KEY_BITS, PROBES = 15, 16, 4
+
+
+def _place(h: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(h, F.lit(11)), F.lit(blocks)).cast("int")
+
+
+def _bit(h: Column, probe: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(h, F.lit(12)), BLOCK_BITS * probe).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+
+
+def key_filter(keys: DataFrame, key: str, n: int, most: int = 4096) -> DataFrame:
+    """A Bloom filter of the column ``key`` as blocks ``(block, bits)``, with 16 bits a key.
+
+    It has ``most`` blocks (16 MB) at most, so it may be broadcast; with more
+    keys than those serve, it lets more pass but never stops a key that it holds.
+    """
+    blocks = max(1, min(most, (n * KEY_BITS >> BLOCK_BITS) + 1))
+    bits = F.explode(F.array(*[_bit(F.col(key), p) for p in range(PROBES)]))
+    rows = keys.select(_place(F.col(key), blocks).alias("block"), bits.alias("bit"))
+    out = staged(rows.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")), "filter")
+    out._feedloom_blocks = blocks
+    return out
+
+
+def might_hold(df: DataFrame, key_blocks: DataFrame, key: Column, name: str) -> DataFrame:
+    """``df`` with a column that is false only where the filter holds no such key."""
+    blocks = key_blocks._feedloom_blocks
+    known = F.broadcast(key_blocks.select(F.col("block").alias(f"{name}_block"), F.col("bits").alias(f"{name}_bits")))
+
+    def is_set(probe: int) -> Column:
+        bit = _bit(key, probe).cast("int")
+        byte = F.conv(F.hex(F.substr(F.col(f"{name}_bits"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+        return F.getbit(byte, bit.bitwiseAND(F.lit(7))) == 1
+
+    every = is_set(0)
+    for p in range(1, PROBES):
+        every = every & is_set(p)
+    joined = df.join(known, _place(key, blocks) == F.col(f"{name}_block"), "left")
+    return joined.withColumn(name, F.coalesce(every, F.lit(False))).drop(f"{name}_block", f"{name}_bits")
+
+
+def frequent_keys(df: DataFrame, key: str, least: int = 10_000, share: int = 1000) -> DataFrame:
+    """The values of ``key`` that hold over 1/``share`` of the rows (so fewer than ``share``) and over ``least`` rows: key, rows."""
+    counts = staged(df.groupBy(key).agg(F.count("*").alias("rows")).filter(F.col("rows") > least), "frequent")
+    return counts.filter(F.col("rows") > df.count() // share)

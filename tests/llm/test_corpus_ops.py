@@ -65,6 +65,33 @@ def test_exact_dedup(docs, rows):
     assert exact_dedup.exact_dedup(docs, keep="min").filter("kept and doc_id = 100").isEmpty()
 
 
+def test_digest_index_merges_runs_and_probes_by_filters(spark, docs):
+    rows = exact_dedup.with_digest(docs.filter("doc_id IS NOT NULL"), "doc_id", "text").select("digest", "id")
+    rows = rows.withColumn("slot", (F.col("id") / 30).cast("int"))
+    index = exact_dedup.DigestIndex(spark, fanout=3)
+    index.flush(rows, F.col("slot"), 7)
+    runs = len(index.runs())
+    assert runs > 3 and all([r.digest for r in run.table.collect()] for run in index.runs())
+    want = sorted(tuple(r) for r in rows.groupBy("digest").agg(F.min("id"), F.max("id"), F.count("*")).collect())
+    some = rows.filter("id = 205").select("digest")
+    found = index.probe(some).collect()
+    assert 0 < index.read_runs < runs  # the others' filters stop it
+    assert [tuple(r) for r in found] == [w for w in want if w[0] == found[0].digest]
+    index.read_runs = 0
+    assert index.probe(spark.createDataFrame([(b"none",)], "digest binary")).isEmpty() and index.read_runs == 0
+    index.compact()
+    assert len(index.runs()) == 1 and len(index.levels) == 3
+    table = index.runs()[0].table
+    assert sorted(tuple(r) for r in table.collect()) == want and sorted(tuple(r) for r in index.probe(rows).collect()) == want
+    parts = [[r.digest for r in p] for p in table.rdd.glom().collect()]
+    assert all(p == sorted(p) for p in parts)
+
+
+def test_exact_dedup_is_the_same_for_any_number_of_memtables(docs):
+    a, b = exact_dedup.exact_dedup(docs), exact_dedup.exact_dedup(docs.repartition(11), memtable_rows=10)
+    assert Counter(map(tuple, a.collect())) == Counter(map(tuple, b.collect()))
+
+
 def test_exact_dedup_separates_colliding_digests(spark):
     s = "id long, digest string, keep_id long, group_size long, same boolean"
     checked = spark.createDataFrame([(1, "d", 3, 3, True), (2, "d", 3, 3, False), (3, "d", 3, 3, True), (9, "e", 9, 1, True)], s)
