@@ -23,7 +23,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, scratch_name, small_lookup, staged, table
+from .common import WORD, staged, table
 
 BITS = 12
 LEVELS = 3
@@ -46,19 +46,29 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1)
     return {s: float(out[s]) for s in order}
 
 
-def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return small_lookup(spark.createDataFrame(rows, schema), len(rows))
+def _with_source(big: DataFrame, rows: list[tuple], schema: str, source: str = "source", limit: int = 100_000) -> DataFrame:
+    """``big`` joined with the row of its source, ``rows`` being ordered from the largest source down.
+
+    The ``limit`` largest sources are broadcast; the others are joined by source, and none of them holds more than
+    1/``limit`` of the words.
+    """
+    spark = big.sparkSession
+    on = lambda df: F.col(source).eqNullSafe(df["b_source"])
+    hot = spark.createDataFrame(rows[:limit], schema)
+    if len(rows) <= limit:
+        return big.join(F.broadcast(hot), on(hot))
+    rest = spark.createDataFrame(rows[limit:], schema)
+    cold = big.join(F.broadcast(hot.select("b_source")), on(hot), "left_anti").join(rest, on(rest))
+    return big.join(F.broadcast(hot), on(hot)).unionByName(cold)
 
 
 def _thresholds(sized: DataFrame, budget: dict, salt: int, taken: list[dict]) -> dict:
     """For each source the largest threshold on this pass's hash within its budget."""
-    spark = sized.sparkSession
     state = {s: (0, 0) for s in budget}  # the boundary's prefix, words below it
     for level in range(LEVELS):
         rows = [(s, b, *state[s], cuts_of(taken, s)) for s, b in budget.items()]
-        bounds = _frame(spark, rows, f"b_source string, budget long, prefix long, below long, {CUTS}")
         h = pass_hash(salt)
-        here = sized.join(bounds, F.col("source").eqNullSafe(F.col("b_source"))).filter(~taken_before(salt))
+        here = _with_source(sized, rows, f"b_source string, budget long, prefix long, below long, {CUTS}").filter(~taken_before(salt))
         if salt:
             here = here.filter(F.col("size") <= F.col("budget"))
         if level:
@@ -104,44 +114,47 @@ def taken_before(passes: int):
     return out
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, passes: int = 3) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, repeats, taken, hash."""
-    spark = docs.sparkSession
+def _sized(id_col: str, text_col: str, source_col: str) -> list:
+    """The columns that decide, from a document's own."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sized = staged(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).cast("string").alias("source"),
-            F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-            F.xxhash64(F.col(id_col), text).alias("hash"),
-        ),
-        "sized",
-    )
+    return [F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.col(id_col), text).alias("hash")]
+
+
+def _plan(sized: DataFrame, weights, share: float, cap: float, passes: int) -> tuple[list[tuple], int]:
+    """(source, size, target, base, cuts) of each source, the largest first, and the number of passes."""
     sizes = {r["source"]: r["n"] or 0 for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     goal = targets(sizes, weights, share, cap)
     base = {s: min(int(goal[s] // n), int(cap)) if n else 0 for s, n in sizes.items()}
     gap = {s: math.floor(goal[s]) - base[s] * n for s, n in sizes.items()}
+    order = sorted(sizes, key=lambda s: (-sizes[s], s is None, s))
     taken: list[dict] = []
     for salt in range(passes):
-        budget = {s: g for s, g in gap.items() if g > 0 and (salt == 0 or g > 0.0005 * goal[s])}
+        budget = {s: gap[s] for s in order if gap[s] > 0 and (salt == 0 or gap[s] > 0.0005 * goal[s])}
         if not budget:
             break
         found = _thresholds(sized, budget, salt, taken)
         taken.append({s: (t, budget[s]) for s, (t, _) in found.items()})
         gap = {s: gap[s] - found[s][1] if s in found else gap[s] for s in gap}
-    rows = [(s, sizes[s], goal[s], base[s], cuts_of(taken, s)) for s in sizes]
-    plan = _frame(spark, rows, f"b_source string, source_size long, target double, base int, {CUTS}")
-    out = sized.join(plan, F.col("source").eqNullSafe(F.col("b_source"))).withColumn("repeats", F.col("base") + taken_before(len(taken)).cast("int"))
+    return [(s, sizes[s], goal[s], base[s], cuts_of(taken, s)) for s in order], len(taken)
+
+
+PLANNED = f"b_source string, source_size long, target double, base int, {CUTS}"
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, passes: int = 3) -> DataFrame:
+    """One row per document: id, source, size, source_size, target, repeats, taken, hash."""
+    sized = staged(docs.select(F.col(id_col).alias("id"), *_sized(id_col, text_col, source_col)), "sized")
+    plan, passes = _plan(sized, weights, share, cap, passes)
+    out = _with_source(sized, plan, PLANNED).withColumn("repeats", F.col("base") + taken_before(passes).cast("int"))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).cast("long").alias("taken"), "hash")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    plan = mix(docs, id_col, text_col, source_col, **kw).select(F.col(id_col).alias("__m_id"), F.col("hash").alias("__m_hash"), "repeats").dropDuplicates(["__m_id", "__m_hash"])
-    h, again = scratch_name(docs, "hash"), scratch_name(docs, "again")
-    left = docs.withColumn(h, F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    met = left.join(plan.filter("repeats > 0"), (left[h] == F.col("__m_hash")) & left[id_col].eqNullSafe(F.col("__m_id")))
-    return met.withColumn(again, F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, passes: int = 3) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it: a filter by thresholds, so no text is shuffled."""
+    plan, passes = _plan(staged(docs.select(*_sized(id_col, text_col, source_col)), "sized"), weights, share, cap, passes)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_sized(id_col, text_col, source_col))
+    met = _with_source(rows, plan, PLANNED).withColumn("repeats", F.col("base") + taken_before(passes).cast("int")).filter("repeats > 0")
+    return met.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,11 @@ A shard file::
 
     magic  b"FLPLANE1"
     chunks plane after plane, each compressed with zstandard on its own
-    docs   zstandard of: id (int64), null flag (uint8) and length (int64) columns
+    docs   blocks of the table of documents between the chunks, each zstandard
+           of: id (int64), null flag (uint8) and length (int64) columns
     index  JSON: kind of planes, width, and for each chunk its offset, its
-           number of ids and the length of each compressed plane; and for docs
+           number of ids and the length of each compressed plane; for each
+           block of documents its offset, length and number of documents
     u64    length of the index, then the magic again
 
 A chunk holds a fixed number of ids.  Its ids are transposed: plane *k* holds
@@ -17,6 +19,10 @@ Shards hold ranges of ascending document ids; a task writes its shard to a
 name of its own, and only the names that tasks return count, so a task that
 runs again after a lost executor does no harm.
 
+Writers and readers hold one chunk of ids and one block of documents, whatever
+the shard's size; the number of shards follows the bytes of the input, and a
+range of rows that repeat an id is split by the beginnings of their texts.
+
 Defined results: a null text counts as empty and has the end id alone; null ids
 come first; rows that repeat an id follow each other, ordered by text.
 """
@@ -27,6 +33,7 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +43,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_root, table
+from .common import input_partitions, shared_root, table
 from .tokens import encoder, tokenizer_path
 
 MAGIC = b"FLPLANE1"
 CHUNK = 1 << 16
+BLOCK = 1 << 16
 
 
 def shuffle(ids: np.ndarray, width: int, bits: bool) -> list[bytes]:
@@ -62,13 +70,13 @@ def unshuffle(planes: list[bytes], n: int, width: int, bits: bool) -> np.ndarray
 
 
 class PlaneWriter:
-    """Writes one shard to a binary stream; memory holds one chunk of ids."""
+    """Writes one shard to a binary stream; memory holds one chunk of ids and one block of documents."""
 
-    def __init__(self, out, width: int = 4, bits: bool = False, chunk: int = CHUNK, level: int = 3):
-        self.out, self.width, self.bits, self.chunk = out, width, bits, chunk
+    def __init__(self, out, width: int = 4, bits: bool = False, chunk: int = CHUNK, level: int = 3, block: int = BLOCK):
+        self.out, self.width, self.bits, self.chunk, self.block = out, width, bits, chunk, block
         self.zstd = zstandard.ZstdCompressor(level=level)
         self.at, self.waiting, self.held, self.chunks = 0, [], 0, []
-        self.docs: list[tuple[int | None, int]] = []
+        self.names, self.nulls, self.lengths, self.blocks, self.n_docs = array("q"), bytearray(), array("q"), [], 0
         self._put(MAGIC)
 
     def _put(self, data: bytes) -> None:
@@ -76,7 +84,11 @@ class PlaneWriter:
         self.at += len(data)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, len(ids)))
+        self.names.append(0 if doc_id is None else doc_id)
+        self.nulls.append(doc_id is None)
+        self.lengths.append(len(ids))
+        if len(self.names) >= self.block:
+            self._flush_docs()
         self.waiting.append(ids)
         self.held += len(ids)
         if self.held >= self.chunk:
@@ -91,14 +103,19 @@ class PlaneWriter:
         self.chunks.append([self.at, len(ids), [len(p) for p in planes]])
         self._put(b"".join(planes))
 
+    def _flush_docs(self) -> None:
+        if self.names:
+            raw = self.zstd.compress(np.array(self.names, "<i8").tobytes() + bytes(self.nulls) + np.array(self.lengths, "<i8").tobytes())
+            self.blocks.append([self.at, len(raw), len(self.names)])
+            self.n_docs += len(self.names)
+            self._put(raw)
+            self.names, self.nulls, self.lengths = array("q"), bytearray(), array("q")
+
     def close(self) -> None:
         if self.held:
             self._flush(np.concatenate(self.waiting))
-        names = np.array([0 if d is None else d for d, _ in self.docs], "<i8").tobytes()
-        nulls = np.array([d is None for d, _ in self.docs], np.uint8).tobytes()
-        table_ = self.zstd.compress(names + nulls + np.array([n for _, n in self.docs], "<i8").tobytes())
-        index = {"bits": self.bits, "width": self.width, "chunks": self.chunks, "docs": [self.at, len(table_), len(self.docs)]}
-        self._put(table_)
+        self._flush_docs()
+        index = {"bits": self.bits, "width": self.width, "chunks": self.chunks, "docs": self.blocks}
         text = json.dumps(index, separators=(",", ":")).encode()
         self._put(text + struct.pack("<Q", len(text)) + MAGIC)
 
@@ -118,12 +135,13 @@ class PlaneReader:
         self.index = json.loads(source.read(n))
         self.zstd = zstandard.ZstdDecompressor()
 
-    def documents(self) -> list[tuple[int | None, int]]:
-        at, size, n = self.index["docs"]
-        self.source.seek(at)
-        raw = self.zstd.decompress(self.source.read(size))
-        ids, nulls, lengths = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, np.uint8, n, 8 * n), np.frombuffer(raw, "<i8", n, 9 * n)
-        return [(None if z else int(i), int(k)) for i, z, k in zip(ids, nulls, lengths, strict=True)]
+    def documents(self) -> Iterator[tuple[int | None, int]]:
+        for at, size, n in self.index["docs"]:
+            self.source.seek(at)
+            raw = self.zstd.decompress(self.source.read(size))
+            ids, nulls, lengths = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, np.uint8, n, 8 * n), np.frombuffer(raw, "<i8", n, 9 * n)
+            for i, z, k in zip(ids.tolist(), nulls.tolist(), lengths.tolist(), strict=True):
+                yield None if z else i, k
 
     def chunk(self, k: int) -> np.ndarray:
         at, n, sizes = self.index["chunks"][k]
@@ -174,18 +192,17 @@ def _write(folder: str, path: str, end_id: int, bits: bool):
         if out is not None:
             out.close()
             stream.close()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([ids], pa.int64()), pa.array([len(out.docs)], pa.int64())], names=["part", "path", "ids", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([ids], pa.int64()), pa.array([out.n_docs], pa.int64())], names=["part", "path", "ids", "docs"])
 
     return run
 
 
 def write_planes(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, bits: bool = False, tokenizer: str | None = None, shards: int | None = None) -> list[tuple[str, int, int]]:
     """Write shards in ascending id order: (path, ids before it, ids in it), one a shard."""
-    spark = docs.sparkSession
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    shards = shards or input_partitions(rows)
+    rows = rows.repartitionByRange(shards, F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     made = rows.mapInArrow(_write(folder, path, end_id, bits), "part int, path string, ids long, docs long").collect()  # one row a shard
     out, before = [], 0
     for r in sorted(made, key=lambda r: r["part"]):

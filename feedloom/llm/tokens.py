@@ -3,9 +3,9 @@
 A byte-level BPE tokenizer never merges across the boundary between a
 character that isn't white space and white space that follows it, nor between a
 run of letters and another kind of character.  A text is cut at such
-boundaries; each distinct piece is encoded by the library once and its ids are
-remembered, so frequent words cost a look-up.  The ids equal those
-of encoding the text as a whole (tested).
+boundaries; each distinct short piece is encoded by the library once and its ids
+are remembered, within a bound of bytes, so frequent words cost a look-up.  The
+ids equal those of encoding the text as a whole (tested).
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ž"
 pieces = re.compile(rf"[{SPACE}]*[{LETTERS}]+(?=[\x00-\x40\x5b-\x60\x7b-\x7f{SPACE}]|\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
 #: Pieces that are one word to the tokenizer's pattern and go straight to its model.
 plain = re.compile(f" ?[{LETTERS}]+").fullmatch
-REMEMBERED = 1_000_000
+#: Longer pieces (scripts without spaces, encoded data) aren't remembered, and the memory is dropped beyond its bytes.
+LONGEST, MEMORY_BYTES, ENTRY_BYTES = 32, 160 << 20, 220
 
 
 def byte_letters() -> dict[int, str]:
@@ -49,6 +50,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memory: dict[str, bytes] = {}
+        self.held = 0
         self.model, self.letters = self.tokenizer.model, byte_letters()
 
     def _ids(self, piece: str) -> list[int]:
@@ -57,19 +59,24 @@ class PieceEncoder:
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        memory, out = self.memory, []
+        out = []
         for text in texts:
-            cut = pieces(text or "")
+            if self.held > MEMORY_BYTES:
+                self.memory.clear()
+                self.held = 0
+            memory, cut = self.memory, pieces(text or "")
             ids = list(map(memory.get, cut))
             if None in ids:
                 for i, known in enumerate(ids):
                     if known is None:
                         p = cut[i]
-                        if p not in memory:
-                            memory[p] = np.array(self._ids(p), self.dtype).tobytes()
-                        ids[i] = memory[p]
+                        found = memory.get(p)
+                        if found is None:
+                            found = np.array(self._ids(p), self.dtype).tobytes()
+                            if len(p) <= LONGEST:
+                                memory[p] = found
+                                self.held += ENTRY_BYTES + 4 * len(p) + len(found)
+                        ids[i] = found
             out.append(b"".join(ids))
         return out
 
