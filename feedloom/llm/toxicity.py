@@ -10,14 +10,16 @@ with their log odds.  At each place only the heaviest match counts, and none
 inside an exception phrase.  The sum is normalised by the text's length; a
 logistic curve with few coefficients brings it to a probability.
 
-Fitting reads at most ``max_rows`` labelled rows of each label, those with the
-least hash of their id; statistics of those are aggregated on the executors and
-only the lexicon (``max_terms``) and a few numbers a row reach the driver.
+Fitting reads at most ``max_rows`` labelled documents of each label, those with
+the least hash of their id; statistics of those are aggregated on the executors
+and only the lexicon (``max_terms``) and a few numbers a document reach the
+driver.  In the curve the sampled documents weigh as all labelled ones of their
+label do, so the bound doesn't shift the scores.
 
 Defined results: null and empty texts have no match and get the score of a
 text without matches.  Labels that are null, or of no document, teach nothing;
 without any toxic label every score is 0.  Of repeated labels the largest
-counts.
+counts, and of rows that repeat a labelled id the largest text teaches.
 """
 
 from __future__ import annotations
@@ -40,8 +42,12 @@ from .common import staged, table
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһӏкмтвнгпΑαΒβΕεΖΗΙιΚκΜΝνΟοΡρΤτΥυΧχ", "aeopcyxijsdhikmtbhrnaabbeezhiikkmnvooppttyyxx", strict=True))
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"}
-#: Phrases in which a word of the lexicon means no harm.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "sore loser rule", "idiot proof", "stupid simple")
+#: Phrases in which a word of the lexicon means no harm; fixed values.
+EXCEPTIONS = (
+    "trash can", "trash bin", "trash bag", "trash day", "clown fish", "sore loser rule", "idiot proof", "idiot light", "idiot board", "stupid simple", "keep it simple stupid",
+    "dumb waiter", "dumb bell", "dumb terminal", "struck dumb", "moron test", "garbage collector", "garbage collection", "garbage truck", "pond scum", "soap scum", "scum line",
+    "pathetic fallacy", "loser bracket", "worthless check", "toxic waste", "toxic asset", "killer whale", "killer app", "kill process", "kill switch",
+)
 PREFIX = range(4, 10)
 
 _table = {ord(k): v for k, v in HOMOGLYPHS.items()} | {ord("l"): "i", ord("ı"): "i", 0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None}
@@ -143,29 +149,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = [known.filter(F.col("y") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(max_rows) for y in (0, 1)]
     chosen = F.broadcast(staged(some[0].unionByName(some[1]), "chosen"))  # 2 * max_rows rows at most
     texts = docs.select(F.col(id_col).alias("d_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = staged(texts.join(chosen, F.col("d_id") == F.col("l_id")).select("text", "y"), "labelled").repartition(24)
+    met = texts.join(chosen, F.col("d_id") == F.col("l_id")).groupBy("l_id", "y").agg(F.max("text").alias("text"))
+    rows = staged(met.select("text", "y"), "labelled").repartition(24)
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1:
         return Lexicon()
+    every = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    weight = {y: every[y] / n[y] for y in n}
     counted = rows.mapInArrow(_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log(((F.col("pos") + 0.5) / (n1 + 1.0)) / ((F.col("neg") + 0.5) / (n0 + 1.0)))
     top = counted.filter(F.col("pos") >= min(min_rows, n1)).withColumn("w", odds).filter(F.col("w") >= math.log(min_ratio)).withColumn("gain", F.col("w") * F.sqrt("pos"))
     found = top.orderBy(F.desc("gain"), "term").limit(max_terms).collect()
     lexicon = Lexicon({r["term"]: round(r["w"], 6) for r in found})
     seen = rows.mapInArrow(_features(lexicon), "y int, total double, heaviest double").collect()  # 2 * max_rows rows at most
-    lexicon.curve = _logistic(np.array([[r["total"], r["heaviest"], 1.0] for r in sorted(seen)]), np.array([r["y"] for r in sorted(seen)], float))
+    seen = sorted(seen)
+    x, y = np.array([[r["total"], r["heaviest"], 1.0] for r in seen]), np.array([r["y"] for r in seen], float)
+    lexicon.curve = _logistic(x, y, np.array([weight[r["y"]] for r in seen]))
     lexicon.fitted = True
     return lexicon
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, float, float]:
-    """Ridge logistic regression by Newton's steps; labels weigh as they occur."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, float, float]:
+    """Ridge logistic regression of weighted rows by Newton's steps."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
-        hess = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
+        grad = x.T @ (weight * (p - y)) + ridge * w
+        hess = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-8:

@@ -269,6 +269,45 @@ def test_lexicon_exceptions_and_length():
     assert lex.features(auto, "what trash")[0] > lex.features(auto, "what trash " + "word " * 50)[0] > 0
 
 
+def naive_features(lex, text):
+    """Every pattern tried at every place, without an automaton."""
+    folded = toxicity.fold(text)
+    spared = [(k, k + len(p) - 1) for e in lex.exceptions for p in [toxicity.fold(e)[:-1]] for k in range(len(folded)) if folded.startswith(p, k)]
+    best = {}
+    for p, w in lex.weights.items():
+        for k in range(len(folded)):
+            if folded.startswith(p, k) and not any(lo <= k < hi for lo, hi in spared):
+                best[k] = max(best.get(k, 0.0), w)
+    best = {k: w for k, w in best.items() if w > 0}
+    return (np.log1p(sum(best.values()) / np.sqrt(folded.count(" "))), max(best.values())) if best else (0.0, 0.0)
+
+
+def test_matcher_against_every_pattern_at_every_place():
+    rng = np.random.default_rng(5)
+    parts = ["scum", "Sсum", "5cum", "pond", "soap", "trash", "can", "tra5h", "line", "stupid", "stup1dity", "simple", "ab", "ñ", "x9x", "12", "!", "\n", "scummy"]
+    weights = {" scum ": 3.0, " scu": 1.5, " stup": 2.0, " stupid ": 1.0, " trash ": 2.5, " tras": 0.5, " can ": 0.25}
+    lex = toxicity.Lexicon({toxicity.fold(p.strip())[: len(p)] if p.endswith(" ") else toxicity.fold(p)[:-1]: w for p, w in weights.items()}, curve=(1.0, 1.0, -2.0), fitted=True)
+    auto = lex.automaton()
+    texts = [" ".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(400)] + ["", None, "scum " * 5000]
+    for t in texts[:-1]:
+        assert lex.features(auto, t) == pytest.approx(naive_features(lex, t))
+    assert sum(lex.features(auto, t)[1] > 0 for t in texts) > 200
+    assert lex.features(auto, texts[-1])[1] == 3.0
+
+
+def test_toxicity_more_labels_than_its_bound_ties_and_repeated_rows(spark):
+    rows = [(i, f"good words here {i}") for i in range(300)] + [(1000 + i, f"vile scum number {i}") for i in range(60)]
+    rows += [(1000, "again vile scum")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 1000)) for i, _ in rows], "doc_id long, toxic int")
+    for bound in (20, 1000):
+        lex = toxicity.fit(docs, labels, max_rows=bound)
+        got = {(r.doc_id >= 1000, r.score > 0.5) for r in toxicity.score(docs, lex).collect()}
+        assert got == {(True, True), (False, False)}
+    counts = Counter(r.doc_id for r in toxicity.score(docs, lex).collect())
+    assert counts[1000] == 51 and len(counts) == 360
+
+
 @pytest.fixture(scope="module")
 def small():
     return "/root/testdata/sf0.01"
