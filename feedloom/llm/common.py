@@ -115,3 +115,38 @@ def frequent_keys(df: DataFrame, key: str, least: int = 10_000, share: int = 100
     """The values of ``key`` that hold over 1/``share`` of the rows (so fewer than ``share``) and over ``least`` rows: key, rows."""
     counts = staged(df.groupBy(key).agg(F.count("*").alias("rows")).filter(F.col("rows") > least), "frequent")
     return counts.filter(F.col("rows") > df.count() // share)
+
+
+#: Characters that are never text by themselves: they enclose the matches of a pattern, and escape themselves.
+OPEN, CLOSE, ESCAPE = "﷐", "﷑", "﷒"
+
+
+def escaped(text: Column) -> Column:
+    """``text`` without the enclosing characters; ``unescaped`` restores them."""
+    t = F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "2"))
+    t = F.replace(F.replace(t, F.lit(OPEN), F.lit(ESCAPE + "0")), F.lit(CLOSE), F.lit(ESCAPE + "1"))
+    return F.when(text.rlike(f"[{OPEN}{CLOSE}{ESCAPE}]"), t).otherwise(text)
+
+
+def unescaped(text: Column) -> Column:
+    t = F.replace(F.replace(text, F.lit(ESCAPE + "1"), F.lit(CLOSE)), F.lit(ESCAPE + "0"), F.lit(OPEN))
+    return F.when(text.contains(ESCAPE), F.replace(t, F.lit(ESCAPE + "2"), F.lit(ESCAPE))).otherwise(text)
+
+
+def enclosed(text: Column, pattern: str) -> Column:
+    """``text`` with every match of the pattern enclosed, in one pass."""
+    return F.regexp_replace(text, pattern, OPEN + "$0" + CLOSE)
+
+
+def running_sums(values: Column, block: int = 256) -> Column:
+    """Before each element of an array, the sum of those before it, in about n * ``block`` / 2 steps."""
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    once = lambda c, use: F.get(F.transform(F.array(c), use), F.lit(0))
+    floor = lambda i: F.floor(i / block).cast("int")
+
+    def starts(vs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), floor(F.size(vs) - 1)), lambda b: total(F.slice(vs, b * block + 1, F.lit(block))))
+        at = once(blocks, lambda bs: F.transform(bs, lambda _, b: total(F.slice(bs, F.lit(1), b))))
+        return once(at, lambda bs: F.transform(vs, lambda _, i: F.get(bs, floor(i)) + total(F.slice(vs, floor(i) * block + 1, F.pmod(i, F.lit(block))))))
+
+    return once(values, starts)
