@@ -7,14 +7,16 @@ threshold; those are *list-decoded* from the two short lists of block scores,
 without looking at all directions.  Vectors meet where they pass the same
 filter, and every meeting is verified by the cosine in double precision.
 
+A task gets each vector with the filters before its own, so a link is counted in
+the first filter that its ends share.  Vectors keep their precision.
+
 Equal vectors are one class first.  The threshold follows the number of
 classes, so that a filter holds about ``per_filter`` random vectors, and the
 number of codewords follows from the wish that a pair at exactly the limit
 shares ``want`` filters on average: the chance to miss it is near exp(-want).
 A filter with many vectors (a dense cluster) is split into blocks, and each pair
 of blocks is a task of its own.  Tasks return no pairs: they return each
-vector's number of links, every link counted in the first filter that its ends
-share, and a spanning star for each component they see.
+vector's number of links and a spanning star for each component they see.
 
 Defined results: vectors that are null, empty, zero or have null or non-finite
 components link with nothing; vectors of different lengths never link; rows
@@ -32,8 +34,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .common import staged, table
+from .common import join_counted, staged, table
 from .near_dedup import components
 
 NORMAL = NormalDist()
@@ -79,7 +82,7 @@ def unit(rows: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filters(t: float, words: int, codes: int):
+def _filters(t: float, words: int, codes: int, number: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, vectors, copies = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
@@ -91,7 +94,7 @@ def _filters(t: float, words: int, codes: int):
                     some = all_of[at : at + 1000]
                     found = decode(unit([vectors[k] for k in some]), t, words, codes)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[k] for k in some], pa.int64()), pa.array([d] * len(some), pa.int32()), pa.array([copies[k] for k in some], pa.int64()), pa.array([vectors[k] for k in some], pa.list_(pa.float32())), pa.array(found, pa.list_(pa.int32()))],
+                        [pa.array([ids[k] for k in some], pa.int64()), pa.array([d] * len(some), pa.int32()), pa.array([copies[k] for k in some], pa.int64()), pa.array([vectors[k] for k in some], pa.list_(number)), pa.array(found, pa.list_(pa.int64()))],
                         names=["id", "d", "copies", "vector", "filters"],
                     )
 
@@ -100,7 +103,6 @@ def _filters(t: float, words: int, codes: int):
 
 def _linked(cosine: float):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, here, _, _ = key
         rows = rows.reset_index(drop=True)
         sides = [rows[rows["side"] == s].reset_index(drop=True) for s in (0, 1)]
         a, b = sides[0], sides[1] if len(sides[1]) else sides[0]
@@ -112,7 +114,7 @@ def _linked(cosine: float):
             return pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64")
         # Only what an earlier filter doesn't hold as well counts here.
         pick_a, pick_b = close.any(axis=1), close.any(axis=0)
-        early = [[f for f in x if f < here] for x in (*a["filters"][pick_a], *b["filters"][pick_b])]
+        early = [x.tolist() for x in (*a["earlier"][pick_a], *b["earlier"][pick_b])]
         names = {f: k for k, f in enumerate(sorted({f for x in early for f in x}))}
         member = np.zeros((len(early), len(names)), np.float32)
         for k, x in enumerate(early):
@@ -137,32 +139,35 @@ def _linked(cosine: float):
     return run
 
 
-def cosine_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.9, want: float = 18.0, per_filter: int = 256, codes: int = 6, block: int = 1024) -> DataFrame:
+def cosine_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.9, want: float = 12.0, per_filter: int = 256, codes: int = 6, block: int = 1024) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
     v = F.col("vector")
-    fine = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vector"))
-    good = rows.filter(fine & F.col("id").isNotNull())
+    double = isinstance(vectors.schema[vec_col].dataType.elementType, DoubleType)
+    kind, number = ("array<double>", pa.float64()) if double else ("array<float>", pa.float32())
+    fine = F.coalesce(v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0) & F.col("id").isNotNull(), F.lit(False))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("vector"))
+    good = rows.filter(fine)
     classes = staged(good.groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    t, words = plan(classes.count(), cosine, want, per_filter, codes)
-    found = classes.select("rep", "vector", "copies").mapInArrow(_filters(t, words, codes), "id long, d int, copies long, vector array<float>, filters array<int>")
+    n, total = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    t, words = plan(n, cosine, want, per_filter, codes)
+    found = classes.select("rep", "vector", "copies").mapInArrow(_filters(t, words, codes, number), f"id long, d int, copies long, vector {kind}, filters array<bigint>")
     found = staged(found, "filters")
     entries = found.withColumn("filter", F.explode("filters"))
     sizes = entries.groupBy("d", "filter").agg(F.count("*").alias("size")).filter("size > 1")
     sizes = staged(sizes.select("d", "filter", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "sizes")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = entries.join(sizes, ["d", "filter"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = entries.join(sizes, ["d", "filter"]).withColumn("earlier", F.filter("filters", lambda x: x < F.col("filter"))).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).withColumn("side", (F.col("own") != F.col("lo")).cast("int"))
-    seen = dealt.select("d", "filter", "lo", "hi", "side", "id", "copies", "vector", "filters").groupBy("d", "filter", "lo", "hi").applyInPandas(_linked(cosine), "id long, links long, root long")
+    seen = dealt.select("d", "filter", "lo", "hi", "side", "id", "copies", "vector", "earlier").groupBy("d", "filter", "lo", "hi").applyInPandas(_linked(cosine), "id long, links long, root long")
     seen = staged(seen, "links")
     counts = seen.groupBy("id").agg(F.sum("links").alias("links"))
     nodes = seen.select("id").distinct()
     comps = components(nodes, seen.filter("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     known = classes.join(counts, classes["rep"] == counts["id"], "left").drop("id").join(comps, F.col("rep") == F.col("id"), "left")
-    known = staged(known.select(F.col("vector").alias("v"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("comp", "rep").alias("comp")), "known")
-    out = rows.withColumn("match", F.when(fine & F.col("id").isNotNull(), v)).join(known, F.col("match") == F.col("v"), "left")
-    component = F.coalesce("comp", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    known = staged(known.select("vector", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("comp", "rep").alias("comp")), "known")
+    met = join_counted(good, known, ["vector"], "copies", total).select("id", "n", "comp")
+    alone = rows.filter(~fine).select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("comp"))
+    return met.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_links"), F.col("comp").alias("component_id"), F.coalesce(F.col("comp") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def op6_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:

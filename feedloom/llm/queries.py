@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import embedding, exact_dedup, license_scan, mixing, near_dedup, packing, pii, planes, secrets_scan, toxicity
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_secret_scan": secrets_scan.op8_secret_scan,
     "op9_pii": pii.op9_pii,
     "op10_minhash": near_dedup.op10_minhash,
-    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {"op3_exact_dedup": exact_dedup.SQL}
