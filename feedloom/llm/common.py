@@ -111,10 +111,20 @@ def might_hold(df: DataFrame, key_blocks: DataFrame, key: Column, name: str) ->
     return joined.withColumn(name, F.coalesce(every, F.lit(False))).drop(f"{name}_block", f"{name}_bits")
 
 
-def frequent_keys(df: DataFrame, key: str, least: int = 10_000, share: int = 1000) -> DataFrame:
-    """The values of ``key`` that hold over 1/``share`` of the rows (so fewer than ``share``) and over ``least`` rows: key, rows."""
-    counts = staged(df.groupBy(key).agg(F.count("*").alias("rows")).filter(F.col("rows") > least), "frequent")
-    return counts.filter(F.col("rows") > df.count() // share)
+def frequent(total: int, least: int = 10_000, share: int = 1000) -> int:
+    """The number of rows above which a key is frequent; fewer than ``share`` keys are."""
+    return max(least, total // share)
+
+
+def join_counted(big: DataFrame, small: DataFrame, on: list[str], rows: str, total: int, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, whose column ``rows`` tells how many of the ``total`` rows of ``big`` have the key.
+
+    Frequent keys (fewer than a thousand) are met by broadcast, so no task gets all rows of one.
+    """
+    often = F.col(rows) > frequent(total)
+    hot = F.broadcast(small.filter(often))
+    cold = big.join(F.broadcast(small.filter(often).select(*on)), on, "left_anti")
+    return big.join(hot, on).unionByName(cold.join(small.filter(~often), on, how))
 
 
 #: Characters that are never text by themselves: they enclose the matches of a pattern, and escape themselves.

@@ -21,6 +21,9 @@ set and links with nothing; a document shorter than a shingle has its whole
 word sequence as the one shingle.  Rows with a null id link with nothing, get a
 null component and are kept.  Rows that share an id are one node: each links
 what any of them links.
+
+A hot class (copies of one text), bucket or leader is met by broadcast or spread
+over several tasks, and only documents that share a bucket have their text moved.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_name, staged, table, unstage
+from .common import frequent, join_counted, key_filter, might_hold, scratch_name, staged, table, unstage
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -130,12 +133,14 @@ def _scan(words: int, m: int, bands: int):
 
 
 def _sets(words: int):
+    """The sets of classes: rows whose text has another set than the class don't count."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
             for at in range(0, batch.num_rows, 64):
-                found = [shingles(t.as_py(), words).view(np.int64) for t in texts.slice(at, 64)]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 64), pa.array(found, pa.list_(pa.int64()))], names=["id", "items"])
+                node, key, text = (batch.column(k).slice(at, 64).to_pylist() for k in range(3))
+                found = [(i, s) for i, k, t in zip(node, key, text, strict=True) for s in (shingles(t, words),) if xxhash.xxh3_128_digest(s.tobytes()) == k]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], names=["id", "items"])
 
     return sets
 
@@ -160,21 +165,28 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels.select("id", "comp")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have Jaccard similarity of ``percent`` or more."""
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, each: int = 2000) -> DataFrame:
+    """The pairs (a, b) whose full sets have Jaccard similarity of ``percent`` or more.
+
+    A set that leads very many pairs is copied once for every ``each`` of them, so its pairs are spread over tasks.
+    """
+    led = pairs.groupBy("a").agg(F.count("*").alias("led"))
+    often = F.broadcast(staged(led.filter(F.col("led") > frequent(pairs.count())).select("a", F.ceil(F.col("led") / each).cast("int").alias("copies")), "leads"))
+    copies = F.coalesce("copies", F.lit(1))
+    pairs = pairs.join(often, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), copies).cast("int").alias("part"))
+    left = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")).join(often, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
     both = F.size(F.array_intersect("items_a", "items_b"))
-    return pairs.join(left, "a").join(right, "b").filter(both * 100 >= (F.size("items_a") + F.size("items_b") - both) * percent).select("a", "b")
+    return pairs.join(left, ["a", "part"]).join(right, "b").filter(both * 100 >= (F.size("items_a") + F.size("items_b") - both) * percent).select("a", "b")
 
 
 def _leader_pairs(buckets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Pairs of each bucket's leader and its members; the leader shares most buckets with most others."""
     at = buckets.join(comps, "id").select("id", "n", "bucket", "central")
-    lead = at.groupBy("bucket").agg(F.min(F.struct((-F.col("central")).alias("c"), "id", "n")).alias("lead"))
-    lead = staged(lead.select("bucket", F.col("lead.id").alias("a"), F.col("lead.n").alias("n_a")), "leaders")
-    met = buckets.withColumnsRenamed({"id": "b", "n": "n_b"}).join(lead, "bucket")
-    return _ordered(met.filter((F.col("a") != F.col("b")) & _close(percent)))
+    lead = at.groupBy("bucket").agg(F.min(F.struct((-F.col("central")).alias("c"), "id", "n")).alias("lead"), F.count("*").alias("members"))
+    lead = staged(lead.select("bucket", F.col("lead.id").alias("a"), F.col("lead.n").alias("n_a"), "members"), "leaders")
+    met = join_counted(buckets.withColumnsRenamed({"id": "b", "n": "n_b"}), lead, ["bucket"], "members", buckets.count())
+    return _ordered(met.filter((F.col("a") != F.col("b")) & _close(percent)), leader=True)
 
 
 def _close(percent: int):
@@ -182,8 +194,9 @@ def _close(percent: int):
     return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _ordered(pairs: DataFrame, leader: bool = False) -> DataFrame:
+    """Distinct pairs, the smaller node first, or the leader."""
+    return pairs.select("a", "b").distinct() if leader else pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _rest_pairs(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, small: int) -> DataFrame:
@@ -222,37 +235,58 @@ def _meet(rows: DataFrame, key: str, percent: int, more: tuple[str, ...] = (), b
     return _ordered(met if bound is None else met.filter(bound))
 
 
+def _same_id(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share an id."""
+    h = F.xxhash64("key")
+    torn = named.groupBy("id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo < hi").select("id")
+    nodes = named.join(torn, "id").select("id", "key").distinct().join(classes.select("key", "node"), "key").select("id", "node")
+    least = nodes.groupBy("id").agg(F.min("node").alias("a"))
+    return staged(nodes.join(least, "id").filter("a <> node").select("a", F.col("node").alias("b")), "links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, small: int = 24) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     scanned = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hashed = staged(scanned.mapInArrow(_scan(words, bands * rows, bands), "id long, n_shingles long, key binary, bands array<long>"), "signed")
     named = hashed.filter("id IS NOT NULL AND key IS NOT NULL")
-    # Of a class's bands any will do: equal sets have equal signatures.
-    classes = staged(named.groupBy("key").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
-    reps = named.join(classes, (named["key"] == classes["key"]) & (named["id"] == classes["rep"])).select("id", F.col("n_shingles").alias("n"), "bands")
-    buckets = staged(reps.select("id", "n", F.posexplode("bands").alias("band", "value")).select("id", "n", F.xxhash64("band", "value").alias("bucket")), "buckets")
+    # Of a class's bands any will do: equal sets have equal signatures.  A class is a node, numbered once it is written.
+    classes = named.groupBy("key").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    buckets = staged(classes.select(F.col("node").alias("id"), "n", F.posexplode("bands").alias("band", "value")).select("id", "n", F.xxhash64("band", "value").alias("bucket")), "buckets")
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("bucket", "members")
-    buckets = staged(buckets.join(shared, "bucket"), "shared")
+    buckets = staged(join_counted(buckets, staged(shared, "members"), ["bucket"], "members", buckets.count()), "shared")
     nodes = staged(buckets.groupBy("id").agg(F.sum("members").alias("central")), "nodes")
     buckets = buckets.drop("members")
-    sets = staged(scanned.join(nodes, "id", "left_semi").mapInArrow(_sets(words), "id long, items array<long>"), "sets")
+    wanted = staged(classes.join(nodes, classes["node"] == nodes["id"], "left_semi").select("node", "key", "rep"), "wanted")
+    some = might_hold(scanned, key_filter(wanted, "rep", wanted.count()), F.col("id"), "hit").filter("hit")
+    sets = staged(some.join(wanted, F.col("id") == F.col("rep")).select("node", "key", "text").mapInArrow(_sets(words), "id long, items array<long>").dropDuplicates(["id"]), "sets")
     links = staged(verified(staged(_leader_pairs(buckets, nodes, percent), "pairs"), sets, percent), "links")
     comps = components(nodes, links)
-    more = staged(verified(staged(_rest_pairs(buckets, comps, sets, percent, small), "pairs"), sets, percent), "links")
+    more = staged(verified(staged(_rest_pairs(buckets, comps, sets, percent, small), "pairs"), sets, percent), "links").unionByName(_same_id(named, classes))
     if not more.isEmpty():
-        comps = components(nodes, links.unionByName(more))
-    comps = comps.withColumnRenamed("comp", "component")
-    of_class = staged(classes.select("key", "rep").join(comps, F.col("rep") == F.col("id"), "left").select("key", F.coalesce("component", "rep").alias("component")), "of_class")
-    out = hashed.join(of_class, "key", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+        every = nodes.select("id").unionByName(more.select(F.col("a").alias("id"))).unionByName(more.select(F.col("b").alias("id"))).distinct()
+        comps = components(every, links.unionByName(more))
+    reached = classes.select("key", "rep", "copies", "node").join(comps, F.col("node") == F.col("id"), "left").select("key", "rep", "copies", F.coalesce("comp", "node").alias("comp"))
+    reached = staged(reached, "reached")
+    least = reached.groupBy("comp").agg(F.min("rep").alias("component"), F.count("*").alias("members"))
+    of_class = staged(join_counted(reached, staged(least, "components"), ["comp"], "members", classes.count()).select("key", "copies", "component"), "of_class")
+    out = hashed.select("id", "n_shingles", "key")
+    met = join_counted(out.filter("id IS NOT NULL AND key IS NOT NULL"), of_class, ["key"], "copies", hashed.count()).select("id", "n_shingles", "component")
+    alone = out.filter("id IS NULL OR key IS NULL").select("id", "n_shingles", F.col("id").alias("component"))
+    return met.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` of which each group keeps one, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col, **kw).filter("not kept").select(F.col(id_col).alias(scratch_name(docs, "gone"))).distinct()
-    gone = staged(gone, "gone")
-    return docs.join(gone, docs[id_col] == gone[gone.columns[0]], "left_anti")
+    """The rows of ``docs`` of which each group keeps one, with all their columns.
+
+    Only rows whose id passes the filter of the dropped ids are joined; the others stay where they are.
+    """
+    gone = staged(near_duplicates(docs, id_col, text_col, **kw).filter("not kept").select(F.col(id_col).alias("__gone_id")).distinct(), "gone")
+    hit = scratch_name(docs, "feedloom_hit")
+    flagged = might_hold(docs, key_filter(gone, "__gone_id", gone.count()), F.col(id_col), hit)
+    some = flagged.filter(F.col(hit))
+    some = some.join(gone, some[id_col] == gone["__gone_id"], "left_anti")
+    return flagged.filter(~F.col(hit)).select(*docs.columns).unionByName(some.select(*docs.columns))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,6 +139,18 @@ def test_near_dedup(docs, rows):
     assert {r.doc_id for r in left.collect()} == {i for i, c in comp.items() if i == c} | {None}
 
 
+def test_near_dedup_of_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(2)
+    base = [[f"w{k}" for k in rng.integers(0, 500, 60)] for _ in range(12)]
+    rows = [[i, " ".join(w), "en", "s", 0, "x", "x"] for i, w in enumerate(base)]
+    rows += [[100 + i // 2, " ".join([*w[:30], "other", *w[31:]]), "en", "s", 0, "x", "x"] for i, w in enumerate(base[:10])]  # two texts an id
+    rows += [[100, " ".join(base[11]), "en", "s", 0, "x", "x"]] * 3
+    _, comp = brute_components(rows, 4)
+    got = near_dedup.near_duplicates(spark.createDataFrame([tuple(r) for r in rows], SCHEMA), words=4).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == comp
+    assert {comp[i] for i in (0, 1, 11, 100)} == {0}
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
