@@ -259,7 +259,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = buckets.drop("members")
     wanted = staged(classes.join(nodes, classes["node"] == nodes["id"], "left_semi").select("node", "key", "rep"), "wanted")
     some = might_hold(scanned, key_filter(wanted, "rep", wanted.count()), F.col("id"), "hit").filter("hit")
-    sets = staged(some.join(wanted, F.col("id") == F.col("rep")).select("node", "key", "text").mapInArrow(_sets(words), "id long, items array<long>").dropDuplicates(["id"]), "sets")
+    sets = staged(some.join(wanted, F.col("id") == F.col("rep")).select("node", "key", "text").mapInArrow(_sets(words), "id long, items array<long>"), "sets")
+    if sets.count() > wanted.count():  # rows that repeat an id and its text
+        sets = staged(sets.dropDuplicates(["id"]), "sets")
     links = staged(verified(staged(_leader_pairs(buckets, nodes, percent), "pairs"), sets, percent), "links")
     comps = components(nodes, links)
     more = staged(verified(staged(_rest_pairs(buckets, comps, sets, percent, small), "pairs"), sets, percent), "links").unionByName(_same_id(named, classes))
