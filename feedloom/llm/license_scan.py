@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 # The words of grants.
 VERBS = ("licensed", "dual licensed", "released", "distributed", "published", "available", "made available", "provided", "offered", "covered", "relicensed")
@@ -521,7 +521,7 @@ def _scan(gap: int):
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = 2) -> DataFrame:
     """One row per licence found: doc_id, license, rule, first_sentence, last_sentence, start, stop, span."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scan(gap), "doc_id long, license string, rule string, first_sentence int, last_sentence int, start int, stop int, span string")
+    return rows.mapInArrow(tidy(_scan(gap)), "doc_id long, license string, rule string, first_sentence int, last_sentence int, start int, stop int, span string")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frequent, join_counted, key_filter, might_hold, scratch_name, staged, table, unstage
+from .common import frequent, join_counted, key_filter, might_hold, scratch_name, staged, table, tidy, unstage
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -63,6 +63,10 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
+def forget_words() -> None:
+    _hashes.clear()
+
+
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a whole text."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z, and the six ASCII white-space characters
@@ -247,7 +251,7 @@ def _same_id(named: DataFrame, classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, small: int = 24) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     scanned = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    hashed = staged(scanned.mapInArrow(_scan(words, bands * rows, bands), "id long, n_shingles long, key binary, bands array<long>"), "signed")
+    hashed = staged(scanned.mapInArrow(tidy(_scan(words, bands * rows, bands), forget_words), "id long, n_shingles long, key binary, bands array<long>"), "signed")
     named = hashed.filter("id IS NOT NULL AND key IS NOT NULL")
     # Of a class's bands any will do: equal sets have equal signatures.  A class is a node, numbered once it is written.
     classes = named.groupBy("key").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
@@ -259,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = buckets.drop("members")
     wanted = staged(classes.join(nodes, classes["node"] == nodes["id"], "left_semi").select("node", "key", "rep"), "wanted")
     some = might_hold(scanned, key_filter(wanted, "rep", wanted.count()), F.col("id"), "hit").filter("hit")
-    sets = staged(some.join(wanted, F.col("id") == F.col("rep")).select("node", "key", "text").mapInArrow(_sets(words), "id long, items array<long>"), "sets")
+    sets = staged(some.join(wanted, F.col("id") == F.col("rep")).select("node", "key", "text").mapInArrow(tidy(_sets(words), forget_words), "id long, items array<long>"), "sets")
     if sets.count() > wanted.count():  # rows that repeat an id and its text
         sets = staged(sets.dropDuplicates(["id"]), "sets")
     links = staged(verified(staged(_leader_pairs(buckets, nodes, percent), "pairs"), sets, percent), "links")

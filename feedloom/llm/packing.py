@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_partitions, staged, table
+from .common import input_partitions, staged, table, tidy
 from .tokens import encoder, long_crc, tokenizer_path
 
 DIMS, BITS, FEATURES = 3, 16, 256
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     width = encoder(path).dtype.itemsize
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = input_partitions(rows)
-    tokens = rows.mapInArrow(_tokenised(path, end_id), "doc_id long, curve long, n long, ids binary")
+    tokens = rows.mapInArrow(tidy(_tokenised(path, end_id)), "doc_id long, curve long, n long, ids binary")
     tokens = staged(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
     order = tokens.select("row", "n", "curve", "doc_id").repartitionByRange(parts, "curve", "doc_id", "row").sortWithinPartitions("curve", "doc_id", "row")
     starts = staged(order.select("row", "n").mapInArrow(_running, "row long, part int, local long, n_again long"), "starts")
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         total += n
     # A row number is unique, so this join has no hot key.
     met = tokens.join(starts.select("row", "part", "local"), "row").select("doc_id", "curve", "n", "ids", "part", "local")
-    return met.mapInArrow(_pieces(bases, total, size, width), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve long")
+    return met.mapInArrow(tidy(_pieces(bases, total, size, width)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve long")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_partitions, shared_root, table
+from .common import input_partitions, shared_root, table, tidy
 from .tokens import encoder, tokenizer_path
 
 MAGIC = b"FLPLANE1"
@@ -203,7 +203,7 @@ def write_planes(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shards = shards or input_partitions(rows)
     rows = rows.repartitionByRange(shards, F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
-    made = rows.mapInArrow(_write(folder, path, end_id, bits), "part int, path string, ids long, docs long").collect()  # one row a shard
+    made = rows.mapInArrow(tidy(_write(folder, path, end_id, bits)), "part int, path string, ids long, docs long").collect()  # one row a shard
     out, before = [], 0
     for r in sorted(made, key=lambda r: r["part"]):
         out.append((r["path"], before, r["ids"]))

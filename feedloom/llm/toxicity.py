@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import staged, table, tidy
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһӏкмтвнгпΑαΒβΕεΖΗΙιΚκΜΝνΟοΡρΤτΥυΧχ", "aeopcyxijsdhikmtbhrnaabbeezhiikkmnvooppttyyxx", strict=True))
@@ -157,12 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Lexicon()
     every = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     weight = {y: every[y] / n[y] for y in n}
-    counted = rows.mapInArrow(_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = rows.mapInArrow(tidy(_counts), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log(((F.col("pos") + 0.5) / (n1 + 1.0)) / ((F.col("neg") + 0.5) / (n0 + 1.0)))
     top = counted.filter(F.col("pos") >= min(min_rows, n1)).withColumn("w", odds).filter(F.col("w") >= math.log(min_ratio)).withColumn("gain", F.col("w") * F.sqrt("pos"))
     found = top.orderBy(F.desc("gain"), "term").limit(max_terms).collect()
     lexicon = Lexicon({r["term"]: round(r["w"], 6) for r in found})
-    seen = rows.mapInArrow(_features(lexicon), "y int, total double, heaviest double").collect()  # 2 * max_rows rows at most
+    seen = rows.mapInArrow(tidy(_features(lexicon)), "y int, total double, heaviest double").collect()  # 2 * max_rows rows at most
     seen = sorted(seen)
     x, y = np.array([[r["total"], r["heaviest"], 1.0] for r in seen]), np.array([r["y"] for r in seen], float)
     lexicon.curve = _logistic(x, y, np.array([weight[r["y"]] for r in seen]))
@@ -199,7 +199,7 @@ def _scored(lexicon: Lexicon):
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, score, density."""
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(_scored(lexicon), f"`{id_col}` long, score double, density double")
+    return rows.mapInArrow(tidy(_scored(lexicon)), f"`{id_col}` long, score double, density double")
 
 
 def taught(labels: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, text_c
             found = np.array([lexicon.features(auto, t.as_py()) for t in batch.column(at)]).reshape(-1, 2)
             yield batch.filter(pa.array(lexicon.probability(found[:, 0], found[:, 1]) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
