@@ -33,14 +33,14 @@ def duration(c: Column) -> Column:
     return F.aggregate(F.split(ws_trim(c), ":"), F.lit(0).cast("long"), lambda a, x: a * 60 + F.coalesce(F.expr("0") + x.try_cast("long"), F.lit(0)))
 
 
-def time_to_live(period: Column, frequency: Column, ttl: Column, span: Column, default: int = 3600, most: int = 259200) -> Column:
-    """Seconds: syndication period times frequency, else ttl times span (minutes), else the default; capped."""
+def time_to_live(period: Column, frequency: Column, ttl: Column, span: Column, default: int = 3600, most: int = 259200, schedule: Column | None = None) -> Column:
+    """Seconds: syndication period times frequency, else ttl times span (minutes), else the schedule's sum, else the default; capped."""
     unit = F.when(period == "daily", 86400).when(period == "weekly", 604800).when(period == "monthly", 2592000).when(period == "yearly", 31557600).otherwise(3600)
     stem = F.regexp_replace(F.lower(span), "s$", "")
     scale = F.lit(60)
     for name, seconds in SPANS.items():
         scale = F.when(stem == name, seconds).otherwise(scale)
-    chosen = F.coalesce(F.when(frequency > 0, unit * frequency), F.when(ttl > 0, ttl * scale), F.lit(default))
+    chosen = F.coalesce(F.when(frequency > 0, unit * frequency), F.when(ttl > 0, ttl * scale), *([] if schedule is None else [F.when(schedule > 0, schedule)]), F.lit(default))
     return F.least(chosen, F.lit(most)).cast("long")
 
 
@@ -60,17 +60,63 @@ def is_video(mime: Column, href: Column) -> Column:
     return F.coalesce(mime.rlike(VIDEO), F.lit(False)) | F.coalesce(href.rlike(VIDEO), F.lit(False))
 
 
+_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:[.,]\d+)?"
+_ZONE = r"([+-]\d{2}:?\d{2}|[+-]\d{2}|\p{L}{1,5})?"
+_HALF = r"\s*(?:([AaPp])\.?[Mm]\.?)?"
+#: Forms of dates and the places of year, month, day, hour, minute, second, zone and half of the day in them.
+DATES = [
+    (r"^(\d{4}|\d{2})-?(\d{3})$", "$1|1|$2||||||"),
+    (rf"^(?:\p{{L}}+\.?,?\s+)?(\d{{1,2}})[\s-]+(\p{{L}}{{3,}})\.?,?[\s-]+(\d{{4}}|\d{{2}})(?:[T\s,]+{_CLOCK})?\s*{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7|"),
+    (rf"^(\d{{4}})-?(\d{{2}}|\p{{L}}{{3,}}-)-?(\d{{1,2}})(?:[T\s]+(\d{{1,2}}):?(\d{{2}})(?::?(\d{{2}}))?(?:[.,]\d+)?\s*{_ZONE})?$", "$1|$2|$3|$4|$5|$6|$7|"),
+    (rf"^(?:\p{{L}}+\.?,?\s+)?(\p{{L}}{{3,}})\.?\s+(\d{{1,2}})\s+{_CLOCK}\s+(?:{_ZONE}\s+)?(\d{{4}})$", "$7|$1|$2|$3|$4|$5|$6|"),
+    (rf"^(?:\p{{L}}+,?\s+)?(\p{{L}}{{3,}})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})(?:[\s,]+{_CLOCK}{_HALF})?\s*{_ZONE}$", "$3|$1|$2|$4|$5|$6|$8|$7"),
+    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}|\d{{2}})(?:[\s,]+{_CLOCK}{_HALF})?\s*{_ZONE}$", "$3|$1|$2|$4|$5|$6|$8|$7"),
+    (r"^(\d{4})-(\d{2})$", "$1|$2|1|||||"),
+    (r"^-?(\d{2})-(\d{2})-(\d{2})$", "$1|$2|$3|||||"),
+    (r"^(\d{2})(\d{2})(\d{2})$", "$1|$2|$3|||||"),
+    (r"^-(\d{2})-?(\d{2})$", "$1|$2|1|||||"),
+    (r"^(\d{4})$", "$1|1|1|||||"),
+]
+#: How the names of months begin, also Greek and Hungarian ones; fixed values.
+MONTHS = ["jan|ιαν", "feb|φεβ", "mar|már|μάρ", "apr|ápr|απρ", "may|máj|μάι|μάϊ|μαϊ", "jun|jún|ιούν", "jul|júl|ιούλ", "aug|αύγ", "sep|sze|σεπ", "oct|okt|οκτ", "nov|νοέ", "dec|δεκ"]
+ZONES = {"EST": -18000, "EDT": -14400, "CST": -21600, "CDT": -18000, "MST": -25200, "MDT": -21600, "PST": -28800, "PDT": -25200, "CET": 3600, "CEST": 7200, "BST": 3600, "MSK": 10800, "JST": 32400}
+
+
 def parse_date(c: Column) -> Column:
-    """RFC 822 and ISO 8601 dates and a few near them; null where none fits."""
-    t = F.regexp_replace(ws_trim(c), r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+(?=\d)", "")
-    t = F.regexp_replace(t, r"\b(?:UT|GMT|Z)$", "+0000")
-    zones = {"EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
-    for name, offset in zones.items():
-        t = F.regexp_replace(t, rf"\b{name}$", offset)
-    four = F.when(t.rlike(r"\d{4}"), t)
-    rfc = [F.try_to_timestamp(four, F.lit(p)) for p in ("d MMM yyyy HH:mm:ss xx", "d MMM yyyy HH:mm xx", "d MMM yyyy HH:mm:ss", "d MMM yyyy")]
-    iso = [F.try_to_timestamp(F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), F.regexp_replace(t, r"\+0000$", "Z"))), F.try_to_timestamp(F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t), F.lit("yyyy-MM-dd")), F.try_to_timestamp(F.when(t.rlike(r"^\d{8}$"), t), F.lit("yyyyMMdd")), F.try_to_timestamp(F.when(t.rlike(r"^\d{4}-\d{2}$"), t), F.lit("yyyy-MM")), F.try_to_timestamp(F.when(t.rlike(r"^\d{4}$"), t), F.lit("yyyy"))]
-    return F.coalesce(*iso, *rfc)
+    """The time of a date in RFC 822, ISO 8601, asctime or American form and near them; null where none fits.
+
+    Years of two digits lie from 1969 to 2068, a month's missing days run into the next month, hours
+    above 24, minutes above 59 and seconds above 60 are no date.  A form is tried only where none before it fitted.
+    """
+    once = lambda v, use: F.get(F.transform(F.array(v), use), F.lit(0))
+
+    def parts(t: Column) -> Column:
+        found = F.when(t.isNull(), F.lit(None).cast("string"))
+        for form, places in DATES:
+            found = found.when(t.rlike(form), F.regexp_replace(t, form, places))
+        return F.split(found, r"\|", -1)
+
+    def number(text: Column) -> Column:
+        return F.coalesce(text.try_cast("int"), F.lit(0))
+
+    def stamp(p: Column) -> Column:
+        y, name = p[0].try_cast("int"), F.lower(p[1])
+        year = F.when(F.char_length(p[0]) > 2, y).when(y < 69, y + 2000).otherwise(y + 1900)
+        month = F.when(name.rlike(r"^\d+$"), name.try_cast("int"))
+        for k, names in enumerate(MONTHS, 1):
+            month = month.when(name.rlike(f"^(?:{names})"), k)
+        day, hour, minute, second, half = number(p[2]), number(p[3]), number(p[4]), number(p[5]), F.lower(p[7])
+        hour = F.when((half == "p") & (hour < 12), hour + 12).when((half == "a") & (hour == 12), 0).otherwise(hour)
+        zone = F.upper(p[6])
+        signed = F.when(zone.startswith("-"), -1).otherwise(1) * (number(F.substring(zone, 2, 2)) * 3600 + number(F.regexp_extract(zone, r"^...:?(\d{2})", 1)) * 60)
+        offset = F.when(zone.rlike("^[+-]"), signed)
+        for text, seconds in ZONES.items():
+            offset = offset.when(zone == text, seconds)
+        fine = month.between(1, 12) & (day >= 1) & (day <= F.when(F.size(p) > 8, 366).otherwise(31)) & (hour <= 24) & (minute <= 59) & (second <= 60)
+        days = F.unix_date(F.make_date(F.when(fine, year), F.when(fine, month), F.lit(1))).cast("long") + day - 1
+        return F.timestamp_seconds(days * 86400 + hour * 3600 + minute * 60 + second - F.coalesce(offset, F.lit(0)))
+
+    return once(once(ws_trim(c), parts), lambda p: F.when(p.isNotNull(), stamp(p)))
 
 
 def feed_type(root: Column, ns: Column) -> Column:
@@ -97,6 +143,12 @@ def tags(*candidates: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.coalesce(*lists, F.array().cast("array<string>")), lambda x: F.lower(ws_trim(x))), lambda x: x != ""))
 
 
+def keywords(c: Column) -> Column:
+    """Keywords between commas, else between blanks."""
+    by_comma = F.split(c, r"\s*,\s*")
+    return F.when(F.size(by_comma) > 1, by_comma).otherwise(F.split(ws_trim(c), r"\s+"))
+
+
 def link_score(kind: Column, rel: Column, href: Column, feed_href: Column | None = None, sole: Column | None = None) -> Column:
     """The score of a link; with ``feed_href`` as for a feed, else as for an entry."""
     rule = lambda c, v: F.when(F.coalesce(c, F.lit(False)), v).otherwise(0)

@@ -33,8 +33,8 @@ def escape_entities(c: Column) -> Column:
 
 
 def unescape_named(c: Column) -> Column:
-    """The five XML entities, ampersand written as a number first."""
-    return _chain(c, [("&#38;", "&amp;"), ("&#x26;", "&amp;"), ("&quot;", '"'), ("&gt;", ">"), ("&lt;", "<"), ("&apos;", "'"), ("&amp;", "&")])
+    """The five XML entities, the ampersand first, also written as a number."""
+    return _chain(c, [("&#38;", "&amp;"), ("&#x26;", "&amp;"), ("&amp;", "&"), ("&quot;", '"'), ("&gt;", ">"), ("&lt;", "<"), ("&apos;", "'")])
 
 
 def unescape_entities(c: Column) -> Column:
@@ -55,7 +55,10 @@ def strip_tags(c: Column) -> Column:
 
 
 def plain_text(c: Column) -> Column:
-    return _chain(unescape_named(strip_tags(c)), [("&#8216;", "'"), ("&#8217;", "'"), ("&#8220;", '"'), ("&#8221;", '"')])
+    """Without tags, entities and references decoded, curly quotes that were escaped twice as plain ones."""
+    t = strip_tags(c)
+    bare = F.when(t.contains("&#"), unescape_entities(t)).otherwise(unescape_named(t))
+    return _chain(bare, [("&#8216;", "'"), ("&#8217;", "'"), ("&#8220;", '"'), ("&#8221;", '"')])
 
 
 def indent(c: Column, spaces: int = 2) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +20,10 @@ def is_uri(c: Column) -> Column:
 
 def normalize_url(c: Column) -> Column:
     """Schemes of feed readers become http, a bare host gets one, scripts become #."""
-    t = ws_trim(c)
+    return _once(ws_trim(c), _normalized)
+
+
+def _normalized(t: Column) -> Column:
     u = F.regexp_replace(t, r"^(?i)javascript:.*$", "#")
     u = F.regexp_replace(u, r"^(?:feed|rss|mms|htp|http)?:?/{0,3}(?:feed|rss|htp|http):/{0,3}", "http://")
     u = F.regexp_replace(u, r"^(?:feed|rss|mms|htp):/{0,3}", "http://")
@@ -28,21 +34,83 @@ def normalize_url(c: Column) -> Column:
     return F.when(t == "", F.lit("")).otherwise(F.nullif(u, F.lit("http://")))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value planned once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+_HEAD = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*"
+_END = r"(?=[/?#]|$)"
+STEPS = 12
+
+
+def without_dots(url: Column) -> Column:
+    """An address without the segments ``.`` and ``..`` of its path, up to ``STEPS`` of them, after RFC 3986.
+
+    A chain of replacements: its plan grows with the steps only, wherever it is used.
+    """
+    u = F.regexp_replace(url, _HEAD + r"[^?#]*/\.\.?)(?=[?#]|$)", "$1/")
+    for _ in range(STEPS):  # the first one to go has none before it
+        u = F.regexp_replace(u, _HEAD + rf"(?:/(?!\.\.?{_END})[^/?#]*)*?)(?:/\.{_END}|/(?!\.\.?{_END})[^/?#]*/\.\.{_END})", "$1")
+        u = F.regexp_replace(u, _HEAD + rf")/\.\.{_END}", "$1")
+    return u
+
+
+def normalize_http(c: Column) -> Column:
+    """Scheme and host of an http address in lower case, no default port, no dot segments."""
+    parts = r"^([A-Za-z]+)://([^/?#]*)([^?#]*)(.*)$"
+
+    def rebuilt(u: Column) -> Column:
+        scheme, authority = F.lower(F.regexp_extract(u, parts, 1)), F.regexp_extract(u, parts, 2)
+        user = F.regexp_extract(authority, "^(.*@)", 1)
+        named = F.lower(F.substring(authority, F.char_length(user) + 1, F.char_length(authority)))
+        bare = F.when(scheme == "https", F.regexp_replace(named, ":(?:443)?$", "")).otherwise(F.regexp_replace(named, ":(?:80)?$", ""))
+        return without_dots(F.concat(scheme, F.lit("://"), user, bare, F.regexp_extract(u, parts, 3), F.regexp_extract(u, parts, 4)))
+
+    return F.when(c.rlike("^(?i:https?)://[^/?#]"), rebuilt(c)).otherwise(c)
+
+
+def canonical_url(c: Column) -> Column:
+    """``normalize_url`` and ``normalize_http``: one spelling of an address."""
+    return normalize_http(normalize_url(c))
+
+
+def _to_ascii(urls: pd.Series) -> pd.Series:
+    def one(u):
+        m = None if u is None else re.match(r"([A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?)([^/?#:]+)(.*)", u, re.S)
+        if not m or m[2].isascii():
+            return u
+        try:
+            return m[1] + m[2].encode("idna").decode("ascii") + m[3]
+        except UnicodeError:
+            return u
+
+    return pd.Series([one(u) for u in urls], dtype=object)
+
+
+def ascii_host(c: Column) -> Column:
+    """The address with an international host name in its ASCII form; the others' path has no Python result."""
+    return F.pandas_udf(_to_ascii, "string")(c)
+
+
 def host(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
 
 
 def resolve(base: Column, ref: Column) -> Column:
-    """Absolute, host-relative, root-relative and document-relative references."""
+    """Absolute, host-relative, root-relative and document-relative references, without dot segments."""
+    return _once(F.named_struct(F.lit("base"), base, F.lit("ref"), ref), lambda x: _resolved(x["base"], x["ref"]))
+
+
+def _resolved(base: Column, ref: Column) -> Column:
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     bare = F.regexp_replace(base, r"[?#].*$", "")
     folder = F.when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]+$"), F.concat(bare, F.lit("/"))).otherwise(F.regexp_replace(bare, r"[^/]*$", ""))
     return (
         F.when(ref.isNull() | base.isNull() | base.startswith("file:") | is_uri(ref), ref)
-        .when(ref.startswith("//"), F.concat(scheme, ref)).when(ref.startswith("/"), F.concat(origin, ref))
         .when(ref.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), ref)).when(ref.startswith("?"), F.concat(bare, ref))
-        .otherwise(F.concat(folder, ref))
+        .otherwise(without_dots(F.when(ref.startswith("//"), F.concat(scheme, ref)).when(ref.startswith("/"), F.concat(origin, ref)).otherwise(F.concat(folder, ref))))
     )
 
 

@@ -53,7 +53,7 @@ def q_html_strip_tags(spark, sf_dir):
 
 
 ESCAPE = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
-UNESCAPE = "replace(replace(replace(replace(replace(replace(replace({0}, '&#38;', '&amp;'), '&#x26;', '&amp;'), '&quot;', '\"'), '&gt;', '>'), '&lt;', '<'), '&apos;', ''''), '&amp;', '&')"
+UNESCAPE = "replace(replace(replace(replace(replace(replace(replace({0}, '&#38;', '&amp;'), '&#x26;', '&amp;'), '&amp;', '&'), '&quot;', '\"'), '&gt;', '>'), '&lt;', '<'), '&apos;', '''')"
 
 
 @query(f"SELECT page_id, md5({ESCAPE.format('html')}) AS digest FROM pages")

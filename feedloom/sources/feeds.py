@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.config import DEFAULTS, Settings
 from feedloom.functions import fields
 from feedloom.functions.text import escape_entities as esc
 from feedloom.functions.text import unescape_entities
 from feedloom.functions.uri import favicon, is_uri, normalize_url, resolve
 
+from feedloom.operators.relate import estimate_times
+
 from . import media
-from .shred import attribute, children, construct_html, decode_bytes, first_node, first_text, let, plain_html, shredded
+from .shred import _named, attribute, children, construct_html, decode_bytes, first_node, first_text, let, plain_html, shredded
 
 # Ordered names of the elements that hold a column; the first that isn't blank wins.
-FEED_TITLE = ("title", "channeltitle")
-ITEM_TITLE = ("title", "headline")
-SUBTITLE = ("subtitle", "tagline", "description", "summary", "abstract", "content:encoded", "encoded", "content", "body", "div", "payload", "channeldescription", "blurb", "info")
-CONTENT = ("content", "datacontent", "body", "div", "payload", "content:encoded", "fullitem", "encoded", "description", "tagline", "subtitle", "summary", "abstract", "blurb", "info")
-SUMMARY = ("summary", "abstract", "blurb", "description", "tagline", "subtitle", "body", "div", "payload", "fullitem", "content:encoded", "encoded", "content", "info", "datacontent")
+FEED_TITLE = ("title", "dc:title", "channeltitle")
+ITEM_TITLE = ("title", "dc:title", "headline")
+SUBTITLE = ("subtitle", "tagline", "description", "summary", "abstract", "content:encoded", "encoded", "content", "xhtml:body", "body", "xhtml:div", "div", "payload", "channeldescription", "blurb", "info")
+CONTENT = ("content", "datacontent", "xhtml:body", "body", "xhtml:div", "div", "payload", "content:encoded", "fullitem", "encoded", "description", "tagline", "subtitle", "summary", "abstract", "blurb", "info")
+SUMMARY = ("summary", "abstract", "blurb", "description", "tagline", "subtitle", "xhtml:body", "body", "xhtml:div", "div", "payload", "fullitem", "content:encoded", "encoded", "content", "info", "datacontent")
 TIME = ("updated", "modified", "time", "lastbuilddate", "issued", "published", "dc:date", "pubdate", "date")
 UPDATED = ("updated", "modified", "lastbuilddate")
 PUBLISHED_FEED = ("published", "dc:date", "pubdate", "issued")
@@ -28,29 +34,46 @@ RIGHTS = ("copyright", "copyrights", "dc:rights", "rights")
 ENTRIES = ("entry", "item", "story")
 
 
-def links(nodes: Column, parent: Column, base: Column, rel: Column | None = None) -> Column:
-    """Links of a feed or an entry; ``rel`` stands where a link names none."""
-    found = children(nodes, parent, "link", "channellink", "a", "url", "href")
+def named(**fields_: Column) -> Column:
+    """A struct of these fields; its names also hold inside nested lambdas."""
+    return F.named_struct(*[c for name, value in fields_.items() for c in (F.lit(name), value)])
+
+
+LINKS = ("link", "channellink", "a", "url", "href")
+
+
+def all_children(nodes: Column, parent: Column, *names: str) -> Column:
+    """Children of any of these names, in the document's order."""
+    named = [_named(parent, name) for name in names]
+    return F.filter(nodes, lambda n: reduce(or_, [same(n) for same in named]))
+
+
+def links(nodes: Column, parent: Column, base: Column, rel: Column | None = None, settings: Settings = DEFAULTS) -> Column:
+    """Links of a feed or an entry; ``rel`` stands where a link names none, a title equal to the address is none."""
     default = F.lit(None).cast("string") if rel is None else rel
-    return F.transform(
-        found,
-        lambda n: F.struct(
-            let(resolve(base, F.coalesce(attribute(n, "href", "url"), F.nullif(n["text"], F.lit("")))), normalize_url).alias("href"),
-            F.coalesce(F.lower(attribute(n, "rel")), default).alias("rel"), F.lower(attribute(n, "type")).alias("type"), F.lower(attribute(n, "hreflang")).alias("hreflang"), attribute(n, "title").alias("title"), attribute(n, "length").try_cast("long").alias("length"),
-        ),
-    )
+    normal = normalize_url if settings.url_normalization_enabled else (lambda u: u)
+
+    def link(n: Column) -> Column:
+        href = let(resolve(F.coalesce(n["base"], base), F.coalesce(attribute(n, "href", "url"), F.nullif(n["text"], F.lit("")))), normal)
+        return named(href=href, rel=F.coalesce(F.lower(attribute(n, "rel")), default), type=F.lower(attribute(n, "type")), hreflang=F.lower(attribute(n, "hreflang")), title=attribute(n, "title"), length=attribute(n, "length").try_cast("long"))
+
+    return F.filter(F.transform(all_children(nodes, parent, *LINKS), link), lambda x: F.coalesce(x["href"], F.lit("")) != "")
+
 
+def person(nodes: Column, parent: Column, names: tuple[str, ...], other: Column | None = None) -> Column:
+    """The person of the first of these elements; ``other`` names one where neither name nor mail is given."""
+    known = lambda name: F.nullif(F.regexp_replace(name, r"(?i)^\(author unknown\)$", ""), F.lit(""))
+    rest = [] if other is None else [other]
 
-def person(nodes: Column, parent: Column, names: tuple[str, ...]) -> Column:
     def of(node: Column) -> Column:
         parsed = fields.author(F.nullif(node["text"], F.lit("")))
         return let(
             parsed,
-            lambda p: F.struct(
-                F.coalesce(first_text(nodes, node["id"], "name"), attribute(node, "name"), p["name"]).alias("name"),
-                F.coalesce(first_text(nodes, node["id"], "email"), attribute(node, "email"), p["email"]).alias("email"),
-                F.coalesce(first_text(nodes, node["id"], "url", "uri"), attribute(node, "url", "uri", "href")).alias("href"),
-                p["raw"].alias("raw"),
+            lambda p: named(
+                name=known(F.coalesce(first_text(nodes, node["id"], "name"), attribute(node, "name"), p["name"], *[F.when(p["email"].isNull(), o) for o in rest])),
+                email=F.coalesce(first_text(nodes, node["id"], "email"), attribute(node, "email"), p["email"]),
+                href=F.coalesce(first_text(nodes, node["id"], "url", "uri"), attribute(node, "url", "uri", "href")),
+                raw=F.coalesce(p["raw"], *rest),
             ),
         )
 
@@ -108,21 +131,44 @@ def _chosen(built: dict, columns: list[str] | None) -> list[Column]:
     return [built[c]().alias(c) for c in names]
 
 
-def feeds(docs: DataFrame, xml: str = "xml", key: str = "feed_key", columns: list[str] | None = None) -> DataFrame:
+def base_of(nodes: Column, channel: Column) -> Column:
+    """A feed's base address: the channel's own, else the root's; that of a redirecting host gives way to the link."""
+    named = F.get(children(nodes, channel["id"], "base"), F.lit(0))
+    return F.coalesce(attribute(channel, "base"), attribute(named, "href"), F.nullif(named["text"], F.lit("")), channel["base"], F.get(nodes, F.lit(0))["base"])
+
+
+def _itunes_author(nodes: Column, parent: Column) -> Column:
+    return let(first_text(nodes, parent, "itunes:author"), unescape_entities)
+
+
+def _or_feed(own: str, feed: str) -> Column:
+    """The entry's person where it has a name, mail or address, else its feed's."""
+    return F.when(F.coalesce(F.col(f"{own}.name"), F.col(f"{own}.email"), F.col(f"{own}.href")).isNotNull(), F.col(own)).otherwise(F.col(feed))
+
+
+def _explicit(nodes: Column, parent: Column) -> Column:
+    return F.coalesce(first_text(nodes, parent, "media:adult", "itunes:explicit").isin("true", "yes"), F.lit(False))
+
+
+def feeds(docs: DataFrame, xml: str = "xml", key: str = "feed_key", columns: list[str] | None = None, settings: Settings = DEFAULTS, as_of: Column | None = None) -> DataFrame:
     """One typed row per document, with these columns or all.
 
+    With ``as_of`` a feed without a time gets that one (where the settings estimate times).
+
     ``title``, ``subtitle`` and ``rights`` hold plain text; the columns that
     end in ``_html`` hold the whole construct as sanitised HTML.
     """
     rows = channels(docs, xml)
     n, ch, channel = F.col("nodes"), F.col("channel.id"), F.col("channel")
     kind = fields.feed_type(F.col("root"), F.col("root_ns"))
-    rows = rows.withColumns({"feed_type": kind, "base_uri": F.coalesce(attribute(channel, "base", "xml:base"), first_text(n, ch, "base"))})
+    known = F.col("href").cast("string") if "href" in docs.columns else F.lit(None).cast("string")
+    rows = rows.withColumns({"feed_type": kind, "base_uri": F.coalesce(base_of(n, channel), known), "known_href": known})
     kind, base = F.col("feed_type"), F.col("base_uri")
     atom = F.coalesce(kind == "atom", F.lit(False))
-    rows = rows.withColumn("links", links(n, ch, base, F.when(atom, F.lit("alternate"))))
+    rows = rows.withColumn("links", links(n, ch, base, F.when(atom, F.lit("alternate")), settings))
     about = normalize_url(attribute(channel, "href", "rdf:about", "about"))
-    rows = rows.withColumn("link", F.coalesce(fields.best_link(F.col("links"), F.lit(None).cast("string")), about))
+    by_id = let(first_text(n, ch, "id", "guid"), lambda g: F.when(g.startswith("http"), g))
+    rows = rows.withColumn("link", F.coalesce(fields.best_link(F.col("links"), F.coalesce(F.col("known_href"), F.lit(""))), about, by_id))
     root = F.get(n, F.lit(0))
     child_ns = F.get(F.filter(n, lambda x: (x["name"] == "channel") & (x["ns"] != "")), F.lit(0))["ns"]
     ns = F.coalesce(F.when(F.col("root_ns").endswith("22-rdf-syntax-ns#"), child_ns).otherwise(F.col("root_ns")), F.lit(""))
@@ -130,14 +176,15 @@ def feeds(docs: DataFrame, xml: str = "xml", key: str = "feed_key", columns: lis
     def href() -> Column:
         link = F.col("link")
         own = F.get(F.filter("links", lambda x: (x["rel"] == "self") & (~x["href"].eqNullSafe(link) | x["href"].rlike("xml|atom|feed"))), F.lit(0))["href"]
-        named = [*[attribute(F.get(children(n, ch, "feed"), F.lit(0)), a) for a in ("rdf:resource", "resource")], attribute(channel, "rdf:about", "about"), first_text(n, ch, "newlocation")]
-        rest = F.coalesce(*[let(normalize_url(c), lambda u: F.when(u.rlike("^https?:"), u)) for c in named])
-        return F.coalesce(own, let(rest, lambda u: F.when(~u.eqNullSafe(link), u)))
+        named = [*[attribute(F.get(children(n, ch, "admin:feed", "feed"), F.lit(0)), a) for a in ("rdf:resource", "resource")], attribute(channel, "rdf:about", "about"), first_text(n, ch, "newlocation")]
+        rest = normalize_url(F.coalesce(*[F.when(c.rlike("^(?i:https?|feed):"), c) for c in named]))
+        kept = F.when(F.col("known_href").rlike("^https?:"), F.col("known_href"))
+        return F.coalesce(kept, own, let(rest, lambda u: F.when(~u.eqNullSafe(link), u)))
 
     def icon() -> Column:
         found = F.filter(n, lambda x: (x["parent"] == ch) & (((x["name"] == "link") & (F.lower(attribute(x, "rel")).isin("icon", "shortcut icon") | (attribute(x, "type") == "image/x-icon"))) | (x["name"] == "icon") | ((x["name"] == "logo") & (F.lower(attribute(x, "style")) == "icon"))))
-        first = F.get(found, F.lit(0))
-        return let(resolve(F.coalesce(channel["base"], base), F.coalesce(attribute(first, "href"), F.nullif(first["text"], F.lit("")))), lambda u: F.when(is_uri(u), u))
+        ref = let(F.get(found, F.lit(0)), lambda first: F.coalesce(attribute(first, "href"), F.nullif(first["text"], F.lit(""))))
+        return let(resolve(F.coalesce(channel["base"], base), ref), lambda u: F.when(is_uri(u), u))
 
     def cloud() -> Column:
         of = lambda c: F.struct(attribute(c, "domain").alias("domain"), attribute(c, "path").alias("path"), F.nullif(attribute(c, "port").try_cast("int"), F.lit(0)).alias("port"), attribute(c, "protocol").alias("protocol"), attribute(c, "registerprocedure").alias("register_procedure"))
@@ -150,47 +197,92 @@ def feeds(docs: DataFrame, xml: str = "xml", key: str = "feed_key", columns: lis
         of = lambda i: F.struct(first_text(n, i["id"], "title").alias("title"), F.coalesce(first_text(n, i["id"], "url"), attribute(i, "rdf:resource", "href"), F.nullif(i["text"], F.lit(""))).alias("href"), first_text(n, i["id"], "link").alias("link"))
         return let(F.get(children(n, ch, "image", "logo"), F.lit(0)), of)
 
+    def schedule() -> Column:
+        """The sum of a schedule's interval, in seconds."""
+        every = let(F.get(children(n, ch, "schedule"), F.lit(0)), lambda x: F.get(children(n, x["id"], "intervaltime"), F.lit(0)))
+        return let(every, lambda x: reduce(Column.__add__, [F.coalesce(attribute(x, a).try_cast("long"), F.lit(0)) * k for a, k in (("day", 86400), ("hour", 3600), ("min", 60), ("sec", 1))]))
+
+    def ttl() -> Column:
+        period, often = first_text(n, ch, "syn:updateperiod", "updateperiod"), first_text(n, ch, "syn:updatefrequency", "updatefrequency").try_cast("int")
+        return fields.time_to_live(period, often, first_text(n, ch, "ttl").try_cast("int"), attribute(F.get(children(n, ch, "ttl"), F.lit(0)), "span"), settings.default_ttl, settings.max_ttl or 2**40, schedule())
+
+    if columns is None or {"href", "favicon"} & set(columns):
+        rows = rows.withColumn("own_href", href())
+    now = [] if as_of is None or not settings.timestamp_estimation_enabled else [as_of]
     built = {
         key: lambda: F.col(key), "well_formed": lambda: F.col("well_formed"), "feed_type": lambda: kind,
         "feed_version": lambda: fields.feed_version(kind, ns, attribute(root, "version")),
-        "id": lambda: first_text(n, ch, "id", "guid"), "href": href, "title": lambda: first_text(n, ch, *FEED_TITLE), "subtitle": lambda: first_text(n, ch, *SUBTITLE),
+        "id": lambda: first_text(n, ch, "id", "guid"), "href": lambda: F.col("own_href"), "title": lambda: first_text(n, ch, *FEED_TITLE), "subtitle": lambda: first_text(n, ch, *SUBTITLE),
         "title_html": lambda: html(n, ch, FEED_TITLE, atom, base), "subtitle_html": lambda: html(n, ch, SUBTITLE, atom, base),
-        "link": lambda: F.col("link"), "links": lambda: F.col("links"), "base_uri": lambda: base, "icon": icon,
-        "favicon": lambda: F.coalesce(favicon(F.col("link")), F.when(F.col("link").isNotNull(), let(href(), favicon))),
-        "author": lambda: person(n, ch, AUTHOR), "publisher": lambda: person(n, ch, ("webmaster", "dc:publisher")), "itunes_author": lambda: let(first_text(n, ch, "itunes:author"), unescape_entities),
+        "link": lambda: F.col("link"), "links": lambda: F.col("links"), "base_uri": lambda: F.when(base.contains("feedburner"), F.coalesce(F.col("link"), base)).otherwise(base), "icon": icon,
+        "favicon": lambda: F.coalesce(favicon(F.col("link")), F.when(F.col("link").isNotNull(), favicon(F.col("own_href")))),
+        "author": lambda: person(n, ch, AUTHOR, first_text(n, ch, "itunes:author")), "publisher": lambda: person(n, ch, ("webmaster", "dc:publisher")), "itunes_author": lambda: _itunes_author(n, ch),
         "itunes_summary": lambda: plain(n, "itunes:summary", ch, root["id"]), "itunes_subtitle": lambda: plain(n, "itunes:subtitle", ch, root["id"]), "media_text": lambda: plain(n, "media:text", ch, root["id"]),
-        "time": lambda: let(first_text(n, ch, *TIME), fields.parse_date), "updated": lambda: let(first_text(n, ch, *UPDATED), fields.parse_date), "published": lambda: let(first_text(n, ch, *PUBLISHED_FEED), fields.parse_date),
+        "time": lambda: F.coalesce(let(first_text(n, ch, *TIME), fields.parse_date), *now), "updated": lambda: let(first_text(n, ch, *UPDATED), fields.parse_date), "published": lambda: let(first_text(n, ch, *PUBLISHED_FEED), fields.parse_date),
         "categories": lambda: categories(n, ch), "rights": lambda: first_text(n, ch, *RIGHTS), "rights_html": lambda: html(n, ch, RIGHTS, atom, base),
         "licenses": lambda: licenses(F.col("links")), "license": lambda: F.get(licenses(F.col("links")), F.lit(0)),
-        "generator": lambda: first_text(n, ch, "generator"), "docs": lambda: first_text(n, ch, "docs"),
+        "generator": lambda: first_text(n, ch, "generator"), "docs": lambda: resolve(base, first_text(n, ch, "docs")),
         "language": lambda: fields.language(first_text(n, ch, "language"), first_text(n, ch, "dc:language"), attribute(channel, "xml:lang"), attribute(root, "xml:lang")),
-        "time_to_live": lambda: fields.time_to_live(first_text(n, ch, "updateperiod"), first_text(n, ch, "updatefrequency").try_cast("int"), first_text(n, ch, "ttl").try_cast("int"), attribute(F.get(children(n, ch, "ttl"), F.lit(0)), "span")),
-        "explicit": lambda: F.coalesce(first_text(n, ch, "media:adult", "itunes:explicit").isin("true", "yes"), F.lit(False)),
+        "time_to_live": ttl, "explicit": lambda: _explicit(n, ch),
         "image": image, "images": lambda: images(n, ch, base, F.col("links")), "cloud": cloud, "text_input": text_input,
     }
     return rows.select(*_chosen(built, columns))
 
 
-def entries(docs: DataFrame, xml: str = "xml", key: str = "feed_key", columns: list[str] | None = None) -> DataFrame:
+def entries(docs: DataFrame, xml: str = "xml", key: str = "feed_key", columns: list[str] | None = None, settings: Settings = DEFAULTS, as_of: Column | None = None) -> DataFrame:
     """One typed row per entry with its place in the document, with these columns or all.
 
     An entry carries its own nodes only, so the work is in proportion to a
-    document's nodes.  Columns that end in ``_html`` hold the whole construct as
-    sanitised HTML, the others plain text.
+    document's nodes, and of its feed what it inherits: author and publisher where
+    it has none, the base address, the explicit flag, type and version.  Columns that
+    end in ``_html`` hold the whole construct as sanitised HTML, the others plain text.
+    With ``as_of`` missing times are estimated from the neighbours (where the settings say so).
     """
     rows = channels(docs, xml)
-    n = F.col("nodes")
-    found = F.coalesce(*[F.when(F.size(h) > 0, h) for p in (F.col("channel.id"), F.lit(0)) for h in (children(n, p, *ENTRIES),)])
+    n, ch, channel = F.col("nodes"), F.col("channel.id"), F.col("channel")
+
+    def at(parent: Column, *names: str) -> Column:
+        return children(n, parent, *names)
+
+    inside = lambda parent: F.filter(n, lambda x: (x["name"] == "item") & F.exists(at(parent, "items"), lambda i: i["id"] == x["parent"]))
+    root = F.lit(0)
+    sources = [at(ch, "entry"), at(root, "item"), inside(root), at(root, "entry", "story"), at(ch, "item"), inside(ch), at(ch, "story")]
+    found = F.coalesce(*[F.when(F.size(h) > 0, h) for h in sources])
     own = F.transform(found, lambda x: F.struct(x.alias("item"), F.slice(n, x["id"] + 1, x["last"] - x["id"] + 1).alias("nodes")))
-    atom = F.coalesce(fields.feed_type(F.col("root"), F.col("root_ns")) == "atom", F.lit(False))
-    items = rows.select(key, atom.alias("atom"), F.posexplode(own).alias("doc_pos", "x")).select(key, "atom", "doc_pos", "x.item", "x.nodes")
-    i, item, base, atom = F.col("item.id"), F.col("item"), F.col("item.base"), F.col("atom")
-    items = items.withColumn("links", links(n, i, base))
-    guid = lambda: first_text(n, i, "original-id", "id", "guid")
+    kind = fields.feed_type(F.col("root"), F.col("root_ns"))
+    inherited = {
+        "f_base": lambda: F.coalesce(base_of(n, channel), F.col("href") if "href" in docs.columns else F.lit(None).cast("string")),
+        "f_author": lambda: person(n, ch, AUTHOR, first_text(n, ch, "itunes:author")), "f_publisher": lambda: person(n, ch, ("webmaster", "dc:publisher")), "f_itunes_author": lambda: _itunes_author(n, ch), "f_explicit": lambda: _explicit(n, ch),
+        "f_version": lambda: fields.feed_version(kind, F.coalesce(F.col("root_ns"), F.lit("")), attribute(F.get(n, F.lit(0)), "version")),
+    }
+    uses = {"author": "f_author", "publisher": "f_publisher", "itunes_author": "f_itunes_author", "explicit": "f_explicit", "enclosures": "f_explicit", "feed_version": "f_version"}
+    needed = ["f_base", *sorted({uses[c] for c in (columns or uses) if c in uses})]
+    items = rows.select(key, kind.alias("feed_type"), *[inherited[c]().alias(c) for c in needed], F.posexplode(own).alias("doc_pos", "x")).select(key, "feed_type", *needed, "doc_pos", "x.item", "x.nodes")
+    i, item, atom = F.col("item.id"), F.col("item"), F.coalesce(F.col("feed_type") == "atom", F.lit(False))
+    base = F.coalesce("item.base", "f_base")
+    first_enclosure = normalize_url(F.coalesce(attribute(F.get(children(n, i, "enclosure"), F.lit(0)), "url", "href"), attribute(F.get(children(n, i, "media:content"), F.lit(0)), "url")))
+    given = links(n, i, base, settings=settings)
+    alone = F.filter(F.array(named(href=first_enclosure, **{c: F.lit(None).cast("string") for c in ("rel", "type", "hreflang", "title")}, length=F.lit(None).cast("long"))), lambda x: x["href"].isNotNull())
+    items = items.withColumn("links", let(given, lambda g: F.when(F.size(g) > 0, g).otherwise(alone)))
+    duration = lambda: let(first_text(n, i, "itunes:duration"), lambda d: F.when(d.isNotNull(), fields.duration(d)))
+    wanted = set(columns or uses) | set(columns or ())
+    staged = {"author": {"e_author": lambda: person(n, i, (*AUTHOR, "creator"), first_text(n, i, "itunes:author"))}, "publisher": {"e_publisher": lambda: person(n, i, ("dc:publisher", "webmaster"))}}
+    staged["enclosures"] = {"e_categories": lambda: media.itunes_categories(n, i), "e_explicit": lambda: _explicit(n, i) | F.col("f_explicit"), "e_summary": lambda: first_text(n, i, "itunes:summary"), "e_duration": duration}
+    items = items.withColumns({name: make() for c, made in staged.items() if c in wanted for name, make in made.items()})
+    if "enclosures" in wanted:
+        items = items.withColumn("e_enclosures", media.enclosures(n, i, F.col("e_explicit"), F.col("e_summary"), F.col("e_categories")))
+    guid = lambda: first_text(n, i, "gr:original-id", "original-id", "id", "guid")
 
     def link() -> Column:
         about = normalize_url(attribute(item, "href", "rdf:about", "about"))
-        return F.coalesce(fields.best_link(F.col("links")), about, let(guid(), lambda g: F.when(g.startswith("http"), g)), first_text(n, i, "comments"))
+        return F.coalesce(fields.best_link(F.col("links")), about, let(guid(), lambda g: F.when(g.startswith("http"), g)), comments())
+
+    def comments() -> Column:
+        return resolve(base, first_text(n, i, "comments"))
+
+    def title() -> Column:
+        t = first_text(n, i, *ITEM_TITLE)
+        return F.btrim(F.regexp_replace(t, r"\[\d*\]\s*$", "")) if settings.strip_comment_count else t
 
     def itunes_image() -> Column:
         other = F.filter(children(n, i, "itunes:link"), lambda x: attribute(x, "rel") == "image")
@@ -199,30 +291,56 @@ def entries(docs: DataFrame, xml: str = "xml", key: str = "feed_key", columns: l
     def source() -> Column:
         return let(F.get(children(n, i, "source"), F.lit(0)), lambda s: F.struct(attribute(s, "url").alias("href"), F.nullif(s["text"], F.lit("")).alias("title")))
 
+    def author() -> Column:
+        return _or_feed("e_author", "f_author")
+
+    def publisher() -> Column:
+        return _or_feed("e_publisher", "f_publisher")
+
+    def time() -> Column:
+        """Its date, else that of a title that is one."""
+        stated = first_text(n, i, *TIME, "lastupdated")
+        by_title = fields.parse_date(F.when(stated.isNull() & title().rlike(r"\d"), title())) if settings.timestamp_estimation_enabled else F.lit(None).cast("timestamp")
+        return F.coalesce(fields.parse_date(stated), by_title)
+
+    def enclosures() -> Column:
+        """A sole enclosure without a duration has the entry's."""
+        es = F.col("e_enclosures")
+        return F.when(F.size(es) == 1, F.transform(es, lambda e: e.withField("duration", F.coalesce(e["duration"], F.col("e_duration"))))).otherwise(es)
+
+    def tags() -> Column:
+        words = lambda nodes: F.filter(F.transform(nodes, lambda x: x["text"]), lambda t: t != "")
+        below = lambda name: F.filter(n, lambda x: (x["name"] == "li") & (x["depth"] == item["depth"] + 3) & F.exists(n, lambda a: (a["name"] == name) & (a["id"] < x["id"]) & (x["id"] <= a["last"])))
+        resource = F.filter(F.transform(below("topics"), lambda x: F.regexp_extract(attribute(x, "resource", "rdf:resource"), r"/tags?/(\w+)$", 1)), lambda t: t != "")
+        named = F.filter(F.transform(children(n, i, "category"), lambda x: F.coalesce(F.nullif(x["text"], F.lit("")), attribute(x, "term"))), lambda t: t.isNotNull())
+        return fields.tags(words(below("subject")), resource, named, words(children(n, i, "dc:subject")), fields.keywords(first_text(n, i, "itunes:keywords")))
+
     extra = ("media:text", "itunes:summary", "itunes:subtitle")
     built = {
-        key: lambda: F.col(key), "doc_pos": lambda: F.col("doc_pos"), "id": guid, "title": lambda: first_text(n, i, *ITEM_TITLE),
+        key: lambda: F.col(key), "doc_pos": lambda: F.col("doc_pos"), "id": guid, "title": title,
         "content": lambda: first_text(n, i, *CONTENT, *extra), "summary": lambda: first_text(n, i, *SUMMARY, *extra),
         "title_html": lambda: html(n, i, ITEM_TITLE, atom, base), "content_html": lambda: html(n, i, (*CONTENT, *extra), atom, base), "summary_html": lambda: html(n, i, (*SUMMARY, *extra), atom, base),
-        "links": lambda: F.col("links"), "link": link, "comments": lambda: first_text(n, i, "comments"),
-        "author": lambda: person(n, i, (*AUTHOR, "creator")), "publisher": lambda: person(n, i, ("dc:publisher", "webmaster")), "itunes_author": lambda: let(first_text(n, i, "itunes:author"), unescape_entities),
+        "links": lambda: F.col("links"), "link": link, "comments": comments, "base_uri": lambda: base, "feed_type": lambda: F.col("feed_type"), "feed_version": lambda: F.col("f_version"),
+        "author": author, "publisher": publisher, "itunes_author": lambda: F.coalesce(_itunes_author(n, i), "f_itunes_author"),
         "itunes_summary": lambda: plain(n, "itunes:summary", i), "itunes_subtitle": lambda: plain(n, "itunes:subtitle", i), "media_text": lambda: plain(n, "media:text", i),
         "categories": lambda: categories(n, i),
-        "time": lambda: let(first_text(n, i, *TIME, "lastupdated"), fields.parse_date), "updated": lambda: let(first_text(n, i, *UPDATED, "lastupdated"), fields.parse_date), "published": lambda: let(first_text(n, i, *PUBLISHED_ITEM), fields.parse_date),
+        "time": time, "updated": lambda: let(first_text(n, i, *UPDATED, "lastupdated"), fields.parse_date), "published": lambda: let(first_text(n, i, *PUBLISHED_ITEM), fields.parse_date),
         "images": lambda: images(n, i, base, F.col("links")), "itunes_image_link": itunes_image, "media_thumbnail_link": lambda: normalize_url(attribute(F.get(children(n, i, "media:thumbnail"), F.lit(0)), "url")),
         "rights": lambda: first_text(n, i, *RIGHTS), "rights_html": lambda: html(n, i, RIGHTS, atom, base), "licenses": lambda: licenses(F.col("links")), "license": lambda: F.get(licenses(F.col("links")), F.lit(0)), "source": source,
-        "enclosures": lambda: media.enclosures(n, i),
-        "itunes_duration": lambda: let(first_text(n, i, "itunes:duration"), lambda d: F.when(d.isNotNull(), fields.duration(d))),
-        "tags": lambda: fields.tags(F.transform(categories(n, i), lambda c: c["term"]), F.split(first_text(n, i, "itunes:keywords"), r"\s*,\s*")),
-        "explicit": lambda: F.coalesce(first_text(n, i, "media:adult", "itunes:explicit").isin("true", "yes"), F.lit(False)),
+        "enclosures": enclosures,
+        "itunes_duration": duration, "tags": tags, "explicit": lambda: _explicit(n, i) | F.col("f_explicit"),
     }
-    return items.select(*_chosen(built, columns))
+    out = items.select(*_chosen(built, columns))
+    if as_of is not None and settings.timestamp_estimation_enabled and {key, "doc_pos", "time"} <= set(out.columns):
+        out = estimate_times(out, as_of, key)
+    return out
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Files of any encoding: feed_key (path), xml."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    head = F.decode(F.substring(F.col("content"), F.lit(1), F.lit(200)), "ISO-8859-1")
+    # A declaration ends with its first sign; what stands before that is all that is read of the bytes.
+    head = F.decode(F.substring(F.col("content"), F.lit(1), F.instr(F.decode("content", "ISO-8859-1"), "?>") + 1), "ISO-8859-1")
     return raw.select(F.col("path").alias("feed_key"), decode_bytes("content", fields.encoding(F.lit(None).cast("string"), head)).alias("xml"))
 
 

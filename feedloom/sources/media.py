@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedloom.functions.uri import normalize_url
+from feedloom.operators.enclosures import itunes_path
 
 from .shred import attribute, children, let
 
@@ -116,8 +117,25 @@ NUMBERS = ("type", "file_size", "duration", "height", "width", "bitrate", "frame
 SHARED = ("thumbnail", "player", "hash", "categories", "credits", "text", "explicit")
 
 
-def enclosures(nodes: Column, item: Column, explicit: Column | None = None) -> Column:
-    """All enclosures of an entry, merged by address, groups folded to one each."""
+ITUNES = "http://www.apple.com/itunes/store/"
+
+
+def itunes_categories(nodes: Column, item: Column) -> Column:
+    """The paths of an entry's podcast categories, as categories of its enclosures."""
+
+    def path(c: Column) -> Column:
+        below = F.get(children(nodes, c["id"], "itunes:category"), F.lit(0))
+        return F.struct(itunes_path(attribute(c, "text"), attribute(below, "text")).alias("term"), F.lit(ITUNES).alias("scheme"), F.lit("iTunes Music Store Categories").alias("label"))
+
+    return F.transform(children(nodes, item, "itunes:category"), path)
+
+
+def enclosures(nodes: Column, item: Column, explicit: Column | None = None, summary: Column | None = None, podcast: Column | None = None) -> Column:
+    """All enclosures of an entry, merged by address, groups folded to one each.
+
+    What the entry says holds for its enclosures: ``explicit``, its ``podcast``
+    categories, its ``summary`` where one has no text.
+    """
     plain = F.concat(rss_enclosures(nodes, item), atom_enclosures(nodes, item), video_enclosures(nodes, item), media_enclosures(nodes, item))
 
     def joined(groups: Column) -> Column:
@@ -125,9 +143,13 @@ def enclosures(nodes: Column, item: Column, explicit: Column | None = None) -> C
         return F.concat(alone, groups)
 
     def clean(e: Column) -> Column:
-        given = e["explicit"] if explicit is None else F.coalesce(e["explicit"], F.lit(False)) | explicit
-        return F.struct(
-            *[(given if c == "explicit" else let(e["href"], normalize_url) if c == "href" else F.transform(e[c], normalize_url) if c == "versions" else e[c]).alias(c) for c in ("href", *NUMBERS, "is_default", "expression", *SHARED, "versions")],
-        )
+        own = {"href": let(e["href"], normalize_url), "versions": F.transform(e["versions"], normalize_url)}
+        if explicit is not None:
+            own["explicit"] = F.coalesce(e["explicit"], F.lit(False)) | explicit
+        if podcast is not None:
+            own["categories"] = F.when(F.size(podcast) > 0, F.array_distinct(F.concat(F.coalesce(e["categories"], F.slice(podcast, 1, 0)), podcast))).otherwise(e["categories"])
+        if summary is not None:
+            own["text"] = F.coalesce(e["text"], summary)
+        return F.struct(*[own.get(c, e[c]).alias(c) for c in ("href", *NUMBERS, "is_default", "expression", *SHARED, "versions")])
 
     return F.transform(let(group_enclosures(nodes, item), joined), clean)
