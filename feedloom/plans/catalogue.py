@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.config import DEFAULTS
 from feedloom.functions import fields, text, uri, xpath
 from feedloom.operators import enclosures, relate
 from feedloom.sources import feeds as xml_feeds
@@ -76,8 +77,7 @@ def q_html_plain_text(spark, sf_dir):
 
 @query("SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: '  ' || x), chr(10)) || chr(10)) AS digest FROM documents")
 def q_indent(spark, sf_dir):
-    lines = F.array_join(F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit("  "), x)), "\n")
-    return table(spark, sf_dir, "documents").select("doc_id", digest(F.concat(lines, F.lit("\n"))).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", digest(text.indent(F.col("text"))).alias("digest"))
 
 
 KIND = "(CASE page_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'html' WHEN 2 THEN 'xhtml' WHEN 3 THEN NULL ELSE 'application/x' END)"
@@ -510,6 +510,107 @@ def q_sanitize_pages(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", shred.sanitize(F.col("html"), F.col("url")).alias("html"))
 
 
+TERMS = ("http://www.itunes.com/dtds/podcast-1.0.dtd", "http://search.yahoo.com/mrss/", "http://purl.org/dc/elements/1.1/")
+
+
+def customer_feeds(spark, sf_dir):
+    """Orders as entries of their customer's feed, written by hand in RSS 2.0 with extensions; every third entry says all itself."""
+    o = table(spark, sf_dir, "orders").filter("o_custkey IS NOT NULL").select(F.col("o_custkey").alias("feed_key"), "o_orderkey", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("at"))
+    k = F.col("o_orderkey").cast("string")
+    put = lambda mark, *cs: F.concat(F.lit(f"<{mark}>"), *cs, F.lit(f"</{mark.split()[0]}>"))
+    when = F.date_format(F.timestamp_seconds("at"), "EEE MMM dd HH:mm:ss yyyy")
+    own = F.concat(put("author", F.lit("o"), k, F.lit("@example.com (Writer "), k, F.lit(")")), put("media:adult", F.lit("true")), put("dc:subject", F.lit(" A"), k), put("pubDate", when))
+    item = F.concat(
+        F.lit("<item><media:title>not this</media:title><itunes:author>not this</itunes:author>"), put("title", F.lit("Order "), k, F.lit("[7]")), put("link", F.lit("../x/./o"), k), F.lit('<enclosure url="http://m.example.org/'), k, F.lit('.mp3" length="9"/>'),
+        put("itunes:duration", F.lit("1:0"), F.col("o_orderkey") % 10), put("comments", F.lit("?c="), k), F.when(F.col("o_orderkey") % 3 == 0, own).otherwise(put("itunes:keywords", F.lit("b "), k)), F.lit("</item>"),
+    )
+    rows = o.groupBy("feed_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("item")))), lambda x: x["item"]), "").alias("items"))
+    head = F.concat(F.lit('<rss version="2.0" xmlns:itunes="%s" xmlns:media="%s" xmlns:dc="%s" xml:base="http://h.example.org/a/b/"><channel>' % TERMS), put("title", F.lit("C"), F.col("feed_key").cast("string")), put("managingEditor", F.lit("c"), F.col("feed_key").cast("string"), F.lit("@example.com")))
+    more = F.concat(F.lit("<webMaster>w@example.com (W)</webMaster>"), F.when(F.col("feed_key") % 2 == 0, F.lit("<itunes:explicit>yes</itunes:explicit>")).otherwise(""), F.lit('<schedule><intervaltime hour="2" min="'), F.col("feed_key") % 60, F.lit('"/></schedule>'), F.lit("<docs>../d</docs><dc:language>DE_at</dc:language><copyright>R</copyright>"))
+    return rows.select("feed_key", F.concat(head, more, "items", F.lit("</channel></rss>")).alias("xml"))
+
+
+OWN = "o_orderkey % 3 = 0"
+
+
+@query(f"""SELECT o_orderkey, 'Order ' || o_orderkey AS title, 'http://h.example.org/a/x/o' || o_orderkey AS link, 'http://h.example.org/a/b/?c=' || o_orderkey AS comments, CASE WHEN {OWN} THEN 'Writer ' || o_orderkey ELSE 'not this' END AS author,
+CASE WHEN {OWN} THEN 'o' || o_orderkey || '@example.com' END AS mail, 'w@example.com' AS publisher, ({OWN}) OR o_custkey % 2 = 0 AS explicit, CASE WHEN {OWN} THEN 'a' || o_orderkey ELSE 'b,' || o_orderkey END AS tags,
+CASE WHEN {OWN} THEN floor(epoch(o_orderdate))::BIGINT END AS t, 'http://m.example.org/' || o_orderkey || '.mp3' AS href, 9::BIGINT AS file_size, (60 + o_orderkey % 10)::BIGINT AS duration, 'http://h.example.org/a/b/' AS base_uri, 'rss' AS feed_type, 2.0::DOUBLE AS feed_version FROM orders""")
+def q_entries_full(spark, sf_dir):
+    """Entries with all that they say themselves and inherit."""
+    names = ["title", "link", "comments", "author", "publisher", "explicit", "tags", "time", "enclosures", "base_uri", "feed_type", "feed_version"]
+    e = xml_feeds.entries(customer_feeds(spark, sf_dir), columns=names, settings=DEFAULTS.with_options(strip_comment_count=True))
+    one = F.get("enclosures", F.lit(0))
+    return e.select(
+        F.regexp_extract("title", r"\d+", 0).cast("long").alias("o_orderkey"), "title", "link", "comments", "author.name", "author.email", F.col("publisher.email").alias("publisher"), "explicit", F.array_join("tags", ",").alias("tags"), F.unix_timestamp("time").alias("t"),
+        one["href"].alias("href"), one["file_size"].alias("file_size"), one["duration"].alias("duration"), "base_uri", "feed_type", "feed_version",
+    ).withColumnsRenamed({"name": "author", "email": "mail"})
+
+
+@query("SELECT o_custkey AS feed_key, 'C' || o_custkey AS title, 'c' || o_custkey || '@example.com' AS mail, 'W' AS publisher, o_custkey % 2 = 0 AS explicit, (7200 + 60 * (o_custkey % 60))::BIGINT AS time_to_live, 'http://h.example.org/a/d' AS docs, 'de-AT' AS language, 'R' AS rights, 'http://h.example.org/a/b/' AS base_uri FROM orders GROUP BY o_custkey")
+def q_feeds_full(spark, sf_dir):
+    """Feeds with persons, schedule, addresses and language."""
+    f = xml_feeds.feeds(customer_feeds(spark, sf_dir), columns=["feed_key", "title", "author", "publisher", "explicit", "time_to_live", "docs", "language", "rights", "base_uri"])
+    return f.select("feed_key", "title", F.col("author.email").alias("mail"), F.col("publisher.name").alias("publisher"), "explicit", "time_to_live", "docs", "language", "rights", "base_uri")
+
+
+@query(f"SELECT o_orderkey, coalesce(t, lead(t) OVER w + 1, lag(t) OVER w - 1, epoch(TIMESTAMP '{AS_OF}')::BIGINT)::BIGINT AS t FROM (SELECT o_orderkey, o_custkey, CASE WHEN {OWN} THEN floor(epoch(o_orderdate))::BIGINT END AS t FROM orders) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def q_entries_estimated(spark, sf_dir):
+    """Missing times estimated from the neighbours in the document."""
+    e = xml_feeds.entries(customer_feeds(spark, sf_dir), columns=["feed_key", "doc_pos", "title", "time"], as_of=F.lit(AS_OF).cast("timestamp"))
+    return e.select(F.regexp_extract("title", r"\d+", 0).cast("long").alias("o_orderkey"), F.unix_timestamp("time").alias("t"))
+
+
+DIALECTS = [
+    "EEE, dd MMM yy HH:mm:ss 'GMT'", "EEE, dd MMMM yyyy HH:mm:ss '+0000'", "EEE MMM dd HH:mm:ss 'UTC' yyyy", "EEE MMM dd HH:mm:ss yyyy", "MMMM d, yyyy hh:mm:ss a", "M/d/yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'", "yyyyMMdd'T'HHmmss'Z'", "dd-MMM-yyyy HH:mm:ss",
+]
+
+
+@query(f"SELECT event_id, floor(epoch(ts))::BIGINT AS seconds, floor(epoch(ts))::BIGINT + 18000 AS zoned, floor(epoch(date_trunc('minute', ts)))::BIGINT AS minutes, epoch(date_trunc('day', ts))::BIGINT AS ordinal, epoch(date_trunc('month', ts))::BIGINT AS month, event_id % {len(DIALECTS)} AS form FROM events")
+def q_dates_dialects(spark, sf_dir):
+    e, ts, form = event_entries(spark, sf_dir), F.col("ts"), F.col("event_id") % len(DIALECTS)
+    text = F.date_format(ts, DIALECTS[0])
+    for k, pattern in enumerate(DIALECTS[1:], 1):
+        text = F.when(form == k, F.date_format(ts, pattern)).otherwise(text)
+    of = lambda c: F.unix_timestamp(fields.parse_date(c))
+    return e.select(
+        "event_id", of(text).alias("seconds"), of(F.date_format(ts, "dd MMM yyyy HH:mm:ss 'EST'")).alias("zoned"), of(F.date_format(ts, "yyyy-MM-dd'T'HH:mm'Z'")).alias("minutes"), of(F.date_format(ts, "yyyy-DDD")).alias("ordinal"), of(F.date_format(ts, "yyyy-MM")).alias("month"), form.alias("form"),
+    )
+
+
+@query("SELECT c_custkey, 'T' || c_custkey AS title, 'http://h.example.org/' || c_custkey AS link, 1.1::DOUBLE AS feed_version FROM customer")
+def q_rss11(spark, sf_dir):
+    """RSS 1.1: entries inside ``items``, with a prefix bound to its namespace."""
+    k = F.col("c_custkey").cast("string")
+    item = F.concat(F.lit("<r:items><r:item><r:title>T"), k, F.lit("</r:title><r:link>http://h.example.org/"), k, F.lit("</r:link></r:item></r:items>"))
+    xml = F.concat(F.lit('<r:Channel xmlns:r="http://purl.org/net/rss1.1#"><r:title>F</r:title>'), item, F.lit("</r:Channel>"))
+    e = xml_feeds.entries(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("feed_key"), xml.alias("xml")), columns=["feed_key", "title", "link", "feed_version"])
+    return e.select(F.col("feed_key").alias("c_custkey"), "title", "link", "feed_version")
+
+
+@query("SELECT page_id, pos::INT AS pos, 'http://h.example.org/' || CASE pos % 4 WHEN 0 THEN 'a/d' WHEN 1 THEN 'a/b/d' WHEN 2 THEN 'd?x=../y' ELSE 'a/b/c/' END || page_id AS href FROM pages, range(4) AS r(pos)")
+def q_resolve_dots(spark, sf_dir):
+    k = F.col("page_id").cast("string")
+    refs = F.array(F.concat(F.lit("../d"), k), F.concat(F.lit("./x/../d"), k), F.concat(F.lit("../../../d?x=../y"), k), F.concat(F.lit("c/./e/../"), k))
+    rows = pages(spark, sf_dir).select("page_id", F.posexplode(refs).alias("pos", "ref"))
+    return rows.select("page_id", "pos", uri.resolve(F.lit("http://h.example.org/a/b/page.html"), F.col("ref")).alias("href"))
+
+
+@query("SELECT page_id, 'http://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || '/x?Q=' || page_id AS url FROM pages")
+def q_url_canonical(spark, sf_dir):
+    """Case, default ports and dot segments."""
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    return pages(spark, sf_dir).select("page_id", uri.canonical_url(F.concat(F.lit("HTTP://"), F.upper(host), F.lit(":80/a/../x?Q="), F.col("page_id").cast("string"))).alias("url"))
+
+
+@query("""SELECT doc_id, '<p>' || doc_id || '<a>x</a><a href="http://h.example.org/q">y</a><img src="http://h.example.org/i.png"> end</p>' AS html FROM documents""")
+def q_sanitize_scripts(spark, sf_dir):
+    """Scripts in elements, attributes and addresses go; the rest stays."""
+    k = F.col("doc_id").cast("string")
+    bad = '<a href="java&#9;script:alert(1)" onclick="x()">x</a><script>alert("<p>")</script><svg><a xlink:href="javascript:x">s</a></svg><a href="/q" style="x">y</a><img src="i.png" formaction="javascript:x"><iframe src="z">w</iframe> end</p>'
+    return table(spark, sf_dir, "documents").select("doc_id", shred.sanitize(F.concat(F.lit("<p>"), k, F.lit(bad)), F.lit("http://h.example.org/p")).alias("html"))
+
+
 # --- streams ----------------------------------------------------------------------------------------
 
 

@@ -339,8 +339,7 @@ def entries(docs: DataFrame, xml: str = "xml", key: str = "feed_key", columns: l
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Files of any encoding: feed_key (path), xml."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    # A declaration ends with its first sign; what stands before that is all that is read of the bytes.
-    head = F.decode(F.substring(F.col("content"), F.lit(1), F.instr(F.decode("content", "ISO-8859-1"), "?>") + 1), "ISO-8859-1")
+    head = F.regexp_extract(F.decode("content", "ISO-8859-1"), r"^[^>]*>", 0)  # an XML declaration, however long
     return raw.select(F.col("path").alias("feed_key"), decode_bytes("content", fields.encoding(F.lit(None).cast("string"), head)).alias("xml"))
 
 
