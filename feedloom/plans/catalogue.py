@@ -561,6 +561,59 @@ def q_entries_estimated(spark, sf_dir):
     return e.select(F.regexp_extract("title", r"\d+", 0).cast("long").alias("o_orderkey"), F.unix_timestamp("time").alias("t"))
 
 
+def whole_feeds(spark, sf_dir, kind, version=None):
+    """Every customer's feed with all that the formats hold, written and parsed again."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").filter("o_custkey IS NOT NULL")
+    who = lambda name, mail: F.struct(name.alias("name"), mail.alias("email"), F.lit(None).cast("string").alias("href"))
+    key = F.col("c_custkey").cast("string")
+    image = F.struct(F.lit("I").alias("title"), F.concat(F.lit("http://h.example.org/i"), key).alias("href"), F.lit(None).cast("string").alias("link"))
+    heads = c.select(
+        F.col("c_custkey").alias("feed_key"), F.concat(F.lit("Feed <"), key, F.lit(">")).alias("title"), F.concat(F.lit("http://h.example.org/"), key).alias("link"), F.lit("s & t").alias("subtitle"), F.lit("de-AT").alias("language"), F.lit("(c)").alias("rights"),
+        who(F.col("c_name"), F.lit("c@example.com")).alias("author"), F.lit(7200).alias("time_to_live"), F.timestamp_seconds(F.lit(1700000000)).alias("updated"), F.array(image).alias("images"),
+    )
+    at = F.col("o_orderkey").cast("string")
+    parcel = F.struct(F.concat(F.lit("http://m.example.org/"), at).alias("href"), F.lit("audio/mpeg").alias("type"), F.lit(9).cast("long").alias("file_size"))
+    items = o.select(
+        F.col("o_custkey").alias("feed_key"), F.col("o_orderkey").alias("doc_pos"), F.concat(F.lit("urn:o:"), at).alias("id"), F.concat(F.lit("a < b & "), at).alias("title"), F.concat(F.lit("http://h.example.org/o/"), at).alias("link"), F.concat(F.lit("<p>]]>"), at, F.lit("</p>")).alias("content"),
+        F.lit("short").alias("summary"), F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))).alias("time"), who(F.lit("W"), F.lit("w@example.com")).alias("author"), F.array(F.lit("x"), F.concat(F.lit("t"), at)).alias("tags"), F.array(parcel).alias("enclosures"), F.lit("r").alias("rights"),
+    )
+    return xml_feeds.write_xml(heads.join(items.select("feed_key").distinct(), "feed_key", "left_semi"), items, kind, version, entry_hook=F.concat(F.lit("<extra>"), F.col("doc_pos").cast("string"), F.lit("</extra>")))
+
+
+def whole_trip(spark, sf_dir, kind, version=None):
+    e = xml_feeds.entries(whole_feeds(spark, sf_dir, kind, version), columns=["feed_key", "id", "title", "link", "content", "summary", "time", "author", "tags", "enclosures", "rights"])
+    return e.select(
+        "feed_key", "id", "title", "link", F.regexp_replace("content", "\\]\\]>", "").alias("content"), "summary", F.unix_timestamp("time").alias("t"), F.col("author.name").alias("author"), F.array_join("tags", ",").alias("tags"), F.get("enclosures", F.lit(0))["href"].alias("href"), F.get("enclosures", F.lit(0))["file_size"].alias("file_size"), "rights",
+    )
+
+
+WHOLE = """SELECT o_custkey AS feed_key, 'urn:o:' || o_orderkey AS id, 'a < b & ' || o_orderkey AS title, 'http://h.example.org/o/' || o_orderkey AS link, '<p>' || o_orderkey || '</p>' AS content, 'short' AS summary, floor(epoch(o_orderdate))::BIGINT AS t,
+'W' AS author, 'x,t' || o_orderkey AS tags, {} AS href, {} AS file_size, 'r' AS rights FROM orders JOIN customer ON o_custkey = c_custkey"""
+
+
+@query(WHOLE.format("'http://m.example.org/' || o_orderkey", "9::BIGINT"))
+def q_whole_rss2(spark, sf_dir):
+    return whole_trip(spark, sf_dir, "rss")
+
+
+@query(WHOLE.format("NULL::VARCHAR", "NULL::BIGINT"))
+def q_whole_rss1(spark, sf_dir):
+    return whole_trip(spark, sf_dir, "rss", 1.0)
+
+
+@query(WHOLE.format("'http://m.example.org/' || o_orderkey", "9::BIGINT"))
+def q_whole_atom(spark, sf_dir):
+    return whole_trip(spark, sf_dir, "atom")
+
+
+@query("""SELECT kind, c_custkey AS feed_key, TRUE AS well_formed, 'Feed <' || c_custkey || '>' AS title, 'http://h.example.org/' || c_custkey AS link, 's & t' AS subtitle, 'de-AT' AS language, '(c)' AS rights
+FROM customer SEMI JOIN orders ON o_custkey = c_custkey, unnest(['rss1', 'rss2', 'atom']) AS k(kind)""")
+def q_whole_heads(spark, sf_dir):
+    names = ["feed_key", "well_formed", "title", "link", "subtitle", "language", "rights"]
+    read = lambda name, *how: xml_feeds.feeds(whole_feeds(spark, sf_dir, *how), columns=names).select(F.lit(name).alias("kind"), *names)
+    return read("rss1", "rss", 1.0).unionByName(read("rss2", "rss")).unionByName(read("atom", "atom"))
+
+
 DIALECTS = [
     "EEE, dd MMM yy HH:mm:ss 'GMT'", "EEE, dd MMMM yyyy HH:mm:ss '+0000'", "EEE MMM dd HH:mm:ss 'UTC' yyyy", "EEE MMM dd HH:mm:ss yyyy", "MMMM d, yyyy hh:mm:ss a", "M/d/yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'", "yyyyMMdd'T'HHmmss'Z'", "dd-MMM-yyyy HH:mm:ss",
 ]

@@ -12,12 +12,13 @@ from feedloom.config import DEFAULTS, Settings
 from feedloom.functions import fields
 from feedloom.functions.text import escape_entities as esc
 from feedloom.functions.text import unescape_entities
+from feedloom.functions import uri
 from feedloom.functions.uri import favicon, is_uri, normalize_url, resolve
 
 from feedloom.operators.relate import estimate_times
 
 from . import media
-from .shred import _named, attribute, children, construct_html, decode_bytes, first_node, first_text, let, plain_html, shredded
+from .shred import PREFIXES, _named, attribute, children, construct_html, decode_bytes, first_node, first_text, let, plain_html, shredded
 
 # Ordered names of the elements that hold a column; the first that isn't blank wins.
 FEED_TITLE = ("title", "dc:title", "channeltitle")
@@ -351,10 +352,46 @@ def _stamp(c: Column, rfc: bool) -> Column:
     return F.date_format(c, "EEE, dd MMM yyyy HH:mm:ss 'GMT'") if rfc else F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def write_xml(heads: DataFrame, items: DataFrame, kind: str = "rss", version: float | None = None, key: str = "feed_key", denied: Column | None = None, denied_entries: Column | None = None) -> DataFrame:
+NAMESPACES = "".join(f' xmlns:{p}="{PREFIXES[p]}"' for p in ("content", "dc", "itunes", "media"))
+
+
+def _empty(tag: str, **attributes: Column) -> Column:
+    """An element without content; null where any attribute is."""
+    return F.coalesce(F.concat(F.lit(f"<{tag}"), *[F.concat(F.lit(f' {k.replace("__", ":")}="'), esc(v), F.lit('"')) for k, v in attributes.items()], F.lit("/>")), F.lit(""))
+
+
+def _repeat(values: Column, make) -> Column:
+    return F.coalesce(F.array_join(F.transform(values, make), ""), F.lit(""))
+
+
+def _cdata(name: str, c: Column) -> Column:
+    return F.coalesce(F.concat(F.lit(f"<{name}><![CDATA["), F.replace(c, F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit(f"]]></{name}>")), F.lit(""))
+
+
+def _enclosure_xml(e: Column, atom: bool) -> Column:
+    """An enclosure; RSS needs its size and says so where there is none."""
+    kind, size = F.coalesce(F.concat(F.lit(' type="'), esc(e["type"]), F.lit('"')), F.lit("")), F.concat(F.lit(' length="'), e["file_size"].cast("string"), F.lit('"'))
+    if atom:
+        return F.when(e["href"].isNotNull(), F.concat(F.lit('<link rel="enclosure" href="'), esc(e["href"]), F.lit('"'), kind, F.coalesce(size, F.lit("")), F.lit("/>")))
+    whole = F.concat(F.lit('<enclosure url="'), esc(e["href"]), F.lit('"'), kind, size, F.lit("/>"))
+    return F.when(e["href"].isNotNull(), F.coalesce(F.when(e["file_size"] > 0, whole), F.lit("<!-- an enclosure without a size is left out -->")))
+
+
+def _best_image(images_: Column) -> Column:
+    """The first image with a link, else the first."""
+    return F.coalesce(F.get(F.filter(images_, lambda x: x["link"].isNotNull()), F.lit(0)), F.get(images_, F.lit(0)))
+
+
+def write_xml(
+    heads: DataFrame, items: DataFrame, kind: str = "rss", version: float | None = None, key: str = "feed_key", denied: Column | None = None, denied_entries: Column | None = None,
+    settings: Settings = DEFAULTS, feed_hook: Column | None = None, entry_hook: Column | None = None,
+) -> DataFrame:
     """Feeds (key, title, link, subtitle) and their entries (doc_pos, id, title, link, content, time) as documents.
 
     Formats: rss 1.0, rss 2.0, atom 1.0.  ``denied`` feeds and ``denied_entries`` may not be redistributed and raise.
+    Of the columns of ``feeds`` and ``entries`` these are written where they are given: of feeds id, href, author,
+    publisher, language, rights, time_to_live, updated, published, images; of entries author, summary, updated, published, rights,
+    comments, tags, enclosures.  The hooks are columns of markup that end a feed's own part and each entry.
     """
     version = version or {"rss": 2.0, "atom": 1.0}.get(kind)
     if kind not in ("rss", "atom") or (kind == "atom" and version != 1.0):
@@ -364,20 +401,64 @@ def write_xml(heads: DataFrame, items: DataFrame, kind: str = "rss", version: fl
     if denied_entries is not None:
         items = items.withColumn("title", F.when(denied_entries, F.raise_error(F.lit("this entry may not be redistributed"))).otherwise(F.col("title")))
     old, atom = kind == "rss" and version in (0.9, 1.0, 1.1), kind == "atom"
-    when = _stamp(F.col("time"), rfc=not atom and not old)
+    nothing = F.lit("")
+
+    def given(df: DataFrame, name: str, make, otherwise: Column = nothing) -> Column:
+        return make(F.col(name)) if name in df.columns else otherwise
+
+    def stamped(df: DataFrame, tag: str, *names: str) -> Column:
+        times = [F.col(c) for c in names if c in df.columns]
+        return _tag(tag, _stamp(F.coalesce(*times), rfc=not atom and not old)) if times else nothing
+
+    def person_xml(p: Column) -> Column:
+        name = F.coalesce(p["name"], F.lit("n/a"))
+        return F.concat(F.lit("<author>"), _tag("name", name), _tag("email", p["email"]), _tag("uri", p["href"]), F.lit("</author>"))
+
+    both = "summary" in items.columns
+    told = F.coalesce("summary", "content") if both else F.col("content")
+    link_item, subject = (_empty("link", rel=F.lit("alternate"), href=F.col("link")) if atom else _tag("link", F.col("link"))), ("dc:subject" if old else "category")
+    tags = given(items, "tags", lambda c: _repeat(c, (lambda t: _empty("category", term=t)) if atom else (lambda t: _tag(subject, t))))
+    podcast = F.exists("enclosures", lambda e: fields.is_audio(e["type"], e["href"])) if "enclosures" in items.columns else F.lit(False)
+    spoken = given(items, "tags", lambda c: F.when(podcast & (F.size(c) > 0), _tag("itunes:keywords", F.array_join(c, ", "))).otherwise(""))
+    parcels = given(items, "enclosures", lambda c: _repeat(c, lambda e: _enclosure_xml(e, atom)))
+    if atom:
+        content = F.coalesce(F.concat(F.lit('<content type="html">'), esc(F.col("content")), F.lit("</content>")), nothing)
+        summary = given(items, "summary", lambda c: F.coalesce(F.concat(F.lit('<summary type="html">'), esc(c), F.lit("</summary>")), nothing))
+        body = [_tag("id", F.col("id")), _tag("title", F.col("title")), given(items, "author", person_xml), link_item, content, summary, stamped(items, "updated", "updated", "time"), stamped(items, "published", "published"), given(items, "rights", lambda c: _tag("rights", c)), tags, parcels]
+        front, back, open_item, close_item = '<feed xmlns="http://www.w3.org/2005/Atom"', "</feed>", F.lit("<entry>"), F.lit("</entry>")
+    else:
+        writer = given(items, "author", lambda p: F.concat(_tag("dc:creator", p["name"]), nothing if old else _tag("author", F.concat(p["email"], F.lit(" ("), p["name"], F.lit(")")))))
+        guid = F.when(F.col("id").rlike("^https?:"), _tag("guid", F.col("id"))).otherwise(F.replace(_tag("guid", F.col("id")), F.lit("<guid>"), F.lit('<guid isPermaLink="false">')))
+        whole = _cdata("content:encoded", F.col("content")) if both else nothing
+        body = [_tag("title", F.col("title")), link_item, _tag("guid", F.col("id")) if old else guid, writer, _tag("description", told), whole, stamped(items, "dc:date" if old else "pubDate", *(("time",) if old else ("published", "time"))), given(items, "rights", lambda c: _tag("dc:rights", c)), given(items, "comments", lambda c: nothing if old else _tag("comments", c)), tags, spoken, nothing if old else parcels]
+        about = F.coalesce(F.col("link"), F.col("id"), nothing)
+        open_item, close_item = F.concat(F.lit('<item rdf:about="'), esc(about), F.lit('">')) if old else F.lit("<item>"), F.lit("</item>")
+        rdf = f' xmlns:rdf="{PREFIXES["rdf"]}" xmlns:syn="{PREFIXES["syn"]}" xmlns:admin="{PREFIXES["admin"]}"' if old else ""
+        front, back = (f'<rdf:RDF xmlns="http://purl.org/rss/1.0/"{rdf}{NAMESPACES}><channel', "</rdf:RDF>") if old else (f'<rss version="2.0"{NAMESPACES}><channel>', "</channel></rss>")
+    item = F.concat(open_item, *body, F.coalesce(entry_hook, nothing) if entry_hook is not None else nothing, close_item)
+    place = _empty("rdf:li", rdf__resource=F.coalesce(F.col("link"), F.col("id"), nothing)) if old else nothing
+    x = F.struct("doc_pos", item.alias("item"), place.alias("place"))
+    rows = items.select(key, x.alias("x"), F.col("time").alias("t")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("xs"), F.max("t").alias("newest"))
+    rows = rows.select(key, "newest", F.array_join(F.transform("xs", lambda y: y["item"]), "").alias("items"), F.array_join(F.transform("xs", lambda y: y["place"]), "").alias("places"))
+    hook = F.coalesce(feed_hook, nothing) if feed_hook is not None else nothing
+    image = given(heads, "images", lambda c: let(_best_image(c), lambda b: F.when(b["href"].isNotNull(), F.concat(F.lit('<image rdf:about="') if old else F.lit("<image"), esc(b["href"]) if old else nothing, F.lit('">') if old else F.lit(">"), _tag("title", F.coalesce(b["title"], F.col("title"))), _tag("url", b["href"]), _tag("link", F.coalesce(b["link"], F.col("link"))), F.lit("</image>"))).otherwise("")))
+    maker = _tag("generator", F.lit(settings.generator_href or settings.generator_name))
     if atom:
-        item = F.concat(F.lit("<entry>"), _tag("id", F.col("id")), _tag("title", F.col("title")), F.coalesce(F.concat(F.lit('<link rel="alternate" href="'), esc(F.col("link")), F.lit('"/>')), F.lit("")), F.coalesce(F.concat(F.lit('<content type="html">'), esc(F.col("content")), F.lit("</content>")), F.lit("")), _tag("updated", when), F.lit("</entry>"))
-        front, back = '<feed xmlns="http://www.w3.org/2005/Atom">', "</feed>"
+        lang = given(heads, "language", lambda c: F.coalesce(F.concat(F.lit(' xml:lang="'), esc(c), F.lit('"')), nothing))
+        name = F.coalesce(F.col("id"), uri.urn_uuid(F.col("link"))) if "id" in heads.columns else uri.urn_uuid(F.col("link"))
+        times = [F.col(c) for c in ("updated", "time") if c in heads.columns]
+        head = [lang, F.lit(">"), _tag("id", name), _tag("title", F.col("title")), given(heads, "author", person_xml, F.lit("<author><name>n/a</name></author>")), given(heads, "href", lambda c: _empty("link", rel=F.lit("self"), type=F.lit("application/atom+xml"), href=c)), F.coalesce(F.concat(F.lit('<link href="'), esc(F.col("link")), F.lit('"/>')), nothing), _tag("subtitle", F.col("subtitle")), _tag("updated", _stamp(F.coalesce(*times, F.col("newest")), rfc=False)), given(heads, "rights", lambda c: _tag("rights", c)), maker, hook]
     elif old:
-        about = F.concat(F.lit('<item rdf:about="'), esc(F.coalesce(F.col("link"), F.col("id"), F.lit(""))), F.lit('">'))
-        item = F.concat(about, _tag("title", F.col("title")), _tag("link", F.col("link")), _tag("guid", F.col("id")), _tag("description", F.col("content")), _tag("dc:date", when), F.lit("</item>"))
-        front, back = '<rdf:RDF xmlns="http://purl.org/rss/1.0/" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>', "</rdf:RDF>"
+        seq = F.concat(F.lit("<items><rdf:Seq>"), F.coalesce("places", nothing), F.lit("</rdf:Seq></items>"))
+        pace = given(heads, "time_to_live", lambda c: F.concat(F.lit("<syn:updatePeriod>hourly</syn:updatePeriod>"), _tag("syn:updateFrequency", F.greatest(F.floor(c / 3600), F.lit(1)).cast("string"))))
+        about = F.coalesce(F.concat(F.lit(' rdf:about="'), esc(F.col("link")), F.lit('">')), F.lit(">"))
+        picture = given(heads, "images", lambda c: _empty("image", rdf__resource=_best_image(c)["href"]))
+        head = [about, _tag("title", F.col("title")), _tag("link", F.col("link")), picture, _tag("description", F.col("subtitle")), given(heads, "language", lambda c: _tag("dc:language", c)), given(heads, "rights", lambda c: _tag("dc:rights", c)), pace, seq, _empty("admin:generatorAgent", rdf__resource=F.lit(settings.generator_href).cast("string")), hook, F.lit("</channel>"), image]
     else:
-        item = F.concat(F.lit("<item>"), _tag("title", F.col("title")), _tag("link", F.col("link")), _tag("guid", F.col("id")), _tag("description", F.col("content")), _tag("pubDate", when), F.lit("</item>"))
-        front, back = '<rss version="2.0"><channel>', "</channel></rss>"
-    rows = items.select(key, F.struct("doc_pos", item.alias("item")).alias("x")).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["item"]), "").alias("items"))
-    head = F.concat(_tag("title", F.col("title")), F.coalesce(F.concat(F.lit('<link href="'), esc(F.col("link")), F.lit('"/>')), F.lit("")) if atom else _tag("link", F.col("link")), _tag("subtitle" if atom else "description", F.col("subtitle")), F.lit("</channel>") if old else F.lit(""))
-    return heads.join(rows, key, "left").select(key, F.concat(F.lit(front), head, F.coalesce("items", F.lit("")), F.lit(back)).alias("xml"))
+        ttl = given(heads, "time_to_live", lambda c: _tag("ttl", F.floor(c / 60).cast("string")))
+        head = [_tag("title", F.col("title")), _tag("link", F.col("link")), _tag("description", F.col("subtitle")), given(heads, "author", lambda p: _tag("managingEditor", p["email"])), given(heads, "publisher", lambda p: _tag("webMaster", p["email"])), stamped(heads, "pubDate", "published"), stamped(heads, "lastBuildDate", "updated"), given(heads, "rights", lambda c: _tag("copyright", c)), given(heads, "language", lambda c: _tag("language", c)), ttl, maker, image, hook]
+    out = heads.join(rows, key, "left")
+    return out.select(key, F.concat(F.lit(front), *head, F.coalesce("items", nothing), F.lit(back)).alias("xml"))
 
 
 def autodiscover(page: Column) -> Column:
