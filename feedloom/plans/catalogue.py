@@ -670,7 +670,7 @@ def q_sanitize_scripts(spark, sf_dir):
 @query("SELECT user_id, event_type FROM events GROUP BY ALL")
 def q_stream_dedup(spark, sf_dir):
     s = streams.read_events(spark, f"{sf_dir}/events.parquet")
-    return streams.drain(streams.new_entries(s, ["user_id", "event_type"]).select("user_id", "event_type"))
+    return streams.drain(streams.new_entries(s, ["user_id", "event_type"], "3650 days").select("user_id", "event_type"))
 
 
 @query("SELECT event_type, floor(epoch(ts) / 3600)::BIGINT * 3600 AS hour, count(*) AS posts FROM events GROUP BY ALL")

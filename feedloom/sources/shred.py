@@ -188,22 +188,30 @@ def _shred(xml: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["well_formed", "root", "root_ns", "nodes"])
 
 
-def _decode_bytes(data: pd.Series, encoding: pd.Series) -> pd.Series:
-    """Bytes to text by any of Python's codecs; what fails is read as Latin-1."""
+def _decoded(data: bytes, encoding: str | None) -> str:
+    """By any of Python's codecs; what fails is read as UTF-8 and then as Latin-1."""
+    guess = "cp037" if data[:4] == b"\x4c\x6f\xa7\x94" else encoding or "utf-8"
+    for name in (guess, "utf-8"):
+        try:
+            return codecs.decode(data, {"ebcdic-cp-us": "cp037"}.get(name.lower(), name))
+        except (LookupError, UnicodeDecodeError):
+            continue
+    return data.decode("latin-1")
 
-    def one(b, e):
-        if b is None:
-            return None
-        head = bytes(b[:4])
-        guess = "cp037" if head == b"\x4c\x6f\xa7\x94" else e or "utf-8"
-        for name in (guess, "utf-8"):
-            try:
-                return codecs.decode(bytes(b), {"ebcdic-cp-us": "cp037"}.get(name.lower(), name))
-            except (LookupError, UnicodeDecodeError):
-                continue
-        return bytes(b).decode("latin-1")
 
-    return pd.Series([one(b, e) for b, e in zip(data, encoding, strict=True)])
+_charset = re.compile(r"charset=\s*\"?([\w-]+)", re.I)
+_declared = re.compile(rb"\s*<\?xml[^>]*encoding=[\"']([^\"']+)[\"']")
+
+
+def decoded(data: bytes, content_type: str | None) -> str:
+    """The text of an answer: the header's encoding, else the declaration's."""
+    m = _charset.search(content_type or "")
+    d = _declared.match(data)
+    return _decoded(data, m[1] if m else d[1].decode("ascii", "replace") if d else None)
+
+
+def _decode_bytes(data: pd.Series, encoding: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else _decoded(bytes(b), e) for b, e in zip(data, encoding, strict=True)])
 
 
 # What a sanitised document may hold; fixed values.

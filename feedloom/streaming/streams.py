@@ -1,10 +1,16 @@
-"""Entries as a stream: dropping known ones, counting per window, upserting a cache."""
+"""Entries as a stream: dropping known ones, keeping answers that are due, counting per window, upserting a cache."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
+from feedloom.sources.fetch import FeedCache
 from feedloom.sources.tables import shared_path
 
 
@@ -19,8 +25,8 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return reader.parquet(path).withColumn("time", F.col("ts").cast("timestamp"))
 
 
-def new_entries(stream: DataFrame, key: list[str], delay: str = "3650 days") -> DataFrame:
-    """Entries whose key hasn't been seen within the watermark."""
+def new_entries(stream: DataFrame, key: list[str], delay: str = "30 days") -> DataFrame:
+    """Entries whose key hasn't been seen within the watermark, which bounds the state: an entry that comes again later is new."""
     return stream.withWatermark("time", delay).dropDuplicatesWithinWatermark(key)
 
 
@@ -28,6 +34,38 @@ def posts_per_window(stream: DataFrame, key: str, width: str = "1 hour", delay:
     return stream.withWatermark("time", delay).groupBy(key, F.window("time", width)).agg(F.count("*").alias("posts"))
 
 
+def within_ttl(polls: DataFrame, key: str = "href", time: str = "last_retrieved", ttl: str = "time_to_live", floor: int = 1800) -> DataFrame:
+    """Of the answers for each address those that come when the one kept before has expired.
+
+    The state is two numbers an address.
+    """
+    names = polls.columns
+
+    def step(_key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last, kept_ttl = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(time, kind="stable")
+        keep = []
+        for when, span in zip(rows[time], rows[ttl], strict=True):
+            at = when.timestamp()
+            due = last is None or at - last > max(kept_ttl, floor)
+            if due:
+                last, kept_ttl = at, 0 if pd.isna(span) else int(span)
+            keep.append(due)
+        state.update((last, kept_ttl))
+        yield rows[keep][names]
+
+    return polls.groupBy(key).applyInPandasWithState(step, polls.schema, "last double, ttl long", "append", GroupStateTimeout.NoTimeout)
+
+
+def upsert_into(answers: DataFrame, cache: FeedCache, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Start a stream that saves every batch of cache rows to a cache; of one address the row retrieved last stays.
+
+    A batch that runs again after a failure saves the same rows, so the cache doesn't change.
+    """
+    writer = answers.writeStream.foreachBatch(lambda rows, _: cache.save(rows)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and return its output as a table."""
     spark = stream.sparkSession

@@ -1,6 +1,7 @@
 """Paths, media, HTTP reading with conditions and redirects, the cache, settings."""
 
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 from feedloom.config import DEFAULTS
 from feedloom.functions import xpath
 from feedloom.plans import catalogue
-from feedloom.sources import fetch
+from feedloom.sources import fetch, shred, source
 from feedloom.sources.feeds import entries, feeds, write_xml
 from feedloom.sources.shred import shredded
+from feedloom.streaming import streams
 
 DOC = (
     '<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>T</title><Item id="a"><title>one</title><n>3</n><dc:creator>me</dc:creator></Item>'
@@ -167,6 +169,54 @@ def test_open_and_cache(spark, site, tmp_path):
         cache.find_by(colour="red")
 
 
+def test_feed_format(spark, site, tmp_path):
+    source.register(spark)
+    urls = f"{site}/feed {site}/moved {site}/none gopher://x/"
+    rows = {r.href.removeprefix(site): r for r in spark.read.format("feed").option("urls", urls).option("http_timeout", "5").load().collect()}
+    assert rows["/feed"].feed_data == DOC and rows["/moved"].final_href == site + "/feed" and rows["/none"].status == 404 and "scheme" in rows["gopher://x/"].error
+    with pytest.raises(Exception, match="addresses"):
+        spark.read.format("feed").load().collect()
+    out = str(tmp_path / "polled")
+    polls = spark.readStream.format("feed").option("urls", f"{site}/feed").load().select("href", "status")
+    query = polls.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="200 milliseconds").start()
+    while len(query.recentProgress) < 3:
+        time.sleep(0.2)
+    query.stop()
+    assert spark.read.parquet(out).count() >= 2
+
+
+def test_ttl_state_and_upsert(spark, tmp_path):
+    at = [0, 600, 1801, 3000, 3700, 9000, 9001, 30000]
+    rows = spark.createDataFrame([("a", t, 3600) for t in at] + [("b", 5, None)], "href string, t long, time_to_live long")
+    rows = rows.select("href", F.timestamp_seconds("t").alias("last_retrieved"), "time_to_live", F.lit("T").alias("title"), F.lit("l").alias("link"), F.lit("<rss/>").alias("feed_data"), F.lit("xml").alias("feed_data_type"), F.lit(None).cast("map<string,string>").alias("http_headers"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "polls"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "polls"))
+    kept = streams.drain(streams.within_ttl(stream)).orderBy("href", "last_retrieved").collect()
+    want, last = [], None
+    for t in at:
+        if last is None or t - last > 3600:
+            want.append(("a", t))
+            last = t
+    assert [(r.href, int(r.last_retrieved.timestamp())) for r in kept] == [*want, ("b", 5)]
+    cache = fetch.FeedCache(spark, str(tmp_path / "cache"))
+    streams.upsert_into(stream.filter("href = 'a'"), cache, str(tmp_path / "k"), available_now=True).awaitTermination()
+    saved = cache.read().collect()
+    assert [(r.href, int(r.last_retrieved.timestamp())) for r in saved] == [("a", 30000)]
+
+
+def test_deep_nesting_and_scripts():
+    import time as clock
+
+    began = clock.process_time()
+    out = shred.shred_one("<rss><channel>" + "<div>" * 90_000 + "x")
+    assert len(out["nodes"]) == 90_002 and sum(len(n["inner"] or "") for n in out["nodes"]) < 2_000_000 and clock.process_time() - began < 4
+    for bad in ('<a href="java&#9;script:alert(1)">x</a>', '<input formaction="javascript:1">', '<a xlink:href="javascript:x">z</a>', "<svg><a>q</a></svg>", "<math>u</math>", "<script>alert(1)", "<p onclick=a>y</p>", '<img src="data:x">'):
+        cleaner = shred.Cleaner("http://h.example.org/")
+        cleaner.feed(bad)
+        cleaner.close()
+        assert not any(w in "".join(cleaner.out) for w in ("script", "svg", "math", "onclick", "data:")), bad
+
+
 def test_settings():
     assert DEFAULTS.with_options(max_ttl=5).max_ttl == 5
     with pytest.raises(ValueError):
