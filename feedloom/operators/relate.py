@@ -16,6 +16,25 @@ def inherit(entries: DataFrame, feeds: DataFrame, columns: list[str], key: str =
     return joined.select(*[F.coalesce(F.col(c), F.col(f"feed_{c}")).alias(c) if c in columns else F.col(c) for c in entries.columns])
 
 
+def inherit_flag(entries: DataFrame, feeds: DataFrame, column: str, key: str = "feed_key") -> DataFrame:
+    """Entries whose flag is their own or their feed's."""
+    joined = entries.join(feeds.select(key, F.col(column).alias("feed_flag")), key, "left")
+    return joined.withColumn(column, F.coalesce(F.col(column), F.lit(False)) | F.coalesce("feed_flag", F.lit(False))).drop("feed_flag")
+
+
+def append_entries(entries: DataFrame, more: DataFrame) -> DataFrame:
+    """Both tables' entries; columns of other names or types raise TypeError."""
+    kinds = lambda df: {f.name: f.dataType for f in df.schema}
+    if kinds(entries) != kinds(more):
+        raise TypeError("these aren't entries of the same columns")
+    return entries.unionByName(more)
+
+
+def by_title(feeds: DataFrame) -> DataFrame:
+    """Feeds in order of their title; one without a title counts as empty."""
+    return feeds.orderBy(F.coalesce("title", F.lit("")))
+
+
 def orphans(entries: DataFrame, feeds: DataFrame, key: str = "feed_key") -> DataFrame:
     return entries.join(feeds.select(key), key, "left_anti")
 

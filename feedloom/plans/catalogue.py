@@ -323,8 +323,22 @@ def q_time_estimate(spark, sf_dir):
 
 @query("SELECT d.doc_id, coalesce(l.toxic, 0) = 1 OR contains(d.source, '1') AS explicit FROM documents d LEFT JOIN labels l USING (doc_id)")
 def q_inherit_explicit(spark, sf_dir):
-    d, flags = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return d.join(flags, "doc_id", "left").select("doc_id", (F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.col("source").contains("1")).alias("explicit"))
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("feed_key"), F.col("source").contains("1").alias("explicit"))
+    flags = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("feed_key"), (F.col("toxic") == 1).alias("explicit"))
+    return relate.inherit_flag(own, flags, "explicit").select(F.col("feed_key").alias("doc_id"), "explicit")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 3 = 0")
+def q_append_entries(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    return relate.append_entries(e.filter("event_id % 2 = 0"), e.filter("event_id % 3 = 0").select("event_type", "event_id"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_name END AS title, row_number() OVER (ORDER BY coalesce(CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_name END, '')) <= (SELECT count(*) FILTER (s_suppkey % 5 = 0) FROM supplier) AS untitled FROM supplier")
+def q_feeds_by_title(spark, sf_dir):
+    title = F.when(F.col("s_suppkey") % 5 != 0, F.col("s_name"))
+    rows = relate.by_title(table(spark, sf_dir, "supplier").select("s_suppkey", title.alias("title")))
+    return rows.withColumn("untitled", F.col("title").isNull())
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'own' ELSE c_name END AS author FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
@@ -416,9 +430,10 @@ def q_writer_alternate(spark, sf_dir):
 
 @query("SELECT o_orderkey, count(*) FILTER (l_returnflag = 'R') AS licenses, first(l_linenumber ORDER BY l_linenumber) FILTER (l_returnflag = 'R') AS license FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def q_license_links(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("links"))
-    found = F.filter("links", lambda x: x["l_returnflag"] == "R")
-    return rows.join(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", F.size(found).cast("long").alias("licenses"), F.get(found, F.lit(0))["l_linenumber"].alias("license"))
+    link = F.struct("l_linenumber", F.when(F.col("l_returnflag") == "R", "license").otherwise("self").alias("rel"), F.col("l_linenumber").alias("href"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(link)).alias("links"))
+    found = xml_feeds.licenses(F.col("links"))
+    return rows.join(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", F.size(found).cast("long").alias("licenses"), F.get(found, F.lit(0)).alias("license"))
 
 
 # --- documents: write, parse back -------------------------------------------------------------------
