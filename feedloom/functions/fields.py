@@ -96,20 +96,22 @@ def parse_date(c: Column) -> Column:
             found = found.when(t.rlike(form), F.regexp_replace(t, form, places))
         return F.split(found, r"\|", -1)
 
-    def number(text: Column) -> Column:
-        return F.coalesce(text.try_cast("int"), F.lit(0))
+    def number(digits: Column) -> Column:
+        """0 where there are none; a failing cast would cost more than all the rest."""
+        return F.when(digits != "", digits.cast("int")).otherwise(0)
 
     def stamp(p: Column) -> Column:
-        y, name = p[0].try_cast("int"), F.lower(p[1])
+        y, name = p[0].cast("int"), F.lower(p[1])
         year = F.when(F.char_length(p[0]) > 2, y).when(y < 69, y + 2000).otherwise(y + 1900)
-        month = F.when(name.rlike(r"^\d+$"), name.try_cast("int"))
-        for k, names in enumerate(MONTHS, 1):
+        english = F.instr(F.lit(" " + " ".join(names[:3] for names in MONTHS)), F.concat(F.lit(" "), F.substring(name, 1, 3)))
+        month = F.when(F.ascii(name).between(48, 57), name.cast("int")).when(english > 0, ((english + 3) / 4).cast("int"))
+        for k, names in enumerate(MONTHS, 1):  # names in other languages
             month = month.when(name.rlike(f"^(?:{names})"), k)
         day, hour, minute, second, half = number(p[2]), number(p[3]), number(p[4]), number(p[5]), F.lower(p[7])
         hour = F.when((half == "p") & (hour < 12), hour + 12).when((half == "a") & (hour == 12), 0).otherwise(hour)
         zone = F.upper(p[6])
         signed = F.when(zone.startswith("-"), -1).otherwise(1) * (number(F.substring(zone, 2, 2)) * 3600 + number(F.regexp_extract(zone, r"^...:?(\d{2})", 1)) * 60)
-        offset = F.when(zone.rlike("^[+-]"), signed)
+        offset = F.when(zone.isin("", "Z", "GMT", "UT", "UTC"), 0).when(F.ascii(zone).isin(43, 45), signed)
         for text, seconds in ZONES.items():
             offset = offset.when(zone == text, seconds)
         fine = month.between(1, 12) & (day >= 1) & (day <= F.when(F.size(p) > 8, 366).otherwise(31)) & (hour <= 24) & (minute <= 59) & (second <= 60)
