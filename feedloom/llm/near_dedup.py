@@ -199,8 +199,12 @@ def _close(percent: int):
 
 
 def _ordered(pairs: DataFrame, leader: bool = False) -> DataFrame:
-    """Distinct pairs, the smaller node first, or the leader."""
-    return pairs.select("a", "b").distinct() if leader else pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Distinct pairs, the smaller node first, or a leader of the two."""
+    lo, hi = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
+    if not leader:
+        return pairs.select(lo.alias("a"), hi.alias("b")).distinct()
+    once = pairs.select(lo, hi, "a").groupBy("lo", "hi").agg(F.min("a").alias("a"))
+    return once.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
 
 
 def _rest_pairs(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, small: int) -> DataFrame:
