@@ -513,6 +513,17 @@ def q_write_guard(spark, sf_dir):
     return rows.groupBy(source.alias("feed_key")).agg(F.sum(xpath.find(F.col("nodes"), "count(//item)")).cast("long").alias("entries"))
 
 
+@query("SELECT c_custkey AS feed_key, TRUE AS well_formed, c_name || ' & ' || c_custkey || '!' AS title, 'by ' || c_name || ' & ' || c_custkey AS author FROM customer")
+def q_internal_entities(spark, sf_dir):
+    """Feeds that abbreviate by entities of their own document type, which also names an external one."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey").cast("string")
+    head = F.concat(F.lit('<?xml version="1.0"?><!DOCTYPE rss PUBLIC "-//x//y" "http://h.example.org/x.dtd" [<!-- it\'s ours --><!ENTITY co "'), F.col("c_name"), F.lit(' &#38;amp; '), k, F.lit('"><!ENTITY far SYSTEM "file:///etc/hosts"><!ENTITY by "by &co;">]>'))
+    xml = F.concat(head, F.lit('<rss version="2.0"><channel><title>&co;!</title><managingEditor>&by;</managingEditor></channel></rss>'))
+    f = xml_feeds.feeds(c.select(F.col("c_custkey").alias("feed_key"), xml.alias("xml")), columns=["feed_key", "well_formed", "title", "author"])
+    return f.select("feed_key", "well_formed", "title", F.col("author.name").alias("author"))
+
+
 @query()
 def q_shred_pages(spark, sf_dir):
     """Web pages through the reader of tag soup: nodes and links of each."""
@@ -664,6 +675,35 @@ def q_resolve_dots(spark, sf_dir):
     return rows.select("page_id", "pos", uri.resolve(F.lit("http://h.example.org/a/b/page.html"), F.col("ref")).alias("href"))
 
 
+@query("SELECT page_id, 'http://h.example.org/' || repeat('s/', 120 - 100 + page_id % 3) || 'z' AS href FROM pages")
+def q_resolve_many_dots(spark, sf_dir):
+    """A hundred parent segments after a hundred and twenty folders."""
+    n = (F.col("page_id") % 3).cast("int")
+    ref = F.concat(F.repeat(F.lit("s/"), n + 120), F.repeat(F.lit("../"), F.lit(100)), F.lit("./z"))
+    return pages(spark, sf_dir).select("page_id", uri.resolve(F.lit("http://h.example.org/page.html"), ref).alias("href"))
+
+
+SCHEMES = ["FEED://", "Feed:https://", "https:/", "feed:", "RSS:http:///", "http:feed://", "HTP:/", "mms://", "http://http://", ""]
+
+
+@query(f"SELECT page_id, k, CASE WHEN contains(lower(k), 'https') THEN 'https://' ELSE 'http://' END || regexp_extract(url, '://([^/?#]*)', 1) || '/' || page_id AS url FROM pages, unnest({SCHEMES}) AS x(k)")
+def q_url_schemes(spark, sf_dir):
+    """Every spelling of a feed reader's scheme, in any case and with any number of slashes; https stays."""
+    rows = pages(spark, sf_dir).select("page_id", F.concat(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("/"), F.col("page_id").cast("string")).alias("rest"), F.explode(F.array(*map(F.lit, SCHEMES))).alias("k"))
+    return rows.select("page_id", "k", uri.normalize_url(F.concat("k", "rest")).alias("url"))
+
+
+#: International names and their ASCII form, from the registries' own examples; fixed values.
+IDN = {"bücher": "xn--bcher-kva", "München": "xn--mnchen-3ya", "詹姆斯": "xn--8ws00zhy3a", "παράδειγμα": "xn--hxajbheg2az3al", "пример": "xn--e1afmkfd", "例え": "xn--r8jz45g", "plain": "plain"}
+
+
+@query(f"SELECT page_id, 'http://' || ({list(IDN.values())})[1 + page_id % {len(IDN)}] || '.example.org/' || page_id || '/%E8%A9%B9' AS url FROM pages")
+def q_url_idn(spark, sf_dir):
+    """International host names and paths in ASCII."""
+    name = F.element_at(F.array(*map(F.lit, IDN)), (F.col("page_id") % len(IDN) + 1).cast("int"))
+    return pages(spark, sf_dir).select("page_id", uri.canonical_url(F.concat(name, F.lit(".example.org/"), F.col("page_id").cast("string"), F.lit("/詹"))).alias("url"))
+
+
 @query("SELECT page_id, 'http://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || '/x?Q=' || page_id AS url FROM pages")
 def q_url_canonical(spark, sf_dir):
     """Case, default ports and dot segments."""
@@ -694,6 +734,66 @@ def q_stream_windows(spark, sf_dir):
     return streams.drain(streams.posts_per_window(s, "event_type"), "complete").select("event_type", F.unix_timestamp(F.col("window.start")).alias("hour"), "posts")
 
 
+POLLS = "(SELECT user_id, event_id, ts, (event_id % 4) * 3600 AS ttl, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)"
+#: Of the polls of each user in order those that come when the one taken before has expired.
+TAKEN = f"""WITH RECURSIVE p AS {POLLS}, walk AS (
+  SELECT user_id, event_id, ts, ttl, n, TRUE AS due, ts + to_seconds(greatest(ttl, 1800)) AS until FROM p WHERE n = 1
+  UNION ALL
+  SELECT p.user_id, p.event_id, p.ts, p.ttl, p.n, p.ts > w.until, CASE WHEN p.ts > w.until THEN p.ts + to_seconds(greatest(p.ttl, 1800)) ELSE w.until END FROM walk w JOIN p ON p.user_id = w.user_id AND p.n = w.n + 1)"""
+
+
+def polls(spark, sf_dir):
+    """Events as polls of their user's feed."""
+    s = streams.read_events(spark, f"{sf_dir}/events.parquet")
+    return s.select("user_id", "event_id", F.col("time").alias("last_retrieved"), ((F.col("event_id") % 4) * 3600).alias("time_to_live"))
+
+
+@query(TAKEN + " SELECT user_id, event_id FROM walk WHERE due")
+def q_stream_ttl(spark, sf_dir):
+    """Polls that were due, by state with timers."""
+    return streams.drain(streams.within_ttl(polls(spark, sf_dir), key="user_id")).select("user_id", "event_id")
+
+
+@query(TAKEN + """ SELECT user_id, floor(epoch(ts))::BIGINT AS retrieved, floor(epoch(until))::BIGINT AS expired FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY n) AS next FROM walk WHERE due)
+WHERE next IS NOT NULL OR until < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def q_stream_expiries(spark, sf_dir):
+    """When the polls taken expired: at the next one that was due, or by their timer."""
+    out = streams.drain(streams.expiries(polls(spark, sf_dir), key="user_id"))
+    return out.select("user_id", F.unix_timestamp("retrieved").alias("retrieved"), F.unix_timestamp("expired").alias("expired"))
+
+
+@query("""SELECT user_id, count(*) AS posts, floor(epoch(min(ts)))::BIGINT AS first, floor(epoch(max(ts)))::BIGINT AS last FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (
+    SELECT *, (ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + to_hours(1 + user_id % 3)) IS NOT FALSE AS gap, gap::INT AS fresh FROM events)) GROUP BY user_id, session""")
+def q_stream_sessions(spark, sf_dir):
+    """Sessions of each user with a gap of one to three hours, by user."""
+    s = streams.read_events(spark, f"{sf_dir}/events.parquet")
+    gap = F.concat((F.col("user_id") % 3 + 1).cast("string"), F.lit(" hours"))
+    out = streams.drain(streams.sessions(s, "user_id", gap), "complete")
+    return out.select("user_id", "posts", F.unix_timestamp("first").alias("first"), F.unix_timestamp("last").alias("last"))
+
+
+#: Which of four deliveries brings an event: the quarter of its month, but one in fifty comes with the last.
+DELIVERY = "CASE WHEN event_id % 50 = 0 THEN 3 ELSE least(3, floor((day(ts) - 1) / 8))::INT END"
+
+
+@query(f"""SELECT event_id, coalesce(ts < (SELECT max(ts) FROM events o WHERE {DELIVERY.replace('event_id', 'o.event_id').replace('(ts)', '(o.ts)')} < e.d) - INTERVAL 2 HOURS, ts IS NULL) AS late
+FROM (SELECT event_id, ts, {DELIVERY} AS d FROM events) e""")
+def q_stream_late(spark, sf_dir):
+    """Events delivered in four batches, those that come too late apart."""
+    from feedloom.sources.tables import shared_path
+
+    e = table(spark, sf_dir, "events").withColumn("time", F.col("ts").cast("timestamp"))
+    dealt = F.when(F.col("event_id") % 50 == 0, 3).otherwise(F.least(F.lit(3), F.floor((F.day("ts") - 1) / 8))).cast("int")
+    folder, on_time, late = (shared_path(spark, t) for t in ("deliveries", "on-time", "late"))
+    for k in range(4):
+        e.filter(dealt == k).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    streams.split_late(stream, on_time, late, shared_path(spark, "progress"), available_now=True).awaitTermination()
+    read = lambda path, flag: spark.read.parquet(path).select("event_id", F.lit(flag).alias("late"))
+    return read(on_time, False).unionByName(read(late, True))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A planet feed: written as RSS, parsed back, times estimated, newest first."""
     rows = xml_feeds.entries(feed_docs(spark, sf_dir, "rss"), columns=["feed_key", "doc_pos", "id", "title", "link", "time"])

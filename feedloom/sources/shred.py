@@ -1,7 +1,8 @@
 """XML documents to arrays of nodes: one pass in Python, columns afterwards.
 
 ``shred`` parses with expat and, where that fails, with a tag-balancing reader
-of tag soup; document types are dropped, entities are never fetched.  A node
+of tag soup.  Of a document type only its internal entities stay, expanded within a
+bound; nothing is ever fetched.  A node
 has its number, parent, last descendant, place among siblings, local and prefixed name (lower
 case), namespace, attributes, direct text, whether any of it was CDATA, markup
 of its children (of text constructs that aren't part of another), and xml:base,
@@ -28,7 +29,12 @@ NODE = "struct<id:int,parent:int,last:int,pos:int,depth:int,name:string,prefix:s
 SHREDDED = f"struct<well_formed:boolean,root:string,root_ns:string,nodes:array<{NODE}>>"
 #: Elements whose markup is kept.
 CONSTRUCTS = set("title subtitle tagline description summary abstract content encoded body div payload datacontent fullitem info rights copyright blurb headline".split())
+_subset = re.compile(r"""<!DOCTYPE\s+([\w:.-]+)[^>\[]*+(?:\[((?:<!--.*?-->|"[^"]*+"|'[^']*+'|[^\]"'])*+)\]\s*)?>""", re.S | re.I)
 _doctype = re.compile(r"<!DOCTYPE[^>\[]*(?:\[.*?\]\s*)?>", re.S | re.I)
+_entity = re.compile(r"""<!ENTITY\s+([\w:.-]+)\s+("[^"]*"|'[^']*')\s*>""")
+_own_reference = re.compile(r"<!\[CDATA\[.*?\]\]>|<!--.*?-->|&([A-Za-z_][\w:.-]*);", re.S)
+#: How much longer than itself, and than this many characters, a document may become by its own entities.
+EXPANSION, SPARE = 4, 1 << 20
 _void = {"br", "hr", "img", "meta", "input", "area", "base", "col", "embed", "param"}
 
 
@@ -113,12 +119,54 @@ def namespaces_of(attrs: dict[str, str]) -> dict[str, str]:
     return {k[6:].lower(): v for k, v in attrs.items() if k.startswith("xmlns:")} | ({"": attrs["xmlns"]} if "xmlns" in attrs else {})
 
 
-def strict(text: str) -> Builder:
+def internal_entities(text: str) -> tuple[str, str, dict[str, str]]:
+    """The document without its type, that type's name, and the entities that it declares itself."""
+    m = _subset.search(text)
+    if not m:
+        return _doctype.sub("", text), "", {}
+    found: dict[str, str] = {}
+    for name, value in _entity.findall(re.sub(r"<!--.*?-->", "", m[2] or "", flags=re.S)):
+        found.setdefault(name, value[1:-1])  # the first declaration holds
+    return text[: m.start()] + text[m.end() :], m[1], found
+
+
+def expanded(text: str, entities: dict[str, str]) -> str:
+    """``text`` with its own entities replaced; unchanged where that would pass the bound or never end."""
+    bound, out = EXPANSION * len(text) + SPARE, text
+    for _ in range(len(entities) + 1):
+        parts, at, size = [], 0, len(out)
+        for m in _own_reference.finditer(out):
+            if m[1] in entities:
+                parts += [out[at : m.start()], entities[m[1]]]
+                at, size = m.end(), size + len(entities[m[1]])
+                if size > bound:
+                    return text
+        if not parts:
+            return out
+        out = "".join([*parts, out[at:]])
+    return text
+
+
+def strict(text: str, kind: str = "", entities: dict[str, str] | None = None) -> Builder:
+    """Well-formed XML; ``entities`` of the document type ``kind`` are expanded within the bound, or raise like other faults."""
     out, parser, inside = Builder(), expat.ParserCreate(), [False]
+    if entities:
+        declared = "".join(f'<!ENTITY {n} "{v}">' if '"' not in v else f"<!ENTITY {n} '{v}'>" for n, v in entities.items())
+        text = f"<!DOCTYPE {kind} [{declared}]>{text}"
+        left = [EXPANSION * len(text) + SPARE]
     parser.buffer_text = True
     parser.StartElementHandler = lambda name, attrs: out.start(name, attrs, namespaces_of(attrs))
     parser.EndElementHandler = lambda name: out.end()
-    parser.CharacterDataHandler = lambda data: out.text(data, inside[0])
+
+
+    def read(data: str) -> None:
+        if entities:
+            left[0] -= len(data)
+            if left[0] < 0:
+                raise expat.ExpatError("entities expand beyond the bound")
+        out.text(data, inside[0])
+
+    parser.CharacterDataHandler = read
     parser.StartCdataSectionHandler = lambda: inside.__setitem__(0, True)
     parser.EndCdataSectionHandler = lambda: inside.__setitem__(0, False)
     parser.Parse(text.encode("utf-8", "replace"), True)
@@ -167,13 +215,15 @@ class Soup(HTMLParser):
 def shred_one(text: str | None) -> dict | None:
     if text is None or "<" not in text:
         return None
-    text = re.sub(r"^[^<]*<\?xml[^>]*\?>", "", _doctype.sub("", text), count=1).lstrip("﻿ \t\r\n")
+    text, kind, entities = internal_entities(text)
+    text = re.sub(r"^[^<]*<\?xml[^>]*\?>", "", text, count=1).lstrip("﻿ \t\r\n")
     fine = True
     try:
-        built = strict(text)
+        built = strict(text, kind, entities)
     except expat.ExpatError:
         fine = False
         soup = Soup()
+        text = expanded(text, entities) if entities else text
         soup.feed(re.sub(r"<(/?[\w:.-]*)$", r"<\1>", text.rstrip()))
         soup.close()
         built = soup.out

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.config import DEFAULTS
-from feedloom.functions import xpath
+from feedloom.functions import uri, xpath
 from feedloom.plans import catalogue
 from feedloom.sources import fetch, shred, source
 from feedloom.sources.feeds import entries, feeds, write_xml
@@ -260,3 +260,33 @@ def test_pages_are_known_by_their_first_element_or_content_type(spark):
     rows = spark.createDataFrame([(i, t, c) for i, (t, c, _) in enumerate(cases)], "i int, t string, c string")
     got = rows.select("i", fetch.next_address(F.col("t"), F.lit("http://h.example.org/a"), F.col("c")).alias("to")).orderBy("i").collect()
     assert [r.to for r in got] == ["http://h.example.org/feed" if page else None for *_, page in cases]
+
+
+def test_internal_entities():
+    """Entities of the document's own type are expanded, in soup too; external and endless ones never are."""
+    of = lambda d: (d["well_formed"], [n["text"] for n in d["nodes"]], [n["attrs"] for n in d["nodes"]])
+    dtd = '<!DOCTYPE rss PUBLIC "x" "http://h/x.dtd" [<!-- it\'s --><!ENTITY co "AC<i>ME</i>"><!ENTITY far SYSTEM "file:///etc/hosts"><!ENTITY two "&co;!">]>'
+    assert of(shred.shred_one(dtd + "<rss><t a='1'>&two; x</t></rss>")) == (True, ["", "AC! x", "ME"], [{}, {"a": "1"}, {}])
+    assert of(shred.shred_one(dtd + "<rss><t>&two;&nbsp;x<![CDATA[&co;]]></rss>")) == (False, ["", "AC!\xa0x&co;", "ME"], [{}, {}, {}])
+    assert of(shred.shred_one(dtd + "<rss><t>&far;</t></rss>"))[:2] == (False, ["", "&far;"])
+    laughs = "<!DOCTYPE r [<!ENTITY a0 'lol'>" + "".join(f"<!ENTITY a{i} '{f'&a{i - 1};' * 10}'>" for i in range(1, 10)) + "]><r>&a9;</r>"
+    assert of(shred.shred_one(laughs))[:2] == (False, ["&a9;"])
+    assert of(shred.shred_one("<!DOCTYPE r [<!ENTITY a '&b;'><!ENTITY b '&a;'>]><r>&a;</r>"))[:2] == (False, ["&a;"])
+
+
+def test_addresses(spark):
+    """Schemes in any spelling, Windows paths, scripts, punycode against Python's codec, RFC 3986's examples."""
+    given = {
+        "FEED://x.org/f": "http://x.org/f", "https:/x.org/a": "https://x.org/a", "feed:https://x.org/f": "https://x.org/f", "Http:Feed://x.org": "http://x.org/", "slashdot.org": "http://slashdot.org/", "x JavaScript:y": "#", "https://": None, "": "", "http://#a": "#a",
+        "c:\\windows\\My Documents 100%20\\foo.txt": "file:///c:/windows/My%20Documents%20100%20/foo.txt", "file:///c|/windows/a": "file:///c:/windows/a", "http://www.詹姆斯.com/詹.html": "http://www.xn--8ws00zhy3a.com/%E8%A9%B9.html",
+    }
+    rows = spark.createDataFrame([(k,) for k in given], "u string").select("u", uri.canonical_url(F.col("u")).alias("c"))
+    assert {r.u: r.c for r in rows.collect()} == given
+    labels = ["bücher", "ü", "a-ü-ß", "日本語ドメイン名", "äöüäöü", "😀x", "hello-それぞれの場所", "ليهمابتكلموشعربي؟", "pročprostěnemluvíčesky", "é" * 60]
+    coded = spark.createDataFrame([(x,) for x in labels], "u string").select("u", uri.punycode(F.col("u")).alias("p")).collect()
+    assert all(r.p == r.u.encode("punycode").decode() for r in coded)
+    from urllib.parse import urljoin
+
+    refs = ["g", "./g", "g/", "/g", "?y", "g?y", "g#s", "./", "..", "../g", "../..", "../../g", "../../../g", "/./g", "/../g", "g.", "..g", "./../g", "g/./h", "g/../h", "g?y/../x", "a/" * 50 + "../" * 49 + "z"]
+    got = spark.createDataFrame([(x,) for x in refs], "u string").select("u", uri.resolve(F.lit("http://a/b/c/d?q"), F.col("u")).alias("r")).collect()
+    assert {r.u: r.r for r in got} == {x: urljoin("http://a/b/c/d?q", x) for x in refs}
