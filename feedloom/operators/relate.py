@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
+from .order import places, with_neighbours
+
 SORTABLE = ("time", "title", "guid", "doc_pos", "updated", "published", "link")
 
 
@@ -48,11 +50,21 @@ def many_parents(entries: DataFrame, feeds: DataFrame, key: str = "feed_key") ->
 def estimate_times(entries: DataFrame, as_of: Column, key: str = "feed_key", time: str = "time", pos: str = "doc_pos") -> DataFrame:
     """A missing time is the next entry's plus a second, else the one before less a second, else ``as_of``.
 
-    A window per feed: its rows are the entries of one document.
+    Entries are sorted over range partitions, so a feed isn't one task.
     """
+    near = with_neighbours(entries, key, [F.col(pos)], time, "__earlier", "__later")
+    return _estimated(near, as_of, time, F.col("__later"), F.col("__earlier")).drop("__earlier", "__later")
+
+
+def estimate_in_documents(entries: DataFrame, as_of: Column, key: str = "feed_key", time: str = "time", pos: str = "doc_pos") -> DataFrame:
+    """``estimate_times`` where a feed is one document: a window a document, which one row held a moment ago."""
     w = Window.partitionBy(key).orderBy(pos)
+    return _estimated(entries, as_of, time, F.lead(time).over(w), F.lag(time).over(w))
+
+
+def _estimated(rows: DataFrame, as_of: Column, time: str, later: Column, earlier: Column) -> DataFrame:
     second = F.expr("interval 1 second")
-    return entries.withColumn(time, F.coalesce(F.col(time), F.lead(time).over(w) + second, F.lag(time).over(w) - second, as_of))
+    return rows.withColumn(time, F.coalesce(F.col(time), later + second, earlier - second, as_of))
 
 
 def order_key(by: str | None) -> list[Column]:
@@ -65,7 +77,8 @@ def order_key(by: str | None) -> list[Column]:
 
 
 def ranked(entries: DataFrame, by: str | None = "time", key: str = "feed_key") -> DataFrame:
-    return entries.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order_key(by))))
+    """Entries with their place in their feed, from 1; a feed isn't one task."""
+    return places(entries, key, order_key(by), "rank")
 
 
 def merge_feeds(entries: DataFrame, feeds: DataFrame, key: str = "feed_key") -> DataFrame:

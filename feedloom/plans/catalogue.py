@@ -559,6 +559,56 @@ def customer_feeds(spark, sf_dir):
 OWN = "o_orderkey % 3 = 0"
 
 
+def order_items(spark, sf_dir, key):
+    """Orders as entries of a feed by a key."""
+    at = F.col("o_orderkey").cast("string")
+    return table(spark, sf_dir, "orders").select(
+        key.alias("feed_key"), F.col("o_orderkey").alias("doc_pos"), F.concat(F.lit("urn:o:"), at).alias("id"), F.concat(F.lit("a < b & "), at).alias("title"), F.concat(F.lit("http://h.example.org/o/"), at).alias("link"), F.col("o_orderstatus").alias("content"), F.col("o_orderdate").cast("timestamp").alias("time"),
+    )
+
+
+@query("""SELECT 1 + (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS page, (row_number() OVER (ORDER BY o_orderkey) - 1) % 500 AS doc_pos, 'urn:o:' || o_orderkey AS id, 'a < b & ' || o_orderkey AS title, 'Planet' AS feed_title,
+(row_number() OVER (ORDER BY o_orderkey) - 1) // 500 < (SELECT (count(*) - 1) // 500 FROM orders) AS has_next FROM orders""")
+def q_save_pages(spark, sf_dir):
+    """All orders as one feed, written by many tasks in pages of 500 entries that name each other, and read back."""
+    from feedloom.sources.tables import shared_path
+
+    heads = spark.range(1).select(F.lit("planet/1").alias("feed_key"), F.lit("Planet").alias("title"), F.lit("http://h.example.org/").alias("link"), F.lit("all").alias("subtitle"))
+    path = shared_path(spark, "planet")
+    xml_feeds.save_feeds(heads, order_items(spark, sf_dir, F.lit("planet/1")), path, page=500)
+    docs = xml_feeds.read_saved(spark, path)
+    e = xml_feeds.entries(docs, key="page", columns=["page", "doc_pos", "id", "title"])
+    f = xml_feeds.feeds(docs, key="page", columns=["page", "title", "links"]).withColumn("has_next", F.exists("links", lambda x: x["rel"].eqNullSafe("next") & x["href"].endswith(".xml")))
+    both = e.join(f.select("page", F.col("title").alias("feed_title"), "has_next"), "page")
+    return both.select(F.col("page").cast("long").alias("page"), F.col("doc_pos").cast("long").alias("doc_pos"), "id", "title", "feed_title", "has_next")
+
+
+@query("""SELECT feed_key, kind, count(*) AS entries, min(o_orderkey) AS first, sum(o_orderkey * n)::BIGINT AS placed FROM (
+  SELECT o_custkey::VARCHAR AS feed_key, kind, o_orderkey, row_number() OVER (PARTITION BY o_custkey, kind ORDER BY o_orderkey) - 1 AS n FROM orders, unnest(['rss1', 'rss2', 'atom']) AS k(kind)) GROUP BY ALL""")
+def q_save_feeds(spark, sf_dir):
+    """Customers' feeds as files in three formats, streamed in order and read back."""
+    from feedloom.sources.tables import shared_path
+
+    items = order_items(spark, sf_dir, F.col("o_custkey"))
+    heads = items.select("feed_key").distinct().select("feed_key", F.concat(F.lit("C"), F.col("feed_key").cast("string")).alias("title"), F.lit("http://h.example.org/").alias("link"), F.lit("s").alias("subtitle"))
+    out = None
+    for name, kind, version in (("rss1", "rss", 1.0), ("rss2", "rss", None), ("atom", "atom", None)):
+        path = shared_path(spark, f"saved-{name}")
+        xml_feeds.save_feeds(heads, items, path, kind, version)
+        rows = xml_feeds.entries(xml_feeds.read_saved(spark, path), columns=["feed_key", "doc_pos", "id"]).withColumn("kind", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    k = F.regexp_extract("id", r"\d+$", 0).cast("long")
+    return out.groupBy("feed_key", "kind").agg(F.count("*").alias("entries"), F.min(k).alias("first"), F.sum(k * F.col("doc_pos")).alias("placed"))
+
+
+@query("""SELECT o_orderkey, '<item><title>a &lt; b &amp; ' || o_orderkey || '</title><link>http://h.example.org/o/' || o_orderkey || '</link><guid isPermaLink="false">urn:o:' || o_orderkey || '</guid><description>' || o_orderstatus || '</description><pubDate>'
+|| strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S GMT') || '</pubDate></item>' AS xml FROM orders""")
+def q_write_items(spark, sf_dir):
+    """Entries as markup by themselves."""
+    rows = xml_feeds.write_items(order_items(spark, sf_dir, F.col("o_custkey")))
+    return rows.select(F.col("doc_pos").alias("o_orderkey"), "xml")
+
+
 @query(f"""SELECT o_orderkey, 'Order ' || o_orderkey AS title, 'http://h.example.org/a/x/o' || o_orderkey AS link, 'http://h.example.org/a/b/?c=' || o_orderkey AS comments, CASE WHEN {OWN} THEN 'Writer ' || o_orderkey ELSE 'not this' END AS author,
 CASE WHEN {OWN} THEN 'o' || o_orderkey || '@example.com' END AS mail, 'w@example.com' AS publisher, ({OWN}) OR o_custkey % 2 = 0 AS explicit, CASE WHEN {OWN} THEN 'a' || o_orderkey ELSE 'b,' || o_orderkey END AS tags,
 CASE WHEN {OWN} THEN floor(epoch(o_orderdate))::BIGINT END AS t, 'http://m.example.org/' || o_orderkey || '.mp3' AS href, 9::BIGINT AS file_size, (60 + o_orderkey % 10)::BIGINT AS duration, 'http://h.example.org/a/b/' AS base_uri, 'rss' AS feed_type, 2.0::DOUBLE AS feed_version FROM orders""")

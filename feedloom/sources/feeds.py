@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from feedloom.config import DEFAULTS, Settings
 from feedloom.functions import fields
@@ -15,9 +17,13 @@ from feedloom.functions.text import unescape_entities
 from feedloom.functions import uri
 from feedloom.functions.uri import favicon, is_uri, normalize_url, resolve
 
-from feedloom.operators.relate import estimate_times
+from feedloom.operators.enclosures import with_size
+from feedloom.operators.order import places
+from feedloom.operators.relate import estimate_in_documents
 
 from . import media
+from .source import register
+from .tables import range_partitions
 from .shred import PREFIXES, _named, attribute, children, construct_html, decode_bytes, first_node, first_text, let, plain_html, shredded
 
 # Ordered names of the elements that hold a column; the first that isn't blank wins.
@@ -333,7 +339,7 @@ def entries(docs: DataFrame, xml: str = "xml", key: str = "feed_key", columns: l
     }
     out = items.select(*_chosen(built, columns))
     if as_of is not None and settings.timestamp_estimation_enabled and {key, "doc_pos", "time"} <= set(out.columns):
-        out = estimate_times(out, as_of, key)
+        out = estimate_in_documents(out, as_of, key)
     return out
 
 
@@ -368,8 +374,11 @@ def _cdata(name: str, c: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"<{name}><![CDATA["), F.replace(c, F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit(f"]]></{name}>")), F.lit(""))
 
 
-def _enclosure_xml(e: Column, atom: bool) -> Column:
-    """An enclosure; RSS needs its size and says so where there is none."""
+def _enclosure_xml(e: Column, atom: bool, versions: bool = False) -> Column:
+    """An enclosure; RSS needs its size: where it has none, its first version with one stands for it, else a note."""
+    if versions and not atom:
+        of = lambda x: named(href=x["href"], type=x["type"], file_size=x["file_size"])
+        return let(with_size(F.concat(F.array(of(e)), F.coalesce(F.transform(e["versions"], of), F.array().cast("array<struct<href:string,type:string,file_size:bigint>>")))), lambda x: _enclosure_xml(x, False))
     kind, size = F.coalesce(F.concat(F.lit(' type="'), esc(e["type"]), F.lit('"')), F.lit("")), F.concat(F.lit(' length="'), e["file_size"].cast("string"), F.lit('"'))
     if atom:
         return F.when(e["href"].isNotNull(), F.concat(F.lit('<link rel="enclosure" href="'), esc(e["href"]), F.lit('"'), kind, F.coalesce(size, F.lit("")), F.lit("/>")))
@@ -382,17 +391,22 @@ def _best_image(images_: Column) -> Column:
     return F.coalesce(F.get(F.filter(images_, lambda x: x["link"].isNotNull()), F.lit(0)), F.get(images_, F.lit(0)))
 
 
-def write_xml(
+@dataclass
+class Written:
+    """A feed in parts: its entries' markup (key, doc_pos, item, place, t), and of its own the columns before and after the entries' places and at the end."""
+
+    items: DataFrame
+    heads: DataFrame
+    front: Column
+    rest: Column
+    back: Column
+
+
+def written(
     heads: DataFrame, items: DataFrame, kind: str = "rss", version: float | None = None, key: str = "feed_key", denied: Column | None = None, denied_entries: Column | None = None,
     settings: Settings = DEFAULTS, feed_hook: Column | None = None, entry_hook: Column | None = None,
-) -> DataFrame:
-    """Feeds (key, title, link, subtitle) and their entries (doc_pos, id, title, link, content, time) as documents.
-
-    Formats: rss 1.0, rss 2.0, atom 1.0.  ``denied`` feeds and ``denied_entries`` may not be redistributed and raise.
-    Of the columns of ``feeds`` and ``entries`` these are written where they are given: of feeds id, href, author,
-    publisher, language, rights, time_to_live, updated, published, images; of entries author, summary, updated, published, rights,
-    comments, tags, enclosures.  The hooks are columns of markup that end a feed's own part and each entry.
-    """
+) -> Written:
+    """The parts of which ``write_xml``, ``write_items`` and ``save_feeds`` make documents; ``heads`` may have ``newest``, its entries' last time."""
     version = version or {"rss": 2.0, "atom": 1.0}.get(kind)
     if kind not in ("rss", "atom") or (kind == "atom" and version != 1.0):
         raise ValueError(f"{kind} {version} can't be written")
@@ -420,7 +434,9 @@ def write_xml(
     tags = given(items, "tags", lambda c: _repeat(c, (lambda t: _empty("category", term=t)) if atom else (lambda t: _tag(subject, t))))
     podcast = F.exists("enclosures", lambda e: fields.is_audio(e["type"], e["href"])) if "enclosures" in items.columns else F.lit(False)
     spoken = given(items, "tags", lambda c: F.when(podcast & (F.size(c) > 0), _tag("itunes:keywords", F.array_join(c, ", "))).otherwise(""))
-    parcels = given(items, "enclosures", lambda c: _repeat(c, lambda e: _enclosure_xml(e, atom)))
+    parcel = items.schema["enclosures"].dataType.elementType if "enclosures" in items.columns else StructType()
+    versions = "versions" in parcel.names and isinstance(parcel["versions"].dataType.elementType, StructType)
+    parcels = given(items, "enclosures", lambda c: _repeat(c, lambda e: _enclosure_xml(e, atom, versions)))
     if atom:
         content = F.coalesce(F.concat(F.lit('<content type="html">'), esc(F.col("content")), F.lit("</content>")), nothing)
         summary = given(items, "summary", lambda c: F.coalesce(F.concat(F.lit('<summary type="html">'), esc(c), F.lit("</summary>")), nothing))
@@ -437,11 +453,10 @@ def write_xml(
         front, back = (f'<rdf:RDF xmlns="http://purl.org/rss/1.0/"{rdf}{NAMESPACES}><channel', "</rdf:RDF>") if old else (f'<rss version="2.0"{NAMESPACES}><channel>', "</channel></rss>")
     item = F.concat(open_item, *body, F.coalesce(entry_hook, nothing) if entry_hook is not None else nothing, close_item)
     place = _empty("rdf:li", rdf__resource=F.coalesce(F.col("link"), F.col("id"), nothing)) if old else nothing
-    x = F.struct("doc_pos", item.alias("item"), place.alias("place"))
-    rows = items.select(key, x.alias("x"), F.col("time").alias("t")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("xs"), F.max("t").alias("newest"))
-    rows = rows.select(key, "newest", F.array_join(F.transform("xs", lambda y: y["item"]), "").alias("items"), F.array_join(F.transform("xs", lambda y: y["place"]), "").alias("places"))
+    written = items.select(key, "doc_pos", item.alias("item"), place.alias("place"), F.col("time").alias("t"))
     hook = F.coalesce(feed_hook, nothing) if feed_hook is not None else nothing
     image = given(heads, "images", lambda c: let(_best_image(c), lambda b: F.when(b["href"].isNotNull(), F.concat(F.lit('<image rdf:about="') if old else F.lit("<image"), esc(b["href"]) if old else nothing, F.lit('">') if old else F.lit(">"), _tag("title", F.coalesce(b["title"], F.col("title"))), _tag("url", b["href"]), _tag("link", F.coalesce(b["link"], F.col("link"))), F.lit("</image>"))).otherwise("")))
+    rest: list[Column] = []
     maker = _tag("generator", F.lit(settings.generator_href or settings.generator_name))
     if atom:
         lang = given(heads, "language", lambda c: F.coalesce(F.concat(F.lit(' xml:lang="'), esc(c), F.lit('"')), nothing))
@@ -449,16 +464,85 @@ def write_xml(
         times = [F.col(c) for c in ("updated", "time") if c in heads.columns]
         head = [lang, F.lit(">"), _tag("id", name), _tag("title", F.col("title")), given(heads, "author", person_xml, F.lit("<author><name>n/a</name></author>")), given(heads, "href", lambda c: _empty("link", rel=F.lit("self"), type=F.lit("application/atom+xml"), href=c)), F.coalesce(F.concat(F.lit('<link href="'), esc(F.col("link")), F.lit('"/>')), nothing), _tag("subtitle", F.col("subtitle")), _tag("updated", _stamp(F.coalesce(*times, F.col("newest")), rfc=False)), given(heads, "rights", lambda c: _tag("rights", c)), maker, hook]
     elif old:
-        seq = F.concat(F.lit("<items><rdf:Seq>"), F.coalesce("places", nothing), F.lit("</rdf:Seq></items>"))
         pace = given(heads, "time_to_live", lambda c: F.concat(F.lit("<syn:updatePeriod>hourly</syn:updatePeriod>"), _tag("syn:updateFrequency", F.greatest(F.floor(c / 3600), F.lit(1)).cast("string"))))
         about = F.coalesce(F.concat(F.lit(' rdf:about="'), esc(F.col("link")), F.lit('">')), F.lit(">"))
         picture = given(heads, "images", lambda c: _empty("image", rdf__resource=_best_image(c)["href"]))
-        head = [about, _tag("title", F.col("title")), _tag("link", F.col("link")), picture, _tag("description", F.col("subtitle")), given(heads, "language", lambda c: _tag("dc:language", c)), given(heads, "rights", lambda c: _tag("dc:rights", c)), pace, seq, _empty("admin:generatorAgent", rdf__resource=F.lit(settings.generator_href).cast("string")), hook, F.lit("</channel>"), image]
+        head = [about, _tag("title", F.col("title")), _tag("link", F.col("link")), picture, _tag("description", F.col("subtitle")), given(heads, "language", lambda c: _tag("dc:language", c)), given(heads, "rights", lambda c: _tag("dc:rights", c)), pace, F.lit("<items><rdf:Seq>")]
+        rest = [F.lit("</rdf:Seq></items>"), _empty("admin:generatorAgent", rdf__resource=F.lit(settings.generator_href).cast("string")), hook, F.lit("</channel>"), image]
     else:
         ttl = given(heads, "time_to_live", lambda c: _tag("ttl", F.floor(c / 60).cast("string")))
         head = [_tag("title", F.col("title")), _tag("link", F.col("link")), _tag("description", F.col("subtitle")), given(heads, "author", lambda p: _tag("managingEditor", p["email"])), given(heads, "publisher", lambda p: _tag("webMaster", p["email"])), stamped(heads, "pubDate", "published"), stamped(heads, "lastBuildDate", "updated"), given(heads, "rights", lambda c: _tag("copyright", c)), given(heads, "language", lambda c: _tag("language", c)), ttl, maker, image, hook]
-    out = heads.join(rows, key, "left")
-    return out.select(key, F.concat(F.lit(front), *head, F.coalesce("items", nothing), F.lit(back)).alias("xml"))
+    return Written(written, heads, F.concat(F.lit(front), *head), F.concat(*rest) if rest else nothing, F.lit(back))
+
+
+def write_xml(heads: DataFrame, items: DataFrame, kind: str = "rss", version: float | None = None, key: str = "feed_key", **more) -> DataFrame:
+    """Feeds (key, title, link, subtitle) and their entries (doc_pos, id, title, link, content, time) as documents, one string a feed.
+
+    Formats: rss 1.0, rss 2.0, atom 1.0.  ``denied`` feeds and ``denied_entries`` may not be redistributed and raise.
+    Of the columns of ``feeds`` and ``entries`` these are written where they are given: of feeds id, href, author,
+    publisher, language, rights, time_to_live, updated, published, images; of entries author, summary, updated, published, rights,
+    comments, tags, enclosures.  ``feed_hook`` and ``entry_hook`` are columns of markup that end a feed's own part and each entry.
+    """
+    parts = written(heads, items, kind, version, key, **more)
+    x = F.struct("doc_pos", "item", "place")
+    rows = parts.items.groupBy(key).agg(F.array_sort(F.collect_list(x)).alias("xs"), F.max("t").alias("newest"))
+    rows = rows.select(key, "newest", F.array_join(F.transform("xs", lambda y: y["item"]), "").alias("items"), F.array_join(F.transform("xs", lambda y: y["place"]), "").alias("places"))
+    out = parts.heads.join(rows, key, "left")
+    nothing = F.lit("")
+    return out.select(key, F.concat(parts.front, F.coalesce("places", nothing), parts.rest, F.coalesce("items", nothing), parts.back).alias("xml"))
+
+
+def write_items(items: DataFrame, kind: str = "rss", version: float | None = None, key: str = "feed_key", **more) -> DataFrame:
+    """Entries as markup by themselves: key, doc_pos, xml."""
+    none = items.sparkSession.createDataFrame([], "title string, link string, subtitle string")
+    return written(none, items, kind, version, key, **more).items.select(key, "doc_pos", F.col("item").alias("xml"))
+
+
+ATOM = "http://www.w3.org/2005/Atom"
+
+
+def save_feeds(
+    heads: DataFrame, items: DataFrame, path: str, kind: str = "rss", version: float | None = None, key: str = "feed_key", page: int | None = None, mode: str = "append", feed_hook: Column | None = None, **more,
+) -> None:
+    """Feeds as files of a folder, as ``write_xml`` writes them, with entries streamed in order: no feed is ever one row.
+
+    With ``page`` a feed is cut into documents of that many entries, which name each other (RFC 5005: ``next``,
+    ``previous``) and are written by different tasks; without it one task writes a feed, entry by entry.
+    ``read_saved`` reads them back.
+    """
+    register(heads.sparkSession)
+    entry = items.join(heads.select(key), key, "left_semi")
+    if page:
+        entry = places(entry, key, [F.col("doc_pos")], "__place").withColumn("__page", F.floor((F.col("__place") - 1) / page)).drop("__place")
+    else:
+        entry = entry.withColumn("__page", F.lit(0).cast("long"))
+    about = entry.groupBy(key, "__page").agg(F.max("time").alias("newest"))
+    last = about.groupBy(key).agg(F.max("__page").alias("__last"))
+    tops = heads.join(about.join(last, key), key, "left").withColumns({"__page": F.coalesce("__page", F.lit(0).cast("long")), "__last": F.coalesce("__last", F.lit(0).cast("long"))})
+    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    numbered = lambda n: F.concat(name, F.lit("-"), F.lpad((n + 1).cast("string"), 6, "0"))
+    hook = F.coalesce(feed_hook, F.lit("")) if feed_hook is not None else F.lit("")
+    if page and version not in (0.9, 1.0, 1.1):
+        tag = "link" if kind == "atom" else "atom:link"
+        space = {} if kind == "atom" else {"xmlns__atom": F.lit(ATOM)}
+        to = lambda rel, n: _empty(tag, **space, rel=F.lit(rel), href=F.concat(numbered(n), F.lit(".xml")))
+        hook = F.concat(hook, F.when(F.col("__page") > 0, to("previous", F.col("__page") - 1)).otherwise(""), F.when(F.col("__page") < F.col("__last"), to("next", F.col("__page") + 1)).otherwise(""))
+    parts = written(tops, entry.withColumn("feed_page", F.struct(F.col(key).alias("k"), F.col("__page").alias("p"))), kind, version, "feed_page", feed_hook=hook, **more)
+    name_of = lambda k, p: F.concat(F.coalesce(k.cast("string"), F.lit("")), F.concat(F.lit("-"), F.lpad((p + 1).cast("string"), 6, "0")) if page else F.lit(""))
+    own = F.explode(F.array(*[F.struct(F.lit(n).alias("section"), F.lit(None).cast("long").alias("doc_pos"), c.alias("text")) for n, c in ((0, parts.front), (2, parts.rest), (4, parts.back))]))
+    pieces = parts.heads.select(name_of(F.col(key), F.col("__page")).alias("name"), own.alias("x")).select("name", "x.*")
+    theirs = F.explode(F.array(*[F.struct(F.lit(n).alias("section"), F.col("doc_pos").cast("long").alias("doc_pos"), F.col(c).alias("text")) for n, c in ((1, "place"), (3, "item"))]))
+    pieces = pieces.unionByName(parts.items.select(name_of(F.col("feed_page.k"), F.col("feed_page.p")).alias("name"), theirs.alias("x")).select("name", "x.*")).filter("text <> ''")
+    ordered = pieces.repartition(range_partitions(items), "name").sortWithinPartitions("name", "section", "doc_pos")
+    ordered.select("name", "text").write.format("feed").mode(mode).save(path)
+
+
+def read_saved(spark: SparkSession, path: str) -> DataFrame:
+    """The documents that ``save_feeds`` wrote: feed_key, page (from 1; null without pages), xml."""
+    files = read_files(spark, path + "/part-*")
+    number = F.regexp_extract("name", r"-(\d{6,})$", 1)
+    files = files.select(F.url_decode(F.regexp_extract("feed_key", r"([^/]+)\.xml$", 1)).alias("name"), "xml")
+    return files.select(F.regexp_replace("name", r"-\d{6,}$", "").alias("feed_key"), F.when(number != "", number).cast("int").alias("page"), "xml")
 
 
 def autodiscover(page: Column) -> Column:

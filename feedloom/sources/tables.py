@@ -40,3 +40,17 @@ def shared_root(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder once and read back."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def range_partitions(df: DataFrame, each: int = 128 << 20) -> int:
+    """Partitions of about ``each`` bytes by the planner's estimate, at least the session's."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, min(size // each, 1_000_000)) if size < 1 << 60 else least

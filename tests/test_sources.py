@@ -1,5 +1,7 @@
 """Paths, media, HTTP reading with conditions and redirects, the cache, settings."""
 
+import os
+import shutil
 import threading
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -290,3 +292,112 @@ def test_addresses(spark):
     refs = ["g", "./g", "g/", "/g", "?y", "g?y", "g#s", "./", "..", "../g", "../..", "../../g", "../../../g", "/./g", "/../g", "g.", "..g", "./../g", "g/./h", "g/../h", "g?y/../x", "a/" * 50 + "../" * 49 + "z"]
     got = spark.createDataFrame([(x,) for x in refs], "u string").select("u", uri.resolve(F.lit("http://a/b/c/d?q"), F.col("u")).alias("r")).collect()
     assert {r.u: r.r for r in got} == {x: urljoin("http://a/b/c/d?q", x) for x in refs}
+
+
+# --- the format "feed" --------------------------------------------------------------------------------
+
+
+class Counting(BaseHTTPRequestHandler):
+    """A feed whose title is the number of requests so far."""
+
+    hits = []
+    lock = threading.Lock()
+
+    def do_GET(self):
+        with self.lock:
+            self.hits.append(self.path)
+            body = f"<rss><channel><title>{len(self.hits)}</title></channel></rss>".encode()
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def counting():
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Counting)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    Counting.hits.clear()
+    yield f"127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def poll_once(spark, urls, log, out, progress, **options):
+    reader = spark.readStream.format("feed").option("urls", urls).option("log", log)
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    rows = reader.load().select("href", "feed_data", "last_retrieved")
+
+    def write(df, batch):
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+
+
+def test_polls_replay_after_a_crash(spark, counting, tmp_path):
+    """A batch that was planned but not committed gives the same answers when it runs again, and nobody is asked."""
+    source.register(spark)
+    log, out, progress = (str(tmp_path / n) for n in ("log", "out", "progress"))
+    urls = f"http://{counting}/a http://{counting}/b http://localhost:{counting.split(':')[1]}/c"
+    read = lambda: sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    poll_once(spark, urls, log, out, progress)
+    poll_once(spark, urls, log, out, progress)
+    first, asked = read(), len(Counting.hits)
+    assert len(first) == 6 and asked == 6 and len({r[1] for r in first}) == 6
+    last = max(int(n) for n in os.listdir(f"{progress}/commits") if n.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        os.remove(f"{progress}/commits/{name}")  # as if the driver had died before the commit
+    shutil.rmtree(f"{out}/batch={last}")
+    poll_once(spark, urls, log, out, progress, interval=3600)
+    assert read() == first and len(Counting.hits) == asked
+    poll_once(spark, urls, log, out, progress)  # a new run goes on with the next poll
+    assert len(read()) == 9 and len(Counting.hits) == 9
+
+
+def test_requests_a_host_are_limited(spark, counting, tmp_path):
+    source.register(spark)
+    urls = " ".join(f"http://{counting}/{k}" for k in range(5))
+    for _ in range(3):
+        poll_once(spark, urls, str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "progress"), per_host=2, keep=1)
+    assert sorted(Counting.hits) == ["/0", "/0", "/1", "/2", "/3", "/4"]
+    assert len([n for n in os.listdir(tmp_path / "log") if n.startswith("poll-")]) <= 2  # committed polls go
+
+
+def test_filters_choose_whom_to_ask(spark, counting):
+    source.register(spark)
+    other = f"localhost:{counting.split(':')[1]}"
+    urls = f"http://{counting}/a http://{counting}/b http://{other}/c"
+    answers = lambda: spark.read.format("feed").option("urls", urls).load()
+
+    def asked(condition):
+        Counting.hits.clear()
+        rows = answers().filter(condition).collect()
+        return len(rows), sorted(Counting.hits)
+
+    assert asked(F.col("host") == other) == (1, ["/c"])
+    assert asked(F.col("href").isin(f"http://{counting}/b", "http://nowhere/x")) == (1, ["/b"])
+    assert asked(F.col("href").startswith(f"http://{counting}/")) == (2, ["/a", "/b"])
+    assert asked(F.col("last_retrieved") < F.lit("2020-01-01").cast("timestamp")) == (0, [])
+    assert asked((F.col("host") == other) & (F.col("status") == 404)) == (0, ["/c"])
+    assert asked(F.col("status") == 200) == (3, ["/a", "/b", "/c"])
+
+
+def test_pieces_become_files(spark, tmp_path):
+    """Texts of one name in order, whatever its characters; overwriting replaces all; scattered rows raise and leave nothing."""
+    source.register(spark)
+    out = str(tmp_path / "files")
+    rows = spark.createDataFrame([(f"a/b {k}", f"{j};") for k in range(7) for j in range(30)], "name string, text string").withColumn("j", F.regexp_extract("text", r"\d+", 0).cast("int"))
+    sorted_rows = rows.repartition(3, "name").sortWithinPartitions("name", "j")
+    sorted_rows.write.format("feed").mode("append").save(out)
+    read = lambda: {r.path.rpartition("/")[2]: bytes(r.content).decode() for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out).collect() if "part-" in r.path}
+    assert read() == {f"a%2Fb%20{k}.xml": "".join(f"{j};" for j in range(30)) for k in range(7)}
+    sorted_rows.filter("name = 'a/b 3'").write.format("feed").mode("overwrite").save(out)
+    assert set(read()) == {"a%2Fb%203.xml"}
+    with pytest.raises(Exception, match="stand together"):
+        rows.coalesce(1).sortWithinPartitions("j").write.format("feed").mode("append").save(out)
+    assert set(read()) == {"a%2Fb%203.xml"} and os.listdir(f"{out}/_drafts") == []
+    with pytest.raises(Exception, match="name and text"):
+        rows.select("name").write.format("feed").mode("append").save(out)
