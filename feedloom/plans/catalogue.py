@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.config import DEFAULTS
-from feedloom.functions import fields, text, uri, xpath
+from feedloom.functions import fields, sql, text, uri, xpath
 from feedloom.operators import enclosures, relate
 from feedloom.sources import feeds as xml_feeds
 from feedloom.sources import media, shred
@@ -769,6 +769,28 @@ def q_sanitize_scripts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", shred.sanitize(F.concat(F.lit("<p>"), k, F.lit(bad)), F.lit("http://h.example.org/p")).alias("html"))
 
 
+# --- SQL --------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_custkey AS feed_key, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS doc_pos, 'Order ' || o_orderkey || '[7]' AS title, '../x/./o' || o_orderkey AS link, 'http://h.example.org/a/x/o' || o_orderkey AS whole,
+CASE WHEN o_orderkey % 3 = 0 THEN floor(epoch(o_orderdate))::BIGINT END AS t, CASE WHEN o_orderkey % 3 = 0 THEN 'A' || o_orderkey END AS dc_subject FROM orders WHERE o_custkey IS NOT NULL""")
+def q_sql_entries(spark, sf_dir):
+    """Entries by a lateral join with a table function and functions by name, in SQL alone."""
+    sql.register(spark)
+    customer_feeds(spark, sf_dir).createOrReplaceTempView("feed_documents")
+    return spark.sql("""
+        SELECT d.feed_key, e.doc_pos, e.title, best_link(e.links) AS link, resolve_url('http://h.example.org/a/b/', best_link(e.links)) AS whole, unix_timestamp(parse_date(e.stated)) AS t, e.dc_subject
+        FROM feed_documents d, LATERAL feed_entries(d.xml, 'title, links, stated, dc:subject') e""")
+
+
+@query(f"SELECT page_id, 'http://' || {HOST} || '/' AS url, {HOST} AS host, md5({PLAIN}) AS digest, trim(regexp_extract(html, '<title>([^<]*)', 1), ' ' || chr(9) || chr(10) || chr(13)) AS title FROM pages")
+def q_sql_functions(spark, sf_dir):
+    sql.register(spark)
+    pages(spark, sf_dir).createOrReplaceTempView("web_pages")
+    return spark.sql("""
+        SELECT page_id, canonical_url(concat('FEED:', url_host(url))) AS url, url_host(url) AS host, md5(strip_tags(html)) AS digest, trim_space(regexp_extract(html, '<title>([^<]*)', 1)) AS title FROM web_pages""")
+
+
 # --- streams ----------------------------------------------------------------------------------------
 
 

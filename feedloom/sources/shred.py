@@ -450,6 +450,24 @@ def _named(parent: Column, name: str):
     return lambda n: (n["parent"] == parent) & (n["name"] == local) & same(n)
 
 
+def below(children: dict[int, list[dict]], parent: dict, name: str) -> list[dict]:
+    """``_named`` for rows in Python: the children of this name."""
+    prefix, _, local = name.lower().rpartition(":")
+    known = PREFIXES.get(prefix)
+    same = (lambda n: n["prefix"] == "" or n["ns"] in FEED_NS) if not prefix else (lambda n: n["prefix"] == prefix or (known is not None and n["ns"] == known))
+    return [n for n in children.get(parent["id"], ()) if n["name"] == local and same(n)]
+
+
+def entry_nodes(nodes: list[dict], children: dict[int, list[dict]]) -> list[dict]:
+    """The nodes of a document's entries, at the first of their possible places."""
+    root = nodes[0]
+    channel = next((n for n in nodes if n["depth"] <= 1 and n["name"] in ("channel", "feedinfo", "news")), root)
+    listed = lambda top: [n for items in below(children, top, "items") for n in children.get(items["id"], ()) if n["name"] == "item"]
+    first = lambda top, *names: next((hit for name in names if (hit := below(children, top, name))), [])
+    places = (first(channel, "entry"), first(root, "item"), listed(root), first(root, "entry", "story"), first(channel, "item"), listed(channel), first(channel, "story"))
+    return next((found for found in places if found), [])
+
+
 def children(nodes: Column, parent: Column, *names: str) -> Column:
     """Children of a node by the first name that any has; ``prefix:name`` asks for an extension, ``name`` for the feed's own."""
     hits = [F.filter(nodes, _named(parent, name)) for name in names]
