@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import product
 
@@ -73,7 +73,7 @@ NAMES = {
     "OFL-1.1": ("sil open font license version 1 1", "sil open font license 1 1"),
 }
 
-#: Known sentences of licence texts; "..." stands for one to eight words.  Fixed values.
+#: Known sentences of licence texts; "..." stands for one or more words of its paragraph.  Fixed values.
 SENTENCES = {
     "rights": "all rights reserved",
     "mit.title": "MIT License",
@@ -159,8 +159,6 @@ RULES = [
     ("unlicense", "Unlicense", ("unlicense.domain",)),
     ("proprietary", "Proprietary", ("copyright", "rights")),
 ]
-#: The longest wild part, in words.
-ANY = 8
 WORD = re.compile(r"[a-z0-9]+")
 #: What follows a clause: its sign, the line's or the text's end.
 _clause = re.compile(r"[\"'“”’)\]>]*[ \t]*(?:[.!?;:,()\n*<–—|]|-|$)")
@@ -245,11 +243,25 @@ def openings() -> re.Pattern:
     return re.compile("|".join([*branches, r"copyright(?![a-z0-9])", r"spdx-license-identifier:"]))
 
 
+@cache
+def phrase_tree(phrases: tuple[str, ...]) -> dict:
+    root: dict = {}
+    for p in phrases:
+        node = root
+        for w in p.split():
+            node = node.setdefault(w, {})
+        node[None] = True
+    return root
+
+
 class Words:
-    """The words of a text from a place on, read as they are needed: (word, start, end)."""
+    """The words of a text from a place on, read as they are needed: (word, start, end).
+
+    ``vain`` belongs to the text: up to which place a search for the end of a wild part has already found none.
+    """
 
-    def __init__(self, low: str, at: int):
-        self.low, self.read, self.more = low, [], WORD.finditer(low, at)
+    def __init__(self, low: str, at: int, vain: dict[int, int]):
+        self.low, self.read, self.more, self.vain = low, [], WORD.finditer(low, at), vain
 
     def get(self, k: int) -> str | None:
         while len(self.read) <= k:
@@ -265,7 +277,28 @@ class Words:
 
     def seems(self, k: int, phrases: tuple[str, ...]) -> int:
         """The number of words of the longest of the phrases that stands at ``k``."""
-        return max((n for p in phrases for n in (len(p.split()),) if [self.get(k + i) for i in range(n)] == p.split()), default=0)
+        node, n, best = phrase_tree(phrases), 0, 0
+        while (w := self.get(k + n)) is not None and w in node:
+            node, n = node[w], n + 1
+            if None in node:
+                best = n
+        return best
+
+    def ahead(self, k: int, what: int, test: Callable[[int], object]):
+        """(place, result) of the first word from ``k`` on, in its paragraph, that passes; ``what`` names the test.
+
+        A test looks at a place only, so what one search found to hold none, a later one needn't read: all searches
+        of a text take linear time together.
+        """
+        if self.get(k) is None or self.read[k][1] < self.vain.get(what, 0):
+            return None
+        while True:
+            if found := test(k):
+                return k, found
+            k += 1
+            if self.get(k) is None or self.low.count("\n", self.read[k - 1][2], self.read[k][1]) > 1:
+                self.vain[what] = self.read[k - 1][2]
+                return None
 
 
 def _longest(words: Words, node: dict, k: int, wild: bool = False) -> tuple[int, str] | None:
@@ -276,16 +309,10 @@ def _longest(words: Words, node: dict, k: int, wild: bool = False) -> tuple[int,
         best = max(filter(None, (best, _longest(words, node[w], k + 1))), default=None)
     if "" in node:
         after = node[""]
-        if None in after:  # a wild part at the end
-            last = next((j for j in range(k, k + ANY) if words.get(j) is not None and words.closes(j)), None)
-            best = max(filter(None, (best, (last + 1, after[None]) if last is not None else None)), default=None)
-        for j in range(k + 1, k + ANY + 1):
-            w = words.get(j)
-            if w is not None and w in after:
-                found = _longest(words, after[w], j + 1)
-                if found:
-                    best = max(filter(None, (best, found)))
-                    break
+        if None in after and (last := words.ahead(k, -id(after), words.closes)):  # a wild part at the end
+            best = max(filter(None, (best, (last[0] + 1, after[None]))))
+        found = words.ahead(k + 1, id(after), lambda j: words.get(j) in after and _longest(words, after[words.get(j)], j + 1))
+        best = max(filter(None, (best, found and found[1])), default=None)
     return best
 
 
@@ -407,6 +434,7 @@ def _opens(low: str, at: int, done: int) -> bool:
 def recognised(text: str) -> list[tuple[int, int, str]]:
     """(start, end, identifier) of known sentences, grants (``=`` and an expression) and tags (``~``), in order."""
     low, out, done = lowered(text), [], 0
+    vain: dict[int, int] = {}
     pattern, at = openings(), 0
     while m := pattern.search(low, at):
         start = m.start()
@@ -423,7 +451,7 @@ def recognised(text: str) -> list[tuple[int, int, str]]:
             continue
         if not _opens(low, start, done):
             continue
-        words = Words(low, start)
+        words = Words(low, start, vain)
         found = _longest(words, sentence_tree(), 0)
         if found is None and (granted := _grant(words)):
             found = (granted[0], "=" + granted[1])
