@@ -284,19 +284,23 @@ class Words:
                 best = n
         return best
 
+    def parted(self, k: int) -> bool:
+        """Whether an empty line stands before word ``k``."""
+        return k > 0 and self.low.count("\n", self.read[k - 1][2], self.read[k][1]) > 1
+
     def ahead(self, k: int, what: int, test: Callable[[int], object]):
         """(place, result) of the first word from ``k`` on, in its paragraph, that passes; ``what`` names the test.
 
         A test looks at a place only, so what one search found to hold none, a later one needn't read: all searches
         of a text take linear time together.
         """
-        if self.get(k) is None or self.read[k][1] < self.vain.get(what, 0):
+        if self.get(k) is None or self.read[k][1] < self.vain.get(what, 0) or self.parted(k) or self.parted(k - 1):
             return None
         while True:
             if found := test(k):
                 return k, found
             k += 1
-            if self.get(k) is None or self.low.count("\n", self.read[k - 1][2], self.read[k][1]) > 1:
+            if self.get(k) is None or self.parted(k):
                 self.vain[what] = self.read[k - 1][2]
                 return None
 

@@ -6,7 +6,10 @@ letters, anything else to one space.  ``i``, ``l``, ``1``, ``!`` and ``|`` are
 one letter after folding, on both sides.
 
 The lexicon is learned from labelled rows: whole words and beginnings of words
-with their log odds.  At each place only the heaviest match counts, and none
+with their log odds.  A beginning counts only where ``SHARED`` or more different words of toxic
+documents have it and none of them makes up more than half of its occurrences, so that "worthless" and
+"pathetic" say nothing of "worth" and "path"; a whole word also stands for its forms with a
+known ending, unless labelled documents show such a form to be harmless.  At each place only the heaviest match counts, and none
 inside an exception phrase.  The sum is normalised by the text's length; a
 logistic curve with few coefficients brings it to a probability.
 
@@ -49,6 +52,9 @@ EXCEPTIONS = (
     "pathetic fallacy", "loser bracket", "worthless check", "toxic waste", "toxic asset", "killer whale", "killer app", "kill process", "kill switch",
 )
 PREFIX = range(4, 10)
+SHARED = 2
+#: Endings with which a learned word keeps its meaning; fixed values.
+ENDINGS = ("s", "es", "ed", "er", "ers", "ing", "ly", "y", "ish", "ness", "e", "en", "n", "os", "as")
 
 _table = {ord(k): v for k, v in HOMOGLYPHS.items()} | {ord("l"): "i", ord("ı"): "i", 0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None}
 for _c in map(chr, range(0xC0, 0x250)):
@@ -70,6 +76,11 @@ def fold(text: str | None) -> str:
     return f" {_gap.sub(' ', t).strip()} "
 
 
+def forms(pattern: str) -> list[str]:
+    """A whole word's patterns with the known endings."""
+    return [f"{pattern[:-1]}{fold(e).strip()} " for e in ENDINGS] if pattern.endswith(" ") and len(pattern) > 5 else []
+
+
 def terms(folded: str) -> set[str]:
     """Whole words `` w `` and beginnings of words `` w``."""
     words = set(folded.split())
@@ -159,9 +170,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     weight = {y: every[y] / n[y] for y in n}
     counted = rows.mapInArrow(tidy(_counts), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log(((F.col("pos") + 0.5) / (n1 + 1.0)) / ((F.col("neg") + 0.5) / (n0 + 1.0)))
-    top = counted.filter(F.col("pos") >= min(min_rows, n1)).withColumn("w", odds).filter(F.col("w") >= math.log(min_ratio)).withColumn("gain", F.col("w") * F.sqrt("pos"))
+    counted = staged(counted, "terms")
+    whole = counted.filter(F.col("term").endswith(" "))
+    begin = F.explode(F.transform(F.filter(F.sequence(F.lit(PREFIX[0]), F.lit(PREFIX[-1])), lambda k: k <= F.char_length("term") - 2), lambda k: F.substr("term", F.lit(1), k + 1)))
+    shared = whole.filter("pos > 0").select("pos", begin.alias("begin")).groupBy("begin").agg(F.count("*").alias("n"), F.max("pos").alias("most"), F.sum("pos").alias("all")).filter((F.col("n") >= SHARED) & (2 * F.col("most") <= F.col("all")))
+    fit_terms = whole.unionByName(counted.join(shared, F.col("term") == F.col("begin"), "left_semi"))
+    top = fit_terms.filter(F.col("pos") >= min(min_rows, n1)).withColumn("w", odds).filter(F.col("w") >= math.log(min_ratio)).withColumn("gain", F.col("w") * F.sqrt("pos"))
     found = top.orderBy(F.desc("gain"), "term").limit(max_terms).collect()
     lexicon = Lexicon({r["term"]: round(r["w"], 6) for r in found})
+    inflected: dict[str, float] = {}
+    for p, w in lexicon.weights.items():
+        for form in forms(p):
+            inflected[form] = max(w, inflected.get(form, 0.0))
+    if inflected:  # max_terms times the endings at most
+        asked = docs.sparkSession.createDataFrame([(t,) for t in sorted(inflected)], "term string")
+        harmless = {r["term"] for r in counted.join(asked, "term").filter((F.col("neg") > 0) & (odds < math.log(min_ratio))).select("term").collect()}
+        lexicon.weights = {t: w for t, w in inflected.items() if t not in harmless} | lexicon.weights
     seen = rows.mapInArrow(tidy(_features(lexicon)), "y int, total double, heaviest double").collect()  # 2 * max_rows rows at most
     seen = sorted(seen)
     x, y = np.array([[r["total"], r["heaviest"], 1.0] for r in seen]), np.array([r["y"] for r in seen], float)

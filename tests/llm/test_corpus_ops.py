@@ -335,6 +335,30 @@ def test_toxicity_held_out(spark, small):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
 
 
+HARMLESS = """path paths pathway pathology pathos pathogen pathfinder worth worthy worthwhile worthiness idiom idioms idiomatic idiosyncrasy disguise disguised disgorge disgruntled stupor stupefy stupendous
+trashcan mortal moral morale morning more lose loses losing lost loss loose loosen close closer clover clothes cloud clowder scumble sculpture scurry school scope trace track tradition transparent
+tragedy travel treasure pathless footpath empathy sympathy apathy pathname worthies noteworthy praiseworthy idiolect idle ideal idea identity distinct district disgust-free discuss discover display""".split()
+
+
+def test_toxicity_leaves_harmless_words_alone(spark):
+    """Words that begin like a learned one, alone and at the end of long neutral texts; forms of learned words are found."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    lex = toxicity.fit(docs, toxicity.taught(labels))
+    neutral = "many plain words stand in this line " * 15
+    mild = ["She took the path.", "Is it worth the trip? We think the museum is well worth it.", *HARMLESS, *[f"{neutral}{w}" for w in HARMLESS], *[f"the {w} of a day" for w in HARMLESS]]
+    bad = ["you idiots", "what trashy, worthless scum", "She is STUP1D", f"{neutral}you disgusting moron"]
+    rows = spark.createDataFrame(list(enumerate(mild + bad)), "doc_id long, text string")
+    score = {r.doc_id: r.score for r in toxicity.score(rows, lex).collect()}
+    assert [mild[k] for k in range(len(mild)) if score[k] >= 0.3] == []
+    assert all(score[len(mild) + k] >= 0.3 for k in range(len(bad)))
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [(r.score, truth[r.doc_id]) for r in toxicity.score(docs, lex).collect() if r.doc_id in truth and truth[r.doc_id] is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    clean = np.array([s for s, y in held if not y])
+    auc = np.mean([(clean < s).mean() + 0.5 * (clean == s).mean() for s, y in held if y])
+    assert auc >= 0.97 and (clean >= 0.3).mean() < 0.01
+
+
 def test_toxicity_without_labels(spark, docs, empty):
     none = spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int")
     lex = toxicity.fit(docs, none)
