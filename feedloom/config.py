@@ -1,7 +1,7 @@
 """Settings of readers, relations and writers, with their defaults.
 
 Used are: what requests send (proxy, authentication, timeout, agent), ``disable_update_from_remote``,
-``generator_*`` (writers), ``timestamp_estimation_enabled``, ``url_normalization_enabled``,
+``generator_*`` (writers), ``feed_cache`` (``parsed.open_cache``), ``timestamp_estimation_enabled``, ``url_normalization_enabled``,
 ``strip_comment_count``, ``max_ttl`` and ``default_ttl`` (feeds and entries).  The others are
 accepted so that a set of settings can be carried over; they change nothing here, as columns are
 always lazy, caches are tables, and sanitising can't be switched off.

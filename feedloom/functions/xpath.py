@@ -87,9 +87,12 @@ class Compiler:
         return F.get(self.nodes, number)
 
     def string_value(self, number: Column) -> Column:
-        """An element's own text; where it has none, the texts below it."""
+        """The texts of an element and those below it, in the document's order."""
         m = self.node(number)
-        below = F.array_join(F.transform(F.filter(self.nodes, lambda n: (n["id"] >= number) & (n["id"] <= m["last"])), lambda n: n["text"]), "")
+        piece = lambda n, after, text: F.struct(after.alias("after"), (-n["depth"]).alias("deepest"), text.alias("text"))
+        texts = lambda n: F.coalesce(F.transform(n["mixed"], lambda t: piece(n, t["after"], t["text"])), F.array(piece(n, n["id"], n["text"])))
+        inside = F.flatten(F.transform(F.filter(self.nodes, lambda n: (n["id"] >= number) & (n["id"] <= m["last"])), texts))
+        below = F.btrim(F.array_join(F.transform(F.array_sort(inside), lambda t: t["text"]), ""), F.lit(" \t\r\n"))
         return F.when(m["last"] == number, m["text"]).otherwise(below)
 
     def strings(self, v: Value) -> Column:
@@ -166,13 +169,20 @@ class Compiler:
     def unary(self, *at) -> Value:
         if self.took("-"):
             return Value("number", -self.number(self.unary(*at)))
-        left = self.path(*at)
+        """A union; attributes and texts have no numbers, so those of two paths stay apart unless the paths read the same."""
+        start = self.i
+        left, seen = self.path(*at), []
+        seen.append(self.tokens[start : self.i])
         while self.took("|"):
+            start = self.i
             right = self.path(*at)
             if left.kind != right.kind or left.kind not in ("nodes", "strings"):
                 raise ValueError("only sets of one kind can be united")
-            union = F.array_union(left.col, right.col)
-            left = Value(left.kind, F.array_sort(union) if left.kind == "nodes" else union)
+            if left.kind == "nodes":
+                left = Value("nodes", F.array_sort(F.array_union(left.col, right.col)))
+            elif self.tokens[start : self.i] not in seen:
+                left = Value("strings", F.concat(left.col, right.col))
+            seen.append(self.tokens[start : self.i])
         return left
 
     # -- paths
@@ -222,19 +232,45 @@ class Compiler:
         if self.peek(1) == "::":
             axis = self.take()
             self.take("::")
+            if axis == "namespace":
+                return self.namespace(v, self.take())
             if axis not in _axes():
                 raise ValueError(f"the axis {axis} isn't supported")
         name = self.take()
         if name in _node_tests and self.took("("):
-            self.took("'", '"')
+            target = self.take() if self.peek() != ")" else None
             self.take(")")
+            if name in ("comment", "processing-instruction"):
+                if axis != "child" or (target and name == "comment"):
+                    raise ValueError(f"{name}() stands on the child axis, a target only in processing-instruction()")
+                return self.noted(v, "comment" if name == "comment" else "instruction", target and target.strip("'\""))
+            if target:
+                raise ValueError(f"{name}() takes nothing")
             if name == "text":
                 return Value("strings", F.filter(F.transform(v.col, lambda c: self.node(c)["text"]), lambda x: x != ""))
-            if name != "node":  # the shredder drops comments and instructions
-                return Value("strings", F.array().cast("array<string>"))
             return self.filtered_walk(v, axis, lambda n: F.lit(True))
         return self.filtered_walk(v, axis, self.name_test(name))
 
+    def noted(self, v: Value, kind: str, target: str | None) -> Value:
+        """Comments or instructions below these nodes; those above the root belong to the document's node."""
+        same = lambda x, k: (x["kind"] == k) & (F.lit(True) if target is None else x["target"] == target)
+        of = lambda c: F.when(c == -1, F.filter(self.node(F.lit(0))["notes"], lambda x: same(x, f"above {kind}"))).otherwise(F.filter(self.node(c)["notes"], lambda x: same(x, kind)))
+        found = F.filter(F.transform(v.col, of), lambda xs: xs.isNotNull())
+        return Value("strings", F.transform(F.flatten(found), lambda x: x["text"]))
+
+    def namespace(self, v: Value, name: str) -> Value:
+        """The addresses of the namespaces in scope, ``*`` or by prefix; that of ``xml`` always is."""
+
+        def of(c: Column) -> Column:
+            m = self.node(c)
+            declared = F.filter(self.nodes, lambda n: (n["id"] <= m["id"]) & (n["last"] >= m["id"]) & n["spaces"].isNotNull())
+            scope = F.try_element_at(declared, F.lit(-1))["spaces"]
+            here = F.filter(F.map_values(scope), lambda u: u != "") if name == "*" else F.filter(F.array(F.element_at(scope, name.lower())), lambda u: u != "")
+            own = F.array(F.lit("http://www.w3.org/XML/1998/namespace")) if name in ("*", "xml") else F.array().cast("array<string>")
+            return F.concat(own, F.coalesce(here, F.array().cast("array<string>")))
+
+        return Value("strings", F.flatten(F.transform(F.filter(v.col, lambda c: c >= 0), of)))
+
     def name_test(self, name: str) -> Callable[[Column], Column]:
         prefix, _, local = name.lower().rpartition(":")
         same = (lambda n: F.lit(True)) if local == "*" else (lambda n: n["name"] == local)

@@ -769,6 +769,31 @@ def q_sanitize_scripts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", shred.sanitize(F.concat(F.lit("<p>"), k, F.lit(bad)), F.lit("http://h.example.org/p")).alias("html"))
 
 
+@query("""SELECT 'http://h.example.org/' || o_custkey AS href, o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'New ' ELSE 'Order ' END || o_orderkey || '[7]' AS title FROM orders WHERE o_custkey % 7 <> 1""")
+def q_parsed_cache(spark, sf_dir):
+    """Customers' feeds cached, then one in five changed and parsed again, and one in seven forgotten."""
+    from feedloom.sources.parsed import ParsedCache
+    from feedloom.sources.tables import shared_path
+
+    href = F.concat(F.lit("http://h.example.org/"), F.col("feed_key").cast("string"))
+    docs = customer_feeds(spark, sf_dir).select("feed_key", href.alias("href"), "xml")
+    cache = ParsedCache(spark, shared_path(spark, "parsed"), ["doc_pos", "title"], buckets=16)
+    cache.update(docs)
+    cache.update(docs.withColumn("xml", F.when(F.col("feed_key") % 5 == 0, F.replace("xml", F.lit("<title>Order "), F.lit("<title>New "))).otherwise(F.col("xml"))))
+    cache.forget(docs.filter("feed_key % 7 = 1").select("href"))
+    return cache.entries().select("href", F.regexp_extract("title", r"\d+", 0).cast("long").alias("o_orderkey"), "title")
+
+
+@query("""SELECT c_custkey, ' c' || c_custkey || ' ' AS comment, 'n="' || c_custkey || '"' AS instruction, 'urn:' || c_custkey AS space, 'x' || c_custkey || 'z' AS value, 3::BIGINT AS nodes FROM customer""")
+def q_xpath_kinds(spark, sf_dir):
+    """Comments, instructions and namespaces by path, and texts between elements in their order."""
+    k = F.col("c_custkey").cast("string")
+    xml = F.concat(F.lit('<?style n="'), k, F.lit('"?><!-- c'), k, F.lit(' --><a xmlns:p="urn:'), k, F.lit('"><b>x<c>'), k, F.lit("</c>z</b></a>"))
+    rows = shred.shredded(table(spark, sf_dir, "customer").select("c_custkey", xml.alias("xml")))
+    of = lambda p: xpath.find(F.col("nodes"), p)
+    return rows.select("c_custkey", of("//comment()").alias("comment"), of("/processing-instruction('style')").alias("instruction"), of("b/c/namespace::p").alias("space"), of("b").alias("value"), of("count(//*)").cast("long").alias("nodes"))
+
+
 # --- SQL --------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,10 @@ bound; nothing is ever fetched.  A node
 has its number, parent, last descendant, place among siblings, local and prefixed name (lower
 case), namespace, attributes, direct text, whether any of it was CDATA, markup
 of its children (of text constructs that aren't part of another), and xml:base,
-joined with those above it.  Work is in proportion to the document.
+joined with those above it.  Where texts and elements alternate, ``mixed`` has the
+texts as they stand, each after the number of the last element that began before it;
+``notes`` are its comments and processing instructions (the root also has those above
+it), ``spaces`` the namespaces in scope where it declares any.  Work is in proportion to the document.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODE = "struct<id:int,parent:int,last:int,pos:int,depth:int,name:string,prefix:string,ns:string,attrs:map<string,string>,text:string,cdata:boolean,inner:string,base:string>"
+NODE = "struct<id:int,parent:int,last:int,pos:int,depth:int,name:string,prefix:string,ns:string,attrs:map<string,string>,text:string,cdata:boolean,inner:string,base:string,mixed:array<struct<after:int,text:string>>,notes:array<struct<kind:string,target:string,text:string>>,spaces:map<string,string>>"
 SHREDDED = f"struct<well_formed:boolean,root:string,root_ns:string,nodes:array<{NODE}>>"
 #: Elements whose markup is kept.
 CONSTRUCTS = set("title subtitle tagline description summary abstract content encoded body div payload datacontent fullitem info rights copyright blurb headline".split())
@@ -65,6 +68,7 @@ class Builder:
     def __init__(self):
         self.nodes, self.stack, self.counts = [], [], {}
         self.markup, self.holder = [], None  # the open construct that is part of no other
+        self.above: list[tuple] | None = None
 
     def start(self, name: str, attrs: dict[str, str], namespaces: dict[str, str]) -> None:
         prefix, _, local = name.rpartition(":")
@@ -76,7 +80,9 @@ class Builder:
         scope = parent["scope"] if parent else {}
         scope = {**scope, **namespaces} if namespaces else scope
         ns = scope.get(prefix.lower(), "")
-        node = {"id": len(self.nodes), "parent": at, "pos": pos, "depth": len(self.stack), "name": local.lower(), "prefix": prefix.lower(), "ns": ns, "attrs": {k.lower(): v for k, v in attrs.items()}, "parts": [], "cdata": False, "inner": None, "base": base, "scope": scope, "raw": name, "shown": shown_name(name, ns)}
+        node = {"id": len(self.nodes), "parent": at, "pos": pos, "depth": len(self.stack), "name": local.lower(), "prefix": prefix.lower(), "ns": ns, "attrs": {k.lower(): v for k, v in attrs.items()}, "parts": [], "cdata": False, "inner": None, "base": base, "scope": scope, "texts": [], "notes": None, "spaces": scope if namespaces else None, "raw": name, "shown": shown_name(name, ns)}
+        if not self.nodes:
+            node["notes"] = self.above
         self.nodes.append(node)
         if self.holder is not None:
             self.markup.append(f"<{node['shown']}{''.join(f' {k}={quoteattr(v)}' for k, v in attrs.items() if not k.startswith('xmlns'))}>")
@@ -99,10 +105,19 @@ class Builder:
     def text(self, data: str, cdata: bool = False) -> None:
         if self.stack:
             self.stack[-1]["parts"].append(data)
+            self.stack[-1]["texts"].append((len(self.nodes) - 1, data))
             self.stack[-1]["cdata"] |= cdata
             if self.holder is not None:
                 self.markup.append(escape(data))
 
+    def note(self, kind: str, target: str | None, text: str) -> None:
+        """A comment or a processing instruction of the open element, or above the root."""
+        if self.stack:
+            node = self.stack[-1]
+            node["notes"] = [*(node["notes"] or ()), (kind, target, text)]
+        elif not self.nodes:
+            self.above = [*(self.above or ()), (f"above {kind}", target, text)]
+
     def rows(self) -> list[dict]:
         if self.holder is not None:
             self.close_holder()
@@ -111,8 +126,21 @@ class Builder:
             if n["parent"] >= 0:
                 up = self.nodes[n["parent"]]
                 up["last"] = max(up.get("last", 0), n["last"])
-        names = ("id", "parent", "last", "pos", "depth", "name", "prefix", "ns", "attrs", "cdata", "inner", "base")
-        return [{k: n[k] for k in names} | {"text": "".join(n["parts"]).strip()} for n in self.nodes]
+        names = ("id", "parent", "last", "pos", "depth", "name", "prefix", "ns", "attrs", "cdata", "inner", "base", "notes", "spaces")
+        return [{k: n[k] for k in names} | {"text": "".join(n["parts"]).strip(), "mixed": self.mixed(n)} for n in self.nodes]
+
+    @staticmethod
+    def mixed(node: dict) -> list[tuple[int, str]] | None:
+        """The texts of an element that also has children, joined where no element begins between them."""
+        if node["last"] == node["id"] or not any(t.strip() for t in node["parts"]):
+            return None
+        out: list[tuple[int, str]] = []
+        for after, text in node["texts"]:
+            if out and out[-1][0] == after:
+                out[-1] = (after, out[-1][1] + text)
+            else:
+                out.append((after, text))
+        return out
 
 
 def namespaces_of(attrs: dict[str, str]) -> dict[str, str]:
@@ -168,6 +196,8 @@ def strict(text: str, kind: str = "", entities: dict[str, str] | None = None) ->
 
     parser.CharacterDataHandler = read
     parser.StartCdataSectionHandler = lambda: inside.__setitem__(0, True)
+    parser.CommentHandler = lambda data: out.note("comment", None, data)
+    parser.ProcessingInstructionHandler = lambda target, data: out.note("instruction", target, data)
     parser.EndCdataSectionHandler = lambda: inside.__setitem__(0, False)
     parser.Parse(text.encode("utf-8", "replace"), True)
     return out
@@ -207,6 +237,13 @@ class Soup(HTMLParser):
     def handle_data(self, data):
         self.out.text(data)
 
+    def handle_comment(self, data):
+        self.out.note("comment", None, data)
+
+    def handle_pi(self, data):
+        target, _, rest = data.rstrip("?").partition(" ")
+        self.out.note("instruction", target, rest.strip())
+
     def unknown_decl(self, data):
         if data.startswith("CDATA["):
             self.out.text(data[6:], True)

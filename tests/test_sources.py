@@ -54,7 +54,7 @@ def test_paths(spark):
     got = docs.orderBy("k").select(xpath.try_paths(n, ["//none", "//title"]), xpath.combine_paths_all(n, ["//item", "//none", "//item"]), xpath.find(n, "//title")).collect()
     assert got[0][0] == "T" and len(got[0][1]) == 3
     assert got[1][2] is None and got[2][2] is None
-    for bad in ("//item[", "namespace::x", "fly(1)", "//a]", "a b"):
+    for bad in ("//item[", "sideways::x", "fly(1)", "//a]", "a b"):
         with pytest.raises(ValueError):
             xpath.find(n, bad)
 
@@ -401,3 +401,42 @@ def test_pieces_become_files(spark, tmp_path):
     assert set(read()) == {"a%2Fb%203.xml"} and os.listdir(f"{out}/_drafts") == []
     with pytest.raises(Exception, match="name and text"):
         rows.select("name").write.format("feed").mode("append").save(out)
+
+
+NOTED = """<?xml version="1.0"?><?xml-stylesheet href="s.css"?><!-- above --><a xmlns="urn:d" xmlns:p="urn:p"><!-- one --><b k="1">x<c k="1">y</c>z<d/>!</b><?php echo 1?><!-- two --><p:e xmlns:p="urn:q" k="2"><f> in <g>deep</g> out </f></p:e></a>"""
+KINDS = {
+    "//comment()": [" above ", " one ", " two "],
+    "/comment()": [" above "],
+    "/a/comment()": [" one ", " two "],
+    "b/comment()": [],
+    "processing-instruction()": ["echo 1"],
+    "processing-instruction('php')": ["echo 1"],
+    "processing-instruction('other')": [],
+    "/processing-instruction('xml-stylesheet')": ['href="s.css"'],
+    "namespace::p": ["urn:p"],
+    "p:e/namespace::p": ["urn:q"],
+    "p:e/f/namespace::p": ["urn:q"],
+    "count(b/namespace::*)": ["3"],
+    "namespace::none": [],
+    "namespace::xml": ["http://www.w3.org/XML/1998/namespace"],
+    "string(b)": ["xyz!"],
+    "string(p:e)": ["in deep out"],
+    "string(.)": ["xyz! in deep out"],
+    "b/@k | b/c/@k | p:e/@k": ["1", "1", "2"],
+    "b/@k | b/@k": ["1"],
+    "b[comment()]": [],
+    "count(//*[processing-instruction()])": ["1"],
+    "b/c[.='y'] | b": ["xyz!", "y"],
+}
+
+
+def test_node_kinds(spark):
+    """Comments, instructions and namespaces; texts in the document's order; unions keep equal values of different nodes."""
+    rows = shredded(spark.createDataFrame([(NOTED,)], "xml string"))
+    got = rows.select(*[xpath.find_all(F.col("nodes"), p).alias(f"p{k}") for k, p in enumerate(KINDS)]).first()
+    assert dict(zip(KINDS, got)) == KINDS
+    soup = shred.shred_one("<a><!-- c --><b>x<?do it now?></a>")
+    assert [n["notes"] for n in soup["nodes"]] == [[("comment", None, " c ")], [("instruction", "do", "it now")]] and not soup["well_formed"]
+    for wrong in ("ancestor::comment()", "comment('x')", "text('x')"):
+        with pytest.raises(ValueError):
+            xpath.find_all(F.col("nodes"), wrong)
