@@ -1,6 +1,7 @@
 """Settings of readers, relations and writers, with their defaults.
 
-Used are: what requests send (proxy, authentication, timeout, agent), ``disable_update_from_remote``,
+Used are: what requests send (proxy, authentication, timeout, agent), ``follow_redirects`` (``all``, ``permanent``,
+``same_host`` or ``none``), ``output_encoding`` (saved feeds), ``entry_sorting_property`` (planets), ``disable_update_from_remote``,
 ``generator_*`` (writers), ``feed_cache`` (``parsed.open_cache``), ``timestamp_estimation_enabled``, ``url_normalization_enabled``,
 ``strip_comment_count``, ``max_ttl`` and ``default_ttl`` (feeds and entries).  The others are
 accepted so that a set of settings can be carried over; they change nothing here, as columns are
@@ -26,6 +27,7 @@ class Settings:
     auth_password: str | None = None
     auth_scheme: str | None = None
     http_timeout: float | None = 30.0
+    follow_redirects: str = "all"
     user_agent: str = f"{NAME}/1.0"
     generator_name: str = NAME
     generator_href: str | None = None

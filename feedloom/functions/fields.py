@@ -71,6 +71,7 @@ DATES = [
     (rf"^(?:\p{{L}}+\.?,?\s+)?(\p{{L}}{{3,}})\.?\s+(\d{{1,2}})\s+{_CLOCK}\s+(?:{_ZONE}\s+)?(\d{{4}})$", "$7|$1|$2|$3|$4|$5|$6|"),
     (rf"^(?:\p{{L}}+,?\s+)?(\p{{L}}{{3,}})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})(?:[\s,]+{_CLOCK}{_HALF})?\s*{_ZONE}$", "$3|$1|$2|$4|$5|$6|$8|$7"),
     (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}|\d{{2}})(?:[\s,]+{_CLOCK}{_HALF})?\s*{_ZONE}$", "$3|$1|$2|$4|$5|$6|$8|$7"),
+    (rf"^(\d{{4}})-?([Ww]\d{{2}})(?:-?(\d))?(?:[T\s]+{_CLOCK}\s*{_ZONE})?$", "$1|$2|$3|$4|$5|$6|$7|"),
     (r"^(\d{4})-(\d{2})$", "$1|$2|1|||||"),
     (r"^-?(\d{2})-(\d{2})-(\d{2})$", "$1|$2|$3|||||"),
     (r"^(\d{2})(\d{2})(\d{2})$", "$1|$2|$3|||||"),
@@ -79,13 +80,18 @@ DATES = [
 ]
 #: How the names of months begin, also Greek and Hungarian ones; fixed values.
 MONTHS = ["jan|ιαν", "feb|φεβ", "mar|már|μάρ", "apr|ápr|απρ", "may|máj|μάι|μάϊ|μαϊ", "jun|jún|ιούν", "jul|júl|ιούλ", "aug|αύγ", "sep|sze|σεπ", "oct|okt|οκτ", "nov|νοέ", "dec|δεκ"]
-ZONES = {"EST": -18000, "EDT": -14400, "CST": -21600, "CDT": -18000, "MST": -25200, "MDT": -21600, "PST": -28800, "PDT": -25200, "CET": 3600, "CEST": 7200, "BST": 3600, "MSK": 10800, "JST": 32400}
+#: Zones by name in seconds east of Greenwich; a name that isn't here makes no date.  Fixed values.
+_ZONE_HOURS = {
+    "NST": -3.5, "NDT": -2.5, "AST": -4, "ADT": -3, "AKST": -9, "AKDT": -8, "HST": -10, "HDT": -9, "WET": 0, "WEST": 1, "EET": 2, "EEST": 3, "IST": 5.5, "PKT": 5, "AEST": 10, "AEDT": 11, "ACST": 9.5, "ACDT": 10.5, "AWST": 8, "NZST": 12, "NZDT": 13,
+    "KST": 9, "HKT": 8, "SGT": 8, "PHT": 8, "WIB": 7, "ICT": 7, "BRT": -3, "ART": -3, "CLT": -4, "SAST": 2, "EAT": 3, "WAT": 1, "CAT": 2, "MSD": 4, "TRT": 3, "MEZ": 1, "MESZ": 2,
+}
+ZONES = {k: int(v * 3600) for k, v in _ZONE_HOURS.items()} | {"EST": -18000, "EDT": -14400, "CST": -21600, "CDT": -18000, "MST": -25200, "MDT": -21600, "PST": -28800, "PDT": -25200, "CET": 3600, "CEST": 7200, "BST": 3600, "MSK": 10800, "JST": 32400}
 
 
 def parse_date(c: Column) -> Column:
     """The time of a date in RFC 822, ISO 8601, asctime or American form and near them; null where none fits.
 
-    Years of two digits lie from 1969 to 2068, a month's missing days run into the next month, hours
+    Weeks are those of ISO 8601; their day is Monday where none is given.  Years of two digits lie from 1969 to 2068, a month's missing days run into the next month, hours
     above 24, minutes above 59 and seconds above 60 are no date.  A form is tried only where none before it fitted.
     """
     once = lambda v, use: F.get(F.transform(F.array(v), use), F.lit(0))
@@ -114,8 +120,13 @@ def parse_date(c: Column) -> Column:
         offset = F.when(zone.isin("", "Z", "GMT", "UT", "UTC"), 0).when(F.ascii(zone).isin(43, 45), signed)
         for text, seconds in ZONES.items():
             offset = offset.when(zone == text, seconds)
+        known = zone.isin("", "Z", "GMT", "UT", "UTC", *ZONES) | F.ascii(zone).isin(43, 45) | (F.char_length(zone) == 1)  # one letter says nothing (RFC 2822)
+        week = F.when(name.rlike(r"^w\d"), number(F.substring(name, 2, 2)))
+        fourth = F.make_date(F.when(week.between(1, F.weekofyear(F.make_date(year, F.lit(12), F.lit(28)))) & (day <= 7) & (hour <= 24) & (minute <= 59) & (second <= 60), year), F.lit(1), F.lit(4))  # always in week 1
+        by_week = F.unix_date(fourth).cast("long") - F.weekday(fourth) + (week - 1) * 7 + F.greatest(day, F.lit(1)) - 1
         fine = month.between(1, 12) & (day >= 1) & (day <= F.when(F.size(p) > 8, 366).otherwise(31)) & (hour <= 24) & (minute <= 59) & (second <= 60)
         days = F.unix_date(F.make_date(F.when(fine, year), F.when(fine, month), F.lit(1))).cast("long") + day - 1
+        days = F.when(known, F.coalesce(by_week, days))
         return F.timestamp_seconds(days * 86400 + hour * 3600 + minute * 60 + second - F.coalesce(offset, F.lit(0)))
 
     return once(once(ws_trim(c), parts), lambda p: F.when(p.isNotNull(), stamp(p)))

@@ -423,9 +423,11 @@ def _not_blank(c: Column) -> Column:
     return F.filter(F.transform(c, lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: x != "")
 
 
-def try_paths(nodes: Column, paths: list[str], start: Column | None = None, namespaces: dict[str, str] | None = None) -> Column:
-    """The first value that isn't blank, trying the paths in order."""
-    return F.coalesce(*[F.get(_not_blank(find_all(nodes, p, start, namespaces)), F.lit(0)) for p in paths])
+def try_paths(nodes: Column, paths: list[str], start: Column | None = None, namespaces: dict[str, str] | None = None, reject: Callable[[Column], Column] | None = None) -> Column:
+    """The first value that isn't blank, and that ``reject`` doesn't refuse, trying the paths in order."""
+    found = lambda p: _not_blank(find_all(nodes, p, start, namespaces))
+    fit = found if reject is None else (lambda p: F.filter(found(p), lambda x: ~F.coalesce(reject(x), F.lit(False))))
+    return F.coalesce(*[F.get(fit(p), F.lit(0)) for p in paths])
 
 
 def try_paths_all(nodes: Column, paths: list[str], start: Column | None = None, namespaces: dict[str, str] | None = None) -> Column:

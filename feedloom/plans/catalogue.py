@@ -707,6 +707,18 @@ def q_dates_dialects(spark, sf_dir):
     )
 
 
+@query("SELECT event_id, floor(epoch(ts))::BIGINT + 32400 AS far, NULL::BIGINT AS unknown, epoch(date_trunc('day', ts))::BIGINT AS week_day, epoch(date_trunc('week', ts))::BIGINT AS week FROM events")
+def q_dates_zones_weeks(spark, sf_dir):
+    """Zones by name, also ones that nobody knows, and weeks."""
+    e, ts = event_entries(spark, sf_dir), F.col("ts")
+    of = lambda c: F.unix_timestamp(fields.parse_date(c))
+    clock = F.date_format(ts, "dd MMM yyyy HH:mm:ss")
+    number = F.lpad(F.weekofyear(ts).cast("string"), 2, "0")
+    year = F.year(F.date_add(F.date_trunc("week", ts).cast("date"), 3)).cast("string")  # a week is of its Thursday's year
+    day = F.concat(year, F.lit("-W"), number, F.lit("-"), (F.weekday(ts) + 1).cast("string"))
+    return e.select("event_id", of(F.concat(clock, F.lit(" AKST"))).alias("far"), of(F.concat(clock, F.lit(" QQT"))).alias("unknown"), of(day).alias("week_day"), of(F.concat(year, F.lit("W"), number)).alias("week"))
+
+
 @query("SELECT c_custkey, 'T' || c_custkey AS title, 'http://h.example.org/' || c_custkey AS link, 1.1::DOUBLE AS feed_version FROM customer")
 def q_rss11(spark, sf_dir):
     """RSS 1.1: entries inside ``items``, with a prefix bound to its namespace."""

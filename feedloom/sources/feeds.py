@@ -138,6 +138,12 @@ def _chosen(built: dict, columns: list[str] | None) -> list[Column]:
     return [built[c]().alias(c) for c in names]
 
 
+def encoding_of(docs: DataFrame, xml: str) -> Column:
+    """The encoding that a document's answer (``http_headers``, where there are any) or its declaration names, else UTF-8."""
+    said = F.element_at("http_headers", "content-type") if "http_headers" in docs.columns else F.lit(None).cast("string")
+    return fields.encoding(said, F.regexp_extract(F.col(xml), r"^[^<]*<\?xml[^>]*\?>", 0))
+
+
 def base_of(nodes: Column, channel: Column) -> Column:
     """A feed's base address: the channel's own, else the root's; that of a redirecting host gives way to the link."""
     named = F.get(children(nodes, channel["id"], "base"), F.lit(0))
@@ -217,7 +223,7 @@ def feeds(docs: DataFrame, xml: str = "xml", key: str = "feed_key", columns: lis
         rows = rows.withColumn("own_href", href())
     now = [] if as_of is None or not settings.timestamp_estimation_enabled else [as_of]
     built = {
-        key: lambda: F.col(key), "well_formed": lambda: F.col("well_formed"), "feed_type": lambda: kind,
+        key: lambda: F.col(key), "well_formed": lambda: F.col("well_formed"), "feed_type": lambda: kind, "encoding": lambda: encoding_of(docs, xml),
         "feed_version": lambda: fields.feed_version(kind, ns, attribute(root, "version")),
         "id": lambda: first_text(n, ch, "id", "guid"), "href": lambda: F.col("own_href"), "title": lambda: first_text(n, ch, *FEED_TITLE), "subtitle": lambda: first_text(n, ch, *SUBTITLE),
         "title_html": lambda: html(n, ch, FEED_TITLE, atom, base), "subtitle_html": lambda: html(n, ch, SUBTITLE, atom, base),
@@ -260,9 +266,10 @@ def entries(docs: DataFrame, xml: str = "xml", key: str = "feed_key", columns: l
     inherited = {
         "f_base": lambda: F.coalesce(base_of(n, channel), F.col("href") if "href" in docs.columns else F.lit(None).cast("string")),
         "f_author": lambda: person(n, ch, AUTHOR, first_text(n, ch, "itunes:author")), "f_publisher": lambda: person(n, ch, ("webmaster", "dc:publisher")), "f_itunes_author": lambda: _itunes_author(n, ch), "f_explicit": lambda: _explicit(n, ch),
+        "f_encoding": lambda: encoding_of(docs, xml),
         "f_version": lambda: fields.feed_version(kind, F.coalesce(F.col("root_ns"), F.lit("")), attribute(F.get(n, F.lit(0)), "version")),
     }
-    uses = {"author": "f_author", "publisher": "f_publisher", "itunes_author": "f_itunes_author", "explicit": "f_explicit", "enclosures": "f_explicit", "feed_version": "f_version"}
+    uses = {"author": "f_author", "publisher": "f_publisher", "itunes_author": "f_itunes_author", "explicit": "f_explicit", "enclosures": "f_explicit", "feed_version": "f_version", "encoding": "f_encoding"}
     needed = ["f_base", *sorted({uses[c] for c in (columns or uses) if c in uses})]
     items = rows.select(key, kind.alias("feed_type"), *[inherited[c]().alias(c) for c in needed], F.posexplode(own).alias("doc_pos", "x")).select(key, "feed_type", *needed, "doc_pos", "x.item", "x.nodes")
     i, item, atom = F.col("item.id"), F.col("item"), F.coalesce(F.col("feed_type") == "atom", F.lit(False))
@@ -327,7 +334,7 @@ def entries(docs: DataFrame, xml: str = "xml", key: str = "feed_key", columns: l
         key: lambda: F.col(key), "doc_pos": lambda: F.col("doc_pos"), "id": guid, "title": title,
         "content": lambda: first_text(n, i, *CONTENT, *extra), "summary": lambda: first_text(n, i, *SUMMARY, *extra),
         "title_html": lambda: html(n, i, ITEM_TITLE, atom, base), "content_html": lambda: html(n, i, (*CONTENT, *extra), atom, base), "summary_html": lambda: html(n, i, (*SUMMARY, *extra), atom, base),
-        "links": lambda: F.col("links"), "link": link, "comments": comments, "base_uri": lambda: base, "feed_type": lambda: F.col("feed_type"), "feed_version": lambda: F.col("f_version"),
+        "links": lambda: F.col("links"), "link": link, "comments": comments, "base_uri": lambda: base, "feed_type": lambda: F.col("feed_type"), "feed_version": lambda: F.col("f_version"), "encoding": lambda: F.col("f_encoding"),
         "author": author, "publisher": publisher, "itunes_author": lambda: F.coalesce(_itunes_author(n, i), "f_itunes_author"),
         "itunes_summary": lambda: plain(n, "itunes:summary", i), "itunes_subtitle": lambda: plain(n, "itunes:subtitle", i), "media_text": lambda: plain(n, "media:text", i),
         "categories": lambda: categories(n, i),
@@ -529,12 +536,14 @@ def save_feeds(
         hook = F.concat(hook, F.when(F.col("__page") > 0, to("previous", F.col("__page") - 1)).otherwise(""), F.when(F.col("__page") < F.col("__last"), to("next", F.col("__page") + 1)).otherwise(""))
     parts = written(tops, entry.withColumn("feed_page", F.struct(F.col(key).alias("k"), F.col("__page").alias("p"))), kind, version, "feed_page", feed_hook=hook, **more)
     name_of = lambda k, p: F.concat(F.coalesce(k.cast("string"), F.lit("")), F.concat(F.lit("-"), F.lpad((p + 1).cast("string"), 6, "0")) if page else F.lit(""))
-    own = F.explode(F.array(*[F.struct(F.lit(n).alias("section"), F.lit(None).cast("long").alias("doc_pos"), c.alias("text")) for n, c in ((0, parts.front), (2, parts.rest), (4, parts.back))]))
+    settings = more.get("settings", DEFAULTS)
+    declared = F.lit(f'<?xml version="1.0" encoding="{settings.output_encoding}"?>' if settings.output_encoding.lower() not in ("utf-8", "utf8") else "")
+    own = F.explode(F.array(*[F.struct(F.lit(n).alias("section"), F.lit(None).cast("long").alias("doc_pos"), c.alias("text")) for n, c in ((0, F.concat(declared, parts.front)), (2, parts.rest), (4, parts.back))]))
     pieces = parts.heads.select(name_of(F.col(key), F.col("__page")).alias("name"), own.alias("x")).select("name", "x.*")
     theirs = F.explode(F.array(*[F.struct(F.lit(n).alias("section"), F.col("doc_pos").cast("long").alias("doc_pos"), F.col(c).alias("text")) for n, c in ((1, "place"), (3, "item"))]))
     pieces = pieces.unionByName(parts.items.select(name_of(F.col("feed_page.k"), F.col("feed_page.p")).alias("name"), theirs.alias("x")).select("name", "x.*")).filter("text <> ''")
     ordered = pieces.repartition(range_partitions(items), "name").sortWithinPartitions("name", "section", "doc_pos")
-    ordered.select("name", "text").write.format("feed").mode(mode).save(path)
+    ordered.select("name", "text").write.format("feed").option("encoding", settings.output_encoding).mode(mode).save(path)
 
 
 def read_saved(spark: SparkSession, path: str) -> DataFrame:

@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.config import DEFAULTS
-from feedloom.functions import uri, xpath
+from feedloom.functions import fields, uri, xpath
 from feedloom.plans import catalogue
 from feedloom.sources import fetch, shred, source
-from feedloom.sources.feeds import entries, feeds, write_xml
+from feedloom.sources.feeds import entries, feeds, read_saved, save_feeds, write_xml
 from feedloom.sources.shred import shredded
 from feedloom.streaming import streams
 
@@ -440,3 +440,54 @@ def test_node_kinds(spark):
     for wrong in ("ancestor::comment()", "comment('x')", "text('x')"):
         with pytest.raises(ValueError):
             xpath.find_all(F.col("nodes"), wrong)
+
+
+def test_planet(spark, site):
+    """Several addresses of one feed count once; titles get the feed's in front; the newest comes first."""
+    at = F.timestamp_seconds(F.lit(1_000_000))
+    cached = fetch.FeedCache(spark, "/nowhere").read()
+    urls = spark.createDataFrame([(site + p,) for p in ("/feed", "/moved", "/page", "/old", "/none")], "href string")
+    planet = fetch.open_planet(urls, cached, at).orderBy("rank").collect()
+    assert [r.title for r in planet] == ["T: one", "T: two", "T: three"] and [r["rank"] for r in planet] == [1, 2, 3] and planet[0].feed_key == site + "/feed"
+    by_title = fetch.open_planet(urls, cached, at, DEFAULTS.with_options(entry_sorting_property="title")).orderBy("rank").collect()
+    assert [r.title for r in by_title] == ["T: one", "T: three", "T: two"]
+    assert fetch.open_planet(urls.limit(0), cached, at).count() == 0
+    opened = fetch.live(fetch.open_feeds(urls.limit(1), cached, at), at)
+    assert [r.live for r in opened.collect()] == [True]
+    assert [r.live for r in fetch.live(opened.drop("live"), F.timestamp_seconds(F.lit(2_000_000))).collect()] == [False]
+
+
+def test_redirects_are_decided(spark, site):
+    urls = spark.createDataFrame([(site + p,) for p in ("/moved", "/for-now")], "href string")
+    of = lambda rows: {r.href.removeprefix(site): (r.status, r.final_href.removeprefix(site)) for r in rows.collect()}
+    assert of(fetch.fetch(urls, DEFAULTS.with_options(follow_redirects="none"))) == {"/moved": (301, "/moved"), "/for-now": (302, "/for-now")}
+    assert of(fetch.fetch(urls, DEFAULTS.with_options(follow_redirects="permanent"))) == {"/moved": (200, "/feed"), "/for-now": (302, "/for-now")}
+    assert of(fetch.fetch(urls, follow=lambda here, there, status: not there.endswith("/feed"))) == {"/moved": (301, "/moved"), "/for-now": (301, "/for-now")}
+
+
+def test_rejected_values(spark):
+    rows = shredded(spark.createDataFrame([(DOC,)], "xml string"))
+    got = rows.select(xpath.try_paths(F.col("nodes"), ["//item/title", "//n"], reject=lambda x: x.contains("o")), xpath.try_paths(F.col("nodes"), ["//item/title"], reject=lambda x: x != "x"))
+    assert tuple(got.first()) == ("three", None)
+
+
+def test_zones_and_weeks(spark):
+    given = {
+        "Tue, 02 Jan 2024 03:04:05 AKST": "2024-01-02T12:04:05", "02 Jan 2024 03:04:05 IST": "2024-01-01T21:34:05", "02 Jan 2024 03:04:05 XYZ": None, "02 Jan 2024 03:04:05 A": "2024-01-02T03:04:05", "02 Jan 2024 03:04:05 NST": "2024-01-02T06:34:05",
+        "2024-W01": "2024-01-01T00:00:00", "2024-W01-3": "2024-01-03T00:00:00", "2021W537": None, "2020W537": "2021-01-03T00:00:00", "2015-W53-5T10:20:30Z": "2016-01-01T10:20:30", "2024-W54": None, "2024-W00": None, "2024-W01-8": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in given], "t string").select("t", F.date_format(fields.parse_date(F.col("t")), "yyyy-MM-dd'T'HH:mm:ss").alias("d"))
+    assert {r.t: r.d for r in rows.collect()} == given
+
+
+def test_encodings(spark, tmp_path):
+    """Feeds are saved in the encoding of the settings, declare it, and are read back; what it lacks becomes a reference."""
+    heads = spark.createDataFrame([("k", "Grüße 詹", "http://h/", "s")], "feed_key string, title string, link string, subtitle string")
+    items = spark.createDataFrame([("k", 0, "i", "é", "http://h/1", "c")], "feed_key string, doc_pos long, id string, title string, link string, content string").withColumn("time", F.timestamp_seconds(F.lit(0)))
+    path = str(tmp_path / "latin")
+    save_feeds(heads, items, path, settings=DEFAULTS.with_options(output_encoding="iso-8859-1"))
+    raw = bytes(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path + "/part-*").first().content)
+    assert raw.startswith(b'<?xml version="1.0" encoding="iso-8859-1"?>') and "Grüße &#35449;".encode("latin-1") in raw
+    docs = read_saved(spark, path)
+    assert feeds(docs, columns=["title", "encoding"]).first().asDict() == {"title": "Grüße 詹", "encoding": "iso-8859-1"}
+    assert entries(docs, columns=["title", "encoding"]).first().asDict() == {"title": "é", "encoding": "iso-8859-1"}
