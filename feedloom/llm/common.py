@@ -101,13 +101,18 @@ def _bit(h: Column, probe: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(h, F.lit(12)), BLOCK_BITS * probe).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
 
 
-def key_filter(keys: DataFrame, key: str, n: int, most: int = 4096) -> DataFrame:
+#: So many blocks (16 MB) may be broadcast.
+BROADCAST_BLOCKS = 4096
+
+
+def key_filter(keys: DataFrame, key: str, n: int, most: int | None = BROADCAST_BLOCKS) -> DataFrame:
     """A Bloom filter of the column ``key`` as blocks ``(block, bits)``, with 16 bits a key.
 
-    It has ``most`` blocks (16 MB) at most, so it may be broadcast; with more
-    keys than those serve, it lets more pass but never stops a key that it holds.
+    It has ``most`` blocks at most, so that it may be broadcast: with more keys than those serve, it lets more pass but never
+    stops a key that it holds.  Without ``most`` it grows with the keys, and a large one is met by a join on the block.
     """
-    blocks = max(1, min(most, (n * KEY_BITS >> BLOCK_BITS) + 1))
+    blocks = max(1, (n * KEY_BITS >> BLOCK_BITS) + 1)
+    blocks = blocks if most is None else min(most, blocks)
     bits = F.explode(F.array(*[_bit(F.col(key), p) for p in range(PROBES)]))
     rows = keys.select(_place(F.col(key), blocks).alias("block"), bits.alias("bit"))
     out = staged(rows.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")), "filter")
@@ -118,7 +123,8 @@ def key_filter(keys: DataFrame, key: str, n: int, most: int = 4096) -> DataFrame
 def might_hold(df: DataFrame, key_blocks: DataFrame, key: Column, name: str) -> DataFrame:
     """``df`` with a column that is false only where the filter holds no such key."""
     blocks = key_blocks._feedloom_blocks
-    known = F.broadcast(key_blocks.select(F.col("block").alias(f"{name}_block"), F.col("bits").alias(f"{name}_bits")))
+    known = key_blocks.select(F.col("block").alias(f"{name}_block"), F.col("bits").alias(f"{name}_bits"))
+    known = F.broadcast(known) if blocks <= BROADCAST_BLOCKS else known  # keys are dealt evenly to blocks
 
     def is_set(probe: int) -> Column:
         bit = _bit(key, probe).cast("int")

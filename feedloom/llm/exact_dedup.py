@@ -3,12 +3,16 @@
 One pass reads the texts and writes a log of ``(id, digest)``.  The log is dealt
 to *memtables*; each is aggregated and flushed as a *run* of level 0: rows
 ``(digest, lo, hi, n)`` sorted by digest, with the smallest and the largest id
-and the count.  *Compaction* merges up to ``fanout`` runs of a level into one of
-the next, level by level, until one is left.  Every run has a Bloom filter (16
-bits a key, 16 MB at most, so it may be broadcast), and a *probe* reads only the
-runs whose filter lets a digest pass.
+and the count.  Every run has a Bloom filter of 16 bits a key.  A new run's digests
+probe the filters of the runs before it: a run whose filter stops them all isn't read, the
+others are read for what passes, and only digests met in two runs, or twice in
+one, are gathered.  *Compaction* merges the runs of a level into one of the next where the
+level holds ``fanout`` of them, and forgets their filters.
 
-The documents probe the filter of the repeated digests: what it stops is single
+The index may be kept for further batches: their documents are then held against
+all before by digest (texts are compared within a batch), and no earlier text is read again.
+
+The documents probe a filter of the repeated digests: what it stops is single
 and takes part in no join.  The texts of the others are compared byte by byte:
 a group is whole where its least and its largest text are equal, which is
 aggregated before the shuffle, so a text with a million copies travels once a
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import UPPER, ascii_lower, key_filter, might_hold, scratch_name, staged, table, unstage
 
-MEMTABLE_ROWS = 50_000_000
+MEMTABLE_ROWS = 500_000_000
 
 
 @dataclass
@@ -45,7 +49,7 @@ class Run:
 
     def filter(self) -> DataFrame:
         if not self.made:
-            self.made.append(key_filter(self.table, "digest", self.rows))
+            self.made.append(key_filter(self.table, "digest", self.rows, most=None))
         return self.made[0]
 
     def drop(self) -> None:
@@ -57,11 +61,63 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, fanout: int = 8):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
-        self.read_runs = 0
+        self.read_runs = self.stopped_runs = 0
+        self.met: list[DataFrame] = []  # digests found in two runs
 
     def runs(self) -> list[Run]:
         return [run for level in self.levels for run in level]
 
+    def add(self, digests: DataFrame, memtable: Column | None = None, memtables: int = 1) -> None:
+        """Flush ``(digest, id)``, hold each new run against those before it, and compact full levels."""
+        before, self.levels = self.levels, [[]]
+        self.flush(digests, memtable, memtables)
+        new, self.levels = self.levels[0], before
+        for run in new:
+            for older in self.runs():
+                if (both := self._common(run.table, older)) is not None:
+                    self.met.append(both)
+            self.levels[0].append(run)
+            self._settle()
+
+    def _passing(self, digests: DataFrame, run: Run) -> DataFrame | None:
+        """The digests that a run's filter lets pass; None where it stops all of them, and the run isn't read."""
+        passing = staged(might_hold(digests.select("digest"), run.filter(), F.col("digest"), "hit").filter("hit").select("digest").distinct(), "passing")
+        if passing.isEmpty():
+            self.stopped_runs += 1
+            unstage(passing)
+            return None
+        self.read_runs += 1
+        return passing
+
+    def _common(self, digests: DataFrame, run: Run) -> DataFrame | None:
+        passing = self._passing(digests, run)
+        if passing is None:
+            return None
+        both = staged(run.table.select("digest").join(passing, "digest", "left_semi"), "met")
+        unstage(passing)
+        return both
+
+    def repeats(self) -> DataFrame:
+        """(digest, lo, hi, n) of the digests with more than one row, over all runs."""
+        runs = self.runs()
+        if len(runs) == 1:
+            return runs[0].table.filter("n > 1")
+        many = reduce(DataFrame.unionByName, [run.table.filter("n > 1").select("digest") for run in runs] + self.met)
+        many = staged(many.distinct(), "many")
+        rows = reduce(DataFrame.unionByName, [run.table.join(many, "digest", "left_semi") for run in runs])
+        return rows.groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).filter("n > 1")
+
+    def _settle(self) -> None:
+        """Merge the levels that are full."""
+        at = 0
+        while at < len(self.levels):
+            if len(self.levels[at]) >= self.fanout:
+                some, self.levels[at] = self.levels[at], []
+                if at + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[at + 1].append(self._merged(some, at + 1))
+            at += 1
+
     def flush(self, digests: DataFrame, memtable: Column | None = None, memtables: int = 1) -> None:
         """Flush ``(digest, id)`` as one sorted run a memtable, all in one job."""
         slot = F.lit(0) if memtable is None else F.pmod(memtable, F.lit(memtables))
@@ -98,9 +154,7 @@ class DigestIndex:
         """(digest, lo, hi, n) of those digests that the index holds; runs whose filter stops all of them aren't read."""
         found = [run.table.limit(0) for run in self.runs()[:1]]
         for run in self.runs():
-            passing = staged(might_hold(digests.select("digest"), run.filter(), F.col("digest"), "hit").filter("hit").select("digest").distinct(), "passing")
-            if not passing.isEmpty():
-                self.read_runs += 1
+            if (passing := self._passing(digests, run)) is not None:
                 found.append(run.table.join(passing, "digest", "left_semi"))
         return reduce(DataFrame.unionByName, found).groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
 
@@ -110,25 +164,25 @@ def with_digest(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", memtable_rows: int = MEMTABLE_ROWS, index: DigestIndex | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
-    ``keep`` names the identifier of a group that stays: ``min`` or ``max``.
+    ``keep`` names the identifier of a group that stays: ``min`` or ``max``.  With an ``index`` the batches that it holds
+    count too, and this one is added to it.
     """
     if keep not in ("min", "max"):
         raise ValueError("keep is 'min' or 'max'")
     rows = with_digest(docs, id_col, text_col)
     log = staged(rows.select("id", "digest", F.spark_partition_id().alias("slice")), "log")
     n = log.count()
-    index = DigestIndex(docs.sparkSession)
-    index.flush(log, F.col("slice"), max(2, -(-n // memtable_rows)))
-    index.compact()
+    index = DigestIndex(docs.sparkSession) if index is None else index
+    index.add(log, F.col("slice"), max(2, -(-n // memtable_rows)))
     log = log.drop("slice")
     one = F.lit(1).cast("long")
     if not index.runs():
         return _verdict(log.select("id", "digest", F.col("id").alias("keep_id"), one.alias("group_size")), id_col)
     best = F.col("lo" if keep == "min" else "hi")
-    repeats = staged(index.runs()[0].table.filter("n > 1").select("digest", best.alias("keep_id"), F.col("n").alias("group_size")), "repeats")
+    repeats = staged(index.repeats().select("digest", best.alias("keep_id"), F.col("n").alias("group_size")), "repeats")
     blocks = key_filter(repeats, "digest", repeats.count())
     hits = might_hold(rows, blocks, F.col("digest"), "hit").filter("hit")
     texts = hits.groupBy("digest").agg(F.min("text").alias("first"), F.max("text").alias("last"))

@@ -92,6 +92,45 @@ def test_exact_dedup_is_the_same_for_any_number_of_memtables(docs):
     assert Counter(map(tuple, a.collect())) == Counter(map(tuple, b.collect()))
 
 
+def test_the_filters_of_runs_are_asked_on_the_way(spark, docs, rows):
+    """Runs that share nothing with a new one aren't read; batches after one another give what all at once give."""
+    ids = [r for r in rows if r[0] is not None]
+    df = spark.createDataFrame(ids, SCHEMA)
+    apart = exact_dedup.DigestIndex(spark)
+    plain = df.filter("doc_id BETWEEN 0 AND 59").dropDuplicates(["text"])
+    exact_dedup.exact_dedup(plain.coalesce(1), memtable_rows=8, index=apart).collect()
+    assert apart.read_runs == 0 or apart.stopped_runs > 0
+    one = {tuple(r) for r in exact_dedup.exact_dedup(df).collect()}
+    for fanout in (2, 8):
+        index = exact_dedup.DigestIndex(spark, fanout=fanout)
+        first = exact_dedup.exact_dedup(df.filter("doc_id < 90").repartition(6), memtable_rows=20, index=index)
+        assert {tuple(r) for r in first.collect()} == {tuple(r) for r in exact_dedup.exact_dedup(df.filter("doc_id < 90")).collect()}
+        asked = index.stopped_runs
+        fresh = df.filter("doc_id = 205").withColumn("text", F.lit("never seen before"))
+        exact_dedup.exact_dedup(fresh, index=index).collect()
+        assert index.stopped_runs > asked  # nothing of a run was read for it
+        index = exact_dedup.DigestIndex(spark, fanout=fanout)
+        exact_dedup.exact_dedup(df.filter("doc_id < 90").repartition(6), memtable_rows=20, index=index).collect()
+        second = exact_dedup.exact_dedup(df.filter("doc_id >= 90").repartition(3), memtable_rows=20, index=index)
+        assert {tuple(r) for r in second.collect()} == {r for r in one if r[0] >= 90}
+        assert max(map(len, index.levels)) < fanout
+
+
+def test_filters_grow_with_their_keys(spark, monkeypatch):
+    """A filter of more blocks than may be broadcast is met by a join and stops as many keys."""
+    from feedloom.llm import common
+
+    keys = spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    others = spark.range(200_000, 260_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    for most in (common.BROADCAST_BLOCKS, 8):
+        monkeypatch.setattr(common, "BROADCAST_BLOCKS", most)
+        made = common.key_filter(keys, "k", 200_000, most=None)
+        assert made._feedloom_blocks > 90
+        assert common.might_hold(keys, made, F.col("k"), "hit").filter("NOT hit").isEmpty()
+        plan = common.might_hold(others, made, F.col("k"), "hit")
+        assert plan.filter("hit").count() < 1200  # two in a hundred
+
+
 def test_exact_dedup_separates_colliding_digests(spark):
     s = "id long, digest string, keep_id long, group_size long, same boolean"
     checked = spark.createDataFrame([(1, "d", 3, 3, True), (2, "d", 3, 3, False), (3, "d", 3, 3, True), (9, "e", 9, 1, True)], s)
