@@ -198,11 +198,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A network learned from a bounded sample of the rows of ``docs`` that have a language, or None without any."""
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")).filter("lang IS NOT NULL AND text IS NOT NULL")
     known = known.filter(F.col("text").rlike(r"\p{L}"))
-    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    langs = sorted(counts)
     if not langs:
         return None
-    ranked = known.filter(F.col("lang").isin(langs)).select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    chosen = F.broadcast(staged(ranked.filter(F.col("k") <= per_lang).select("lang", "h").distinct(), "chosen"))  # max_langs * per_lang rows at most
+    # Hashes below a threshold leave about twice the wanted rows of each language, so no task ranks all rows of a frequent one.
+    limits = F.create_map(*[F.lit(v) for lang in langs for v in (lang, min(1 << 30, 2 * per_lang * (1 << 30) // counts[lang] + 1))])
+    few = known.filter(F.col("lang").isin(langs)).select("lang", "h").filter(F.pmod("h", F.lit(1 << 30)) < F.element_at(limits, F.col("lang")))
+    ranked = few.distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    chosen = F.broadcast(staged(ranked.filter(F.col("k") <= per_lang).select("lang", "h"), "chosen"))  # max_langs * per_lang rows at most
     texts = known.join(chosen, ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text", "h")
     rows = sorted((r["lang"], bytes(r["cut"])) for r in texts.mapInArrow(tidy(_samples(per_doc, seed)), "lang string, cut binary").collect())
     x = np.concatenate([windows(cut) for _, cut in rows])
