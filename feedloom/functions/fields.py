@@ -88,6 +88,11 @@ _ZONE_HOURS = {
 ZONES = {k: int(v * 3600) for k, v in _ZONE_HOURS.items()} | {"EST": -18000, "EDT": -14400, "CST": -21600, "CDT": -18000, "MST": -25200, "MDT": -21600, "PST": -28800, "PDT": -25200, "CET": 3600, "CEST": 7200, "BST": 3600, "MSK": 10800, "JST": 32400}
 
 
+def _lookup(values: dict[str, int]) -> Column:
+    """A constant map of names to numbers, as text."""
+    return F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in values.items())), F.lit(","), F.lit(":"))
+
+
 def parse_date(c: Column) -> Column:
     """The time of a date in RFC 822, ISO 8601, asctime or American form and near them; null where none fits.
 
@@ -109,25 +114,21 @@ def parse_date(c: Column) -> Column:
     def stamp(p: Column) -> Column:
         y, name = p[0].cast("int"), F.lower(p[1])
         year = F.when(F.char_length(p[0]) > 2, y).when(y < 69, y + 2000).otherwise(y + 1900)
-        english = F.instr(F.lit(" " + " ".join(names[:3] for names in MONTHS)), F.concat(F.lit(" "), F.substring(name, 1, 3)))
-        month = F.when(F.ascii(name).between(48, 57), name.cast("int")).when(english > 0, ((english + 3) / 4).cast("int"))
-        for k, names in enumerate(MONTHS, 1):  # names in other languages
-            month = month.when(name.rlike(f"^(?:{names})"), k)
+        named = F.element_at(_lookup({n: k for k, names in enumerate(MONTHS, 1) for n in names.split("|")}), F.substring(name, 1, 3))
+        month = F.when(F.ascii(name).between(48, 57), name.cast("int")).otherwise(named.cast("int"))
         day, hour, minute, second, half = number(p[2]), number(p[3]), number(p[4]), number(p[5]), F.lower(p[7])
         hour = F.when((half == "p") & (hour < 12), hour + 12).when((half == "a") & (hour == 12), 0).otherwise(hour)
         zone = F.upper(p[6])
         signed = F.when(zone.startswith("-"), -1).otherwise(1) * (number(F.substring(zone, 2, 2)) * 3600 + number(F.regexp_extract(zone, r"^...:?(\d{2})", 1)) * 60)
-        offset = F.when(zone.isin("", "Z", "GMT", "UT", "UTC"), 0).when(F.ascii(zone).isin(43, 45), signed)
-        for text, seconds in ZONES.items():
-            offset = offset.when(zone == text, seconds)
-        known = zone.isin("", "Z", "GMT", "UT", "UTC", *ZONES) | F.ascii(zone).isin(43, 45) | (F.char_length(zone) == 1)  # one letter says nothing (RFC 2822)
+        east = F.element_at(_lookup({"Z": 0, "GMT": 0, "UT": 0, "UTC": 0} | ZONES), zone).cast("int")
+        # None and one letter say nothing (RFC 2822); a name that isn't known makes no date.
+        offset = F.when(F.ascii(zone).isin(43, 45), signed).otherwise(F.coalesce(east, F.when(F.char_length(zone) < 2, 0)))
         week = F.when(name.rlike(r"^w\d"), number(F.substring(name, 2, 2)))
         fourth = F.make_date(F.when(week.between(1, F.weekofyear(F.make_date(year, F.lit(12), F.lit(28)))) & (day <= 7) & (hour <= 24) & (minute <= 59) & (second <= 60), year), F.lit(1), F.lit(4))  # always in week 1
         by_week = F.unix_date(fourth).cast("long") - F.weekday(fourth) + (week - 1) * 7 + F.greatest(day, F.lit(1)) - 1
         fine = month.between(1, 12) & (day >= 1) & (day <= F.when(F.size(p) > 8, 366).otherwise(31)) & (hour <= 24) & (minute <= 59) & (second <= 60)
         days = F.unix_date(F.make_date(F.when(fine, year), F.when(fine, month), F.lit(1))).cast("long") + day - 1
-        days = F.when(known, F.coalesce(by_week, days))
-        return F.timestamp_seconds(days * 86400 + hour * 3600 + minute * 60 + second - F.coalesce(offset, F.lit(0)))
+        return F.timestamp_seconds(F.coalesce(by_week, days) * 86400 + hour * 3600 + minute * 60 + second - offset)
 
     return once(once(ws_trim(c), parts), lambda p: F.when(p.isNotNull(), stamp(p)))
 
