@@ -37,6 +37,12 @@ def by_title(feeds: DataFrame) -> DataFrame:
     return feeds.orderBy(F.coalesce("title", F.lit("")))
 
 
+def title_ranks(feeds: DataFrame, key: str) -> DataFrame:
+    """Feeds with their ``rank`` in the order of ``by_title``; equal titles in the order of their key."""
+    one = feeds.withColumn("all_feeds", F.lit(0))
+    return places(one, "all_feeds", [F.coalesce("title", F.lit("")), F.col(key)], "rank").drop("all_feeds")
+
+
 def orphans(entries: DataFrame, feeds: DataFrame, key: str = "feed_key") -> DataFrame:
     return entries.join(feeds.select(key), key, "left_anti")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -334,11 +336,10 @@ def q_append_entries(spark, sf_dir):
     return relate.append_entries(e.filter("event_id % 2 = 0"), e.filter("event_id % 3 = 0").select("event_type", "event_id"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_name END AS title, row_number() OVER (ORDER BY coalesce(CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_name END, '')) <= (SELECT count(*) FILTER (s_suppkey % 5 = 0) FROM supplier) AS untitled FROM supplier")
+@query("SELECT s_suppkey, title, row_number() OVER (ORDER BY coalesce(title, ''), s_suppkey) AS rank FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_name END AS title FROM supplier)")
 def q_feeds_by_title(spark, sf_dir):
     title = F.when(F.col("s_suppkey") % 5 != 0, F.col("s_name"))
-    rows = relate.by_title(table(spark, sf_dir, "supplier").select("s_suppkey", title.alias("title")))
-    return rows.withColumn("untitled", F.col("title").isNull())
+    return relate.title_ranks(table(spark, sf_dir, "supplier").select("s_suppkey", title.alias("title")), "s_suppkey")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'own' ELSE c_name END AS author FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
@@ -806,6 +807,129 @@ def q_xpath_kinds(spark, sf_dir):
     return rows.select("c_custkey", of("//comment()").alias("comment"), of("/processing-instruction('style')").alias("instruction"), of("b/c/namespace::p").alias("space"), of("b").alias("value"), of("count(//*)").cast("long").alias("nodes"))
 
 
+SPACES = 'xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd" xmlns:media="http://search.yahoo.com/mrss/" xmlns:dc="http://purl.org/dc/elements/1.1/"'
+
+
+def filled(template, **values):
+    """A template with columns in place of ``{name}``."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.lit(p) if i % 2 == 0 else values[p] for i, p in enumerate(parts) if p])
+
+
+FEED_ALL = (
+    f'<rss version="2.0" {SPACES} xml:base="http://h.example.org/a/"><channel><id>urn:c:{{k}}</id><title>F{{k}}</title><link>http://h.example.org/{{k}}</link><link rel="SELF" type="Application/RSS+XML" href="feed{{k}}.xml" hreflang="DE"/>'
+    '<link rel="shortcut icon" href="/i{k}.ico"/><itunes:author>A &amp;amp; {k}</itunes:author><itunes:summary>&lt;b&gt;S{k}&lt;/b&gt;&lt;script&gt;x&lt;/script&gt;</itunes:summary><itunes:subtitle>sub {k}</itunes:subtitle><media:text>mt {k}</media:text>'
+    "<pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate><lastBuildDate>{built}</lastBuildDate><category domain=\"d\">cat {k}</category><category>plain</category>"
+    "<image><title>I</title><url>/img{k}.png</url><link>l{k}</link><width>10</width><height>0</height></image><logo>logo.png</logo>"
+    '<cloud domain="d.example.org" port="0" path="/p{k}" registerProcedure="r" protocol="soap"/><textInput><title>t</title><description>d</description><name>q{k}</name><link>/find</link></textInput></channel></rss>'
+)
+
+
+@query("""SELECT c_custkey AS feed_key, 'urn:c:' || c_custkey AS id, 'http://h.example.org/a/feed' || c_custkey || '.xml' AS href, 'http://h.example.org/' || c_custkey AS link, 3 AS n_links, 'self|application/rss+xml|de' AS self_link, 'http://h.example.org/i' || c_custkey || '.ico' AS icon,
+'A & ' || c_custkey AS itunes_author, '<b>S' || c_custkey || '</b>' AS itunes_summary, 'sub ' || c_custkey AS itunes_subtitle, 'mt ' || c_custkey AS media_text, 1700000000 + c_custkey AS time, 1700000000 + c_custkey AS updated, 1704164645::BIGINT AS published,
+'cat ' || c_custkey || '|d;plain|' AS categories, 'http://h.example.org/img' || c_custkey || '.png|l' || c_custkey || '|10||;http://h.example.org/a/logo.png||||' AS images, 'd.example.org/p' || c_custkey || '||r' AS cloud, 't|d|q' || c_custkey || '|/find' AS text_input FROM customer""")
+def q_feed_columns(spark, sf_dir):
+    """Every column that a feed itself says."""
+    c = table(spark, sf_dir, "customer")
+    built = F.date_format(F.timestamp_seconds(F.col("c_custkey") + 1700000000), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    docs = c.select(F.col("c_custkey").alias("feed_key"), filled(FEED_ALL, k=F.col("c_custkey").cast("string"), built=built).alias("xml"))
+    f = xml_feeds.feeds(docs, columns=["feed_key", "id", "href", "link", "links", "icon", "itunes_author", "itunes_summary", "itunes_subtitle", "media_text", "time", "updated", "published", "categories", "images", "cloud", "text_input"])
+    say = lambda *cs: F.concat_ws("|", *[F.coalesce(x.cast("string"), F.lit("")) for x in cs])
+    own = F.get(F.filter("links", lambda x: x["rel"] == "self"), F.lit(0))
+    return f.select(
+        "feed_key", "id", "href", "link", F.size("links").alias("n_links"), say(own["rel"], own["type"], own["hreflang"]).alias("self_link"), "icon", "itunes_author", "itunes_summary", "itunes_subtitle", "media_text",
+        *[F.unix_timestamp(t).alias(t) for t in ("time", "updated", "published")], F.array_join(F.transform("categories", lambda x: say(x["term"], x["scheme"])), ";").alias("categories"),
+        F.array_join(F.transform("images", lambda x: say(x["href"], x["link"], x["width"], x["height"], x["style"])), ";").alias("images"), F.concat("cloud.domain", "cloud.path", F.lit("|"), F.coalesce(F.col("cloud.port").cast("string"), F.lit("")), F.lit("|"), "cloud.register_procedure").alias("cloud"),
+        say(*[F.col(f"text_input.{x}") for x in ("title", "description", "name", "link")]).alias("text_input"),
+    )
+
+
+ENTRY_ALL = (
+    f'<rss version="2.0" {SPACES} xml:base="http://h.example.org/a/"><channel><item><title>2024-01-0{{d}} 10:20:30</title><itunes:summary>S {{k}}</itunes:summary><itunes:subtitle>sub {{k}}</itunes:subtitle><media:text>mt {{k}}</media:text>'
+    '<category domain="d">cat {k}</category><image><url>/img{k}.png</url></image><itunes:image href="http://h.example.org/art{k}"/><media:thumbnail url="http://h.example.org/th{k}"/><source url="http://o.example.org/{k}">Other {k}</source>'
+    '<itunes:explicit>yes</itunes:explicit><enclosure url="http://m.example.org/{k}.mp3" length="5" type="audio/x"/><link rel="enclosure" href="http://m.example.org/{k}.mp3" length="9" type="audio/mpeg"/><video>http://m.example.org/{k}.wmv</video></item>'
+    '<item><enclosure url="http://m.example.org/only{k}.mp3" length="5" type="audio/mpeg"/></item></channel></rss>'
+)
+
+
+@query("""SELECT c_custkey AS feed_key, 0 AS doc_pos, 'S ' || c_custkey AS itunes_summary, 'sub ' || c_custkey AS itunes_subtitle, 'mt ' || c_custkey AS media_text, 'cat ' || c_custkey || '|d' AS categories, 'http://h.example.org/img' || c_custkey || '.png' AS images,
+'http://h.example.org/art' || c_custkey AS itunes_image_link, 'http://h.example.org/th' || c_custkey AS media_thumbnail_link, 'http://o.example.org/' || c_custkey || '|Other ' || c_custkey AS source, 1704104430 + 86400 * (c_custkey % 9) AS time,
+'http://m.example.org/' || c_custkey || '.mp3|audio/mpeg|9|true;http://m.example.org/' || c_custkey || '.wmv|video/x-ms-wmv||true' AS enclosures, 'http://m.example.org/' || c_custkey || '.mp3' AS links FROM customer
+UNION ALL SELECT c_custkey, 1, NULL, NULL, NULL, '', '', NULL, NULL, NULL, NULL, 'http://m.example.org/only' || c_custkey || '.mp3|audio/mpeg|5|false', 'http://m.example.org/only' || c_custkey || '.mp3' FROM customer""")
+def q_entry_columns(spark, sf_dir):
+    """Columns of podcasts and media, enclosures of three kinds merged, a title that is a date, and a link from an enclosure."""
+    c = table(spark, sf_dir, "customer")
+    docs = c.select(F.col("c_custkey").alias("feed_key"), filled(ENTRY_ALL, k=F.col("c_custkey").cast("string"), d=(F.col("c_custkey") % 9 + 1).cast("string")).alias("xml"))
+    e = xml_feeds.entries(docs, columns=["feed_key", "doc_pos", "itunes_summary", "itunes_subtitle", "media_text", "categories", "images", "itunes_image_link", "media_thumbnail_link", "source", "time", "enclosures", "links"])
+    say = lambda *cs: F.concat_ws("|", *[F.coalesce(x.cast("string"), F.lit("")) for x in cs])
+    many = lambda name, *fs: F.array_join(F.transform(name, lambda x: say(*[x[f] for f in fs])), ";").alias(name)
+    return e.select(
+        "feed_key", "doc_pos", "itunes_summary", "itunes_subtitle", "media_text", many("categories", "term", "scheme"), many("images", "href"), "itunes_image_link", "media_thumbnail_link", F.when(F.col("source.href").isNotNull(), say(F.col("source.href"), F.col("source.title"))).alias("source"),
+        F.unix_timestamp("time").alias("time"), many("enclosures", "href", "type", "file_size", "explicit"), many("links", "href"),
+    )
+
+
+@query("""SELECT c_custkey, 'two' AS first_text, 2 AS n_first, 3 AS n_all, 'k' || c_custkey AS by_space, 'x|' || c_custkey AS united, 'c,b,a' AS reversed FROM customer""")
+def q_xpath_chains(spark, sf_dir):
+    """Ordered paths: the first value that isn't blank nor refused, the first that gives elements, all of them; namespaces given by the caller."""
+    xml = filled('<r xmlns:p="urn:own"><a> </a><b>one</b><b>two</b><i n="x"/><i n="{k}"/><p:s>k{k}</p:s><l>a</l><l>b</l><l>c</l></r>', k=F.col("c_custkey").cast("string"))
+    rows = shred.shredded(table(spark, sf_dir, "customer").select("c_custkey", xml.alias("xml")))
+    n = F.col("nodes")
+    return rows.select(
+        "c_custkey", xpath.try_paths(n, ["a", "none", "b"], reject=lambda x: x == "one").alias("first_text"), F.size(xpath.try_paths_all(n, ["none", "b", "l"])).alias("n_first"), F.size(xpath.combine_paths_all(n, ["b", "a", "b"])).alias("n_all"),
+        xpath.find(n, "q:s", namespaces={"q": "urn:own"}).alias("by_space"), F.array_join(xpath.find_all(n, "i[1]/@n | i[2]/@n"), "|").alias("united"), F.array_join(F.reverse(xpath.find_all(n, "l")), ",").alias("reversed"),
+    )
+
+
+CONTENTS = [
+    ('<content type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml">Hi <b>{k}</b></div></content>', "'Hi <b>' || c_custkey || '</b>'"),
+    ('<content type="xhtml"><x:div xmlns:x="http://www.w3.org/1999/xhtml">a<x:i>{k}</x:i></x:div></content>', "'a<i>' || c_custkey || '</i>'"),
+    ('<content type="html">&lt;p&gt;{k}&lt;script&gt;x&lt;/script&gt;&lt;/p&gt;</content>', "'<p>' || c_custkey || '</p>'"),
+    ('<content type="html" mode="base64">{b64}</content>', "'<i>' || c_custkey || '</i>'"),
+    ('<content type="text">a &lt; {k}</content>', "'a &lt; ' || c_custkey"),
+    ('<content type="html">&lt;a href="../z{k}"&gt;l&lt;/a&gt;</content>', "'<a href=\"http://h.example.org/z' || c_custkey || '\">l</a>'"),
+]
+
+
+@query("SELECT c_custkey AS feed_key, CASE c_custkey % 6 " + " ".join(f"WHEN {k} THEN {sql_}" for k, (_, sql_) in enumerate(CONTENTS)) + " END AS html FROM customer")
+def q_text_kinds(spark, sf_dir):
+    """Text constructs of Atom: XHTML with and without prefix, escaped, base64 and plain, unwrapped, resolved and sanitised."""
+    key = F.col("c_custkey").cast("string")
+    body = F.lit(None).cast("string")
+    for k, (xml, _) in enumerate(CONTENTS):
+        body = F.when(F.col("c_custkey") % 6 == k, filled(xml, k=key, b64=F.base64(F.encode(F.concat(F.lit("<i>"), key, F.lit("</i>")), "UTF-8")))).otherwise(body)
+    doc = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom" xml:base="http://h.example.org/a/"><entry>'), body, F.lit("</entry></feed>"))
+    e = xml_feeds.entries(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("feed_key"), doc.alias("xml")), columns=["feed_key", "content_html"])
+    return e.select("feed_key", F.col("content_html").alias("html"))
+
+
+@query("""SELECT c_custkey AS feed_key, 'http://h.example.org/i' || c_custkey AS image, 'l' AS image_link, 'x, t' || c_custkey AS keywords FROM customer""")
+def q_write_podcasts(spark, sf_dir):
+    """The writer's choice of an image, one with a link, and the keywords of a podcast's entries."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
+    image = lambda href, link: F.struct(F.lit("I").alias("title"), href.alias("href"), link.alias("link"))
+    none = F.lit(None).cast("string")
+    heads = c.select(F.col("c_custkey").alias("feed_key"), F.lit("T").alias("title"), F.lit("http://h.example.org/").alias("link"), F.lit("s").alias("subtitle"), F.array(image(F.lit("http://h.example.org/no"), none), image(F.concat(F.lit("http://h.example.org/i"), k), F.lit("l"))).alias("images"))
+    parcel = F.struct(F.concat(F.lit("http://m.example.org/"), k).alias("href"), F.lit("audio/mpeg").alias("type"), F.lit(9).cast("long").alias("file_size"))
+    items = c.select(F.col("c_custkey").alias("feed_key"), F.lit(0).alias("doc_pos"), k.alias("id"), k.alias("title"), F.lit("http://h.example.org/").alias("link"), F.lit("c").alias("content"), F.timestamp_seconds(F.lit(0)).alias("time"), F.array(F.lit("x"), F.concat(F.lit("t"), k)).alias("tags"), F.array(parcel).alias("enclosures"))
+    rows = shred.shredded(xml_feeds.write_xml(heads, items))
+    of = lambda p: xpath.find(F.col("nodes"), p)
+    return rows.select("feed_key", of("channel/image/url").alias("image"), of("channel/image/link").alias("image_link"), of("channel/item/itunes:keywords").alias("keywords"))
+
+
+@query("SELECT page_id, k, title || ' ü' AS title FROM (SELECT page_id, coalesce(regexp_extract(html, '<title>([A-Za-z0-9 ]+)', 1), '') AS title FROM pages), unnest(['iso-8859-1', 'utf-8', 'utf-16', 'windows-1252', 'none']) AS x(k) WHERE title <> ''")
+def q_decoded_bytes(spark, sf_dir):
+    """Documents as bytes in five encodings, decoded by the name that their declaration gives, or as UTF-8."""
+    p = pages(spark, sf_dir).select("page_id", F.regexp_extract("html", "<title>([A-Za-z0-9 ]+)", 1).alias("t")).filter("t <> ''")
+    rows = p.select("page_id", "t", F.explode(F.array(*map(F.lit, ["iso-8859-1", "utf-8", "utf-16", "windows-1252", "none"]))).alias("k"))
+    text_ = F.concat(F.lit("<rss><channel><title>"), "t", F.lit(" ü</title></channel></rss>"))
+    data = F.when(F.col("k").isin("iso-8859-1", "windows-1252"), F.encode(text_, "ISO-8859-1")).when(F.col("k") == "utf-16", F.encode(text_, "UTF-16")).otherwise(F.encode(text_, "UTF-8"))
+    named_ = F.when(F.col("k") != "none", F.col("k"))
+    docs = rows.select(F.struct("page_id", "k").alias("feed_key"), shred.decode_bytes(data, named_).alias("xml"))
+    f = xml_feeds.feeds(docs, columns=["feed_key", "title"])
+    return f.select("feed_key.page_id", "feed_key.k", "title")
+
+
 # --- SQL --------------------------------------------------------------------------------------------
 
 
