@@ -154,9 +154,11 @@ def cosine_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     found = staged(found, "filters")
     entries = found.withColumn("filter", F.explode("filters"))
     sizes = entries.groupBy("d", "filter").agg(F.count("*").alias("size")).filter("size > 1")
-    sizes = staged(sizes.select("d", "filter", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "sizes")
+    sizes = staged(sizes.select("d", "filter", "size", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "sizes")
+    all_of = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = entries.join(sizes, ["d", "filter"]).withColumn("earlier", F.filter("filters", lambda x: x < F.col("filter"))).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = join_counted(entries, sizes, ["d", "filter"], "size", all_of)  # no task gets all vectors of a dense filter
+    dealt = met.withColumn("earlier", F.filter("filters", lambda x: x < F.col("filter"))).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).withColumn("side", (F.col("own") != F.col("lo")).cast("int"))
     seen = dealt.select("d", "filter", "lo", "hi", "side", "id", "copies", "vector", "earlier").groupBy("d", "filter", "lo", "hi").applyInPandas(_linked(cosine), "id long, links long, root long")
     seen = staged(seen, "links")

@@ -225,7 +225,8 @@ def _rest_pairs(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent:
         items = staged(staged(many, "many").join(sets, "id").select("id", "n", "comp", F.explode("items").alias("item")), "items")
         counts = items.groupBy("item").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         counts = staged(counts.select("item", "df", (F.col("lo") < F.col("hi")).alias("open")), "counts")
-        ranked = items.join(counts, "item").groupBy("id", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "item", "open"))).alias("all"))
+        met = join_counted(items, counts, ["item"], "df", items.count())  # no task gets all rows of a shingle that most texts have
+        ranked = met.groupBy("id", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "item", "open"))).alias("all"))
         first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
         heads = ranked.select("id", "n", "comp", F.posexplode(F.slice("all", F.lit(1), first.cast("int"))).alias("at", "x")).filter("x.open")
         heads = staged(heads.select("id", "n", "comp", F.col("x.item").alias("item"), "at"), "heads")
