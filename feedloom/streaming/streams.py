@@ -124,7 +124,8 @@ PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sq
 
 def _living(polls: DataFrame, key: str, time: str, ttl: str, floor: int, delay: str, names: list[str] | None, schema) -> DataFrame:
     polls.sparkSession.conf.set(*PROVIDER)
-    rows = polls.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).withWatermark(time, delay)
+    rows = polls.filter(F.col(key).isNotNull() & F.col(time).isNotNull())
+    rows = rows.withColumn("feedloom_time", F.greatest(F.col(time), F.timestamp_millis(F.lit(1)))).withWatermark("feedloom_time", delay)  # 1970 itself counts as late
     rows = rows.withColumns({"feedloom_at": F.unix_micros(time), "feedloom_ttl": F.coalesce(F.col(ttl).cast("long"), F.lit(0))})
     return rows.groupBy(key).transformWithStateInPandas(TimeToLive(floor, names), schema, "Append", "EventTime")
 
