@@ -427,3 +427,45 @@ def test_pipeline_stage_by_stage(spark, small):
     assert 0 < sizes[2] <= sizes[1] <= sizes[0] < 1000
     words = before.select(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n"), "source")
     assert docs.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] == pytest.approx(1.5 * words.select(F.sum("n")).first()[0], rel=0.05)
+
+
+def test_pipeline_against_brute_force(spark):
+    """run() on a small table, stage by stage in plain Python: who stays, how often, and that every id lies in one piece."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    lex = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), toxicity.taught(labels))
+    auto = lex.automaton()
+    left = [d for d in docs.values() if lex.probability(*lex.features(auto, d.text)) < 0.3]
+    groups = defaultdict(list)
+    for d in left:
+        groups[lower(d.text)].append(d.doc_id)
+    left = [d for d in left if d.doc_id == max(groups[lower(d.text)])]
+    _, comp = brute_components([(d.doc_id, d.text) for d in left], 5)
+    left = {i: docs[i] for i, c in comp.items() if i == c}
+    size = {i: len(WORD.findall(d.text or "")) for i, d in left.items()}
+    by_source = Counter()
+    for i, d in left.items():
+        by_source[d.source] += size[i]
+    goal = mixing.targets(dict(by_source))
+    pieces = defaultdict(list)
+    for r in corpus_pipeline.run(spark, sf).collect():
+        pieces[r.doc_id].append(r)
+    enc = encoder(tokenizer_path("byte_bpe_50k.json"))
+    taken, repeats = Counter(), {}
+    for i, rows in pieces.items():
+        assert i in left
+        n = len(np.frombuffer(enc.encode([left[i].text])[0], enc.dtype)) + 1
+        repeats[i] = sum(r.start == 0 for r in rows)
+        assert {r.doc_tokens for r in rows} == {n} and sum(r.length for r in rows) == n * repeats[i]
+        starts = Counter()
+        for r in rows:  # every id of every copy once
+            starts[r.start] += 1
+            starts[r.start + r.length] -= 1
+        assert {k: v for k, v in starts.items() if v} == {0: repeats[i], n: -repeats[i]}
+        taken[left[i].source] += size[i] * repeats[i]
+    for s, total in by_source.items():
+        base = min(int(goal[s] // total), 2) if total else 0
+        own = [i for i in left if left[i].source == s and size[i]]
+        assert all(repeats.get(i, 0) in (base, base + 1) and repeats.get(i, 0) <= 2 for i in own)
+        assert abs(taken[s] - goal[s]) <= max(size[i] for i in own)
