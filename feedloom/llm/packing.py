@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import input_partitions, staged, table, tidy
-from .tokens import encoder, long_crc, tokenizer_path
+from .tokens import MEMORY_BYTES, encoder, long_crc, tokenizer_path
 
 DIMS, BITS, FEATURES = 3, 16, 256
 
@@ -72,9 +72,9 @@ def curve_keys(docs: list[np.ndarray]) -> np.ndarray:
     return hilbert_keys(cells.astype(np.int64))
 
 
-def _tokenised(path: str, end_id: int):
+def _tokenised(path: str, end_id: int, memory_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path)
+        code = encoder(path, memory_bytes)
         end = np.array([end_id], code.dtype).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -130,14 +130,17 @@ def _pieces(bases: dict[int, int], total: int, size: int, width: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, curve."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 0, tokenizer: str | None = None, memory_bytes: int = MEMORY_BYTES) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, curve.
+
+    ``memory_bytes`` bounds what each worker remembers of pieces' ids.
+    """
     spark = docs.sparkSession
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
     width = encoder(path).dtype.itemsize
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = input_partitions(rows)
-    tokens = rows.mapInArrow(tidy(_tokenised(path, end_id)), "doc_id long, curve long, n long, ids binary")
+    tokens = rows.mapInArrow(tidy(_tokenised(path, end_id, memory_bytes)), "doc_id long, curve long, n long, ids binary")
     tokens = staged(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
     order = tokens.select("row", "n", "curve", "doc_id").repartitionByRange(parts, "curve", "doc_id", "row").sortWithinPartitions("curve", "doc_id", "row")
     starts = staged(order.select("row", "n").mapInArrow(_running, "row long, part int, local long, n_again long"), "starts")

@@ -44,13 +44,13 @@ def tokenizer_path(name: str) -> str:
 class PieceEncoder:
     """Encodes whole texts to little-endian 16- or 32-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory_bytes: int = MEMORY_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memory: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.memory_bytes = 0, memory_bytes
         self.model, self.letters = self.tokenizer.model, byte_letters()
 
     def _ids(self, piece: str) -> list[int]:
@@ -61,7 +61,7 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for text in texts:
-            if self.held > MEMORY_BYTES:
+            if self.held > self.memory_bytes:
                 self.memory.clear()
                 self.held = 0
             memory, cut = self.memory, pieces(text or "")
@@ -84,10 +84,11 @@ class PieceEncoder:
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, memory_bytes: int = MEMORY_BYTES) -> PieceEncoder:
     """This worker's encoder, which lives as long as the worker."""
     if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
+        _encoders[path] = PieceEncoder(path, memory_bytes)
+    _encoders[path].memory_bytes = memory_bytes
     return _encoders[path]
 
 
