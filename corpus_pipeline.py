@@ -35,8 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the sequences of 1024 tokens."""
-    return packing.pack(docs)
+    """The pieces of the sequences of 1024 tokens; workers still hold what the stages before loaded, so they remember less."""
+    return packing.pack(docs, memory_bytes=64 << 20)
 
 
 STAGES = [
