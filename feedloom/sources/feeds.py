@@ -487,7 +487,7 @@ def write_xml(heads: DataFrame, items: DataFrame, kind: str = "rss", version: fl
     x = F.struct("doc_pos", "item", "place")
     rows = parts.items.groupBy(key).agg(F.array_sort(F.collect_list(x)).alias("xs"), F.max("t").alias("newest"))
     rows = rows.select(key, "newest", F.array_join(F.transform("xs", lambda y: y["item"]), "").alias("items"), F.array_join(F.transform("xs", lambda y: y["place"]), "").alias("places"))
-    out = parts.heads.join(rows, key, "left")
+    out = parts.heads.join(rows.hint("merge"), key, "left")  # whole documents are never broadcast
     nothing = F.lit("")
     return out.select(key, F.concat(parts.front, F.coalesce("places", nothing), parts.rest, F.coalesce("items", nothing), parts.back).alias("xml"))
 
