@@ -12,7 +12,7 @@ from feedloom.functions import fields, sql, text, uri, xpath
 from feedloom.operators import enclosures, relate
 from feedloom.sources import feeds as xml_feeds
 from feedloom.sources import media, shred
-from feedloom.sources.tables import table
+from feedloom.sources.tables import range_partitions, table
 from feedloom.streaming import streams
 
 QUERIES, SQL = {}, {}
@@ -938,7 +938,8 @@ CASE WHEN o_orderkey % 3 = 0 THEN floor(epoch(o_orderdate))::BIGINT END AS t, CA
 def q_sql_entries(spark, sf_dir):
     """Entries by a lateral join with a table function and functions by name, in SQL alone."""
     sql.register(spark)
-    customer_feeds(spark, sf_dir).createOrReplaceTempView("feed_documents")
+    docs = customer_feeds(spark, sf_dir)
+    docs.repartition(range_partitions(docs, 16 << 20)).createOrReplaceTempView("feed_documents")  # a lateral join stays in the tasks of its documents
     return spark.sql("""
         SELECT d.feed_key, e.doc_pos, e.title, best_link(e.links) AS link, resolve_url('http://h.example.org/a/b/', best_link(e.links)) AS whole, unix_timestamp(parse_date(e.stated)) AS t, e.dc_subject
         FROM feed_documents d, LATERAL feed_entries(d.xml, 'title, links, stated, dc:subject') e""")
