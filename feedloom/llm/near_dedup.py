@@ -24,6 +24,8 @@ what any of them links.
 
 A hot class (copies of one text), bucket or leader is met by broadcast or spread
 over several tasks, and only documents that share a bucket have their text moved.
+Pairs first meet on marks, 16 bits of each shingle's hash, which bound how many
+shingles two sets can share; full sets move for the pairs that the bound leaves.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import frequent, join_counted, key_filter, might_hold, scratch_name, staged, table, tidy, unstage
@@ -137,14 +139,23 @@ def _scan(words: int, m: int, bands: int):
 
 
 def _sets(words: int):
-    """The sets of classes: rows whose text has another set than the class don't count."""
+    """The sets of classes and their marks: rows whose text has another set than the class don't count."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 node, key, text = (batch.column(k).slice(at, 64).to_pylist() for k in range(3))
                 found = [(i, s) for i, k, t in zip(node, key, text, strict=True) for s in (shingles(t, words),) if xxhash.xxh3_128_digest(s.tobytes()) == k]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], names=["id", "items"])
+                marks = [np.unique(s >> np.uint64(48)).astype(np.uint16).view(np.int16) for _, s in found]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([i for i, _ in found], pa.int64()),
+                        pa.array([len(s) for _, s in found], pa.int64()),
+                        pa.array(marks, pa.list_(pa.int16())),
+                        pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64())),
+                    ],
+                    names=["id", "n", "marks", "items"],
+                )
 
     return sets
 
@@ -169,19 +180,40 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels.select("id", "comp")
 
 
+def _some(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` may be among ``keys``, found before any of them moves."""
+    return might_hold(rows, key_filter(keys, key, keys.count()), F.col(key), "hit").filter("hit").drop("hit")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, each: int = 2000) -> DataFrame:
     """The pairs (a, b) whose full sets have Jaccard similarity of ``percent`` or more.
 
+    ``sets`` has columns id, n, marks, items.  A mark that only one of two sets has stands for a shingle at least that the other
+    lacks, so marks rule out most pairs that aren't links and never one that is; the full sets of the others are compared.
     A set that leads very many pairs is copied once for every ``each`` of them, so its pairs are spread over tasks.
     """
     led = pairs.groupBy("a").agg(F.count("*").alias("led"))
     often = F.broadcast(staged(led.filter(F.col("led") > frequent(pairs.count())).select("a", F.ceil(F.col("led") / each).cast("int").alias("copies")), "leads"))
-    copies = F.coalesce("copies", F.lit(1))
-    pairs = pairs.join(often, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), copies).cast("int").alias("part"))
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")).join(often, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
-    both = F.size(F.array_intersect("items_a", "items_b"))
-    return pairs.join(left, ["a", "part"]).join(right, "b").filter(both * 100 >= (F.size("items_a") + F.size("items_b") - both) * percent).select("a", "b")
+
+    def met(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+        copies = F.coalesce("copies", F.lit(1))
+        pairs = pairs.join(often, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), copies).cast("int").alias("part"))
+        left = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col(column).alias("x_a"))
+        left = left.join(often, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+        right = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col(column).alias("x_b"))
+        return pairs.join(left, ["a", "part"]).join(right, "b")
+
+    both = F.size(F.array_intersect("x_a", "x_b")).cast("long")
+
+    def similar(shared: Column) -> Column:
+        return shared * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+
+    most = both + F.least(F.col("n_a") - F.size("x_a"), F.col("n_b") - F.size("x_b"))
+    likely = staged(met(pairs, sets, "marks").filter(similar(most)).select("a", "b"), "likely")
+    if likely.isEmpty():
+        return likely
+    ends = likely.select(F.explode(F.array("a", "b")).alias("id"))
+    return met(likely, _some(sets.select("id", "n", "items"), ends, "id"), "items").filter(similar(both)).select("a", "b")
 
 
 def _leader_pairs(buckets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
@@ -222,7 +254,8 @@ def _rest_pairs(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent:
     pairs = _meet(few, "bucket", percent)
     if not mixed.filter(F.col("members") > small).isEmpty():
         many = at.join(mixed.filter(F.col("members") > small).select("bucket"), "bucket", "left_semi").select("id", "n", "comp").distinct()
-        items = staged(staged(many, "many").join(sets, "id").select("id", "n", "comp", F.explode("items").alias("item")), "items")
+        many = staged(many, "many")
+        items = staged(many.join(_some(sets.select("id", "items"), many, "id"), "id").select("id", "n", "comp", F.explode("items").alias("item")), "items")
         counts = items.groupBy("item").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         counts = staged(counts.select("item", "df", (F.col("lo") < F.col("hi")).alias("open")), "counts")
         met = join_counted(items, counts, ["item"], "df", items.count())  # no task gets all rows of a shingle that most texts have
@@ -260,20 +293,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = hashed.filter("id IS NOT NULL AND key IS NOT NULL")
     # Of a class's bands any will do: equal sets have equal signatures.  A class is a node, numbered once it is written.
     classes = named.groupBy("key").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
-    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    buckets = staged(classes.select(F.col("node").alias("id"), "n", F.posexplode("bands").alias("band", "value")).select("id", "n", F.xxhash64("band", "value").alias("bucket")), "buckets")
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("bucket", "members")
-    buckets = staged(join_counted(buckets, staged(shared, "members"), ["bucket"], "members", buckets.count()), "shared")
+    numbered = staged(classes.withColumn("node", F.monotonically_increasing_id()), "numbered")
+    every = staged(numbered.select(F.col("node").alias("id"), "n", F.posexplode("bands").alias("band", "value")).select("id", "n", F.xxhash64("band", "value").alias("bucket")), "buckets")
+    classes = staged(numbered.select("key", "rep", "copies", "node"), "classes")
+    unstage(numbered)
+    # Few buckets have two members, and only rows that may be in one of those are joined.
+    shared = staged(every.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "members")
+    buckets = staged(join_counted(_some(every, shared, "bucket"), shared, ["bucket"], "members", every.count()), "shared")
+    unstage(every)
     nodes = staged(buckets.groupBy("id").agg(F.sum("members").alias("central")), "nodes")
     buckets = buckets.drop("members")
     wanted = staged(classes.join(nodes, classes["node"] == nodes["id"], "left_semi").select("node", "key", "rep"), "wanted")
-    some = might_hold(scanned, key_filter(wanted, "rep", wanted.count()), F.col("id"), "hit").filter("hit")
-    sets = staged(some.join(wanted, F.col("id") == F.col("rep")).select("node", "key", "text").mapInArrow(tidy(_sets(words), forget_words), "id long, items array<long>"), "sets")
+    sets = staged(_some(scanned, wanted.withColumnRenamed("rep", "id"), "id").join(wanted, F.col("id") == F.col("rep")).select("node", "key", "text").mapInArrow(tidy(_sets(words), forget_words), "id long, n long, marks array<short>, items array<long>"), "sets")
     if sets.count() > wanted.count():  # rows that repeat an id and its text
         sets = staged(sets.dropDuplicates(["id"]), "sets")
     links = staged(verified(staged(_leader_pairs(buckets, nodes, percent), "pairs"), sets, percent), "links")
     comps = components(nodes, links)
     more = staged(verified(staged(_rest_pairs(buckets, comps, sets, percent, small), "pairs"), sets, percent), "links").unionByName(_same_id(named, classes))
+    unstage(sets)
     if not more.isEmpty():
         every = nodes.select("id").unionByName(more.select(F.col("a").alias("id"))).unionByName(more.select(F.col("b").alias("id"))).distinct()
         comps = components(every, links.unionByName(more))

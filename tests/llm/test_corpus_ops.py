@@ -469,3 +469,45 @@ def test_pipeline_against_brute_force(spark):
         own = [i for i in left if left[i].source == s and size[i]]
         assert all(repeats.get(i, 0) in (base, base + 1) and repeats.get(i, 0) <= 2 for i in own)
         assert abs(taken[s] - goal[s]) <= max(size[i] for i in own)
+
+
+def shuffled(spark, run):
+    """What ``run`` returns, and the bytes and rows that it shuffled, with joins as those of large tables."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        jvm, store = spark._jvm, spark._jsc.sc().statusStore()
+        stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        done = max((s.stageId() for s in map(stages().apply, range(stages().size()))), default=-1)
+        out, found = run(), stages()
+        new = [s for s in map(found.apply, range(found.size())) if s.stageId() > done]
+        return out, sum(s.shuffleWriteBytes() for s in new), sum(s.shuffleWriteRecords() for s in new)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_verification_moves_full_sets_of_likely_pairs_only(spark):
+    rng = np.random.default_rng(3)
+    sets, kinds = {}, (0.2, 0.5, 0.7, 0.795, 0.805, 1.0)  # similarity of two neighbours
+    for k in range(96):
+        n = 60_000 if k == 5 else 1500 + 10 * k
+        both, j = rng.integers(0, 2**64, n, dtype=np.uint64), kinds[k % 6] if k % 12 in (4, 5) else kinds[k % 3]
+        own = round((1 - j) / (2 * j) * n)
+        for side in range(2):
+            sets[2 * k + side] = np.unique(np.concatenate([both, rng.integers(0, 2**64, own, dtype=np.uint64)]))
+    sets[192], sets[193] = (np.arange(a, a + 900, dtype=np.uint64) << np.uint64(40) for a in (0, 100))  # exactly 0.8, with many equal marks
+    rows = [(i, len(s), np.unique(s >> np.uint64(48)).astype(np.uint16).view(np.int16).tolist(), s.view(np.int64).tolist()) for i, s in sets.items()]
+    table = spark.createDataFrame(rows, "id long, n long, marks array<short>, items array<long>").repartition(4).localCheckpoint()
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(0, 194, 2)], "a long, b long").localCheckpoint()
+    got, moved, _ = shuffled(spark, lambda: {tuple(r) for r in near_dedup.verified(pairs, table, 80).collect()})
+    same = {i: len(np.intersect1d(sets[i], sets[i + 1])) for i in range(0, 194, 2)}
+    assert got == {(i, i + 1) for i, s in same.items() if 100 * s >= 80 * (len(sets[i]) + len(sets[i + 1]) - s)} and 192 in {a for a, _ in got}
+    assert moved < 1.5 * sum(8 * len(s) for s in sets.values())
+
+
+def test_near_dedup_moves_few_buckets_twice(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 10**6, 60)) for _ in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts + [t + " more" for t in texts[:20]])), "doc_id long, text string")
+    got, _, rows = shuffled(spark, lambda: {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, words=4).collect()})
+    assert got == {i: i if i < 3000 else i - 3000 for i in range(3020)}
+    assert rows < 2 * 25 * 3000  # each once to be counted; 43,000 rows of other steps
