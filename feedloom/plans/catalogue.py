@@ -580,7 +580,7 @@ def q_save_pages(spark, sf_dir):
     docs = xml_feeds.read_saved(spark, path)
     e = xml_feeds.entries(docs, key="page", columns=["page", "doc_pos", "id", "title"])
     f = xml_feeds.feeds(docs, key="page", columns=["page", "title", "links"]).withColumn("has_next", F.exists("links", lambda x: x["rel"].eqNullSafe("next") & x["href"].endswith(".xml")))
-    both = e.join(f.select("page", F.col("title").alias("feed_title"), "has_next"), "page")
+    both = e.join(f.select("page", F.col("title").alias("feed_title"), "has_next").hint("merge"), "page")  # files that tasks list look small to the planner
     return both.select(F.col("page").cast("long").alias("page"), F.col("doc_pos").cast("long").alias("doc_pos"), "id", "title", "feed_title", "has_next")
 
 
