@@ -62,11 +62,13 @@ def plain_text(c: Column) -> Column:
 
 
 def indent(c: Column, spaces: int = 2) -> Column:
-    return F.concat(F.regexp_replace(c, "(?m)^", " " * spaces), F.lit("\n"))
+    """Every line set in, also an empty one; only a line feed ends a line."""
+    pad = " " * spaces
+    return F.concat(F.lit(pad), F.replace(c, F.lit("\n"), F.lit("\n" + pad)), F.lit("\n"))
 
 
 def unindent(c: Column, spaces: int = 2) -> Column:
-    return F.regexp_replace(c, f"(?m)^ {{1,{spaces}}}", "")
+    return F.regexp_replace(c, f"(?md)^ {{1,{spaces}}}", "")
 
 
 def strip_wrapper(c: Column) -> Column:
