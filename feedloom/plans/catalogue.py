@@ -455,8 +455,10 @@ TRIP = f"""SELECT {PAGED} AS feed_key, doc_id::VARCHAR AS id, trim(substr(text,
 
 
 def trip(spark, sf_dir, kind, version=None):
-    rows = xml_feeds.entries(feed_docs(spark, sf_dir, kind, version), columns=["feed_key", "id", "title", "link", "time"])
-    return rows.select("feed_key", "id", "title", "link", F.unix_timestamp("time").alias("t"))
+    """Titles as they were written, also empty ones; times only where one was written."""
+    names = ["feed_key", "id", "title", "title_text", "link", "time"]
+    rows = xml_feeds.entries(feed_docs(spark, sf_dir, kind, version), columns=names, settings=DEFAULTS.with_options(timestamp_estimation_enabled=False))
+    return rows.select("feed_key", "id", F.coalesce("title", "title_text").alias("title"), "link", F.unix_timestamp("time").alias("t"))
 
 
 @query(TRIP)

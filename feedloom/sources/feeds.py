@@ -13,8 +13,7 @@ from pyspark.sql.types import StructType
 
 from feedloom.config import DEFAULTS, Settings
 from feedloom.functions import fields
-from feedloom.functions.text import escape_entities as esc
-from feedloom.functions.text import unescape_entities
+from feedloom.functions.text import escape_entities, unescape_entities
 from feedloom.functions import uri
 from feedloom.functions.uri import favicon, is_uri, normalize_url, resolve
 
@@ -245,6 +244,7 @@ def entries(docs: DataFrame, xml: str = "xml", key: str = "feed_key", columns: l
     it has none, the base address, the explicit flag, type and version.  Columns that
     end in ``_html`` hold the whole construct as sanitised HTML, the others plain text.
     With ``as_of`` missing times are estimated from the neighbours (where the settings say so).
+    A blank title is none; ``title_text`` is that element's text, which may be empty.
     """
     rows = channels(docs, xml)
     n, ch, channel = F.col("nodes"), F.col("channel.id"), F.col("channel")
@@ -326,7 +326,7 @@ def entries(docs: DataFrame, xml: str = "xml", key: str = "feed_key", columns: l
 
     extra = ("media:text", "itunes:summary", "itunes:subtitle")
     built = {
-        key: lambda: F.col(key), "doc_pos": lambda: F.col("doc_pos"), "id": guid, "title": title,
+        key: lambda: F.col(key), "doc_pos": lambda: F.col("doc_pos"), "id": guid, "title": title, "title_text": lambda: F.get(children(n, i, *ITEM_TITLE), F.lit(0))["text"],
         "content": lambda: first_text(n, i, *CONTENT, *extra), "summary": lambda: first_text(n, i, *SUMMARY, *extra),
         "title_html": lambda: html(n, i, ITEM_TITLE, atom, base), "content_html": lambda: html(n, i, (*CONTENT, *extra), atom, base), "summary_html": lambda: html(n, i, (*SUMMARY, *extra), atom, base),
         "links": lambda: F.col("links"), "link": link, "comments": comments, "base_uri": lambda: base, "feed_type": lambda: F.col("feed_type"), "feed_version": lambda: F.col("f_version"), "encoding": lambda: F.col("f_encoding"),
@@ -352,6 +352,11 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("path").alias("feed_key"), decode_bytes("content", fields.encoding(F.lit(None).cast("string"), head)).alias("xml"))
 
 
+def esc(c: Column) -> Column:
+    """Text as markup; a carriage return by its number, as parsers read a bare one as a line feed."""
+    return F.replace(escape_entities(c), F.lit("\r"), F.lit("&#13;"))
+
+
 def _tag(name: str, c: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"<{name}>"), esc(c), F.lit(f"</{name}>")), F.lit(""))
 
@@ -373,7 +378,7 @@ def _repeat(values: Column, make) -> Column:
 
 
 def _cdata(name: str, c: Column) -> Column:
-    return F.coalesce(F.concat(F.lit(f"<{name}><![CDATA["), F.replace(c, F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit(f"]]></{name}>")), F.lit(""))
+    return F.coalesce(F.concat(F.lit(f"<{name}><![CDATA["), F.replace(F.replace(c, F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("\r"), F.lit("]]>&#13;<![CDATA[")), F.lit(f"]]></{name}>")), F.lit(""))
 
 
 def _enclosure_xml(e: Column, atom: bool, versions: bool = False) -> Column:
